@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical
+from . import canonical, duplicates
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
@@ -21,8 +22,28 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines")
 
 
+PAYLOAD = ("malayalam_lines", "transliterated_lines", "file_path", "lang")
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "evaluation": duplicates.hash_fields(table(spark, sf_dir, "evaluation"), "line_id", FIELDS),
+        "raw_records": duplicates.hash_json(table(spark, sf_dir, "raw_records"), "raw_id", "payload", PAYLOAD),
+    }
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [duplicates.copies_of(h).select(F.lit(name).alias("table_name"), "keep_id", "copy_id") for name, h in _hashed(spark, sf_dir).items()]
+    return found[0].unionByName(found[1])
+
+
+def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [duplicates.collapse(h).select(F.lit(name).alias("table_name"), "keep_id", "copies") for name, h in _hashed(spark, sf_dir).items()]
+    return found[0].unionByName(found[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_canonical)}
+    return {f.__name__: f for f in (p2_found, p2_canonical, p4_found, p4_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
