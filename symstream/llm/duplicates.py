@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -24,11 +23,8 @@ from pyspark.sql import functions as F
 
 from symstream.session import cut
 
-#: 2 to this power bits in the filter.
-FILTER_BITS = 26
-#: 2 to this power bits in a block of it, the unit of merging.
-BLOCK_BITS = 16
-PROBES = 2
+from . import bloom
+
 #: White space, punctuation, controls and format characters, and symbols.
 IGNORED = r"[\p{P}\p{Z}\p{C}\p{S}]+"
 
@@ -93,87 +89,15 @@ def hash_json(df: DataFrame, id_col: str, payload_col: str, names: Sequence[str]
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, h binary")
 
 
-def _bits(digests: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first half of each hash, and the positions of its bits, a row for each probe."""
-    halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-    mask = np.uint64((1 << size) - 1)
-    return halves[:, 0], np.stack([(halves[:, 0] + np.uint64(i) * halves[:, 1] >> np.uint64(64 - size)) & mask for i in range(PROBES)])
-
-
-def _pack(bits: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted distinct positions as (block, packed bits)."""
-    import zstandard
-
-    block = min(BLOCK_BITS, size)
-    packer = zstandard.ZstdCompressor(level=1)
-    for part in np.split(bits, np.flatnonzero(np.diff(bits >> np.uint64(block))) + 1):
-        if len(part):
-            row = np.zeros(1 << block, np.uint8)
-            row[(part & np.uint64((1 << block) - 1)).astype(np.int64)] = 1
-            yield int(part[0] >> np.uint64(block)), packer.compress(np.packbits(row).tobytes())
-
-
-def repeat_filter(hashed: DataFrame, size: int = FILTER_BITS) -> DataFrame:
-    """(block, packed): the blocks of the filter of hashes that occur more than once, merged over all partitions."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = [h for b in batches for h in b.column(0).to_pylist()]  # 16 bytes a row of one partition
-        if not digests:
-            return
-        keys, bits = _bits(digests, size)
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        for twice, chosen in ((False, first), (True, first[counts > 1])):
-            rows = list(_pack(np.unique(bits[:, chosen]), size))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([twice] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["block", "twice", "packed"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpacker, block, once, repeated = zstandard.ZstdDecompressor(), None, None, None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if block is not None and repeated.any():
-                packed = zstandard.ZstdCompressor(level=1).compress(repeated.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["block", "packed"])
-
-        for b in batches:
-            for at, twice, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != block:
-                    yield from done()
-                    width = (1 << min(BLOCK_BITS, size)) // 8
-                    block, once, repeated = at, np.zeros(width, np.uint8), np.zeros(width, np.uint8)
-                row = np.frombuffer(unpacker.decompress(packed), np.uint8)
-                if not twice:
-                    repeated |= once & row
-                    once |= row
-                else:
-                    repeated |= row
-        yield from done()
-
-    blocks = hashed.select("h").mapInArrow(local, "block int, twice boolean, packed binary")
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, packed binary")
-
-
-def possible_repeats(hashed: DataFrame, size: int = FILTER_BITS) -> Callable[[bool], DataFrame]:
+def possible_repeats(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> Callable[[bool], DataFrame]:
     """A function that gives the rows of hashed which the filter lets through (True) or holds as singletons (False)."""
-    import zstandard
-
-    spark = hashed.sparkSession
-    bits = np.zeros((1 << size) // 8, np.uint8)  # the bound of what is collected and broadcast
-    width = (1 << min(BLOCK_BITS, size)) // 8
-    for row in repeat_filter(hashed, size).toLocalIterator():
-        bits[row.block * width : (row.block + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.packed)), np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    shared = bloom.load(bloom.merged(hashed.select("h"), size, repeated=True), size)
 
     def rows(repeated: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filled = np.frombuffer(shared.value, np.uint8)
             for b in batches:
                 if b.num_rows:
-                    _, at = _bits(b.column(1).to_pylist(), size)
-                    at = at.astype(np.int64)
-                    hit = (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+                    hit = bloom.hits(shared, *bloom.halves(b.column(1)), size)
                     yield b.filter(pa.array(hit if repeated else ~hit))
 
         return hashed.mapInArrow(run, hashed.schema)
@@ -181,7 +105,7 @@ def possible_repeats(hashed: DataFrame, size: int = FILTER_BITS) -> Callable[[bo
     return rows
 
 
-def collapse(hashed: DataFrame, size: int = FILTER_BITS) -> DataFrame:
+def collapse(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> DataFrame:
     """(keep_id, copies): each record once under its least id, with the number of ids that are the same record.
 
     hashed is (k, h) as hash_fields and hash_json give it; a row delivered again under its id counts once. An empty table
@@ -194,7 +118,7 @@ def collapse(hashed: DataFrame, size: int = FILTER_BITS) -> DataFrame:
     return groups.select("keep_id", "copies").unionByName(single)
 
 
-def copies_of(hashed: DataFrame, size: int = FILTER_BITS) -> DataFrame:
+def copies_of(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> DataFrame:
     """(keep_id, copy_id): for each group of the same records its least id, with every other id.
 
     The groups' least ids come from a map-side aggregation; rows meet them in a join on the hash, whose hot keys the

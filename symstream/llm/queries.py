@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical, duplicates
+from . import canonical, duplicates, overlap
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
@@ -22,6 +22,33 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines")
 
 
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "test_sets")
+    return rows.withColumn("script", F.regexp_extract("split_name", "^(.*)_(test|train)$", 1)).withColumn("is_test", F.col("split_name").endswith("_test"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.overlapping_records(_split_records(spark, sf_dir), "rec_id", "text", "script", "is_test")
+    return pairs.select(F.least("k_e", "k_t").alias("rec_id_a"), F.greatest("k_e", "k_t").alias("rec_id_b")).distinct()
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split and source: its records, and how many of them overlap, exactly or nearly, with the other split."""
+    rows = _split_records(spark, sf_dir)
+    pairs, members = overlap.overlaps(rows, "rec_id", "text", "script", "is_test")
+    sides = pairs.select("grp", F.col("cls_e").alias("cls"), F.lit(True).alias("evaluation"), "distance").unionByName(
+        pairs.select("grp", F.col("cls_t").alias("cls"), F.lit(False).alias("evaluation"), "distance")
+    )
+    least = sides.groupBy("grp", "cls", "evaluation").agg(F.min("distance").alias("distance"))
+    hit = members.join(least, ["grp", "cls", "evaluation"]).select(F.col("k").alias("rec_id"), "distance")
+    return (
+        rows.select("rec_id", "split_name", "source_name")
+        .join(hit, "rec_id", "left")
+        .groupBy("split_name", "source_name")
+        .agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("distance") == 0).alias("exact"), F.count_if(F.col("distance") > 0).alias("near"))
+    )
+
+
 PAYLOAD = ("malayalam_lines", "transliterated_lines", "file_path", "lang")
 
 
@@ -43,7 +70,7 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_canonical, p4_found, p4_collapsed)}
+    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
