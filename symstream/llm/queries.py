@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical, duplicates, overlap
+from . import canonical, duplicates, encoding, mixing, overlap
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
@@ -69,8 +69,32 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't what their ids decode to: none."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = encoding.decode(encoding.encode(rows, "doc_id", "text"), "doc_id", "ids").withColumnRenamed("text", "back")
+    return rows.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = encoding.count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return mixing.mixture(counted, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed)}
+    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
