@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical, duplicates, encoding, mixing, overlap
+from . import canonical, duplicates, encoding, garbled, mixing, overlap
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restore(table(spark, sf_dir, "evaluation"), "line_id", list(FIELDS)).select("line_id", "field_name").distinct()
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restore(table(spark, sf_dir, "evaluation"), "line_id", list(FIELDS)).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines")
 
@@ -94,7 +102,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
