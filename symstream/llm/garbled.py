@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 from . import frequencies, mojibake
 
 
+_KEPT: list = [None, None]
+
+
+def _decoder(tables: np.ndarray) -> mojibake.Decoder:
+    """The decoder of the tables; a worker keeps what it has found out from task to task."""
+    if _KEPT[0] is not tables:
+        _KEPT[:] = tables, mojibake.Decoder(frequencies.Frequencies(tables))
+    return _KEPT[1]
+
+
 def restore(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """id, field_name, damaged, restored, complete: a row for each text that was decoded with a wrong encoding, wholly or in part.
 
@@ -28,7 +39,7 @@ def restore(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     names = list(text_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = mojibake.Decoder(frequencies.Frequencies(shared.value))
+        decoder = _decoder(shared.value)
         for b in batches:
             for i, name in enumerate(names):
                 texts = b.column(i + 1)

@@ -31,7 +31,7 @@ BEGINNINGS = (b"\xe0\xb4", b"\xe0\xb5", b"\xe0\xa4", b"\xe0\xa5", b"\xe0\xae", b
 # ----------------------------------------------------------------------------------------------------------------------
 #: What a byte that vanished without a mark costs, in nats; what a word costs that the corpora lack.
 DROPPED, UNKNOWN = 6.0, -16.0
-BEAM, BRANCH, TWINS = 6, 5, 2
+BEAM, BRANCH, TWINS, MARGIN = 6, 5, 2, 9.0
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\xe0-\xef][\x80-\xbf]|[\x80-\xff]")
 
 
@@ -284,7 +284,7 @@ class Decoder:
             if len(self._best) > 200_000:
                 self._best.clear()
             scored = sorted(((self.frequencies.letter(a, b, c), c) for c in self._fitting(pattern)), reverse=True)[:BRANCH]
-            self._best[key] = tuple((c, x) for x, c in scored)
+            self._best[key] = tuple((c, x) for x, c in scored if x > scored[0][0] - MARGIN)
         return self._best[key]
 
     def _edges(self, atoms: list, at: int, sizes: tuple[int, ...]) -> list[tuple[int, tuple[int, ...], float]]:
@@ -325,8 +325,11 @@ class Decoder:
             states = ends[at]
             if len(states) > 1:
                 kept: dict[tuple[str, str], int] = {}
-                states = []
-                for state in sorted(ends[at], reverse=True):
+                states.sort(reverse=True)
+                ranked, states, floor = states, [], states[0][0] - MARGIN
+                for state in ranked:
+                    if state[0] < floor:
+                        break
                     context = state[1:3]
                     if kept.get(context, 0) < TWINS:  # a few for each context, since the word counts at its end
                         kept[context] = kept.get(context, 0) + 1
