@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical, duplicates, encoding, garbled, mixing, overlap
+from . import canonical, duplicates, encoding, garbled, mixing, overlap, sentences
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
@@ -77,6 +77,10 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -102,7 +106,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
