@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symstream.sources.tables import table
 
-from . import canonical, duplicates, encoding, garbled, mixing, overlap, sentences
+from . import abusive, canonical, duplicates, encoding, garbled, langid, mixing, overlap, sentences
 
 FIELDS = ("malayalam_lines", "transliterated_lines")
 
@@ -77,6 +77,26 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+LABEL_OF = {"malayalam_lines": "malayalam_lang", "transliterated_lines": "transliterated_lang"}
+LATIN_OF = {"malayalam_lines": ("en",), "transliterated_lines": langid.LATIN}
+
+
+def _languages(spark: SparkSession, sf_dir: str, stretches: bool = False) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "evaluation"), "line_id", LABEL_OF, LATIN_OF, "transliterated_lines", stretches)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.wrong_labels(_languages(spark, sf_dir)).select("line_id", "field_name", "lang").distinct()
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).distinct()
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir, stretches=True).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines").distinct()
 
@@ -105,8 +125,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source")
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive.score_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "abusive", table(spark, sf_dir, "flag_terms"), "term"
+    )
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).where(F.col("score") >= abusive.LEAST).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source its documents, those with abusive content, and their share."""
+    scored = table(spark, sf_dir, "documents").select("doc_id", "source").join(_scores(spark, sf_dir), "doc_id")
+    found = F.count_if(F.col("score") >= abusive.LEAST)
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), found.alias("abusive"), (found / F.count(F.lit(1))).alias("rate"), F.avg("score").alias("mean_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_languages, p5_stretches, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,12 +18,12 @@ def texts(rows: DataFrame, id_col: str, text_col: str, size: int) -> list[str]:
     return [r[0] for r in drawn.select(text_col).limit(2 * size).collect()]
 
 
-def by_label(rows: DataFrame, id_col: str, label_col: str, text_col: str, labels: list[str], size: int) -> list[tuple[str, str]]:
-    """(text, label): about size rows of each of the labels (never over twice as many in all)."""
+def by_label(rows: DataFrame, id_col: str, label_col: str, text_col: str, labels: list[str], size: int) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(text, label) of about size rows of each of the labels (never over twice as many in all), and how many rows have each."""
     rows = rows.where(F.col(label_col).isin(labels) & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}  # a row for each known label
     if not counts:
-        return []
+        return [], {}
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, size / n))])
     drawn = rows.where(chance(id_col) < share[F.col(label_col)])
-    return [(r[0], r[1]) for r in drawn.select(text_col, label_col).limit(2 * size * len(labels)).collect()]
+    return [(r[0], r[1]) for r in drawn.select(text_col, label_col).limit(2 * size * len(labels)).collect()], counts

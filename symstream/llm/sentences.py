@@ -27,7 +27,7 @@ SAMPLE = 12_000
 TERMINAL = ".!?…।॥。！？｡．۔؟"
 CLOSING = ")]}»”’\"'）」』】"
 QUOTED = re.compile(r"“[^”\n]*”|‘[^’\n]*’|\"[^\"\n]*\"|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』|„[^“\n]*“")
-BREAKS = re.compile(r"[\n\r  ]+")
+BREAKS = re.compile("[\\n\\r\\u2028\\u2029]+")
 # ----------------------------------------------------------------------------------------------------------------------
 _CANDIDATE = re.compile(f"[{re.escape(TERMINAL)}]+[{re.escape(CLOSING)}]*")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -129,7 +129,7 @@ def candidates(line: str) -> list[Candidate]:
             while end > start + len(mark) and (line[end - 1] in "\"'" and any(a == end - 1 for a, _, _ in spans)):
                 end -= 1
         head = line[:start]
-        token = head[max(head.rfind(" "), head.rfind("\t"), head.rfind(" ")) + 1 :]
+        token = head[head.rfind(" ") + 1 :]
         parts = token.split()
         token = (parts[-1] if parts and not token[-1:].isspace() else "").lstrip("([{“‘\"'«")[-24:]
         out.append(Candidate(end, _left(token, mark, quote, bool(_LIST.match(line[:end]))), _right(line[end:])))
