@@ -323,8 +323,9 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame
     verdicts = labels.groupBy(F.col(label_id).alias("k")).agg(F.avg(verdict_col).alias("v")).where("v = 0 OR v = 1")
     counts = {int(r[0]): r[1] for r in verdicts.groupBy("v").count().collect()}
     share = F.when(F.col("v") == 1, min(1.0, sample[0] / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample[1] / max(1, counts.get(0, 0))))
+    # at most twice the sample: ids and verdicts that every task may hold
     drawn = verdicts.where(sampling.chance("k") < share).limit(2 * sum(sample))
-    labelled = [(r.t, r.v) for r in rows.join(drawn, "k").select("t", "v").collect()]
+    labelled = [(r.t, r.v) for r in rows.join(F.broadcast(drawn), "k").select("t", "v").collect()]
     listed = [r[0] for r in terms.select(term_col).collect() if r[0]]
     index, known, field = train(labelled, listed)
     shared = rows.sparkSession.sparkContext.broadcast((index, known, field))
