@@ -10,11 +10,12 @@ import math
 import random
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symstream.session import cut
+
 SENTINEL = -1
 
 
@@ -39,7 +40,7 @@ class Adaptive:
             seen = self.counts.get(ctx)
             if not seen:
                 continue
-            low, own, mass = 0, None, 0
+            own, mass = None, 0
             for s, n in seen.items():
                 if s not in excluded:
                     if s == symbol:
@@ -53,14 +54,14 @@ class Adaptive:
                 return out
             out.append((mass, total, total))
             excluded |= seen.keys()
-            low += 1
         rest = [s for s in range(self.alphabet) if s not in excluded] + [SENTINEL]
         at = rest.index(symbol)
         out.append((at, at + 1, len(rest)))
         return out
 
-    def choose(self, pick: Callable[[int], int]) -> int:
-        """The symbol that targets picked from the totals lead to: decoding, or sampling."""
+    def choose(self, pick: Callable[[int], int], take: Callable[[int, int, int], None] | None = None) -> int:
+        """The symbol that targets picked from the totals lead to: decoding, or sampling. take hears of each range on the way."""
+        take = take or (lambda low, high, total: None)
         excluded: set[int] = set()
         for ctx in self._contexts():
             seen = self.counts.get(ctx)
@@ -70,15 +71,20 @@ class Adaptive:
             mass = sum(n for _, n in left)
             if mass == 0:
                 continue
-            target = pick(mass + len(seen))
+            total = mass + len(seen)
+            target, low = pick(total), 0
             if target < mass:
                 for s, n in left:
-                    if target < n:
+                    if target < low + n:
+                        take(low, low + n, total)
                         return s
-                    target -= n
+                    low += n
+            take(mass, total, total)
             excluded |= seen.keys()
         rest = [s for s in range(self.alphabet) if s not in excluded] + [SENTINEL]
-        return rest[pick(len(rest))]
+        at = pick(len(rest))
+        take(at, at + 1, len(rest))
+        return rest[at]
 
     def bits(self, symbol: int) -> float:
         return -sum(math.log2((high - low) / total) for low, high, total in self.ranges(symbol) if (low, high) != (0, total))
@@ -187,22 +193,13 @@ def decompress(coded: bytes, order: int = 3, method: str = "D") -> bytes:
     """What compress coded."""
     model, coder, out = Adaptive(order, method), _Decoder(coded), bytearray()
     while True:
-        s = model.choose(coder.target)
-        # the ranges of the symbol are known now; the coder follows them
-        again = _Follower(coder)
-        for r in model.ranges(s):
-            again.take(*r)
+        s = model.choose(coder.target, coder.take)
         if s == SENTINEL:
             return bytes(out)
         out.append(s)
         model.update(s)
 
 
-class _Follower:
-    def __init__(self, coder: _Decoder) -> None:
-        self.take = coder.take
-
-
 def units(text: str | None, unit: str) -> list[int]:
     return [] if text is None else list(text.encode()) if unit == "byte" else [ord(c) for c in text]
 
@@ -241,28 +238,23 @@ def decode_texts(df: DataFrame, id_col: str, coded_col: str, order: int = 3, met
     return df.select(id_col, text(F.col(coded_col)).alias("text"))
 
 
-def leave_one_out(df: DataFrame, id_col: str, label_col: str, text_col: str, order: int = 2) -> DataFrame:
-    """(id, label, best, bits): each text scored under a model of all other texts of its label, and under those of the other labels.
+def held_out(df: DataFrame, id_col: str, label_col: str, text_col: str, order: int = 2, folds: int = 5) -> DataFrame:
+    """(id, label, best, bits): each text scored under models of all labels that were trained without its fold.
 
-    Counts of the text itself are taken from its label's counts, so that one set of tables serves all texts.
+    Texts are put into folds by a hash of their ids. With as many folds as texts this leaves out one at a time; a few folds keep the
+    number of models bounded on large tables.
     """
     from .counts import context_counts, gram_counts
     from .models import gram_bits, tables
 
     rows = df.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("model"), F.col(text_col).alias("t")).where("t IS NOT NULL AND model IS NOT NULL")
-    grams = gram_counts(rows, ["doc", "model"], "t", order)
-    every = context_counts(grams, ["model"], order)
+    grams = cut(gram_counts(rows, ["doc", "model"], "t", order).withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(folds))))
     out = None
-    folds = 5
-    fold = F.pmod(F.xxhash64("doc"), F.lit(folds))
-    for f in range(folds):  # a fold's texts are left out together
-        rest = grams.where(fold != f)
-        model = tables(context_counts(rest, ["model"], order), order)
-        mine = grams.where(fold == f).select("doc", F.col("model").alias("label"), "gram", "n")
-        costs = gram_bits(mine, model)
-        part = mine.join(costs, "gram").groupBy("doc", "label", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    for f in range(folds):
+        model = tables(context_counts(grams.where(F.col("fold") != f), ["model"], order), order)
+        mine = grams.where(F.col("fold") == f).select("doc", F.col("model").alias("label"), "gram", "n")
+        part = mine.join(gram_bits(mine, model), "gram").groupBy("doc", "label", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
         out = part if out is None else out.unionByName(part)
-    del every
     best = out.groupBy("doc", "label").agg(F.min(F.struct("bits", "model")).alias("b"))
     return best.select(F.col("doc").alias(id_col), "label", F.col("b.model").alias("best"), F.col("b.bits").alias("bits"))
 
@@ -286,9 +278,3 @@ def generate(texts: list[str], length: int, order: int = 3, seed: int = 123457)
 def cheapest_word(candidates: DataFrame, word_col: str, scored: DataFrame) -> DataFrame:
     """The candidate with the least codelength, then the first by name."""
     return candidates.join(scored, word_col).agg(F.min(F.struct("bits", word_col)).alias("b")).select(F.col(f"b.{word_col}").alias(word_col), F.col("b.bits").alias("bits"))
-
-
-def stream_scores(key: object, batches: Iterator[pd.DataFrame], model: Adaptive) -> Iterator[pd.DataFrame]:
-    """The step of the streaming scorer: rows of one key in order, each scored and then learned."""
-    for b in batches:
-        yield pd.DataFrame({"symbol": b["symbol"], "bits": [model.cost([int(s)]) for s in b["symbol"]]})

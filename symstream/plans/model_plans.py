@@ -257,8 +257,8 @@ def mark_languages(spark, sf_dir):
     return search.mark_texts(rows, "line_id", "malayalam_lines", search.static_models(trained))
 
 
-def leave_one_out(spark, sf_dir):
-    return adaptive.leave_one_out(docs(spark, sf_dir).where("lang IS NOT NULL"), "doc_id", "lang", "text", 1).withColumn("bits", _r("bits", 3))
+def held_out_identify(spark, sf_dir):
+    return adaptive.held_out(docs(spark, sf_dir).where("lang IS NOT NULL"), "doc_id", "lang", "text", 1).withColumn("bits", _r("bits", 3))
 
 
 _CTX1 = """g AS (SELECT lang AS model, doc_id, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)),
@@ -321,5 +321,5 @@ SQL = {
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
     probabilities, map_by_column, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines,
-    edit_distance_lines, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, leave_one_out,
+    edit_distance_lines, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
 ]
