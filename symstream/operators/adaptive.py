@@ -100,9 +100,7 @@ class Adaptive:
                 known = True
             else:
                 seen[symbol] = 1
-        self.past = () if symbol == SENTINEL else (*self.past[-max(self.order, 1) + 1 :], symbol) if self.order > 0 else ()
-        if self.order == 1:
-            self.past = () if symbol == SENTINEL else (symbol,)
+        self.past = () if symbol == SENTINEL or self.order < 1 else (*self.past, symbol)[-self.order :]
 
     def learn(self, symbols: Iterable[int]) -> Adaptive:
         for s in symbols:
