@@ -80,7 +80,7 @@ def fit(rows: list[dict[str, float]], labels: np.ndarray, weights: np.ndarray, r
             counts[f] = counts.get(f, 0) + 1
     index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))}
     pairs = [[(0, 1.0), *((index[f], v) for f, v in r.items() if f in index)] for r in rows]
-    of = np.repeat(np.arange(len(rows)), [len(p) for p in pairs])
+    of = np.repeat(np.arange(len(rows)), np.array([len(p) for p in pairs], np.int64))
     columns = np.array([c for p in pairs for c, _ in p], np.int64)
     values = np.array([v for p in pairs for _, v in p])
     w, seen = np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-10)

@@ -31,7 +31,7 @@ class MaxEnt:
                 counts[f] = counts.get(f, 0) + 1
         index = {"": 0} | {f: i + 1 for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
         where = [[0, *[index[f] for f in r if f in index]] for r in rows]
-        sizes = np.array([len(r) for r in where])
+        sizes = np.array([len(r) for r in where], np.int64)
         columns = np.array([c for r in where for c in r], np.int64)
         of = np.repeat(np.arange(len(where)), sizes)
         y, w, seen = np.asarray(labels, float), np.zeros(len(index)), np.full(len(index), 1e-8)

@@ -39,17 +39,6 @@ def _within(code: int, blocks: tuple[tuple[int, int], ...]) -> bool:
     return any(a <= code <= b for a, b in blocks)
 
 
-@lru_cache(maxsize=4096)
-def plausible(char: str) -> float:
-    """How well a decoded character speaks for the decoding: 1 for letters of the scripts, less for others, below 0 against."""
-    code = ord(char)
-    if _within(code, SCRIPTS[:3]) or _within(code, ((0x1E00, 0x1EFF), (0x0100, 0x017F), (0x0300, 0x036F))):
-        return 1.0
-    if _within(code, SCRIPTS[3:]) or _within(code, LATIN) or _within(code, SIGNS):
-        return 0.8
-    return 0.25  # a sign of another misreading below this one
-
-
 @lru_cache(maxsize=64)
 def byte_of(codec: str) -> dict[str, int]:
     """Characters from 0x80 that the encoding reads single bytes as; bytes that it lacks stay controls."""
@@ -64,6 +53,21 @@ def byte_of(codec: str) -> dict[str, int]:
     return table
 
 
+#: What the likelier encodings read bytes as.
+_MISREAD = frozenset(c for codec in SINGLE_BYTE[:5] for c in byte_of(codec) if c > "\u009f")
+
+
+@lru_cache(maxsize=4096)
+def plausible(char: str) -> float:
+    """How well a decoded character speaks for the decoding: 1 for letters of the scripts, less for others, below 0 against."""
+    code = ord(char)
+    if _within(code, SCRIPTS[:3]) or _within(code, ((0x1E00, 0x1EFF), (0x0100, 0x017F), (0x0300, 0x036F))):
+        return 1.0
+    if _within(code, SCRIPTS[3:]) or _within(code, LATIN) or _within(code, SIGNS):
+        return 0.8
+    return 0.55 if char in _MISREAD else 0.25  # perhaps a sign of another misreading below this one
+
+
 @lru_cache(maxsize=64)
 def _pairs(codec: str) -> re.Pattern:
     """A lead byte and a byte that continues it, or one that is lost, as the encoding reads them."""
@@ -91,7 +95,6 @@ def suspicious() -> str:
 
 #: Cyrillic and Greek letters that stand for Latin ones in sound text.
 _LOOK_ALIKE = frozenset("аеорсухіѕјһԁԛԝАВЕКМНОРСТУХІЅЈοανικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
-_ALARMS = frozenset("àáâãäåæçèéÃÄÅÂ¤´µ¹¸\ufffd") | frozenset(map(chr, range(0x80, 0xA0)))
 _DOUBLE_RUN = re.compile("[\u3000-\u9fff\uac00-\ud7af\ue000-\ufaff\ufe30-\ufe4f\uff01-\uffef\u00a4\u00a7\u00a8\u00b0\u00b1\u00b7\u00d7\u00e0-\u00fc\u0391-\u03c9\u0401-\u0451\u2010-\u2642\ufffd]+")
 
 
@@ -207,6 +210,15 @@ def _beginnings() -> tuple[tuple[str, tuple[tuple[str, frozenset[str]], ...]], .
     return tuple(out)
 
 
+def _clean(fixed: str, before: set[str], broken: int) -> bool:
+    """Whether a reading brought up letters of the scripts only (or controls, of another misreading below), and broke nothing or left
+    nothing that looks damaged.
+    """
+    if any(plausible(c) < 0.5 and c > "\x9f" for c in set(fixed) - before if c > "\x7f" and c != LOST):
+        return False
+    return not broken or not _suspicious().search(fixed.replace(LOST, ""))
+
+
 def layer(text: str) -> tuple[str, Pieces] | None:
     """The text with one wrong reading undone and its pieces (sound text, or bytes), or None if nothing speaks for one."""
     best: tuple[float, int, str, Pieces] = (0.0, 0, "", [])
@@ -217,7 +229,15 @@ def layer(text: str) -> tuple[str, Pieces] | None:
         weight = sum(held[lead] for lead, seconds in pairs if lead in held and not signs.isdisjoint(seconds))
         if weight:
             ranked.append((-weight, place, codec))
-    rank = lambda x: x[0] - 1.2 * x[1]
+    top = -math.inf
+
+    def rank(found: tuple[float, int, str, Pieces]) -> float:
+        """Evidence, less what is broken, what belongs to no script here, and what still looks damaged."""
+        if found[0] < 0.5:
+            return -math.inf
+        strange = sum(found[2].count(c) for c in set(found[2]) - signs if c > "\x9f" and plausible(c) < 0.5)
+        return found[0] - 1.2 * found[1] - 0.5 * strange - 0.25 * len(_suspicious().findall(found[2].replace(LOST, "")))
+
     tried = set()
     for _, _, codec in sorted(ranked):
         if _pairs(codec).search(text):
@@ -225,15 +245,15 @@ def layer(text: str) -> tuple[str, Pieces] | None:
             if shown not in tried:
                 tried.add(shown)
                 found = _single(text, shown)
-                if rank(found) > rank(best):
-                    best = found
-                    if found[0] >= 0.5 and (not found[1] and (signs | set(found[2])).isdisjoint(_ALARMS) or found[0] >= 6 and found[1] * 8 <= found[0]):
+                if (score := rank(found)) > top:
+                    best, top = found, score
+                    if found[0] >= 0.5 and found[1] * 8 <= found[0] and found[2].count(LOST) <= text.count(LOST) and _clean(found[2], signs, found[1]):
                         break  # all of the damage, or nearly, is undone
     if any("\u3000" <= c <= "\uf8ff" for c in signs):
         for codec in DOUBLE_BYTE:
             found = _double(text, codec)
-            if rank(found) > rank(best):
-                best = found
+            if (score := rank(found)) > top:
+                best, top = found, score
     return (best[2], best[3]) if best[0] >= 0.5 else None
 
 
