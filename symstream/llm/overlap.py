@@ -4,8 +4,9 @@ Word sequences are compared by edit distance. Exact copies are first folded into
 distance d is at most ``share`` of the longer one's words, with L words in the evaluation text, has d <= t for
 t = floor(L * share / (1 - share)). The evaluation text is cut into t + 1 even segments of words, one of which must stand
 unchanged in the training text, at a position that the edits before and behind it allow (multi-match-aware bounds). Training
-substrings of the segments' lengths are kept if a Bloom filter of all segments may hold them, joined by hash, held against
-the position and length bounds in the join, and verified by banded dynamic programming over Arrow batches of pairs.
+substrings of the segments' lengths are kept if a Bloom filter of all segments may hold them, joined by hash, held in the join
+against the bounds of position and length and against signatures of the words (so that a segment which very many texts share gives no
+candidates of texts that differ elsewhere), and verified by banded dynamic programming over Arrow batches of pairs.
 """
 
 from __future__ import annotations
@@ -115,14 +116,23 @@ def _grams(flat: np.ndarray, at: np.ndarray, size: int, salt: np.ndarray) -> np.
     return key ^ key >> np.uint64(32)
 
 
-_KEYS = "key bigint, cls binary, grp string, pos int, n int, seg int"
+_KEYS = "key bigint, cls binary, grp string, pos int, n int, seg int, low bigint, high bigint"
 
 
-def _emit(b: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, seg: np.ndarray) -> pa.RecordBatch:
+def signatures(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 64 bits for each text, a bit for each word. An edit changes two of them at most, so texts that are near differ in few."""
+    out = []
+    for shift in (3, 17):
+        bits = np.left_shift(np.uint64(1), (flat * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift + 40)) & np.uint64(63))
+        out.append(np.bitwise_or.reduceat(bits, starts) if len(flat) else np.zeros(0, np.uint64))
+    return out[0], out[1]
+
+
+def _emit(b: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, seg: np.ndarray, signs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     of = pa.array(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), b.column(b.schema.get_field_index("cls")).take(of), b.column(b.schema.get_field_index("grp")).take(of), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seg.astype(np.int32))],
-        ["key", "cls", "grp", "pos", "n", "seg"],
+        [pa.array(key.view(np.int64)), b.column(b.schema.get_field_index("cls")).take(of), b.column(b.schema.get_field_index("grp")).take(of), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seg.astype(np.int32)), *(pa.array(x[rows].view(np.int64)) for x in signs)],
+        ["key", "cls", "grp", "pos", "n", "seg", "low", "high"],
     )
 
 
@@ -134,12 +144,12 @@ def evaluation_segments(classes: DataFrame, share: float = SHARE) -> DataFrame:
             if not b.num_rows:
                 continue
             flat, starts, sizes = _flat(b)
-            salts = _group_salt(b.column(b.schema.get_field_index("grp")).to_pylist())
+            salts, signs = _group_salt(b.column(b.schema.get_field_index("grp")).to_pylist()), signatures(flat, starts, sizes)
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
                 for i, (start, size) in enumerate(segments(int(n), share)):
                     key = _grams(flat, starts[rows] + start, size, salts[rows])
-                    yield _emit(b, rows, key, np.full(len(rows), start), sizes[rows], np.full(len(rows), i))
+                    yield _emit(b, rows, key, np.full(len(rows), start), sizes[rows], np.full(len(rows), i), signs)
 
     return classes.select("cls", "grp", "words").mapInArrow(run, _KEYS)
 
@@ -152,7 +162,7 @@ def training_substrings(classes: DataFrame, shared, share: float = SHARE, size_b
             if not b.num_rows:
                 continue
             flat, starts, sizes = _flat(b)
-            salts = _group_salt(b.column(b.schema.get_field_index("grp")).to_pylist())
+            salts, signs = _group_salt(b.column(b.schema.get_field_index("grp")).to_pylist()), signatures(flat, starts, sizes)
             row_of = np.repeat(np.arange(len(sizes)), sizes)
             inside = np.arange(len(flat)) - starts[row_of]
             needs = {int(n): lengths_needed(int(n), share) for n in np.unique(sizes)}
@@ -164,7 +174,7 @@ def training_substrings(classes: DataFrame, shared, share: float = SHARE, size_b
                     kept = np.flatnonzero(bloom.hits(shared, *bloom.halves(pa.array(key.view(np.int64))), size_bits))
                     if len(kept):
                         rows = row_of[at[kept]]
-                        yield _emit(b, rows, key[kept], inside[at[kept]], sizes[rows], np.zeros(len(kept), np.int64))
+                        yield _emit(b, rows, key[kept], inside[at[kept]], sizes[rows], np.zeros(len(kept), np.int64), signs)
 
     return classes.select("cls", "grp", "words").mapInArrow(run, _KEYS)
 
@@ -237,8 +247,8 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
     e, t = classes.where("in_e"), classes.where("NOT only_e")
     segment = evaluation_segments(e, share)
     shared = bloom.load(bloom.merged(segment.select("key")))
-    a = segment.select("key", "grp", F.col("cls").alias("cls_e"), F.col("pos").alias("p"), F.col("n").alias("l_e"), "seg")
-    b = training_substrings(t, shared, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"))
+    a = segment.select("key", "grp", F.col("cls").alias("cls_e"), F.col("pos").alias("p"), F.col("n").alias("l_e"), "seg", F.col("low").alias("low_e"), F.col("high").alias("high_e"))
+    b = training_substrings(t, shared, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"), F.col("low").alias("low_t"), F.col("high").alias("high_t"))
     edits = F.floor(F.greatest("l_e", "l_t") * F.lit(share) + F.lit(1e-9))
     shift = F.col("q") - F.col("p")
     most = F.floor(F.col("l_e") * F.lit(share / (1 - share)) + F.lit(1e-9))
@@ -246,6 +256,8 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
         a.join(b, ["key", "grp"])
         .where((F.abs(F.col("l_e") - F.col("l_t")) <= edits) & (F.abs(shift) <= F.least(F.col("seg"), edits)))
         .where(F.abs(shift - (F.col("l_t") - F.col("l_e"))) <= F.least(most - F.col("seg"), edits))
+        .where(F.bit_count(F.col("low_e").bitwiseXOR(F.col("low_t"))) <= 2 * edits)
+        .where(F.bit_count(F.col("high_e").bitwiseXOR(F.col("high_t"))) <= 2 * edits)
         .where("cls_e <> cls_t")
         .select("grp", "cls_e", "cls_t")
         .distinct()
