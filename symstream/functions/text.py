@@ -141,6 +141,43 @@ def sss_bits(value: Column | str, start: int, step: int, stop: int) -> Column:
     return F.lit(float(bits)) if out is None else out.otherwise(F.lit(float(bits)))
 
 
+def numbers_as_text(numbers: Column | str) -> Column:
+    """An array of numbers from 0 to 983,039 as a text of one sign each, so that models of texts serve number streams."""
+    c = _col(numbers)
+    return F.decode(F.unhex(F.array_join(F.transform(c, lambda n: F.lpad(F.hex(n.cast("bigint") + 0x10000), 8, "0")), "")), "UTF-32")
+
+
+def text_as_numbers(text: Column | str) -> Column:
+    """The numbers of a text that numbers_as_text made."""
+    return F.transform(symbols(text), lambda c: (F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint") - 0x10000))
+
+
+def labelled_numbers(numbers: Column | str, label: Column | int) -> Column:
+    """Numbers under 256 moved by 256 for each step of a label, so that streams of several sources stay apart."""
+    shift = label if isinstance(label, Column) else F.lit(label)
+    return F.transform(_col(numbers), lambda n: n + shift * 256)
+
+
+def sss_encode(value: int, start: int, step: int, stop: int) -> str:
+    """A number's start-step-stop code as a string of bits: zeros that pick the field, a one unless it is the last field, the field."""
+    low, width, prefix = 0, start, ""
+    while value >= low + (1 << width) and width < stop and step > 0:
+        low, width, prefix = low + (1 << width), width + step, prefix + "0"
+    prefix += "1" if width < stop else ""
+    return prefix + (format(value - low, f"0{width}b") if width else "")
+
+
+def sss_decode(bits: str, start: int, step: int, stop: int) -> tuple[int, int]:
+    """(number, bits read) of the code at the beginning of a string of bits."""
+    low, width, at = 0, start, 0
+    while width < stop:
+        at += 1
+        if bits[at - 1] == "1":
+            break
+        low, width = low + (1 << width), width + step
+    return low + (int(bits[at : at + width], 2) if width else 0), at + width
+
+
 # --- fixed values: the transliteration table ------------------------------------------------------------------------------
 PLAIN = {
     "അ": "a", "ആ": "ā", "ഇ": "i", "ഈ": "ī", "ഉ": "u", "ഊ": "ū", "എ": "e", "ഏ": "ē", "ഒ": "o", "ഓ": "ō", "ം": "ṁ",

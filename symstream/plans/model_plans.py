@@ -202,6 +202,51 @@ def segmentation_scores(spark, sf_dir):
     return evaluate.segmentation(found, "found", "gold")
 
 
+def _corpora(spark, sf_dir):  # noqa: ANN001, ANN202
+    """Lines of the native and the romanised corpus, a fifth of them for testing."""
+    rows = lines(spark, sf_dir).select("line_id", F.inline(F.array(F.struct(F.lit("native").alias("corpus"), F.col("malayalam_lines").alias("text")), F.struct(F.lit("romanised").alias("corpus"), F.col("transliterated_lines").alias("text")))))
+    return rows.where("text IS NOT NULL").withColumn("test", F.col("line_id") % 5 == 0)
+
+
+def cross_compression(spark, sf_dir):
+    """The pipeline: models of both corpora, each on the test lines of both; bits a symbol and the ratio to plain UTF-8."""
+    rows = _corpora(spark, sf_dir)
+    model = models.train(rows.where("NOT test"), "corpus", "text", 1)
+    test = rows.where("test")
+    sizes = test.groupBy("corpus").agg(F.sum(F.length("text")).alias("n_symbols"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    grams = counts.gram_counts(test, ["corpus"], "text", 1)
+    bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    return bits.join(sizes, "corpus").select("corpus", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), _r(8 * F.col("n_bytes") / F.col("bits")).alias("ratio"))
+
+
+def distinguishability(spark, sf_dir):
+    """How many bits a symbol each corpus gains by its own model."""
+    w = cross_compression(spark, sf_dir).groupBy("corpus").agg(
+        F.sum(F.when(F.col("corpus") == F.col("model"), F.col("bits_per_symbol"))).alias("own"), F.sum(F.when(F.col("corpus") != F.col("model"), F.col("bits_per_symbol"))).alias("other")
+    )
+    return w.select("corpus", "own", "other", _r(F.col("other") - F.col("own")).alias("gain"), (F.col("own") < F.col("other")).alias("prefers_own"))
+
+
+def spacing_study(spark, sf_dir):
+    """The study: the four spacings of the test lines under both models, in bits a symbol."""
+    rows = _corpora(spark, sf_dir)
+    model = models.train(rows.where("NOT test"), "corpus", "text", 1)
+    spaced = rows.where("test").select("corpus", F.inline(T.spacing_variants("text")))
+    grams = counts.gram_counts(spaced, ["corpus", "spacing"], "variant", 1)
+    bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "spacing", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("n_symbols"))
+    return bits.select("corpus", "spacing", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"))
+
+
+def event_streams(spark, sf_dir):
+    """Each user's events as a stream of numbers, scored by a model of order 2 of the other half of the users."""
+    kinds = ["click", "view", "purchase", "signup", "logout", "login", "search", "error"]
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")), F.lit(0))
+    ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", number.alias("n")))), lambda x: x["n"]).alias("stream"))
+    rows = ordered.select("user_id", T.numbers_as_text("stream").alias("text"), F.lit("events").alias("m"))
+    model = models.train(rows.where("user_id % 2 = 0"), "m", "text", 2, alphabet=256)
+    return models.codelengths(rows.where("user_id % 2 = 1"), "user_id", "text", model).select("user_id", "symbols", _r("bits", 3).alias("bits"))
+
+
 # --- order-dependent queries, held against brute force in the tests ----------------------------------------------------------------
 
 
@@ -293,7 +338,20 @@ _SPACING = "(SELECT run_id, experiment, spacing, max(struct_pack(a := run_at, b
 _JUDGED = "(SELECT length(text)::DOUBLE AS score, a = 1 AS relevant FROM documents JOIN (SELECT doc_id, max(abusive) AS a FROM labels GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL)"
 _RP = f"SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score <= t) AS retrieved, count(*) FILTER (WHERE score <= t AND relevant) AS hits, coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE relevant), 0), 0.0) AS recall, coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE score <= t), 0), 0.0) AS precision FROM {_JUDGED}, (SELECT unnest(generate_series(0, 5000, 100)) AS t) GROUP BY t"
 
+_CORPORA = "(SELECT line_id, 'native' AS corpus, malayalam_lines AS text FROM " + _LINES + " UNION ALL SELECT line_id, 'romanised', transliterated_lines FROM " + _LINES + ")"
+_CROSS = (
+    _TRACK.replace("SELECT lang AS model, doc_id, substr", "SELECT corpus AS model, line_id, substr")
+    .replace("(SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)", f"(SELECT corpus, line_id, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 <> 0)")
+    .replace("SELECT doc_id, i, substr", "SELECT corpus, i, substr")
+    .replace("(SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)", f"(SELECT corpus, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 = 0)")
+    .replace("SELECT e.doc_id, e.i - 1 AS pos", "SELECT e.corpus, e.i - 1 AS pos")
+    + f", z AS (SELECT corpus, sum(length(text)) AS n_symbols, sum(strlen(text)) AS n_bytes FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 = 0 GROUP BY 1)"
+    ", x2 AS (SELECT corpus, model, z.n_symbols::BIGINT AS n_symbols, round(sum(bits) / z.n_symbols, 4) AS bits_per_symbol, round(8 * z.n_bytes / sum(bits), 4) AS ratio FROM track JOIN z USING (corpus) GROUP BY corpus, model, z.n_symbols, z.n_bytes)"
+)
+
 SQL = {
+    "cross_compression": f"{_CROSS} SELECT * FROM x2",
+    "distinguishability": f"{_CROSS} SELECT corpus, max(bits_per_symbol) FILTER (WHERE corpus = model) AS own, max(bits_per_symbol) FILTER (WHERE corpus <> model) AS other, round(max(bits_per_symbol) FILTER (WHERE corpus <> model) - max(bits_per_symbol) FILTER (WHERE corpus = model), 4) AS gain, max(bits_per_symbol) FILTER (WHERE corpus = model) < max(bits_per_symbol) FILTER (WHERE corpus <> model) AS prefers_own FROM x2 GROUP BY 1",
     "context_model": f"WITH {_CTX1} SELECT sw.model, sw.k, sw.ctx, sym, n, weight, occurrences, types, mass, below FROM sw JOIN c ON sw.model = c.model AND sw.k = c.k AND sw.ctx = c.ctx",
     "order0_entropy": "WITH f AS (SELECT lang, sym, count(*) AS n FROM (SELECT lang, substr(text, i::INT, 1) AS sym FROM (SELECT lang, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)) GROUP BY 1, 2), t AS (SELECT lang, sum(n) AS total FROM f GROUP BY 1) SELECT lang, round(sum(-n / total * log2(n / total)), 4) AS entropy FROM f JOIN t USING (lang) GROUP BY 1",
     "codelength_o1": f"{_TRACK} SELECT doc_id, model, round(sum(bits), 3) AS bits, count(*) AS symbols FROM track GROUP BY 1, 2",
@@ -320,6 +378,6 @@ SQL = {
 }
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
-    probabilities, map_by_column, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines,
+    probabilities, map_by_column, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, spacing_study, event_streams,
     edit_distance_lines, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
 ]

@@ -96,3 +96,21 @@ def test_tokens_keys_and_codes(spark):
         return ones + (width < stop) + width
 
     assert [r.b for r in bits] == [code(r.id, 1, 2, 9) for r in bits]
+
+
+def test_number_streams(spark):
+    rows = spark.createDataFrame([(1, [0, 5, 983039]), (2, []), (3, None)], "k int, n array<int>")
+    got = {r.k: r for r in rows.select("k", F.length(T.numbers_as_text("n")).alias("l"), T.text_as_numbers(T.numbers_as_text("n")).alias("b"), T.labelled_numbers("n", 2).alias("m")).collect()}
+    assert (got[1].l, got[1].b, got[1].m[:2]) == (3, [0, 5, 983039], [512, 517]) and got[2].b == [] and got[3].b is None
+
+
+def test_start_step_stop_round_trip():
+    for start, step, stop in ((1, 2, 9), (0, 1, 5), (3, 3, 9)):
+        top = sum(1 << w for w in range(start, stop + 1, step))
+        bits = "".join(T.sss_encode(n, start, step, stop) for n in range(top))
+        at = 0
+        for n in range(top):
+            got, used = T.sss_decode(bits[at:], start, step, stop)
+            assert got == n
+            at += used
+        assert at == len(bits)
