@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import canonical, sampling
 
-#: Documents judged abusive, and harmless, in the training sample.
-SAMPLE = (2000, 4000)
+#: Documents judged abusive, and harmless, in the training sample, and harmless ones that a first fit mistakes for abusive ones.
+SAMPLE = (2500, 3000, 3000)
+#: Score from which a first fit mistakes a document.
+HARD = 0.25
 #: Score from which a document counts as abusive.
 LEAST = 0.5
 # --- fixed values: disguises, and letters by sound ------------------------------------------------------------------------
@@ -266,31 +268,37 @@ def train(rows: list[tuple[str, float]], terms: list[str]) -> tuple[dict[str, in
         a, b = counts[w]
         odds[index[w]] = math.log((b + 0.3) / (n1 + 1)) - math.log((a + 0.3) / (n0 + 1)) if a + b >= 3 else 0.0
     tokens = Tokens([t for t, _ in rows], Lexicon(index, listed))
-    field = None
     weight = np.clip(odds[tokens.sk], 0, 3) * (np.clip(odds[tokens.sk], 0, 3) > 1.0) + 1.5 * (tokens.flags & 1) * (odds[tokens.sk] > 0)
     usable = np.ones(len(rows), bool)
     p = np.zeros(len(tokens.sk))
+    half = np.arange(len(rows)) % 2
+    abusive = y[tokens.doc] == 1 if len(rows) else np.zeros(0, bool)
     for turn in range(4):
         evidence = weight if turn == 0 else p
         heads = np.cumsum(tokens.lengths) - tokens.lengths
-        by_sentence = np.add.reduceat(evidence, heads) if turn == 0 else np.maximum.reduceat(evidence, heads)
+        by_sentence = (np.add if turn == 0 else np.maximum).reduceat(evidence, heads) if len(heads) else np.zeros(0)
         best = np.full(len(rows), -1)
         order = np.argsort(by_sentence, kind="stable")
         best[tokens.doc_of_sentence[order]] = order  # the last, the greatest, stays
-        abusive = y[tokens.doc] == 1
         chosen = abusive & (best[tokens.doc] == tokens.of)
         cue = weight > 0 if turn == 0 else p >= np.minimum(0.5, 0.7 * by_sentence[tokens.of])
         # a stretch from the first to the last cue of the likeliest sentence, and of others that are likely by themselves
         cue &= chosen & (by_sentence[tokens.of] > (1.5 if turn == 0 else 0.2)) | abusive & (by_sentence[tokens.of] > (4.0 if turn == 0 else 0.5))
-        truth = _filled(cue, tokens)
+        truth = _filled(cue, tokens).astype(float)
         if turn:
             score = _documents(p, tokens, len(rows))
-            usable = ~((y == 0) & (score > 0.8)) & ~((y == 1) & (score < 0.2))
-        use = usable[tokens.doc]
-        part = _subset(tokens, use)
-        field = _gradient_fit(part, truth[use].astype(float), len(index) + 1, 30 if turn < 3 else 50)
-        p, _ = marginals(field.unary(tokens.sk, tokens.begin, tokens.flags, tokens.of), tokens.lengths, field.change)
-    return index, listed, field
+            usable = ~((y == 0) & (score > 0.95)) & ~((y == 1) & (score < (0.12 if turn == 3 else 0.04)))
+        if turn == 3:
+            break
+        # each half is judged by what the other half teaches, so that no document vouches for its own verdict
+        for side in (0, 1):
+            mine = half[tokens.doc] == side
+            learn = mine & usable[tokens.doc]
+            field = _gradient_fit(_subset(tokens, learn), truth[learn], len(index) + 1, 30)
+            rest = _subset(tokens, ~mine)
+            p[~mine], _ = marginals(field.unary(rest.sk, rest.begin, rest.flags, rest.of), rest.lengths, field.change)
+    use = usable[tokens.doc] if len(rows) else np.zeros(0, bool)
+    return index, listed, _gradient_fit(_subset(tokens, use), truth[use], len(index) + 1, 60)
 
 
 def _filled(cue: np.ndarray, tokens: Tokens) -> np.ndarray:
@@ -313,22 +321,8 @@ def _subset(tokens: Tokens, use: np.ndarray) -> Tokens:
 _SPACED = re.compile(r"\S+")
 
 
-def score_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, verdict_col: str, terms: DataFrame, term_col: str, sample: tuple[int, int] = SAMPLE) -> DataFrame:
-    """id, score (0 to 1), n_spans and spans (start_pos, end_pos, score): the offending stretches, for each document.
-
-    Null and blank texts score 0. Several verdicts on a document count by their mean, and train only where they agree. The field is
-    fitted on about ``sample`` documents judged abusive and harmless; without any it finds nothing. terms is a small fixed list.
-    """
-    rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    verdicts = labels.groupBy(F.col(label_id).alias("k")).agg(F.avg(verdict_col).alias("v")).where("v = 0 OR v = 1")
-    counts = {int(r[0]): r[1] for r in verdicts.groupBy("v").count().collect()}
-    share = F.when(F.col("v") == 1, min(1.0, sample[0] / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample[1] / max(1, counts.get(0, 0))))
-    # at most twice the sample: ids and verdicts that every task may hold
-    drawn = verdicts.where(sampling.chance("k") < share).limit(2 * sum(sample))
-    labelled = [(r.t, r.v) for r in rows.join(F.broadcast(drawn), "k").select("t", "v").collect()]
-    listed = [r[0] for r in terms.select(term_col).collect() if r[0]]
-    index, known, field = train(labelled, listed)
-    shared = rows.sparkSession.sparkContext.broadcast((index, known, field))
+def _scored(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """(k, score, n_spans, spans) of rows (k, t, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known, field = shared.value
@@ -343,20 +337,51 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame
                 tokens = Tokens(texts, lexicon)
                 p, _ = marginals(field.unary(tokens.sk, tokens.begin, tokens.flags, tokens.of), tokens.lengths, field.change)
                 score = _documents(p, tokens, len(texts))
-                starts = np.cumsum(tokens.sizes) - tokens.sizes
-                spans: list[list[dict]] = [[] for _ in texts]
-                for d in np.flatnonzero(score >= LEAST):
-                    mine = p[starts[d] : starts[d] + tokens.sizes[d]]
-                    of = tokens.of[starts[d] : starts[d] + tokens.sizes[d]]
-                    last = -2
-                    for i, m in enumerate(_SPACED.finditer(texts[d])):
-                        if mine[i] >= LEAST:
-                            if last == i - 1 and of[i] == of[i - 1]:
-                                spans[d][-1] |= {"end_pos": m.end(), "score": max(spans[d][-1]["score"], float(mine[i]))}
-                            else:
-                                spans[d].append({"start_pos": m.start(), "end_pos": m.end(), "score": float(mine[i])})
-                            last = i
+                spans = _spans(texts, tokens, p, score)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array([len(s) for s in spans], pa.int32()), pa.array(spans, kind)], ["k", "score", "n_spans", "spans"])
 
-    out = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, score double, n_spans int, spans array<struct<start_pos:int,end_pos:int,score:double>>")
-    return out.withColumnRenamed("k", id_col)
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.select("k", "t").mapInArrow(run, f"k {kind}, score double, n_spans int, spans array<struct<start_pos:int,end_pos:int,score:double>>")
+
+
+def _spans(texts: list[str], tokens: Tokens, p: np.ndarray, score: np.ndarray) -> list[list[dict]]:
+    """Runs of offending tokens of the documents that reach the least score, as places in the text."""
+    starts = np.cumsum(tokens.sizes) - tokens.sizes
+    spans: list[list[dict]] = [[] for _ in texts]
+    for d in np.flatnonzero(score >= LEAST):
+        mine, of = (x[starts[d] : starts[d] + tokens.sizes[d]] for x in (p, tokens.of))
+        last = -2
+        for i, m in enumerate(_SPACED.finditer(texts[d])):
+            if mine[i] >= LEAST:
+                if last == i - 1 and of[i] == of[i - 1]:
+                    spans[d][-1] |= {"end_pos": m.end(), "score": max(spans[d][-1]["score"], float(mine[i]))}
+                else:
+                    spans[d].append({"start_pos": m.start(), "end_pos": m.end(), "score": float(mine[i])})
+                last = i
+    return spans
+
+
+def score_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, verdict_col: str, terms: DataFrame, term_col: str, sample: tuple[int, int, int] = SAMPLE) -> DataFrame:
+    """id, score (0 to 1), n_spans and spans (start_pos, end_pos, score): the offending stretches, for each document.
+
+    Null and blank texts score 0. Several verdicts on a document count by their mean, and train only where they agree. The field is
+    fitted on about ``sample`` documents judged abusive and harmless, and again with harmless ones that the first fit mistakes; without
+    any it finds nothing. terms is a small fixed list.
+    """
+    rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    verdicts = labels.groupBy(F.col(label_id).alias("k")).agg(F.avg(verdict_col).alias("v")).where("v = 0 OR v = 1")
+    counts = {int(r[0]): r[1] for r in verdicts.groupBy("v").count().collect()}
+    share = F.when(F.col("v") == 1, min(1.0, sample[0] / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample[1] / max(1, counts.get(0, 0))))
+    # at most twice the sample: ids and verdicts that every task may hold
+    drawn = verdicts.where(sampling.chance("k") < share).limit(2 * sum(sample[:2]))
+    labelled = [(r.t, r.v) for r in rows.join(F.broadcast(drawn), "k").select("t", "v").collect()]
+    listed = [r[0] for r in terms.select(term_col).collect() if r[0]]
+    context = rows.sparkSession.sparkContext
+    model = train(labelled, listed)
+    if counts.get(0, 0) > sample[1]:
+        first = context.broadcast(model)
+        others = verdicts.where((F.col("v") == 0) & (sampling.chance("k") >= share)).select("k")
+        hard = _scored(rows.join(others, "k", "left_semi"), first).where(F.col("score") > HARD).select("k").limit(sample[2])
+        labelled += [(r.t, 0.0) for r in rows.join(F.broadcast(hard), "k", "left_semi").select("t").collect()]
+        model = train(labelled, listed)
+    return _scored(rows, context.broadcast(model)).withColumnRenamed("k", id_col)
