@@ -16,11 +16,7 @@ ORDER = 2
 
 
 def _trained(spark: SparkSession, sf_dir: str, order: int = ORDER) -> models.Model:
-    return models.train(docs(spark, sf_dir).where("doc_id % 2 = 1"), "lang", "text", order)
-
-
-def _even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where("doc_id % 2 = 0")
+    return models.train(docs(spark, sf_dir), "lang", "text", order)
 
 
 def _r(c, digits: int = 4):  # noqa: ANN001, ANN202
@@ -45,21 +41,21 @@ def order0_entropy(spark, sf_dir):
 
 
 def codelength_o1(spark, sf_dir):
-    return models.codelengths(_even(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1)).withColumn("bits", _r("bits", 3))
+    return models.codelengths(docs(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1)).withColumn("bits", _r("bits", 3))
 
 
 def codelength_o1_no_exclusions(spark, sf_dir):
-    return models.codelengths(_even(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1), exclusions=False).withColumn("bits", _r("bits", 3))
+    return models.codelengths(docs(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1), exclusions=False).withColumn("bits", _r("bits", 3))
 
 
 def _scored(spark, sf_dir, order=ORDER):  # noqa: ANN001, ANN202
-    return models.codelengths(_even(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, order))
+    return models.codelengths(docs(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, order))
 
 
 def lang_identify(spark, sf_dir):
-    """The flagship: for each document of the even half the cheapest and the next cheapest model of the languages of the odd half."""
+    """The flagship: for each document the cheapest and the next cheapest model of the languages of the documents."""
     best = models.best_models(_scored(spark, sf_dir), "doc_id")
-    return best.join(_even(spark, sf_dir).select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "best", _r("best_bits", 3).alias("best_bits"), "second", _r("second_bits", 3).alias("second_bits"))
+    return best.join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "best", _r("best_bits", 3).alias("best_bits"), "second", _r("second_bits", 3).alias("second_bits"))
 
 
 def lang_identify_o1(spark, sf_dir):
@@ -75,7 +71,7 @@ def confusion_lang(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir):  # noqa: ANN001, ANN202
-    return models.track(_even(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1))
+    return models.track(docs(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1))
 
 
 def symbol_winner_share(spark, sf_dir):
@@ -108,7 +104,7 @@ def probabilities(spark, sf_dir):
 def map_by_column(spark, sf_dir):
     """Average precision of each language's column of the score matrix of documents and models."""
     scored = _scored(spark, sf_dir, 1)
-    gold = _even(spark, sf_dir).where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label"))
+    gold = docs(spark, sf_dir).where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label"))
     matrix = scored.join(gold, "doc_id").select(F.col("doc_id").alias("row"), F.col("model").alias("column"), _r(F.col("bits") / F.col("symbols"), 6).alias("value"), "label")
     return evaluate.mean_average_precision(matrix).withColumn("average_precision", _r("average_precision", 6))
 
@@ -203,18 +199,17 @@ def segmentation_scores(spark, sf_dir):
 
 
 def _corpora(spark, sf_dir):  # noqa: ANN001, ANN202
-    """Lines of the native and the romanised corpus, a fifth of them for testing."""
+    """Lines of the native and the romanised corpus."""
     rows = lines(spark, sf_dir).select("line_id", F.inline(F.array(F.struct(F.lit("native").alias("corpus"), F.col("malayalam_lines").alias("text")), F.struct(F.lit("romanised").alias("corpus"), F.col("transliterated_lines").alias("text")))))
-    return rows.where("text IS NOT NULL").withColumn("test", F.col("line_id") % 5 == 0)
+    return rows.where("text IS NOT NULL")
 
 
 def cross_compression(spark, sf_dir):
-    """The pipeline: models of both corpora, each on the test lines of both; bits a symbol and the ratio to plain UTF-8."""
+    """The pipeline: models of both corpora, each on the lines of both; bits a symbol and the ratio to plain UTF-8."""
     rows = _corpora(spark, sf_dir)
-    model = models.train(rows.where("NOT test"), "corpus", "text", 1)
-    test = rows.where("test")
-    sizes = test.groupBy("corpus").agg(F.sum(F.length("text")).alias("n_symbols"), F.sum(F.octet_length("text")).alias("n_bytes"))
-    grams = counts.gram_counts(test, ["corpus"], "text", 1)
+    model = models.train(rows, "corpus", "text", 1)
+    sizes = rows.groupBy("corpus").agg(F.sum(F.length("text")).alias("n_symbols"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    grams = counts.gram_counts(rows, ["corpus"], "text", 1)
     bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
     return bits.join(sizes, "corpus").select("corpus", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), _r(8 * F.col("n_bytes") / F.col("bits")).alias("ratio"))
 
@@ -228,23 +223,23 @@ def distinguishability(spark, sf_dir):
 
 
 def spacing_study(spark, sf_dir):
-    """The study: the four spacings of the test lines under both models, in bits a symbol."""
+    """The study: the four spacings of the lines under both models, in bits a symbol."""
     rows = _corpora(spark, sf_dir)
-    model = models.train(rows.where("NOT test"), "corpus", "text", 1)
-    spaced = rows.where("test").select("corpus", F.inline(T.spacing_variants("text")))
+    model = models.train(rows, "corpus", "text", 1)
+    spaced = rows.select("corpus", F.inline(T.spacing_variants("text")))
     grams = counts.gram_counts(spaced, ["corpus", "spacing"], "variant", 1)
     bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "spacing", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("n_symbols"))
     return bits.select("corpus", "spacing", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"))
 
 
 def event_streams(spark, sf_dir):
-    """Each user's events as a stream of numbers, scored by a model of order 2 of the other half of the users."""
+    """Each user's events as a stream of numbers, scored by a model of order 2 of all users."""
     kinds = ["click", "view", "purchase", "signup", "logout", "login", "search", "error"]
     number = F.coalesce(F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")), F.lit(0))
     ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", number.alias("n")))), lambda x: x["n"]).alias("stream"))
     rows = ordered.select("user_id", T.numbers_as_text("stream").alias("text"), F.lit("events").alias("m"))
-    model = models.train(rows.where("user_id % 2 = 0"), "m", "text", 2, alphabet=256)
-    return models.codelengths(rows.where("user_id % 2 = 1"), "user_id", "text", model).select("user_id", "symbols", _r("bits", 3).alias("bits"))
+    model = models.train(rows, "m", "text", 2, alphabet=256)
+    return models.codelengths(rows, "user_id", "text", model).select("user_id", "symbols", _r("bits", 3).alias("bits"))
 
 
 # --- order-dependent queries, held against brute force in the tests ----------------------------------------------------------------
@@ -257,8 +252,8 @@ def adaptive_bits(spark, sf_dir):
 
 
 def codec_round_trip(spark, sf_dir):
-    """Lines in compressed form: bytes before and after, and whether the decoder gives them back."""
-    rows = spread(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("t")))
+    """Names in compressed form: bytes before and after, and whether the decoder gives them back."""
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t")))
     coded = adaptive.code_texts(rows, "k", "t")
     back = adaptive.decode_texts(coded, "k", "coded").withColumnRenamed("text", "back")
     return rows.join(coded, "k").join(back, "k").select("k", F.octet_length("t").alias("n_bytes"), F.octet_length("coded").alias("coded_bytes"), (F.col("t") == F.col("back")).alias("same"))
@@ -296,9 +291,9 @@ def correct_lines(spark, sf_dir):
 
 
 def mark_languages(spark, sf_dir):
-    """Stretches of the mixed lines by the cheapest models."""
+    """Stretches of the lines by the cheapest models."""
     trained = models.train(docs(spark, sf_dir).where("lang IN ('en', 'ml', 'hi', 'ta')"), "lang", "text", 2)
-    rows = spread(lines(spark, sf_dir).where("malayalam_lang LIKE '%+%'").select("line_id", "malayalam_lines"))
+    rows = spread(lines(spark, sf_dir).select("line_id", "malayalam_lines"))
     return search.mark_texts(rows, "line_id", "malayalam_lines", search.static_models(trained))
 
 
@@ -306,7 +301,7 @@ def held_out_identify(spark, sf_dir):
     return adaptive.held_out(docs(spark, sf_dir).where("lang IS NOT NULL"), "doc_id", "lang", "text", 1).withColumn("bits", _r("bits", 3))
 
 
-_CTX1 = """g AS (SELECT lang AS model, doc_id, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)),
+_CTX1 = """g AS (SELECT lang AS model, doc_id, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)),
 gc AS (SELECT model, gram, count(*) AS n FROM g GROUP BY 1, 2),
 s AS (SELECT model, 0 AS k, '' AS ctx, right(gram, 1) AS sym, sum(n)::BIGINT AS n FROM gc GROUP BY 1, 4 UNION ALL SELECT model, 1, left(gram, 1), right(gram, 1), sum(n)::BIGINT FROM gc WHERE length(gram) = 2 GROUP BY 1, 3, 4),
 sw AS (SELECT *, 2 * n - 1 AS weight FROM s),
@@ -320,7 +315,7 @@ def _bits_sql(exclusions: bool) -> str:
     rest = f"log2((65536 - {'c0.types' if exclusions else '0'} + 1)::DOUBLE)"
     order0 = f"CASE WHEN s0.weight IS NOT NULL THEN -log2(s0.weight::DOUBLE / ({left0} + c0.types)) ELSE CASE WHEN {left0} > 0 THEN -log2(c0.types::DOUBLE / ({left0} + c0.types)) ELSE 0 END + {rest} END"
     return f"""{_CTX1},
-e AS (SELECT doc_id, i, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)),
+e AS (SELECT doc_id, i, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL)),
 d AS (SELECT DISTINCT gram FROM e),
 x AS (SELECT d.gram, c0.model, s1.weight AS w1, c1.occurrences >= 2 AS u, c1.types AS t1, c1.mass AS m1, s0.weight AS w0, c0.types AS t0,
  coalesce(c1.occurrences >= 2, false) AS u1, {order0} AS zero FROM d JOIN c c0 ON c0.k = 0
@@ -341,11 +336,11 @@ _RP = f"SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score <= t) AS ret
 _CORPORA = "(SELECT line_id, 'native' AS corpus, malayalam_lines AS text FROM " + _LINES + " UNION ALL SELECT line_id, 'romanised', transliterated_lines FROM " + _LINES + ")"
 _CROSS = (
     _TRACK.replace("SELECT lang AS model, doc_id, substr", "SELECT corpus AS model, line_id, substr")
-    .replace("(SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)", f"(SELECT corpus, line_id, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 <> 0)")
+    .replace("(SELECT lang, doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)", f"(SELECT corpus, line_id, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL)")
     .replace("SELECT doc_id, i, substr", "SELECT corpus, i, substr")
-    .replace("(SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)", f"(SELECT corpus, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 = 0)")
+    .replace("(SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL)", f"(SELECT corpus, text, unnest(generate_series(1, length(text))) AS i FROM {_CORPORA} WHERE text IS NOT NULL)")
     .replace("SELECT e.doc_id, e.i - 1 AS pos", "SELECT e.corpus, e.i - 1 AS pos")
-    + f", z AS (SELECT corpus, sum(length(text)) AS n_symbols, sum(strlen(text)) AS n_bytes FROM {_CORPORA} WHERE text IS NOT NULL AND line_id % 5 = 0 GROUP BY 1)"
+    + f", z AS (SELECT corpus, sum(length(text)) AS n_symbols, sum(strlen(text)) AS n_bytes FROM {_CORPORA} WHERE text IS NOT NULL GROUP BY 1)"
     ", x2 AS (SELECT corpus, model, z.n_symbols::BIGINT AS n_symbols, round(sum(bits) / z.n_symbols, 4) AS bits_per_symbol, round(8 * z.n_bytes / sum(bits), 4) AS ratio FROM track JOIN z USING (corpus) GROUP BY corpus, model, z.n_symbols, z.n_bytes)"
 )
 
