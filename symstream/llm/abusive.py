@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,7 +272,7 @@ def train(rows: list[tuple[str, float]], terms: list[str]) -> tuple[dict[str, in
     weight = np.clip(odds[tokens.sk], 0, 3) * (np.clip(odds[tokens.sk], 0, 3) > 1.0) + 1.5 * (tokens.flags & 1) * (odds[tokens.sk] > 0)
     usable = np.ones(len(rows), bool)
     p = np.zeros(len(tokens.sk))
-    half = np.arange(len(rows)) % 2
+    half = np.array([xxhash.xxh3_64_intdigest(t) & 1 for t, _ in rows], np.int64)  # copies stay together
     abusive = y[tokens.doc] == 1 if len(rows) else np.zeros(0, bool)
     for turn in range(4):
         evidence = weight if turn == 0 else p
