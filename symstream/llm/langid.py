@@ -37,6 +37,8 @@ PAIRS = tuple((langs[0], langs[1]) for langs in FAMILIES.values() if len(langs)
 SAMPLE = 700
 #: What a change of language from clause to clause costs, in units of the scores.
 SWITCH = 3.0
+#: Words of a group whose scores are compared with those of the whole clause.
+GROUP = 5
 _ALIKE = str.maketrans("".join(a for a, _ in canonical.LOOK_ALIKE), "".join(b for _, b in canonical.LOOK_ALIKE))
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _NATIVE = {name: re.compile(f"[{chars}]") for name, chars in SCRIPT_OF.items()}
@@ -175,7 +177,7 @@ class Identifier:
         self.places = [LATIN.index(x) for x in latin]
         self._plain: dict[str, str] = {}
 
-    def _clauses(self, text: str) -> list[tuple[int, int, str | None, int, list[str]]]:
+    def _clauses(self, text: str) -> list[tuple[int, int, str | None, int, list[tuple[int, int, str]]]]:
         """(start, end, language if the script tells it, number of words, Latin words) of each clause of one script."""
         out: list[list] = []
         open_ = False
@@ -198,7 +200,7 @@ class Identifier:
                         out.append([m.start(), m.end(), None, 0, []])
                     if word:
                         out[-1][3] += 1
-                        out[-1][4].append(word)
+                        out[-1][4].append((m.start(), m.end(), word))
                     open_ = True
                 if raw[-1] in ".!?,;:\u2026":
                     open_ = False
@@ -214,9 +216,31 @@ class Identifier:
                 open_ = True
         return [tuple(x) for x in out]
 
+    def _units(self, clause: tuple) -> list[tuple[int, int, str | None, int, list[float]]]:
+        """The clause with its summed scores; in parts, if languages change within it (where punctuation was lost)."""
+        start, end, lang, n, words = clause
+        if lang is not None or len(self.latin) == 1:
+            return [(start, end, lang, n, [])]
+        scored = [self.model.scores(w) for _, _, w in words]
+        groups = [[sum(x) for x in zip(*scored[i : i + GROUP], strict=True)] for i in range(0, len(scored), GROUP)]
+        total = [sum(x) for x in zip(*groups, strict=True)] if groups else [0.0] * len(LATIN)
+        total = [total[p] for p in self.places]
+        if len(groups) > 1:
+            best = self.places[total.index(max(total))]
+            if any(max(g) - g[best] > SWITCH / 2 for g in groups):
+                path = self._viterbi([[t[p] for p in self.places] for t in scored])
+                cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+                if len(cuts) > 2:
+                    out = []
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        sums = [sum(x) for x in zip(*scored[a:b], strict=True)]
+                        out.append((words[a][0], words[b - 1][1], None, b - a, [sums[p] for p in self.places]))
+                    return out
+        return [(start, end, lang, n, total)]
+
     def stretches(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, words) of each stretch in one language."""
-        clauses = self._clauses(text)
+        clauses = [u for c in self._clauses(text) for u in self._units(c)]
         if not clauses:
             return []
         langs: list[str | None] = [c[2] for c in clauses]
@@ -226,11 +250,7 @@ class Identifier:
             for i in asked:
                 langs[i] = self.latin[0]
         elif asked:
-            sums = []
-            for i in asked:
-                scored = [self.model.scores(w) for w in clauses[i][4]]
-                total = [sum(x) for x in zip(*scored, strict=True)] if scored else [0.0] * len(LATIN)
-                sums.append([total[p] for p in self.places])
+            sums = [clauses[i][4] for i in asked]
             firsts = {s.index(max(s)) for s in sums}
             chosen = [s.index(max(s)) for s in sums] if len(firsts) == 1 else self._viterbi(sums)
             for i, s, x in zip(asked, sums, chosen, strict=True):
@@ -261,9 +281,14 @@ class Identifier:
             out.append(at)
         return out[::-1]
 
-    def label(self, text: str) -> tuple[str, float, list[tuple[int, int, str, float, int]]]:
-        """The text's label (languages with at least a sixth of the words, joined by +), its confidence, its stretches."""
+    def label(self, text: str, damaged: bool = False) -> tuple[str, float, list[tuple[int, int, str, float, int]]]:
+        """The text's label (languages with at least a sixth of the words, joined by +), its confidence, its stretches.
+
+        What is left of a misreading in two-byte signs is no Chinese: in a damaged text of another language it doesn't count.
+        """
         found = self.stretches(text)
+        if damaged and any(x != "zh" and n for _, _, x, _, n in found):
+            found = [x for x in found if x[2] != "zh"]
         words: dict[str, int] = {}
         sure: dict[str, float] = {}
         for _, _, lang, confidence, n in found:
@@ -310,7 +335,8 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[
                 of, labels, sure, spans = [], [], [], []
                 for j, text in enumerate(texts.to_pylist()):
                     if not skip[j]:
-                        label, confidence, found = by[i].label(mojibake.undo(text)[0] if suspect[j] else text)
+                        whole, damaged, _ = mojibake.undo(text) if suspect[j] else (text, False, None)
+                        label, confidence, found = by[i].label(whole, damaged)
                         if stretches:
                             spans += found
                             of += [j] * len(found)
