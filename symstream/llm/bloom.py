@@ -104,7 +104,7 @@ def load(blocks: DataFrame, size: int = FILTER_BITS) -> Broadcast:
 
     bits = np.zeros((1 << size) // 8, np.uint8)
     width = (1 << min(BLOCK_BITS, size)) // 8
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # blocks of one filter, whatever the input
         bits[row.block * width : (row.block + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.packed)), np.uint8)
     return blocks.sparkSession.sparkContext.broadcast(bits.tobytes())
 

@@ -165,6 +165,6 @@ def load(blocks: DataFrame) -> Broadcast:
     import zstandard
 
     flat = np.zeros(TOTAL, np.float32)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # blocks of the tables, whatever the input
         flat[row.part * BLOCK : (row.part + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.packed)), np.int64)
     return blocks.sparkSession.sparkContext.broadcast(flat)
