@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,18 @@ def align_lengths(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, in
     return out[::-1]
 
 
+def align_columns(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
+    """(id, start_a, n_a, start_b, n_b, cost): the moves that align two array columns of sentence lengths; null arrays give none."""
+    kind = "array<struct<start_a:int,n_a:int,start_b:int,n_b:int,cost:int>>"
+    names = ("start_a", "n_a", "start_b", "n_b", "cost")
+
+    def moves(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[] if p is None or q is None else [dict(zip(names, m, strict=True)) for m in align_lengths(list(map(int, p)), list(map(int, q)))] for p, q in zip(x, y, strict=True)])
+
+    found = F.pandas_udf(moves, kind)
+    return df.select(id_col, F.explode(found(F.col(a), F.col(b))).alias("m")).select(id_col, "m.*")
+
+
 def parallel_ratio(a: str, b: str) -> Column:
     """The larger of two codelengths over the smaller one; null if either isn't positive."""
     x, y = F.col(a), F.col(b)

@@ -191,6 +191,13 @@ def edit_distance_lines(spark, sf_dir):
     return rows.select("line_id", align.edit_distance_column(F.col("a"), F.col("b")).alias("distance"), F.levenshtein("a", "b").alias("unit_distance"))
 
 
+def aligned_sentences(spark, sf_dir):
+    """Sentences of both fields of each line, aligned by their lengths: how often each kind of move is made."""
+    lengths = lambda c: F.transform(F.filter(F.split(c, r"(?<=[.!?\u0964])\s+|\n+"), lambda x: F.length(x) > 0), lambda x: F.length(x))
+    rows = spread(lines(spark, sf_dir).select("line_id", lengths("malayalam_lines").alias("a"), lengths("transliterated_lines").alias("b")))
+    return align.align_columns(rows, "line_id", "a", "b").groupBy("n_a", "n_b").agg(F.count(F.lit(1)).alias("moves"), F.sum("cost").alias("cost"))
+
+
 def segmentation_scores(spark, sf_dir):
     """Boundaries of lines with their spaces moved to every fifth sign, against the lines as they are."""
     rows = lines(spark, sf_dir).where("transliterated_lines IS NOT NULL").select(F.regexp_replace("transliterated_lines", r"\s+", " ").alias("gold"))
@@ -374,5 +381,5 @@ SQL = {
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
     probabilities, map_by_column, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, spacing_study, event_streams,
-    edit_distance_lines, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
+    edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
 ]

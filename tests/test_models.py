@@ -169,6 +169,14 @@ def test_alignment():
     assert align.align_lengths([], []) == [] and align.align_lengths([5], [])[0][:4] == (0, 1, 0, 0)
 
 
+def test_alignment_columns(spark):
+    rows = spark.createDataFrame([(1, [20, 30, 25], [21, 55]), (2, [], []), (3, None, [1])], "k int, a array<int>, b array<int>")
+    got = sorted(map(tuple, align.align_columns(rows, "k", "a", "b").collect()))
+    assert got == [(1, *m) for m in align.align_lengths([20, 30, 25], [21, 55])]
+    pair = spark.createDataFrame([("kitten", "sitting"), (None, "a")], "a string, b string")
+    assert [r.d for r in pair.select(align.edit_distance_column(F.col("a"), F.col("b")).alias("d")).collect()] == [5, None]
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("ab c d", "a bc d"), ("", ""), ("xy", "xy")], "f string, g string")
     got = evaluate.segmentation(rows, "f", "g").first()
