@@ -1,8 +1,8 @@
 """Word and letter frequencies of a corpus, as count sketches of fixed size.
 
 Every partition counts its words and adds the counts to hashed tables of ``2 ** SIZE`` counters, one of words and one of runs of
-two and three letters, and to a plain one of letters. Blocks of the tables are summed over the partitions. All rows count, and what is broadcast (8 MB as logarithms)
-doesn't grow with the corpus; crowded tables only make rare words look a little more frequent.
+two and three letters, to one of ``2 ** PREFIXES`` counters of the beginnings of words, and to a plain one of letters. Blocks of the tables are summed over
+the partitions. All rows count, and what is broadcast (16 MB) doesn't grow with the corpus; crowded tables only make rare words look a little more frequent.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SIZE = 20
+PREFIXES = 21
 BLOCK = 1 << 15
 _SPLIT = str.maketrans(dict.fromkeys(".,!?;:()[]\"'“”‘’«»…।。！？，、-–—/", " "))
 _A, _B, _C, _M = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, (1 << 32) - 1
@@ -45,8 +46,21 @@ def _slots(a: np.ndarray, b: np.ndarray, c: np.ndarray, probe: int) -> np.ndarra
     return (((x ^ x >> np.uint64(13)) * np.uint64(_B) & np.uint64(_M)) >> np.uint64(32 - SIZE)).astype(np.int64)
 
 
-#: Counters of words, of runs of letters, and of each letter of the basic plane.
-TOTAL = (2 << SIZE) + (1 << 16)
+def spelled(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What letters at their places add to the hash of a beginning of a word."""
+    x = (codes.astype(np.uint64) + np.asarray(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _prefix_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ x >> np.uint64(32)
+    return (x & np.uint64((1 << PREFIXES) - 1)).astype(np.int64), (x >> np.uint64(64 - PREFIXES)).astype(np.int64)
+
+
+#: Counters of words, of runs of letters, of each letter of the basic plane, and of beginnings of words.
+TOTAL = (2 << SIZE) + (1 << 16) + (1 << PREFIXES)
 
 
 def tables_of(counted: Counter) -> np.ndarray:
@@ -66,7 +80,12 @@ def tables_of(counted: Counter) -> np.ndarray:
             out[:wide] += np.bincount(slots[:, k], weights, wide).astype(np.int64)
             out[wide : 2 * wide] += np.bincount(_slots(codes[at - 2], codes[at - 1], codes[at], k), of[at], wide).astype(np.int64)
             out[wide : 2 * wide] += np.bincount(_slots(codes[at - 2], codes[at - 1], none, k), of[at], wide).astype(np.int64)
-        out[2 * wide :] += np.bincount(np.minimum(codes[at], np.uint64(0xFFFF)).astype(np.int64), of[at], 1 << 16).astype(np.int64)
+        out[2 * wide : 2 * wide + (1 << 16)] += np.bincount(np.minimum(codes[at], np.uint64(0xFFFF)).astype(np.int64), of[at], 1 << 16).astype(np.int64)
+        inner = (inside >= 2) & (inside < np.repeat(sizes, sizes) - 1)
+        summed = np.cumsum(np.where(inner, spelled(codes, np.maximum(inside - 2, 0)), np.uint64(0)), dtype=np.uint64)
+        begun = (summed - np.repeat(summed[np.cumsum(sizes) - sizes], sizes))[inner]
+        for slot in _prefix_slots(begun):
+            out[2 * wide + (1 << 16) :] += np.bincount(slot, of[inner], 1 << PREFIXES).astype(np.int64)
     return out
 
 
@@ -75,7 +94,7 @@ class Frequencies:
 
     def __init__(self, tables: np.ndarray) -> None:
         wide = 1 << SIZE
-        self.words, self.runs, self.letters = tables[:wide], tables[wide : 2 * wide], tables[2 * wide :]
+        self.words, self.runs, self.letters, self.prefixes = np.split(tables, (wide, 2 * wide, 2 * wide + (1 << 16)))
         self.total = float(self.letters.sum()) + 1.0
         self._cost: dict[tuple[str, str, str], float] = {}
 
@@ -108,6 +127,19 @@ class Frequencies:
             out = self._cost[key] = math.log((self._run(x, y, z) + 3 * self.share(c) + 1e-9) / (self._run(x, y, 0) + 3.0))
         return out
 
+    def letters_after(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The same for arrays of code points, which are broadcast; at most 0, though crowded tables may give more."""
+        a, b, c = (np.asarray(x, np.uint64) for x in (a, b, c))
+        none = np.zeros(1, np.uint64)
+        run, all_ = (np.minimum(self.runs[_slots(a, b, x, 0)], self.runs[_slots(a, b, x, 1)]).astype(np.float64) for x in (c, none))
+        share = self.letters[np.minimum(c, np.uint64(0xFFFF)).astype(np.int64)] / self.total
+        return np.minimum(np.log((run + 3 * share + 1e-9) / (all_ + 3.0)), 0.0)
+
+    def beginning(self, hashes: np.ndarray) -> np.ndarray:
+        """How often words begin so, by sums of ``spelled``; never less than the truth."""
+        first, second = _prefix_slots(hashes)
+        return np.minimum(self.prefixes[first], self.prefixes[second]).astype(np.float64)
+
     def word(self, text: str) -> float:
         """Log likelihood of a word by its letters, raised by how often the corpus has it."""
         a, b, out = "\x02", "\x02", 0.0

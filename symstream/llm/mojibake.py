@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .frequencies import spelled
+
 LOST = "\ufffd"
 # --- fixed values: encodings that UTF-8 bytes get read in, likelier ones first -----------------------------------------
 SINGLE_BYTE = (
@@ -31,7 +33,10 @@ BEGINNINGS = (b"\xe0\xb4", b"\xe0\xb5", b"\xe0\xa4", b"\xe0\xa5", b"\xe0\xae", b
 # ----------------------------------------------------------------------------------------------------------------------
 #: What a byte that vanished without a mark costs, in nats; what a word costs that the corpora lack.
 DROPPED, UNKNOWN = 6.0, -16.0
-BEAM, BRANCH, TWINS, MARGIN = 6, 5, 2, 9.0
+#: Of the quick search, whose find is the bound that the whole search prunes by; rounding that the bound allows, states expanded at once, and
+#: states a place of the search for a better bound.
+BEAM, BRANCH, TWINS = 6, 5, 2
+SLACK, CHUNK, WIDTH = 1e-3, 2048, 64
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\xe0-\xef][\x80-\xbf]|[\x80-\xff]")
 
 
@@ -290,6 +295,14 @@ class Decoder:
         self._best: dict[tuple, tuple[tuple[str, float], ...]] = {}
         self._tokens: dict[tuple, str] = {}
         self._letters: dict[tuple[int, ...], list[str]] = {}
+        self._columns: dict[tuple[int, ...], np.ndarray] = {}
+        self._most_of: dict[tuple[str, str | None, str | None], np.ndarray] = {}
+        self._known = np.array(sorted(ord(c) for c, _ in _alphabet() if frequencies is not None and frequencies.share(c) > 1e-7), np.int64)
+        self._row_of: dict[int, int] = {}
+        self._rows = np.empty((0, len(self._known)), np.float32)
+
+    def _letter(self, a: str, b: str, c: str) -> float:
+        return min(0.0, self.frequencies.letter(a, b, c))
 
     def _fitting(self, pattern: tuple[int, ...]) -> list[str]:
         """Letters that the corpora have, whose bytes fit a pattern, in which -1 is any byte."""
@@ -303,8 +316,8 @@ class Decoder:
         if key not in self._best:
             if len(self._best) > 200_000:
                 self._best.clear()
-            scored = sorted(((self.frequencies.letter(a, b, c), c) for c in self._fitting(pattern)), reverse=True)[:BRANCH]
-            self._best[key] = tuple((c, x) for x, c in scored if x > scored[0][0] - MARGIN)
+            scored = sorted(((self._letter(a, b, c), c) for c in self._fitting(pattern)), reverse=True)[:BRANCH]
+            self._best[key] = tuple((c, x) for x, c in scored)
         return self._best[key]
 
     def _edges(self, atoms: list, at: int, sizes: tuple[int, ...]) -> list[tuple[int, tuple[int, ...], float]]:
@@ -333,12 +346,8 @@ class Decoder:
                     out.append((2, (first, -1, tail[0]), DROPPED))
         return out
 
-    def token(self, atoms: list, sizes: tuple[int, ...] = (3, 2)) -> str:
-        """The likeliest word of characters, bytes and lost bytes (-1); LOST where no letter is known to fit."""
-        key = (tuple(atoms), sizes)
-        if key in self._tokens:
-            return self._tokens[key]
-        letter = self.frequencies.letter
+    def _quick(self, atoms: list, sizes: tuple[int, ...]) -> tuple[float, str]:
+        """Score and text of a good word, perhaps not the best."""
         ends: list[list[tuple[float, str, str, str]]] = [[] for _ in range(len(atoms) + 1)]
         ends[0] = [(0.0, "\x02", "\x02", "")]
         for at, atom in enumerate(atoms):
@@ -346,10 +355,8 @@ class Decoder:
             if len(states) > 1:
                 kept: dict[tuple[str, str], int] = {}
                 states.sort(reverse=True)
-                ranked, states, floor = states, [], states[0][0] - MARGIN
+                ranked, states = states, []
                 for state in ranked:
-                    if state[0] < floor:
-                        break
                     context = state[1:3]
                     if kept.get(context, 0) < TWINS:  # a few for each context, since the word counts at its end
                         kept[context] = kept.get(context, 0) + 1
@@ -358,20 +365,188 @@ class Decoder:
                             break
             ends[at] = []
             if isinstance(atom, str):
-                ends[at + 1] += [(score + letter(a, b, atom), b, atom, text + atom) for score, a, b, text in states]
+                ends[at + 1] += [(score + self._letter(a, b, atom), b, atom, text + atom) for score, a, b, text in states]
                 continue
             edges = self._edges(atoms, at, sizes)
             for score, a, b, text in states:
                 for taken, pattern, cost in edges:
                     ends[at + taken] += [(score + x - cost, b, c, text + c) for c, x in self._branches(a, b, pattern)]
                 ends[at + 1].append((score + UNKNOWN, b, LOST, text + LOST))
-        last = ((s + letter(a, b, "\x03") + 1.5 * math.log1p(self.frequencies.count(t)), t) for s, a, b, t in ends[-1])
-        out = max(last)[1]
-        if len(self._tokens) > 100_000:
-            self._tokens.clear()
-        self._tokens[key] = out
+        return max((s + self._letter(a, b, "\x03") + 1.5 * math.log1p(self._count(t)), t) for s, a, b, t in ends[-1])
+
+    def _count(self, word: str) -> float:
+        """How often the corpora have a word, by the tables of words and of their beginnings."""
+        codes = np.array([ord(c) for c in word], np.uint64)
+        begun = self.frequencies.beginning(np.cumsum(spelled(codes, np.arange(len(codes))), dtype=np.uint64))
+        return min(self.frequencies.count(word), float(begun.min(initial=np.inf)))
+
+    def _most(self, a: str, b: str | None, c: str | None) -> np.ndarray:
+        """The most that letters can cost in their context: b by c, or one of them, where None is any letter that a lost byte may be.
+
+        a: the letter before, or "" for the best of those that a lost byte may be.
+        """
+        key = (a, b, c)
+        out = self._most_of.get(key)
+        if out is None:
+            lost, after = np.append(self._known, ord(LOST)), self.frequencies.letters_after
+            x = lost if b is None else np.array([ord(b)])
+            y = self._known if c is None else np.array([ord(c)])
+            if a:
+                out = after(ord(a), x[:, None], y[None])
+            elif b is None and c is None:
+                out = np.full((len(x), len(y)), -np.inf)
+                for first in lost.tolist():
+                    np.maximum(out, after(first, x[:, None], y[None]), out)
+            else:
+                out = after(lost[:, None, None], x[None, :, None], y[None, None]).max(axis=0)
+            if not a or b is None:  # the others are quickly found again
+                if len(self._most_of) > 1500:
+                    self._most_of = {k: v for k, v in self._most_of.items() if not k[0]}
+                self._most_of[key] = out
         return out
 
+    def _ahead(self, atoms: list, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """For each place the most that can still come, by the last letter: all known ones and LOST, or the one that stands there."""
+        n, whole = len(atoms), ["\x02", "\x02", *atoms, "\x03"]
+        out = [np.zeros(0)] * n + [np.zeros(1)] * 2
+        for at in range(n, -1, -1):
+            a, b, c = whole[at : at + 3]
+            near = next((k for k in range(1, 5) if isinstance(whole[at + 2 - k], str)), 5) - 1  # lost bytes just before
+            before = None if near > 3 else whole[at + 1 - near]
+            one = b if isinstance(b, str) else None
+
+            def most(c: str | None) -> np.ndarray:
+                if one is not None:
+                    return self._most(a if isinstance(a, str) else "", one, c)  # noqa: B023
+                if near == 1:  # noqa: B023
+                    return self._most(before, None, c)  # noqa: B023
+                return self._most("", None, c) if before is None else np.maximum(self._most("", None, c), self._most(before, None, c))  # noqa: B023
+
+            if isinstance(c, str):
+                out[at] = most(c)[:, 0] + out[at + 1][0]
+                continue
+            now = np.full(1 if one is not None else len(self._known) + 1, UNKNOWN + out[at + 1][-1])
+            for taken, pattern, cost in self._edges(atoms, at, sizes):
+                if len(columns := self._fit(pattern)):
+                    now = np.maximum(now, (most(None)[:, columns] + out[at + taken][columns]).max(axis=1) - cost)
+            out[at] = now
+        return out
+
+    def _fit(self, pattern: tuple[int, ...]) -> np.ndarray:
+        """Places of the fitting letters among all known ones."""
+        if pattern not in self._columns:
+            self._columns[pattern] = np.searchsorted(self._known, [ord(c) for c in self._fitting(pattern)])
+        return self._columns[pattern]
+
+    def _after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows of the table of all letters' costs, for contexts."""
+        keys = (a << 21 | b).tolist()
+        new = [k for k in dict.fromkeys(keys) if k not in self._row_of]
+        if len(self._row_of) + len(new) > 60_000:
+            self._row_of, self._rows, new = {}, self._rows[:0], list(dict.fromkeys(keys))
+        if new:
+            x = np.array(new, np.int64)[:, None]
+            made = self.frequencies.letters_after(x >> 21, x & 0x1FFFFF, self._known[None]).astype(np.float32)
+            used = len(self._row_of)
+            if used + len(new) > len(self._rows):
+                self._rows = np.concatenate([self._rows[:used], np.empty((max(len(new), used, 256), len(self._known)), np.float32)])
+            self._rows[used : used + len(new)] = made
+            self._row_of.update(zip(new, range(used, used + len(new)), strict=True))
+        return np.array([self._row_of[k] for k in keys], np.int64)
+
+    def _kept(self, parts: list[tuple[np.ndarray, ...]], floor: float, ahead: np.ndarray, width: int = 0) -> tuple[np.ndarray, ...]:
+        """The states that can still win: (score, a, b, letters, hash, count, place and number of the state before).
+
+        Of equal beginnings only the best stays, and none that can't reach, by the most that its word can count, the bound or the
+        best state of its context. width: only so many, for a bound.
+        """
+        score, a, b, size, begun, count, place, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        most = score + 1.5 * np.log1p(count)
+        rest = ahead[0] if len(ahead) == 1 else ahead[np.searchsorted(self._known, b)]  # LOST is the last
+        at = np.flatnonzero(most + rest >= floor - SLACK)
+        score, a, b, size, begun, count, place, number, most = (x[at] for x in (score, a, b, size, begun, count, place, number, most))
+        _, of = np.unique(a << 21 | b, return_inverse=True)
+        best = np.full(of.max(initial=-1) + 1, -np.inf)
+        np.maximum.at(best, of, score)
+        at = np.flatnonzero(most >= best[of])
+        order = at[np.lexsort((-score[at], begun[at]))]
+        order = order[np.append(True, begun[order][1:] != begun[order][:-1])] if len(order) else order
+        dead = order[count[order] == 0]  # of words that the corpora lack one for each context
+        dead = dead[np.unique(a[dead] << 21 | b[dead], return_index=True)[1]]
+        order = np.concatenate([order[count[order] > 0], dead])
+        if width and len(order) > width:
+            rest = ahead[0] if len(ahead) == 1 else ahead[np.searchsorted(self._known, b[order])]
+            order = order[np.argpartition(-(score[order] + rest + 0.5 * (most - score)[order].clip(max=30)), width)[:width]]
+        return tuple(x[order] for x in (score, a, b, size, begun, count, place, number))
+
+    def _search(self, atoms: list, sizes: tuple[int, ...], ahead: list[np.ndarray], floor: float, width: int = 0) -> tuple[float, str]:
+        """Score and text of the best word of all: Viterbi search that leaves out only what can't reach ``floor``, the score of some word.
+
+        ahead: of _ahead. width: a search of so many states a place instead, which gives a better bound than the quick one.
+        """
+        n = len(atoms)
+        start = (np.zeros(1), np.full(1, 2), np.full(1, 2), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.full(1, np.inf), np.full(1, -1), np.zeros(1, np.int64))
+        ends: list[list[tuple[np.ndarray, ...]]] = [[start], *([] for _ in range(n))]
+        kept: list[tuple[np.ndarray, ...] | None] = [None] * (n + 1)
+
+        def go(to: int, at: int, i: np.ndarray, score: np.ndarray, c: np.ndarray) -> None:
+            _, _, b, size, begun, count, _, _ = kept[at]
+            begun = begun[i] + spelled(c, size[i])
+            ends[to].append(self._kept([(score, b[i], c, size[i] + 1, begun, np.minimum(count[i], self.frequencies.beginning(begun)), np.full(len(i), at), i)], floor, ahead[to]))
+
+        for at, atom in enumerate(atoms):
+            if not ends[at]:
+                continue
+            score, a, b, _, _, count, _, _ = kept[at] = self._kept(ends[at], floor, ahead[at], width)
+            ends[at] = []
+            every = np.arange(len(score))
+            if isinstance(atom, str):
+                go(at + 1, at, every, score + self.frequencies.letters_after(a, b, ord(atom)), np.full(len(score), ord(atom)))
+                continue
+            go(at + 1, at, every, score + UNKNOWN, np.full(len(score), ord(LOST)))
+            most = score + 1.5 * np.log1p(count)
+            edges = self._edges(atoms, at, sizes)
+            for k in range(0, len(score), CHUNK):
+                part = slice(k, k + CHUNK)
+                rows = self._after(a[part], b[part])  # which may renew the table
+                costs = self._rows[rows]
+                for taken, pattern, cost in edges:
+                    columns = self._fit(pattern)
+                    x = costs[:, columns]
+                    i, j = np.nonzero(x + ahead[at + taken][columns] >= (floor - SLACK + cost - most[part])[:, None])
+                    if len(i):
+                        go(at + taken, at, i + k, score[i + k] + x[i, j] - cost, self._known[columns[j]])
+        score, a, b, *_ = kept[n] = self._kept(ends[n], floor, ahead[n])
+        score = score + self.frequencies.letters_after(a, b, 3)
+
+        def word(i: int) -> str:
+            out, at = [], n
+            while at > 0:
+                out.append(chr(kept[at][2][i]))
+                at, i = int(kept[at][6][i]), int(kept[at][7][i])
+            return "".join(reversed(out))
+
+        best: tuple[float, str] = (-math.inf, "")
+        most = score + 1.5 * np.log1p(kept[n][5])
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] < best[0]:
+                break
+            text = word(i)
+            best = max(best, (float(score[i]) + 1.5 * math.log1p(min(self.frequencies.count(text), float(kept[n][5][i]))), text))
+        return best
+
+    def token(self, atoms: list, sizes: tuple[int, ...] = (3, 2)) -> str:
+        """The likeliest word of characters, bytes and lost bytes (-1); LOST where no letter is known to fit."""
+        key = (tuple(atoms), sizes)
+        if key not in self._tokens:
+            if len(self._tokens) > 100_000:
+                self._tokens.clear()
+            ahead, floor = self._ahead(atoms, sizes), self._quick(atoms, sizes)[0]
+            if sum(not isinstance(x, str) for x in atoms) > 2:
+                floor = max(floor, self._search(atoms, sizes, ahead, floor, WIDTH)[0])
+            self._tokens[key] = self._search(atoms, sizes, ahead, floor)[1]
+        return self._tokens[key]
+
     def text(self, pieces: Pieces) -> str:
         """Text of the pieces with damaged words searched for."""
         atoms: list = []

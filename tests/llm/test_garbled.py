@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -73,3 +74,37 @@ def test_counts_are_whole(spark):
     found = frequencies.Frequencies(frequencies.load(frequencies.count_corpus(rows, ["t"])).value)
     assert all(found.count(w) == 20 for w in WORDS) and found.count("none") == 0
     assert found.total == sum(len(w) + 1 for w in WORDS) * 20 + 1
+
+
+def all_words(decoder, atoms, sizes=(3, 2)):
+    """Every word of the lattice with its score, by brute force."""
+    ends = [[(0.0, "")], *([] for _ in atoms)]
+    cost = lambda text, c: min(0.0, decoder.frequencies.letter(*("\x02\x02" + text)[-2:], c))
+    for at, atom in enumerate(atoms):
+        for score, text in ends[at]:
+            if isinstance(atom, str):
+                ends[at + 1].append((score + cost(text, atom), text + atom))
+                continue
+            ends[at + 1].append((score + mojibake.UNKNOWN, text + mojibake.LOST))
+            for taken, pattern, price in decoder._edges(atoms, at, sizes):
+                ends[at + taken] += [(score + cost(text, c) - price, text + c) for c in decoder._fitting(pattern)]
+    return [(s + cost(t, "\x03") + 1.5 * math.log1p(min(decoder.frequencies.count(t), decoder._count(t))), t) for s, t in ends[-1]]
+
+
+def test_search_is_whole():
+    # a frequent word whose letters look poor, among many rare words whose letters look better
+    corpus = ["കഴ"] * 3000 + [f"ക{c}{d}" for c in "അആഇഈഉഎഒംരലവസ" for d in "അആഇഈഉഎഒംരലവസ"] * 40
+    for texts in (corpus, lines(WORDS, 200) + lines(LATIN, 200)):
+        decoder = mojibake.Decoder(frequencies.Frequencies.of(texts))
+        for atoms in (["ക", -1], ["ക", -1, -1], [-1, -1], [0xE0, 0xB4, -1, "ഴ"], ["മ", -1, "യ", -1], [-1, "ഴ", 0xE0, -1], ["b", 0xE1, -1, -1], ["പ", 0xB4, "ഴ"]):
+            scored = all_words(decoder, atoms)
+            best = max(scored)[0]
+            found = decoder.token(atoms)
+            assert max(s for s, t in scored if t == found) >= best - 1e-4, (atoms, found, max(scored))
+
+
+def test_no_rank_or_margin_cuts():
+    # the lost letter is by far the least likely one after ക, but the word is the only frequent one
+    texts = ["കഴ"] * 500 + ["ക" + c + "തരമ" for c in "അആഇഈഉഎഒംരലവസ"] * 20_000
+    decoder = mojibake.Decoder(frequencies.Frequencies.of(texts))
+    assert decoder.token(["ക", -1]) == "കഴ"
