@@ -96,16 +96,17 @@ def word_types(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(_col(text), f"[{CLASSES['punct']}]", ""), f"[{WS}]+"), lambda w: w != "")))
 
 
-def spacing_variants(text: Column | str, longest: int = 2000) -> Column:
+def spacing_variants(text: Column | str, longest: int | None = 2000) -> Column:
     """The four spacings of the study as an array of (spacing, text).
 
-    A longer text is cut, at its last full stop if that stands in the last fifth. Groups of the last variant: five signs, then four
+    A longer text is cut, at its last full stop if that stands in the last fifth; with None no text is. Groups of the last variant: five signs, then four
     each. A text of ten signs or fewer has no such variant.
     """
-    t = _col(text)
-    head = F.left(t, F.lit(longest))
-    stop = F.length(head) - F.instr(F.reverse(head), ".") + 1  # 1-based; past the end if there is none
-    cut = F.when(F.length(t) <= longest, t).when(F.contains(head, F.lit(".")) & (stop - 1 > longest * 0.8), F.left(head, stop)).otherwise(head)
+    cut = t = _col(text)
+    if longest is not None:
+        head = F.left(t, F.lit(longest))
+        stop = F.length(head) - F.instr(F.reverse(head), ".") + 1  # 1-based; past the end if there is none
+        cut = F.when(F.length(t) <= longest, t).when(F.contains(head, F.lit(".")) & (stop - 1 > longest * 0.8), F.left(head, stop)).otherwise(head)
     bare = F.regexp_replace(cut, f"[{WS}]+", "")
     spaced = F.array_join(symbols(bare), " ")
     # a space after the fifth sign and after every fourth from there, none at the end

@@ -230,10 +230,10 @@ def distinguishability(spark, sf_dir):
 
 
 def spacing_study(spark, sf_dir):
-    """The study: the four spacings of the lines under both models, in bits a symbol."""
+    """The study: the four spacings of the whole lines under both models, in bits a symbol."""
     rows = _corpora(spark, sf_dir)
     model = models.train(rows, "corpus", "text", 1)
-    spaced = rows.select("corpus", F.inline(T.spacing_variants("text")))
+    spaced = rows.select("corpus", F.inline(T.spacing_variants("text", longest=None)))
     grams = counts.gram_counts(spaced, ["corpus", "spacing"], "variant", 1)
     bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "spacing", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("n_symbols"))
     return bits.select("corpus", "spacing", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"))

@@ -94,8 +94,8 @@ def transliterate(spark, sf_dir):
     return lines(spark, sf_dir).select("line_id", T.transliterate("malayalam_lines").alias("latin"))
 
 
-def spacing_variants(spark, sf_dir):
-    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.inline(T.spacing_variants("text")))
+def _variants(spark, sf_dir, longest):  # noqa: ANN001, ANN202
+    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.inline(T.spacing_variants("text", longest)))
     w = T.words("variant")
     return rows.select(
         "doc_id", "spacing", F.length("variant").alias("length"), F.size(w).alias("word_count"), F.round(F.coalesce(F.try_divide(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), F.size(w)), F.lit(0.0)), 6).alias("avg_word_length"),
@@ -103,6 +103,16 @@ def spacing_variants(spark, sf_dir):
     )
 
 
+def spacing_variants(spark, sf_dir):
+    """Variants of the first 2,000 signs, the rule of the reference."""
+    return _variants(spark, sf_dir, 2000)
+
+
+def spacing_variants_whole(spark, sf_dir):
+    """Variants of the whole texts."""
+    return _variants(spark, sf_dir, None)
+
+
 def train_test_split(spark, sf_dir):
     rows = docs(spark, sf_dir).select("lang", (F.col("doc_id") % 5 == 0).alias("test"))
     return rows.groupBy("lang").agg(F.count_if("test").alias("test"), F.count_if(~F.col("test")).alias("train"))
@@ -208,7 +218,7 @@ SQL = {
     ),
 }
 QUERIES = [
-    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, train_test_split, phone_keys,
+    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, phone_keys,
     word_types, combined_corpus, set_measures, tuple_query, cumulative_freq, sss_codelength, shared_ngrams,
 ]
 _BARE = "regexp_replace(cut, '[" + _WS + "]+', '', 'g')"
@@ -222,3 +232,6 @@ SQL["spacing_variants"] = (
     "SELECT doc_id, spacing, length(variant) AS length, len(words) AS word_count, round(coalesce(list_sum(list_transform(words, lambda w: length(w)))::DOUBLE / nullif(len(words), 0), 0.0), 6) AS avg_word_length, "
     f"{_count('variant', ' ')} AS spaces, md5(variant) AS digest FROM w"
 )
+SQL["spacing_variants_whole"] = (
+    f"WITH b AS (SELECT doc_id, text AS cut, {_BARE.replace('cut', 'text')} AS bare FROM documents WHERE text IS NOT NULL), " + SQL["spacing_variants"][SQL["spacing_variants"].index("v AS (SELECT") :]
+)

@@ -74,6 +74,25 @@ def test_spacing_variants(spark):
     assert got == {i: variants(t) for i, t in enumerate(texts)}
 
 
+def test_spacing_of_whole_texts(spark):
+    text = "ab cd. " * 700 + "end"
+    got = {r.spacing: r.variant for r in spark.createDataFrame([(text,)], "t string").select(F.inline(T.spacing_variants("t", longest=None))).collect()}
+    bare = text.replace(" ", "")
+    assert got["original"] == text and got["no_spaces"] == bare and got["char_spacing"] == " ".join(bare) and got["random_spacing"].replace(" ", "") == bare
+
+
+def test_spacing_queries_cut_nothing(spark, tmp_path):
+    from symstream.plans import model_plans, text_plans
+
+    text = "ab cd " * 700
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", "s")], "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text, text)], "line_id bigint, malayalam_lines string, transliterated_lines string").write.parquet(f"{tmp_path}/evaluation.parquet")
+    whole = {r.spacing: r.length for r in text_plans.spacing_variants_whole(spark, str(tmp_path)).collect()}
+    assert whole == {"original": 4200, "no_spaces": 2800, "char_spacing": 5599, "random_spacing": 3499}
+    assert {r.n_symbols for r in model_plans.spacing_study(spark, str(tmp_path)).where("spacing = 'original'").collect()} == {4200}
+
+
 def test_cleaning_and_ratios(spark):
     rows = spark.createDataFrame([(1, "കഥ  abc, (12)-ഒന്ന്.\n"), (2, ""), (3, "   "), (4, None), (5, " കഥ ")], "i int, t string")
     got = {r.i: r for r in rows.select("i", T.clean_malayalam("t").alias("a"), T.clean_malayalam("t", wide=True).alias("b"), T.ratio("t", T.MALAYALAM).alias("r")).collect()}
