@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import canonical, mojibake, sampling
+from . import canonical, frequencies, mojibake, sampling
 
 # --- fixed values: languages by script and family -----------------------------------------------------------------------
 #: Scripts of one language each.
@@ -313,20 +313,22 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[
     Gives id, field_name, given (its label, may be null), lang, confidence; with ``stretches`` a row for each stretch of one
     language: id, field_name, start_pos, end_pos (code points of the text, of the repaired one if it was damaged), lang,
     confidence. Null, empty and blank texts give no row; a text without words has the language zxx. The machines are trained on
-    about ``sample`` rows of each label of ``train_field``.
+    about ``sample`` rows of each label of ``train_field``. Damage is judged as by garbled.restore of the same columns.
     """
     names = list(fields)
     rows = df.select(F.col(id_col).alias("k"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(names)), *(F.col(fields[c]).alias(f"g{i}") for i, c in enumerate(names)))
     at = names.index(train_field)
     labelled, counts = sampling.by_label(rows, "k", f"g{at}", f"t{at}", list(LATIN), sample)
-    model = train([(t, g) for t, g in labelled if not mojibake.undo(t)[1]], counts)
-    shared = rows.sparkSession.sparkContext.broadcast(({x: (m.weights, m.bias) for x, m in model.families.items()}, {x: (m.weights, m.bias) for x, m in model.pairs.items()}))
     screen = mojibake.suspicious()
+    tables = frequencies.load(frequencies.count_corpus(df, names, screen))
+    known = frequencies.Frequencies(tables.value)
+    model = train([(t, g) for t, g in labelled if not mojibake.judged(t, known)[1]], counts)
+    shared = rows.sparkSession.sparkContext.broadcast(({x: (m.weights, m.bias) for x, m in model.families.items()}, {x: (m.weights, m.bias) for x, m in model.pairs.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, pairs = shared.value
         own = Model({x: Machine(*m) for x, m in families.items()}, {x: Machine(*m) for x, m in pairs.items()})
-        by = [Identifier(own, latin_of[c]) for c in names]
+        by, known = [Identifier(own, latin_of[c]) for c in names], frequencies.Frequencies(tables.value)
         for b in batches:
             ids = b.column(0)
             for i, name in enumerate(names):
@@ -335,7 +337,7 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[
                 of, labels, sure, spans = [], [], [], []
                 for j, text in enumerate(texts.to_pylist()):
                     if not skip[j]:
-                        whole, damaged, _ = mojibake.undo(text) if suspect[j] else (text, False, None)
+                        whole, damaged, _ = mojibake.judged(text, known) if suspect[j] else (text, False, None)
                         label, confidence, found = by[i].label(whole, damaged)
                         if stretches:
                             spans += found

@@ -582,13 +582,19 @@ def likelier(frequencies, old: str, new: str) -> bool:  # noqa: ANN001
     return mean(come) > mean(gone)
 
 
+def judged(text: str, frequencies) -> tuple[str, bool, Pieces]:  # noqa: ANN001
+    """As undo, but small repairs count only if the corpus has what they give: whether a text is damaged, for all operators."""
+    fixed, damaged, pieces = undo(text)
+    if damaged and LOST not in fixed and sum(a != b for a, b in zip(text, fixed, strict=False)) and len(text) - len(fixed) <= 6 and not likelier(frequencies, text, fixed):
+        return text, False, [(text, [])]
+    return fixed, damaged, pieces
+
+
 def repair(text: str, decoder: Decoder) -> tuple[str, bool, bool]:
     """(text as it was, whether it was damaged, whether all of it is back)."""
-    fixed, damaged, pieces = undo(text)
+    fixed, damaged, pieces = judged(text, decoder.frequencies)
     if not damaged:
         return text, False, True
     if LOST in fixed:
         return decoder.text(pieces), True, False
-    if sum(a != b for a, b in zip(text, fixed, strict=False)) and len(text) - len(fixed) <= 6 and not likelier(decoder.frequencies, text, fixed):
-        return text, False, True
     return fixed, True, True

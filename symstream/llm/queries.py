@@ -98,7 +98,7 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines").distinct()
+    return sentences.split_sentences(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines", corpus_cols=FIELDS).distinct()
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

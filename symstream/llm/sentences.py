@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import canonical, mojibake, sampling
+from . import canonical, frequencies, mojibake, sampling
 from .maxent import MaxEnt
 
 #: Texts of the training sample.
@@ -190,25 +190,29 @@ class Splitter:
         return [x for x in out if x[0] < x[1]]
 
 
-def split_sentences(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
+def split_sentences(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, corpus_cols: Sequence[str] = ()) -> DataFrame:
     """id, start_pos, end_pos (code points of the text as stored): every sentence of every text.
 
     Null, empty and blank texts, and texts that were decoded with a wrong encoding, give no row. The model is fitted on
-    about ``sample`` texts, drawn by a hash of the id. Repeated rows give repeated rows.
+    about ``sample`` texts, drawn by a hash of the id. Repeated rows give repeated rows. Damage is judged by the frequencies of
+    the columns ``corpus_cols``, else of the text's own; with those of garbled.restore the verdicts are the same.
     """
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    model = train([t for t in sampling.texts(rows, "k", "t", sample) if not mojibake.undo(t)[1]])
+    screen = mojibake.suspicious()
+    tables = frequencies.load(frequencies.count_corpus(df, list(corpus_cols) or [text_col], screen))
+    known = frequencies.Frequencies(tables.value)
+    model = train([t for t in sampling.texts(rows, "k", "t", sample) if not mojibake.judged(t, known)[1]])
     shared = rows.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        splitter, screen = Splitter(MaxEnt(shared.value)), mojibake.suspicious()
+        splitter, known = Splitter(MaxEnt(shared.value)), frequencies.Frequencies(tables.value)
         for b in batches:
             at, starts, ends = [], [], []
             suspects = pc.match_substring_regex(b.column(1), screen).to_pylist()
             for i, text in enumerate(b.column(1).to_pylist()):
-                if not (suspects[i] and mojibake.undo(text)[1]):
+                if not (suspects[i] and mojibake.judged(text, known)[1]):
                     spans = splitter.split(text)
                     at += [i] * len(spans)
                     starts += [s for s, _ in spans]

@@ -81,3 +81,13 @@ def test_maxent():
     model = MaxEnt.fit(rows, [1.0, 0.0] * 20)
     assert model.probability(["a"]) > 0.8 > 0.2 > model.probability(["b"])
     assert MaxEnt.fit([], []).probability(["a"]) == 0.5
+
+
+def test_damage_is_judged_as_in_problem_1(spark):
+    from symstream.llm import garbled
+
+    texts = ["Ã© കഥ വന്നു.", "à´•à´¥ à´’à´¨àµ\x8dà´¨àµ\x8d.", *["പുഴ വന്നു. Ã മഴ © പോയി."] * 30, "", None]  # Ã and © are known signs here, é is not
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    damaged = {r.k for r in garbled.restore(rows, "k", ["t"]).collect()}
+    split = {r.k for r in sentences.split_sentences(rows, "k", "t").collect()}
+    assert damaged == {1} and split == set(range(32)) - damaged
