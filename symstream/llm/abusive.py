@@ -383,7 +383,7 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame
         first = context.broadcast(model)
         others = verdicts.where((F.col("v") == 0) & (sampling.chance("k") >= share)).select("k")
         # scores of all documents, few of which are over the bound, meet the verdicts: no text is shuffled
-        hard = _scored(rows, first).where(F.col("score") > HARD).select("k").join(others, "k", "left_semi").limit(sample[2])
+        hard = sampling.least(_scored(rows, first).where(F.col("score") > HARD).select("k").join(others, "k", "left_semi"), "k", sample[2])
         labelled += [(r.t, 0.0) for r in rows.join(F.broadcast(hard), "k", "left_semi").select("t").collect()]
         model = train(labelled, listed)
     return _scored(rows, context.broadcast(model)).withColumnRenamed("k", id_col)

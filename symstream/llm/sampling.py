@@ -11,6 +11,11 @@ def chance(*cols: str, seed: int = 29) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def least(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """The size rows that a hash of the id draws (all if there are fewer), the same however the rows are spread over tasks."""
+    return rows.orderBy(chance(id_col, seed=31), id_col).limit(size)
+
+
 def texts(rows: DataFrame, id_col: str, text_col: str, size: int) -> list[str]:
     """About size texts (never over twice as many), or all if there are fewer."""
     total = rows.count()

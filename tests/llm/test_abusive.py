@@ -70,3 +70,11 @@ def test_operator(spark):
     assert rows[-2][1][last.start_pos : last.end_pos].endswith("scum.")
     assert abusive.score_documents(docs.limit(0), "k", "t", verdicts, "k", "abusive", terms, "term").count() == 0
     assert abusive.score_documents(docs, "k", "t", verdicts.limit(0), "k", "abusive", terms, "term").where("score >= 0.5").count() == 0
+
+
+def test_hard_examples_are_drawn_by_a_hash(spark):
+    from symstream.llm import sampling
+
+    rows = spark.range(0, 4000, 1, 8).withColumnRenamed("id", "k")
+    drawn = [sorted(r.k for r in sampling.least(x, "k", 400).collect()) for x in (rows, rows.repartition(3), rows.orderBy("k", ascending=False))]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 400 and all(60 < sum(a <= k < a + 1000 for k in drawn[0]) < 140 for a in range(0, 4000, 1000))
