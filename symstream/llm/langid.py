@@ -322,7 +322,7 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[
     screen = mojibake.suspicious()
     tables = frequencies.load(frequencies.count_corpus(df, names, screen))
     known = frequencies.Frequencies(tables.value)
-    model = train([(t, g) for t, g in labelled if not mojibake.judged(t, known)[1]], counts)
+    model = train([(t, g) for t, g in labelled if not mojibake.undo(t, known)[1]], counts)
     shared = rows.sparkSession.sparkContext.broadcast(({x: (m.weights, m.bias) for x, m in model.families.items()}, {x: (m.weights, m.bias) for x, m in model.pairs.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[
                 of, labels, sure, spans = [], [], [], []
                 for j, text in enumerate(texts.to_pylist()):
                     if not skip[j]:
-                        whole, damaged, _ = mojibake.judged(text, known) if suspect[j] else (text, False, None)
+                        whole, damaged, _ = mojibake.undo(text, known) if suspect[j] else (text, False, None)
                         label, confidence, found = by[i].label(whole, damaged)
                         if stretches:
                             spans += found

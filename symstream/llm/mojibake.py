@@ -1,8 +1,9 @@
 """Garbled text from wrong character encoding (problem 1): the channel, without Spark.
 
 The noisy channel: text was written as UTF-8, its bytes were read in another encoding, once or several times, and some bytes were
-lost on the way (they became U+FFFD, or vanished). ``undo`` inverts the reading where the bytes are all there; ``Decoder`` builds a
-lattice of the bytes, lost ones being wildcards, and finds the likeliest text by Viterbi search under corpus frequencies.
+lost on the way (they became U+FFFD, or vanished). ``layer`` proposes the reading that was taken, whose bytes make the lattice: every
+word stands there as stored and as the bytes say. ``judged`` searches for the best path through a text's words under the word
+frequencies of the corpus, which tells what of it is damaged; ``Decoder`` does the same for the bytes of a word, lost ones being wildcards.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from .frequencies import spelled
+from .frequencies import END, SPELLED, START, words_of
+from .lexicon import Lexicon
 
 LOST = "\ufffd"
 # --- fixed values: encodings that UTF-8 bytes get read in, likelier ones first -----------------------------------------
@@ -31,12 +33,12 @@ COMMON = "\u00a0\u00ad‘’“”…–—«»ñāēīōūŭśḍḷḻṁṅ
 #: Bytes with which the letters of the scripts begin: two of a cut letter speak for it.
 BEGINNINGS = (b"\xe0\xb4", b"\xe0\xb5", b"\xe0\xa4", b"\xe0\xa5", b"\xe0\xae", b"\xe0\xaf", b"\xe1\xb8", b"\xe1\xb9")
 # ----------------------------------------------------------------------------------------------------------------------
-#: What a byte that vanished without a mark costs, in nats; what a word costs that the corpora lack.
+#: What a byte that vanished without a mark costs, in nats; what a letter costs that stays lost.
 DROPPED, UNKNOWN = 6.0, -16.0
-#: Of the quick search, whose find is the bound that the whole search prunes by; rounding that the bound allows, states expanded at once, and
-#: states a place of the search for a better bound.
-BEAM, BRANCH, TWINS = 6, 5, 2
-SLACK, CHUNK, WIDTH = 1e-3, 2048, 64
+#: What it costs, in nats, that a stretch of a text is read wrongly, before its words are asked.
+MISREAD = 10.0
+#: The part of a corpus that a letter must make to be guessed for lost bytes, so at most 1 / SEEN letters are.
+SEEN = 2.0**-20
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\xe0-\xef][\x80-\xbf]|[\x80-\xff]")
 
 
@@ -138,7 +140,8 @@ def _decode(data: list[int]) -> tuple[str, float, int]:
     return "".join(out).replace("\x1a", LOST), evidence, broken
 
 
-Pieces = list[tuple[str, list[int]]]
+#: Stretches of a text: as stored, as read rightly (the same if sound), and the bytes if some may be lost.
+Pieces = list[tuple[str, str, list[int] | None]]
 
 
 def _joined(text: str, runs: list[tuple[int, int, list[int], str, float, int]]) -> tuple[float, int, str, Pieces]:
@@ -149,12 +152,14 @@ def _joined(text: str, runs: list[tuple[int, int, list[int], str, float, int]])
     score = sum(r[4] for r in runs if r[4] > 0)
     broken, out, pieces, at = 0, [], [], 0
     for start, end, data, fixed, evidence, bad in runs:
-        if evidence > 0 or (score >= 2 and len(data) <= 3 and data[0] >= 0xC2):
+        if evidence > 0 or (score >= 2 and data[0] >= 0xC2 and not any(c > "\x7f" and c != LOST for c in fixed)):
             broken += bad
-            out += [text[at:start], fixed]
-            pieces += [(text[at:start], []), ("", data)]
+            sound = text[at:start]
+            out += [sound, fixed]
+            pieces += [(sound, sound, None), (text[start:end], fixed, data)]
             at = end
-    return score, broken, "".join([*out, text[at:]]), [*pieces, (text[at:], [])]
+    rest = text[at:]
+    return score, broken, "".join([*out, rest]), [*pieces, (rest, rest, None)]
 
 
 @lru_cache(maxsize=64)
@@ -166,6 +171,19 @@ def _to_bytes(codec: str) -> dict[int, int]:
 _HIGH = re.compile("[\u0080-\u00ff\ufffd]+")
 
 
+def _side_by_side(text: str, fixed: str) -> Pieces:
+    """Pieces word by word: a blank is never part of a sign of several bytes."""
+    gap = (" ", " ", None)
+    return [x for old, new in zip(text.split(" "), fixed.split(" "), strict=True) for x in ((old, new, None), gap)][:-1]
+
+
+@lru_cache(maxsize=1 << 16)
+def _decoded(run: str) -> tuple[list[int], str, float, int]:
+    """The bytes of a run that shows them, and what _decode says of them."""
+    data = [-1 if c == LOST else ord(c) for c in run]
+    return data, *_decode(data)
+
+
 def _single(text: str, shown: str) -> tuple[float, int, str, Pieces]:
     """shown: the text with each character that may stand for a byte as the character of that number."""
     try:
@@ -175,13 +193,12 @@ def _single(text: str, shown: str) -> tuple[float, int, str, Pieces]:
     else:  # the whole text is damaged, and no byte is lost
         high = [c for c in set(fixed) if c > "\x7f"]
         if high:
-            return len(re.sub("[\\x00-\\x7f]+", "", fixed)) * sum(map(plausible, high)) / len(high) * (0.7 if max(high) < "\u0800" else 1.0), 0, fixed, [(fixed, [])]
+            return len(re.sub("[\\x00-\\x7f]+", "", fixed)) * sum(map(plausible, high)) / len(high) * (0.7 if max(high) < "\u0800" else 1.0), 0, fixed, _side_by_side(text, fixed)
     runs = []
     for m in _HIGH.finditer(shown):
         run = m.group()
         if max(run.replace(LOST, ""), default="") >= "\u00c2" and not _LOOK_ALIKE.issuperset(text[m.start() : m.end()]):
-            data = list(run.encode("latin-1")) if LOST not in run else [-1 if c == LOST else ord(c) for c in run]
-            runs.append((m.start(), m.end(), data, *_decode(data)))
+            runs.append((m.start(), m.end(), *_decoded(run)))
     return _joined(text, runs)
 
 
@@ -262,297 +279,306 @@ def layer(text: str) -> tuple[str, Pieces] | None:
     return (best[2], best[3]) if best[0] >= 0.5 else None
 
 
-def undo(text: str, depth: int = 3) -> tuple[str, bool, list[tuple[str, list[int]]]]:
+def _words(pieces: Pieces) -> list[tuple[str, str, Pieces, bool]]:
+    """(as stored, as read, pieces, whether these differ) of stretches of a text, which are cut where both have the same white space."""
+    out: list[tuple[str, str, Pieces, bool]] = []
+    open_: Pieces = []
+
+    def close() -> None:
+        if open_:
+            old, new = ("".join(p[k] for p in open_) for k in (0, 1))
+            out.append((old, new, list(open_), old != new or any(p[2] is not None for p in open_)))
+            open_.clear()
+
+    for old, new, data in pieces:
+        if data is None and old == new:
+            first, last = re.search(r"\s", old), max(old.rfind(" "), old.rfind("\n"))
+            if first is None:
+                if old:
+                    open_.append((old, new, None))
+                continue
+            start = first.start()
+            if start:
+                open_.append((old[:start], new[:start], None))
+            close()
+            if start < last:
+                middle = old[start:last]
+                out.append((middle, middle, [(middle, middle, None)], False))
+            start = max(start, last)
+            open_.append((old[start:], old[start:], None))
+        else:
+            open_.append((old, new, data))
+    close()
+    return out
+
+
+def _loss(text: str, frequencies) -> float:  # noqa: ANN001
+    return sum(map(frequencies.word, words_of(text)))
+
+
+def chosen(pieces: Pieces, frequencies) -> Pieces | None:  # noqa: ANN001
+    """The best path through the lattice of a text: its words as stored or as read, by the word frequencies; None if all is sound.
+
+    A stretch that is read otherwise than what stands before it costs MISREAD.
+    """
+    words = _words(pieces)
+    sound, wrong, back = 0.0, -MISREAD, []
+    for old, new, _, differ in words:
+        gain = _loss(new, frequencies) - _loss(old, frequencies) if differ else 0.0
+        to_sound, to_wrong = wrong > sound, sound - MISREAD > wrong
+        back.append((to_sound, to_wrong))
+        sound, wrong = max(sound, wrong), max(wrong, sound - MISREAD) + gain
+    state, out, any_ = wrong > sound, [], False
+    for (old, _, parts, differ), (to_sound, to_wrong) in zip(reversed(words), reversed(back), strict=True):
+        out.append(parts if state else [(old, old, None)])
+        any_ |= state and differ
+        state = not to_wrong if state else to_sound
+    return [p for parts in reversed(out) for p in parts] if any_ else None
+
+
+def undo(text: str, frequencies, depth: int = 3) -> tuple[str, bool, Pieces]:  # noqa: ANN001
     """The text with up to depth wrong readings undone, whether there was any damage, and the pieces of the last reading."""
-    damaged, pieces, sign = LOST in text, [(text, [])], _suspicious()
+    damaged, pieces, sign = LOST in text, [(text, text, None)], _suspicious()
     for _ in range(depth):
         found = layer(text) if sign.search(text) else None
-        if found is None:
+        path = None if found is None else chosen(found[1], frequencies)
+        if path is None:
             break
-        (text, pieces), damaged = found, True
+        pieces, damaged = path, True
+        text = "".join(p[1] for p in path)
     return text, damaged, pieces
 
 
-@lru_cache(maxsize=1)
-def _alphabet() -> tuple[tuple[str, bytes], ...]:
-    """Letters that a lost byte may belong to, with their bytes. Chinese has too many to guess from a byte."""
-    ranges = (*SCRIPTS[:3], (0x00C0, 0x017F), (0x0300, 0x0330), (0x1E00, 0x1EFF), (0x2010, 0x2026))
-    return tuple((chr(c), chr(c).encode()) for a, b in ranges for c in range(a, b + 1))
-
-
 def _needs(byte: int) -> int:
     return 2 if 0xC2 <= byte <= 0xDF else 3 if 0xE0 <= byte <= 0xEF else 4 if 0xF0 <= byte <= 0xF4 else 0
 
 
 _ATOM = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\x00-\x7f]+|[\x80-\xff]")
+#: Stands for all letters that the search doesn't guess.
+_OTHER = "\x00"
+_ALPHABETS = {"ml": SCRIPTS[:1], "hi": SCRIPTS[1:2], "ta": SCRIPTS[2:3], "latn": (*LATIN, (0x61, 0x7A), (0x41, 0x5A))}
+_PUNCTUATION = ((0x2010, 0x2026),)
+
+
+def _fits(pattern: tuple[int, ...], codes: np.ndarray) -> np.ndarray:
+    """Which letters' UTF-8 bytes fit a pattern, in which -1 is any byte."""
+    if len(pattern) == 2:
+        data, inside = (0xC0 | codes >> 6, 0x80 | codes & 63), (codes >= 0x80) & (codes < 0x800)
+    else:
+        data, inside = (0xE0 | codes >> 12, 0x80 | codes >> 6 & 63, 0x80 | codes & 63), (codes >= 0x800) & (codes < 0x10000)
+    for p, b in zip(pattern, data, strict=True):
+        if p >= 0:
+            inside = inside & (b == p)
+    return inside
+
+
+class Letters:
+    """What letters cost after two others, for the letters of a script that the corpora have, as one array."""
+
+    def __init__(self, frequencies, script: str) -> None:  # noqa: ANN001
+        inside = [chr(c) for a, b in (*_ALPHABETS[script], *_PUNCTUATION) for c in range(a, b + 1)]
+        self.frequencies = frequencies
+        self.chars = [chr(START), _OTHER, LOST, *(c for c in inside if frequencies.share(c) >= SEEN)]
+        self.place = {c: i for i, c in enumerate(self.chars)}
+        self.codes = n = np.array([ord(c) for c in self.chars], np.int64)
+        # [last letter, next letter, letter before the last]; of contexts that hold one of the others nothing is known: the letter's share tells
+        self.after = frequencies.letters_after(n[None, None, :], n[:, None, None], n[None, :, None]).astype(np.float32)
+        self.end = frequencies.letters_after(n[None], n[:, None], np.array(END)).astype(np.float32)
+        self._fit: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+
+    def cost(self, char: str, live: np.ndarray) -> np.ndarray:
+        """Of a letter after the letters ``live``, by the letter before them."""
+        at = self.place.get(char)
+        return self.after[live, at] if at is not None else np.full((len(live), 1), math.log(self.frequencies.share(char) + 1e-9), np.float32)
+
+    def _of(self, pattern: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        if pattern not in self._fit:
+            if len(self._fit) > 256:
+                self._fit.clear()
+            at = np.flatnonzero(_fits(pattern, self.codes) & (self.codes != ord(LOST)))
+            self._fit[pattern] = at, np.ascontiguousarray(self.after[:, at])
+        return self._fit[pattern]
+
+    def fit(self, pattern: tuple[int, ...]) -> np.ndarray:
+        """Places of the letters whose bytes fit the pattern."""
+        return self._of(pattern)[0]
+
+    def fitting(self, pattern: tuple[int, ...], live: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """What these cost after the letters ``live``, by the letters ``firsts`` before them."""
+        out = self._of(pattern)[1]
+        return out[live] if len(firsts) == out.shape[2] else out[live][:, :, firsts] if len(live) < len(firsts) else out[:, :, firsts][live]
 
 
 class Decoder:
-    """Finds the likeliest text over a lattice of bytes, lost ones being wildcards."""
+    """Finds the likeliest text over a lattice of bytes, lost ones being wildcards.
+
+    A word is as likely as its part of the corpus, if it is in the dictionary, or else by its letters (frequencies.Frequencies.word);
+    both searches are exact: that of the letters keeps every pair of last letters at every place, that of the dictionary every beginning.
+    """
 
     def __init__(self, frequencies) -> None:  # noqa: ANN001
         self.frequencies = frequencies
-        self._best: dict[tuple, tuple[tuple[str, float], ...]] = {}
+        self._lexicon: Lexicon | None = None
+        self._letters: dict[str, Letters] = {}
         self._tokens: dict[tuple, str] = {}
-        self._letters: dict[tuple[int, ...], list[str]] = {}
-        self._columns: dict[tuple[int, ...], np.ndarray] = {}
-        self._most_of: dict[tuple[str, str | None, str | None], np.ndarray] = {}
-        self._known = np.array(sorted(ord(c) for c, _ in _alphabet() if frequencies is not None and frequencies.share(c) > 1e-7), np.int64)
-        self._row_of: dict[int, int] = {}
-        self._rows = np.empty((0, len(self._known)), np.float32)
-
-    def _letter(self, a: str, b: str, c: str) -> float:
-        return min(0.0, self.frequencies.letter(a, b, c))
-
-    def _fitting(self, pattern: tuple[int, ...]) -> list[str]:
-        """Letters that the corpora have, whose bytes fit a pattern, in which -1 is any byte."""
-        if pattern not in self._letters:
-            known = [(c, raw) for c, raw in _alphabet() if self.frequencies.share(c) > 1e-7]
-            self._letters[pattern] = [c for c, raw in known if len(raw) == len(pattern) and all(p in (-1, b) for p, b in zip(pattern, raw, strict=True))]
-        return self._letters[pattern]
-
-    def _branches(self, a: str, b: str, pattern: tuple[int, ...]) -> tuple[tuple[str, float], ...]:
-        key = (a, b, pattern)
-        if key not in self._best:
-            if len(self._best) > 200_000:
-                self._best.clear()
-            scored = sorted(((self._letter(a, b, c), c) for c in self._fitting(pattern)), reverse=True)[:BRANCH]
-            self._best[key] = tuple((c, x) for x, c in scored)
-        return self._best[key]
-
-    def _edges(self, atoms: list, at: int, sizes: tuple[int, ...]) -> list[tuple[int, tuple[int, ...], float]]:
-        """(atoms taken, byte pattern, cost) of the letters that may begin at a byte."""
-        first, out = atoms[at], []
-        tail = []
-        for x in atoms[at + 1 : at + 3]:
-            if isinstance(x, str) or not (x == -1 or 0x80 <= x <= 0xBF):
-                break
-            tail.append(x)
-        if first == -1 or 0x80 <= first <= 0xBF:  # the lead byte is lost, marked or not
-            known = [first, *tail]
-            for size in sizes:
-                for k in range(1, min(size, len(known)) + 1):
-                    part = known[:k]
-                    if part[0] == -1:  # one mark may stand for a whole cut letter
-                        out.append((k, (*part, *[-1] * (size - k)) if k == 1 or part[1] == -1 else (*[-1] * (size - k + 1), *part[1:]), 0.0))
-                    elif k < size:
-                        out.append((k, (*[-1] * (size - k), *part), DROPPED))
-        else:
-            size = _needs(first)
-            if size in (2, 3):
-                k = min(size - 1, len(tail))
-                out.append((1 + k, (first, *tail[:k], *[-1] * (size - 1 - k)), DROPPED * (k < size - 1)))
-                if size == 3 and k == 1:  # the byte that vanished stood between
-                    out.append((2, (first, -1, tail[0]), DROPPED))
-        return out
-
-    def _quick(self, atoms: list, sizes: tuple[int, ...]) -> tuple[float, str]:
-        """Score and text of a good word, perhaps not the best."""
-        ends: list[list[tuple[float, str, str, str]]] = [[] for _ in range(len(atoms) + 1)]
-        ends[0] = [(0.0, "\x02", "\x02", "")]
-        for at, atom in enumerate(atoms):
-            states = ends[at]
-            if len(states) > 1:
-                kept: dict[tuple[str, str], int] = {}
-                states.sort(reverse=True)
-                ranked, states = states, []
-                for state in ranked:
-                    context = state[1:3]
-                    if kept.get(context, 0) < TWINS:  # a few for each context, since the word counts at its end
-                        kept[context] = kept.get(context, 0) + 1
-                        states.append(state)
-                        if len(states) == BEAM:
-                            break
-            ends[at] = []
-            if isinstance(atom, str):
-                ends[at + 1] += [(score + self._letter(a, b, atom), b, atom, text + atom) for score, a, b, text in states]
+
+    @property
+    def lexicon(self) -> Lexicon:
+        if self._lexicon is None:
+            self._lexicon = Lexicon(self.frequencies.words, np.log(self.frequencies.counts / self.frequencies.n_words))
+        return self._lexicon
+
+    def letters(self, script: str) -> Letters:
+        if script not in self._letters:
+            self._letters[script] = Letters(self.frequencies, script)
+        return self._letters[script]
+
+    @staticmethod
+    def edges(atoms: tuple, sizes: tuple[int, ...]) -> list[list[tuple[int, tuple[int, ...], float]]]:
+        """For each place of lost bytes (atoms taken, byte pattern, cost) of the letters that may begin there; none where a letter stands."""
+        every: list[list[tuple[int, tuple[int, ...], float]]] = []
+        for at, first in enumerate(atoms):
+            out: list[tuple[int, tuple[int, ...], float]] = []
+            every.append(out)
+            if isinstance(first, str):
                 continue
-            edges = self._edges(atoms, at, sizes)
-            for score, a, b, text in states:
-                for taken, pattern, cost in edges:
-                    ends[at + taken] += [(score + x - cost, b, c, text + c) for c, x in self._branches(a, b, pattern)]
-                ends[at + 1].append((score + UNKNOWN, b, LOST, text + LOST))
-        return max((s + self._letter(a, b, "\x03") + 1.5 * math.log1p(self._count(t)), t) for s, a, b, t in ends[-1])
-
-    def _count(self, word: str) -> float:
-        """How often the corpora have a word, by the tables of words and of their beginnings."""
-        codes = np.array([ord(c) for c in word], np.uint64)
-        begun = self.frequencies.beginning(np.cumsum(spelled(codes, np.arange(len(codes))), dtype=np.uint64))
-        return min(self.frequencies.count(word), float(begun.min(initial=np.inf)))
-
-    def _most(self, a: str, b: str | None, c: str | None) -> np.ndarray:
-        """The most that letters can cost in their context: b by c, or one of them, where None is any letter that a lost byte may be.
-
-        a: the letter before, or "" for the best of those that a lost byte may be.
-        """
-        key = (a, b, c)
-        out = self._most_of.get(key)
-        if out is None:
-            lost, after = np.append(self._known, ord(LOST)), self.frequencies.letters_after
-            x = lost if b is None else np.array([ord(b)])
-            y = self._known if c is None else np.array([ord(c)])
-            if a:
-                out = after(ord(a), x[:, None], y[None])
-            elif b is None and c is None:
-                out = np.full((len(x), len(y)), -np.inf)
-                for first in lost.tolist():
-                    np.maximum(out, after(first, x[:, None], y[None]), out)
+            tail = []
+            for x in atoms[at + 1 : at + 3]:
+                if isinstance(x, str) or not (x == -1 or 0x80 <= x <= 0xBF):
+                    break
+                tail.append(x)
+            if first == -1 or 0x80 <= first <= 0xBF:  # the lead byte is lost, marked or not
+                known = [first, *tail]
+                for size in sizes:
+                    for k in range(1, min(size, len(known)) + 1):
+                        part = known[:k]
+                        if part[0] == -1:  # one mark may stand for a whole cut letter
+                            out.append((k, (*part, *[-1] * (size - k)) if k == 1 or part[1] == -1 else (*[-1] * (size - k + 1), *part[1:]), 0.0))
+                        elif k < size:
+                            out.append((k, (*[-1] * (size - k), *part), DROPPED))
             else:
-                out = after(lost[:, None, None], x[None, :, None], y[None, None]).max(axis=0)
-            if not a or b is None:  # the others are quickly found again
-                if len(self._most_of) > 1500:
-                    self._most_of = {k: v for k, v in self._most_of.items() if not k[0]}
-                self._most_of[key] = out
-        return out
-
-    def _ahead(self, atoms: list, sizes: tuple[int, ...]) -> list[np.ndarray]:
-        """For each place the most that can still come, by the last letter: all known ones and LOST, or the one that stands there."""
-        n, whole = len(atoms), ["\x02", "\x02", *atoms, "\x03"]
-        out = [np.zeros(0)] * n + [np.zeros(1)] * 2
-        for at in range(n, -1, -1):
-            a, b, c = whole[at : at + 3]
-            near = next((k for k in range(1, 5) if isinstance(whole[at + 2 - k], str)), 5) - 1  # lost bytes just before
-            before = None if near > 3 else whole[at + 1 - near]
-            one = b if isinstance(b, str) else None
-
-            def most(c: str | None) -> np.ndarray:
-                if one is not None:
-                    return self._most(a if isinstance(a, str) else "", one, c)  # noqa: B023
-                if near == 1:  # noqa: B023
-                    return self._most(before, None, c)  # noqa: B023
-                return self._most("", None, c) if before is None else np.maximum(self._most("", None, c), self._most(before, None, c))  # noqa: B023
-
-            if isinstance(c, str):
-                out[at] = most(c)[:, 0] + out[at + 1][0]
-                continue
-            now = np.full(1 if one is not None else len(self._known) + 1, UNKNOWN + out[at + 1][-1])
-            for taken, pattern, cost in self._edges(atoms, at, sizes):
-                if len(columns := self._fit(pattern)):
-                    now = np.maximum(now, (most(None)[:, columns] + out[at + taken][columns]).max(axis=1) - cost)
-            out[at] = now
-        return out
-
-    def _fit(self, pattern: tuple[int, ...]) -> np.ndarray:
-        """Places of the fitting letters among all known ones."""
-        if pattern not in self._columns:
-            self._columns[pattern] = np.searchsorted(self._known, [ord(c) for c in self._fitting(pattern)])
-        return self._columns[pattern]
-
-    def _after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows of the table of all letters' costs, for contexts."""
-        keys = (a << 21 | b).tolist()
-        new = [k for k in dict.fromkeys(keys) if k not in self._row_of]
-        if len(self._row_of) + len(new) > 60_000:
-            self._row_of, self._rows, new = {}, self._rows[:0], list(dict.fromkeys(keys))
-        if new:
-            x = np.array(new, np.int64)[:, None]
-            made = self.frequencies.letters_after(x >> 21, x & 0x1FFFFF, self._known[None]).astype(np.float32)
-            used = len(self._row_of)
-            if used + len(new) > len(self._rows):
-                self._rows = np.concatenate([self._rows[:used], np.empty((max(len(new), used, 256), len(self._known)), np.float32)])
-            self._rows[used : used + len(new)] = made
-            self._row_of.update(zip(new, range(used, used + len(new)), strict=True))
-        return np.array([self._row_of[k] for k in keys], np.int64)
-
-    def _kept(self, parts: list[tuple[np.ndarray, ...]], floor: float, ahead: np.ndarray, width: int = 0) -> tuple[np.ndarray, ...]:
-        """The states that can still win: (score, a, b, letters, hash, count, place and number of the state before).
-
-        Of equal beginnings only the best stays, and none that can't reach, by the most that its word can count, the bound or the
-        best state of its context. width: only so many, for a bound.
+                size = _needs(first)
+                if size in (2, 3):
+                    k = min(size - 1, len(tail))
+                    out.append((1 + k, (first, *tail[:k], *[-1] * (size - 1 - k)), DROPPED * (k < size - 1)))
+                    if size == 3 and k == 1:  # the byte that vanished stood between
+                        out.append((2, (first, -1, tail[0]), DROPPED))
+        return every
+
+    def spelled(self, atoms: tuple, edges: list, script: str, floor: float = -math.inf) -> tuple[float, str]:
+        """Score and text of the likeliest word by its letters, if it is likelier than floor: Viterbi search over the places and pairs of letters.
+
+        Scores only fall, so a beginning that has come down to the floor is left.
         """
-        score, a, b, size, begun, count, place, number = (np.concatenate(x) for x in zip(*parts, strict=True))
-        most = score + 1.5 * np.log1p(count)
-        rest = ahead[0] if len(ahead) == 1 else ahead[np.searchsorted(self._known, b)]  # LOST is the last
-        at = np.flatnonzero(most + rest >= floor - SLACK)
-        score, a, b, size, begun, count, place, number, most = (x[at] for x in (score, a, b, size, begun, count, place, number, most))
-        _, of = np.unique(a << 21 | b, return_inverse=True)
-        best = np.full(of.max(initial=-1) + 1, -np.inf)
-        np.maximum.at(best, of, score)
-        at = np.flatnonzero(most >= best[of])
-        order = at[np.lexsort((-score[at], begun[at]))]
-        order = order[np.append(True, begun[order][1:] != begun[order][:-1])] if len(order) else order
-        dead = order[count[order] == 0]  # of words that the corpora lack one for each context
-        dead = dead[np.unique(a[dead] << 21 | b[dead], return_index=True)[1]]
-        order = np.concatenate([order[count[order] > 0], dead])
-        if width and len(order) > width:
-            rest = ahead[0] if len(ahead) == 1 else ahead[np.searchsorted(self._known, b[order])]
-            order = order[np.argpartition(-(score[order] + rest + 0.5 * (most - score)[order].clip(max=30)), width)[:width]]
-        return tuple(x[order] for x in (score, a, b, size, begun, count, place, number))
-
-    def _search(self, atoms: list, sizes: tuple[int, ...], ahead: list[np.ndarray], floor: float, width: int = 0) -> tuple[float, str]:
-        """Score and text of the best word of all: Viterbi search that leaves out only what can't reach ``floor``, the score of some word.
-
-        ahead: of _ahead. width: a search of so many states a place instead, which gives a better bound than the quick one.
-        """
-        n = len(atoms)
-        start = (np.zeros(1), np.full(1, 2), np.full(1, 2), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.full(1, np.inf), np.full(1, -1), np.zeros(1, np.int64))
-        ends: list[list[tuple[np.ndarray, ...]]] = [[start], *([] for _ in range(n))]
-        kept: list[tuple[np.ndarray, ...] | None] = [None] * (n + 1)
-
-        def go(to: int, at: int, i: np.ndarray, score: np.ndarray, c: np.ndarray) -> None:
-            _, _, b, size, begun, count, _, _ = kept[at]
-            begun = begun[i] + spelled(c, size[i])
-            ends[to].append(self._kept([(score, b[i], c, size[i] + 1, begun, np.minimum(count[i], self.frequencies.beginning(begun)), np.full(len(i), at), i)], floor, ahead[to]))
+        letters, n = self.letters(script), len(atoms)
+        size, lost, other = len(letters.chars), letters.place[LOST], letters.place[_OTHER]
+        score: list[np.ndarray | None] = [None] * (n + 1)  # by the last letter and the one before it
+        score[0] = np.full((size, size), -np.inf, np.float32)
+        score[0][0, 0] = 0.0
+        before: list[list[tuple[int, np.ndarray, float]]] = [[] for _ in range(n + 1)]  # (place, letters, cost) of the edges that end at a place
+
+        floor = np.float32(floor - SPELLED)
+
+        def go(at: int, to: int, live: np.ndarray, into: np.ndarray, top: np.ndarray, price: float) -> None:
+            before[to].append((at, into, price))
+            if score[to] is None:
+                score[to] = np.full((size, size), -np.inf, np.float32)
+            grid = into[:, None], live[None]
+            score[to][grid] = np.maximum(score[to][grid], top - np.float32(price) if price else top)
 
         for at, atom in enumerate(atoms):
-            if not ends[at]:
+            now = score[at]
+            if now is None:
                 continue
-            score, a, b, _, _, count, _, _ = kept[at] = self._kept(ends[at], floor, ahead[at], width)
-            ends[at] = []
-            every = np.arange(len(score))
+            hopeful = now > floor
+            live, firsts = np.flatnonzero(hopeful.any(axis=1)), np.flatnonzero(hopeful.any(axis=0))
+            if not len(live):
+                continue
+            now = now[live[:, None], firsts]
             if isinstance(atom, str):
-                go(at + 1, at, every, score + self.frequencies.letters_after(a, b, ord(atom)), np.full(len(score), ord(atom)))
+                c = letters.place.get(atom, other)
+                cost = letters.cost(atom, live)
+                go(at, at + 1, live, np.array([c]), (now + (cost[:, firsts] if c != other else cost)).max(axis=1)[None], 0.0)
+                continue
+            go(at, at + 1, live, np.array([lost]), now.max(axis=1)[None], -UNKNOWN)
+            made: dict[tuple[int, ...], np.ndarray] = {}
+            for taken, pattern, price in edges[at]:
+                if len(into := letters.fit(pattern)):
+                    if pattern not in made:
+                        made[pattern] = (now[:, None] + letters.fitting(pattern, live, firsts)).max(axis=2).T
+                    go(at, at + taken, live, into, made[pattern], price)
+        if score[n] is None:
+            return -math.inf, ""
+        last = score[n] + letters.end
+        if last.max() <= floor:
+            return -math.inf, ""
+        best, (b, a) = float(last.max()), np.unravel_index(int(last.argmax()), last.shape)
+        out, at = [], n
+        while at > 0:  # which way a state was reached is found again
+            ways = []
+            for place, into, price in before[at]:
+                if b in into:
+                    cost = np.float32(0) if b == lost and price == -UNKNOWN else letters.cost(atoms[place] if isinstance(atoms[place], str) else letters.chars[b], np.array([a]))[0]
+                    came = score[place][a] + cost - np.float32(price)
+                    first = int(came.argmax())
+                    ways.append((float(came[first]), place, first))
+            _, place, first = max(ways)
+            out.append(atoms[place] if isinstance(atoms[place], str) else letters.chars[b])
+            at, b, a = place, a, first
+        return SPELLED + best, "".join(reversed(out))
+
+    def listed(self, atoms: tuple, edges: list, floor: float = -math.inf) -> tuple[float, str]:
+        """Score and text of the likeliest word of the dictionary, if it is likelier than floor, which bounds the search."""
+        tree, n = self.lexicon, len(atoms)
+        ends: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(1, np.int64), np.zeros(1))], *([] for _ in range(n))]
+        best = (floor, "")
+        for at in range(n + 1):
+            if not ends[at]:
+                continue
+            nodes, score = (np.concatenate(x) for x in zip(*ends[at], strict=True)) if len(ends[at]) > 1 else ends[at][0]
+            kept = np.flatnonzero(score + tree.most[nodes] > floor)
+            if not len(kept):
+                continue
+            nodes, score = nodes[kept], score[kept]
+            if at == n:
+                total = score + tree.ends[nodes]
+                i = int(total.argmax())
+                return (float(total[i]), tree.spelling(int(nodes[i]))) if total[i] > floor else best
+            if len(ends[at]) > 1:  # the best of equal beginnings
+                order = np.lexsort((-score, nodes))
+                order = order[np.append(True, nodes[order][1:] != nodes[order][:-1])]
+                nodes, score = nodes[order], score[order]
+            if isinstance(atoms[at], str):
+                of, to = tree.step(nodes, ord(atoms[at]))
+                if len(of):
+                    ends[at + 1].append((to, score[of]))
                 continue
-            go(at + 1, at, every, score + UNKNOWN, np.full(len(score), ord(LOST)))
-            most = score + 1.5 * np.log1p(count)
-            edges = self._edges(atoms, at, sizes)
-            for k in range(0, len(score), CHUNK):
-                part = slice(k, k + CHUNK)
-                rows = self._after(a[part], b[part])  # which may renew the table
-                costs = self._rows[rows]
-                for taken, pattern, cost in edges:
-                    columns = self._fit(pattern)
-                    x = costs[:, columns]
-                    i, j = np.nonzero(x + ahead[at + taken][columns] >= (floor - SLACK + cost - most[part])[:, None])
+            if edges[at]:
+                of, letter, to = tree.branch(nodes)
+                for taken, pattern, price in edges[at]:
+                    i = np.flatnonzero(_fits(pattern, letter))
                     if len(i):
-                        go(at + taken, at, i + k, score[i + k] + x[i, j] - cost, self._known[columns[j]])
-        score, a, b, *_ = kept[n] = self._kept(ends[n], floor, ahead[n])
-        score = score + self.frequencies.letters_after(a, b, 3)
-
-        def word(i: int) -> str:
-            out, at = [], n
-            while at > 0:
-                out.append(chr(kept[at][2][i]))
-                at, i = int(kept[at][6][i]), int(kept[at][7][i])
-            return "".join(reversed(out))
-
-        best: tuple[float, str] = (-math.inf, "")
-        most = score + 1.5 * np.log1p(kept[n][5])
-        for i in np.argsort(-most, kind="stable").tolist():
-            if most[i] < best[0]:
-                break
-            text = word(i)
-            best = max(best, (float(score[i]) + 1.5 * math.log1p(min(self.frequencies.count(text), float(kept[n][5][i]))), text))
+                        ends[at + taken].append((to[i], score[of[i]] - price))
         return best
 
-    def token(self, atoms: list, sizes: tuple[int, ...] = (3, 2)) -> str:
+    def token(self, atoms: list, script: str = "ml") -> str:
         """The likeliest word of characters, bytes and lost bytes (-1); LOST where no letter is known to fit."""
-        key = (tuple(atoms), sizes)
+        key = (tuple(atoms), script)
         if key not in self._tokens:
             if len(self._tokens) > 100_000:
                 self._tokens.clear()
-            ahead, floor = self._ahead(atoms, sizes), self._quick(atoms, sizes)[0]
-            if sum(not isinstance(x, str) for x in atoms) > 2:
-                floor = max(floor, self._search(atoms, sizes, ahead, floor, WIDTH)[0])
-            self._tokens[key] = self._search(atoms, sizes, ahead, floor)[1]
+            edges = self.edges(key[0], (3, 2) if script == "latn" else (3,))
+            score, text = self.listed(key[0], edges)
+            self._tokens[key] = self.spelled(key[0], edges, script, score)[1] or text
         return self._tokens[key]
 
     def text(self, pieces: Pieces) -> str:
         """Text of the pieces with damaged words searched for."""
         atoms: list = []
-        for sound, data in pieces:
-            atoms += [-1 if c == LOST else c for c in sound]
-            if data:
+        for _, fixed, data in pieces:
+            if data is None:
+                atoms += [-1 if c == LOST else c for c in fixed]
+            else:
                 raw = bytes([b if b >= 0 else 0x1A for b in data])
                 for m in _ATOM.finditer(raw):
                     part = m.group()
@@ -560,13 +586,12 @@ class Decoder:
                         atoms += [-1 if c == "\x1a" else c for c in part.decode()]
                     except ValueError:
                         atoms += part
-        wide = sum(isinstance(x, str) and x >= "\u0800" and not "\u1e00" <= x <= "\u206f" for x in atoms)
-        sizes = (3,) if wide * 4 > len(atoms) else (3, 2)
+        whole = _script(atoms) or "ml"
         out, word = [], []
         for x in [*atoms, " "]:
             if isinstance(x, str) and (x.isspace() or x in ".,!?;:()\"“”‘’"):
                 if word:
-                    out.append("".join(word) if all(isinstance(c, str) for c in word) else self.token(word, sizes))
+                    out.append("".join(word) if all(isinstance(c, str) for c in word) else self.token(word, _script(word) or whole))
                 out.append(x)
                 word = []
             else:
@@ -574,25 +599,31 @@ class Decoder:
         return "".join(out)[:-1]
 
 
-def likelier(frequencies, old: str, new: str) -> bool:  # noqa: ANN001
-    """Whether the words that a repair changed are likelier, by letter, than those that it took away."""
-    a, b = set(old.split()), set(new.split())
-    gone, come = a - b, b - a
-    mean = lambda words: sum(map(frequencies.word, words)) / max(1, sum(len(w) + 1 for w in words))
-    return mean(come) > mean(gone)
+_LEADS = {0xB4: "ml", 0xB5: "ml", 0xA4: "hi", 0xA5: "hi", 0xAE: "ta", 0xAF: "ta"}
 
 
-def judged(text: str, frequencies) -> tuple[str, bool, Pieces]:  # noqa: ANN001
-    """As undo, but small repairs count only if the corpus has what they give: whether a text is damaged, for all operators."""
-    fixed, damaged, pieces = undo(text)
-    if damaged and LOST not in fixed and sum(a != b for a, b in zip(text, fixed, strict=False)) and len(text) - len(fixed) <= 6 and not likelier(frequencies, text, fixed):
-        return text, False, [(text, [])]
-    return fixed, damaged, pieces
+def _script(atoms: list) -> str:
+    """The script of most letters of a word or text, whole or cut; empty if none tells."""
+    held = dict.fromkeys(_ALPHABETS, 0)
+    for i, x in enumerate(atoms):
+        if isinstance(x, str):
+            code = ord(x)
+            if code < 0x250 or 0x1E00 <= code <= 0x1EFF:
+                held["latn"] += x.isalpha()
+            else:
+                for name in ("ml", "hi", "ta"):
+                    held[name] += _within(code, _ALPHABETS[name])
+        elif x == 0xE0 and i + 1 < len(atoms) and atoms[i + 1] in _LEADS:
+            held[_LEADS[atoms[i + 1]]] += 1
+        elif x != -1 and (0xC3 <= x <= 0xCD or x == 0xE1):
+            held["latn"] += 1
+    most = max(held, key=held.__getitem__)
+    return most if held[most] else ""
 
 
 def repair(text: str, decoder: Decoder) -> tuple[str, bool, bool]:
     """(text as it was, whether it was damaged, whether all of it is back)."""
-    fixed, damaged, pieces = judged(text, decoder.frequencies)
+    fixed, damaged, pieces = undo(text, decoder.frequencies)
     if not damaged:
         return text, False, True
     if LOST in fixed:

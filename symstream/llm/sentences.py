@@ -201,7 +201,7 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str, sample: int = SAM
     screen = mojibake.suspicious()
     tables = frequencies.load(frequencies.count_corpus(df, list(corpus_cols) or [text_col], screen))
     known = frequencies.Frequencies(tables.value)
-    model = train([t for t in sampling.texts(rows, "k", "t", sample) if not mojibake.judged(t, known)[1]])
+    model = train([t for t in sampling.texts(rows, "k", "t", sample) if not mojibake.undo(t, known)[1]])
     shared = rows.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str, sample: int = SAM
             at, starts, ends = [], [], []
             suspects = pc.match_substring_regex(b.column(1), screen).to_pylist()
             for i, text in enumerate(b.column(1).to_pylist()):
-                if not (suspects[i] and mojibake.judged(text, known)[1]):
+                if not (suspects[i] and mojibake.undo(text, known)[1]):
                     spans = splitter.split(text)
                     at += [i] * len(spans)
                     starts += [s for s, _ in spans]
