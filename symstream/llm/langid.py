@@ -1,14 +1,14 @@
 """Missing or wrong language labels (problem 5).
 
-Hierarchical discrimination. Words are scored by linear support vector machines over their letter n-grams: machines of the families
-(Dravidian, Indo-European, Sinitic) first, then one machine for each pair of close languages within a family. Scores add up over a
+Hierarchical discrimination. Words are scored by linear support vector machines over their letter n-grams and their script: machines of
+the families (Dravidian, Indo-European, Sinitic) first, then one machine for each pair of languages within a family. Scores add up over a
 clause; clauses in a row are labelled together by Viterbi search, so that a short one follows its neighbours. Machines are trained on
-labelled rows, whose wrong labels are found by a first fit and left out of a second. Words of a script that only one language of the
-corpora is written in need no machine; damaged text is repaired first.
+labelled rows of all fields, whose wrong labels are found by a first fit and left out of a second. Damaged text is repaired first.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -17,44 +17,50 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import canonical, frequencies, mojibake, sampling
 
 # --- fixed values: languages by script and family -----------------------------------------------------------------------
-#: Scripts of one language each.
+#: Scripts besides the Latin one, by the code of the language that is written in it.
 SCRIPT_OF = {"ml": "\u0d00-\u0d7f", "hi": "\u0900-\u097f", "ta": "\u0b80-\u0bff", "zh": "\u3400-\u9fff"}
-#: Languages written with Latin letters, by family.
-FAMILIES = {"dravidian": ("ml-latn", "ta-latn"), "indo-european": ("en", "hi-latn"), "sinitic": ("zh-latn",)}
+#: Languages by family.
+FAMILIES = {"dravidian": ("ml", "ta", "ml-latn", "ta-latn"), "indo-european": ("en", "hi", "hi-latn"), "sinitic": ("zh", "zh-latn")}
 #: A language belongs to a text that has at least this part of its words.
 PART = 1 / 6
 NO_WORDS = "zxx"
 # ------------------------------------------------------------------------------------------------------------------------
-LATIN = tuple(x for langs in FAMILIES.values() for x in langs)
-PAIRS = tuple((langs[0], langs[1]) for langs in FAMILIES.values() if len(langs) == 2)
+LANGS = tuple(x for langs in FAMILIES.values() for x in langs)
+NATIVE = tuple(x for x in LANGS if x in SCRIPT_OF)
+LATIN = tuple(x for x in LANGS if x not in SCRIPT_OF)
+PAIRS = tuple(pair for langs in FAMILIES.values() for pair in itertools.combinations(langs, 2))
 #: Rows of each label in the training sample.
 SAMPLE = 700
 #: What a change of language from clause to clause costs, in units of the scores.
 SWITCH = 3.0
+#: What a word's script speaks for the language that it is named for, in units of the scores, before the machines are asked.
+PRIOR = 1.0
 #: Words of a group whose scores are compared with those of the whole clause.
 GROUP = 5
 _ALIKE = str.maketrans("".join(a for a, _ in canonical.LOOK_ALIKE), "".join(b for _, b in canonical.LOOK_ALIKE))
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_NATIVE = {name: re.compile(f"[{chars}]") for name, chars in SCRIPT_OF.items()}
-_ANY_NATIVE = re.compile("[" + "".join(SCRIPT_OF.values()) + "]")
+_NATIVE = re.compile("|".join(f"(?P<{name}>[{chars}])" for name, chars in SCRIPT_OF.items()))
 _LETTER = re.compile(r"[^\W\d_]")
-#: Pieces of one script: signs of the scripts, other letters with their marks and signs, and what stands between clauses.
+#: Pieces of one script: words of the scripts, other letters with their marks and signs, and what stands between clauses.
+_MORE = "(?: [{0}][{0}\u200b-\u200d\u2060]*)*"
 _PIECE = re.compile(
-    "|".join(f"(?P<{name}>[{chars}][{chars}\u200b-\u200d\u2060]*)" for name, chars in SCRIPT_OF.items())
+    "|".join(f"(?P<{name}>[{chars}][{chars}\u200b-\u200d\u2060]*{_MORE.format(chars)})" for name, chars in SCRIPT_OF.items())
     + r"|(?P<end>[.!?,;:\u2026\u0964\u3002\uff01\uff1f\uff0c\u3001]+(?=\s|$)|\n+|[\u0964\u3002\uff01\uff1f])|(?P<other>[^\s" + "".join(SCRIPT_OF.values()) + "]+)"
 )
 
 
 def ngrams(word: str) -> list[str]:
-    """A word's features: itself, and its runs of one to four letters."""
+    """A word's features: itself, its script, and its runs of one to four letters."""
     w = f"^{word}$"
-    return [w, *[w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)], *word]
+    script = _NATIVE.search(word)
+    return [w, f"\x01{script.lastgroup if script else 'latin'}", *[w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)], *word]
 
 
 def plain(word: str) -> str:
@@ -63,74 +69,109 @@ def plain(word: str) -> str:
     return word if _LETTER.search(word) else ""
 
 
-class Machine:
-    """A linear support vector machine over words: the mean score of a text's features."""
+def _native_words(kind: str, piece: str) -> list[str]:
+    words = piece.split(" ")
+    return [w[i : i + 2] for w in words for i in range(0, len(w), 2)] if kind == "zh" else words
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
 
-    def word(self, features: list[str]) -> float:
-        known = self.weights
-        return sum([known.get(f, 0.0) for f in features]) / len(features) ** 0.5 + self.bias
+def words_of(text: str) -> list[str]:
+    """The words of a text as the machines take them; Chinese ones are of two signs."""
+    out = []
+    for m in _PIECE.finditer(text):
+        kind, raw = m.lastgroup, m.group()
+        if kind == "other":
+            out.append(plain(raw))
+        elif kind != "end":
+            out += _native_words(kind, raw)
+    return [w for w in out if w]
 
 
-def fit(rows: list[dict[str, float]], labels: np.ndarray, weights: np.ndarray, rounds: int = 40, shrink: float = 1e-5) -> Machine:
-    """Squared hinge loss by scaled gradient steps; rows are texts as features with values, labels are 1 and -1."""
-    counts: dict[str, int] = {}
-    for r in rows:
-        for f in r:
-            counts[f] = counts.get(f, 0) + 1
-    index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))}
-    pairs = [[(0, 1.0), *((index[f], v) for f, v in r.items() if f in index)] for r in rows]
-    of = np.repeat(np.arange(len(rows)), np.array([len(p) for p in pairs], np.int64))
-    columns = np.array([c for p in pairs for c, _ in p], np.int64)
-    values = np.array([v for p in pairs for _, v in p])
-    w, seen = np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-10)
-    for _ in range(rounds if rows else 0):
-        slack = np.maximum(0.0, 1 - labels * np.bincount(of, values * w[columns], len(rows)))
-        g = np.bincount(columns, (-labels * slack * weights)[of] * values, len(w)) / weights.sum() + shrink * w
-        seen += g * g
-        w -= 0.3 * g / np.sqrt(seen)
-    return Machine({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-5}, float(w[0]))
+class Rows:
+    """Texts as words and words as features, in arrays: a text's score is the mean of its words', a word's the sum of its features'."""
 
-
-def _vector(words: list[str]) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for w in words:
-        features = ngrams(w)
-        for f in features:
-            out[f] = out.get(f, 0.0) + 1 / (len(features) ** 0.5 * len(words))
-    return out
+    def __init__(self, texts: list[list[str]]) -> None:
+        words: dict[str, int] = {}
+        bags = [words.setdefault(w, len(words)) for text in texts for w in text]
+        self.size = len(texts)
+        lengths = np.array([len(text) for text in texts], np.int64)
+        self.text_of, self.word = np.repeat(np.arange(len(texts)), lengths), np.array(bags, np.int64)
+        self.share = np.repeat(1 / np.maximum(lengths, 1), lengths)
+        index: dict[str, int] = {}
+        lists = [[index.setdefault(f, len(index)) for f in ngrams(w)] for w in words]
+        counts = np.array([len(x) for x in lists], np.int64)
+        feature, of = np.array([i for x in lists for i in x], np.int64), np.repeat(np.arange(len(lists)), counts)
+        # of features that stand in one place of the sample nothing can be learned
+        known = np.bincount(feature, np.bincount(self.word, minlength=len(words))[of], len(index)) >= 2
+        self.features = [f for f, keep in zip(index, known.tolist(), strict=True) if keep]
+        kept = known[feature] if len(feature) else np.zeros(0, bool)
+        self.feature, self.of, self.value = (np.cumsum(known) - 1)[feature[kept]], of[kept], np.repeat(1 / np.sqrt(np.maximum(counts, 1)), counts)[kept]
+        self.n_words = len(words)
+
+    def fit(self, chosen: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int, shrink: float = 1e-5) -> tuple[np.ndarray, float]:
+        """Weights of the features, and a bias: squared hinge loss by scaled gradient steps over the chosen texts; labels are 1 and -1."""
+        place = np.full(self.size, -1)
+        place[chosen] = np.arange(len(chosen))
+        inside = place[self.text_of] >= 0
+        text_of, word, share = place[self.text_of[inside]], self.word[inside], self.share[inside]
+        wide, n = len(self.features), len(chosen)
+        w, bias, seen, seen_bias = np.zeros(wide), 0.0, np.full(wide, 1e-10), 1e-10
+        for _ in range(rounds if n and wide else 0):
+            of_words = np.bincount(self.of, self.value * w[self.feature], self.n_words)
+            slack = -labels * np.maximum(0.0, 1 - labels * (np.bincount(text_of, share * of_words[word], n) + bias)) * weights / weights.sum()
+            of_words = np.bincount(word, share * slack[text_of], self.n_words)
+            g, g_bias = np.bincount(self.feature, self.value * of_words[self.of], wide) + shrink * w, slack.sum() + shrink * bias
+            seen += g * g
+            seen_bias += g_bias * g_bias
+            w -= 0.3 * g / np.sqrt(seen)
+            bias -= 0.3 * g_bias / math.sqrt(seen_bias)
+        return w, bias
 
 
 class Model:
-    """Machines of the families and of the pairs; scores of words, kept for words that come again."""
-
-    def __init__(self, families: dict[str, Machine], pairs: dict[tuple[str, str], Machine]) -> None:
-        self.families, self.pairs = families, pairs
-        self.known: dict[str, tuple[float, ...]] = {}
-
-    def scores(self, word: str) -> tuple[float, ...]:
-        """A score for each Latin-script language: that of its family, and its side of the pair."""
-        out = self.known.get(word)
-        if out is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            features = ngrams(word)
-            by: dict[str, float] = {}
-            for family, langs in FAMILIES.items():
-                score = self.families[family].word(features)
-                for x in langs:
-                    by[x] = score
-            for (a, b), machine in self.pairs.items():
-                side = machine.word(features)
-                by[a] += min(0.0, side)
-                by[b] -= max(0.0, side)
-            out = self.known[word] = tuple(by[x] for x in LATIN)
+    """The machines, a column each: those of the families, then those of the pairs; scores of words, kept for words that come again."""
+
+    def __init__(self, features: list[str], weights: np.ndarray, biases: np.ndarray) -> None:
+        self.index = {f: i for i, f in enumerate(features)}
+        self.weights, self.biases = weights, biases
+        self.places: dict[str, int] = {}
+        self.latin: dict[str, int] = {}  # words as written, in Latin letters; -1 of those without a letter
+        self.table = np.empty((1024, len(LANGS)), np.float32)
+        families = list(FAMILIES.values())
+        self._family = np.array([next(i for i, langs in enumerate(families) if x in langs) for x in LANGS])
+        self._first, self._second = (np.array([LANGS.index(p[k]) for p in PAIRS]) for k in (0, 1))
+
+    def scores(self, word: str) -> np.ndarray:
+        """A score for each language: that of its family, less what speaks for others in the machines of its pairs."""
+        features = ngrams(word)
+        known = [i for i in map(self.index.get, features) if i is not None]
+        side = self.weights[known].sum(axis=0) / len(features) ** 0.5 + self.biases
+        out = side[self._family]
+        pairs = side[len(FAMILIES) :]
+        np.add.at(out, self._first, np.minimum(0.0, pairs))
+        np.subtract.at(out, self._second, np.maximum(0.0, pairs))
+        if script := _NATIVE.search(word):
+            out[LANGS.index(script.lastgroup)] += PRIOR
         return out
 
+    def place(self, word: str) -> int:
+        """Row of the table that holds a word's scores."""
+        at = self.places.get(word)
+        if at is None:
+            at = self.places[word] = len(self.places)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[at] = self.scores(word)
+        return at
+
+    def forget(self) -> None:
+        """Bounds what is kept; between texts only."""
+        if max(len(self.places), len(self.latin)) > 300_000:
+            self.places.clear()
+            self.latin.clear()
+
     def best(self, words: list[str]) -> str:
-        return LATIN[int(np.argmax(np.sum([self.scores(w) for w in words], axis=0)))]
+        rows = [self.place(w) for w in words]
+        return LANGS[int(self.table[rows].sum(axis=0).argmax())]
 
 
 def _balance(labels: np.ndarray) -> np.ndarray:
@@ -138,133 +179,135 @@ def _balance(labels: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: list[tuple[str, str]], counts: dict[str, int]) -> Model:
-    """Machines from (text, label) rows of single Latin-script languages; counts: rows of each label in the whole table.
+    """Machines from (text, label) rows of single languages; counts: rows of each label in the whole table.
 
     Most rows with the label of a rare language may be wrong ones of a common language. The first fit weighs rows as often as their
     label occurs, so that such rows count little against the right ones; rows that it gives another language are left out.
     """
-    rows = [([w for w in map(plain, t.split()) if w], label) for t, label in labelled if not _ANY_NATIVE.search(t)]
-    rows = [(w, label) for w, label in rows if w]
-    vectors = [_vector(w) for w, _ in rows]
+    texts = [(words_of(t), label) for t, label in labelled]
+    texts = [(w, label) for w, label in texts if w]
     for last in (False, True):
-        of = np.array([label for _, label in rows])
-        drawn = {x: int((of == x).sum()) for x in LATIN} if len(rows) else {}
-        natural = np.array([counts[x] / drawn[x] for x in of])
-
-        def machine(chosen: np.ndarray, y: np.ndarray) -> Machine:
-            weights = _balance(y) if last else natural[chosen]  # noqa: B023
-            return fit([vectors[i] for i in chosen], y, weights, rounds=40 if last else 25)  # noqa: B023
-
-        every = np.arange(len(rows))
-        families = {f: machine(every, np.where(np.isin(of, langs), 1.0, -1.0) if len(rows) else np.zeros(0)) for f, langs in FAMILIES.items()}
-        pairs = {}
+        rows, of = Rows([w for w, _ in texts]), np.array([label for _, label in texts], object)
+        drawn = {x: int((of == x).sum()) for x in LANGS}
+        natural = np.array([counts[x] / drawn[x] for x in of], np.float64)
+        machines = []
+        for langs in FAMILIES.values():
+            machines.append((np.arange(len(of)), np.where(np.isin(of, langs), 1.0, -1.0)))
         for a, b in PAIRS:
-            chosen = np.flatnonzero((of == a) | (of == b)) if len(rows) else every
-            pairs[a, b] = machine(chosen, np.where(of[chosen] == a, 1.0, -1.0) if len(rows) else np.zeros(0))
-        model = Model(families, pairs)
+            chosen = np.flatnonzero((of == a) | (of == b))
+            machines.append((chosen, np.where(of[chosen] == a, 1.0, -1.0)))
+        fitted = [rows.fit(chosen, y, _balance(y) if last else natural[chosen], 40 if last else 25) for chosen, y in machines]
+        model = Model(rows.features, np.stack([w for w, _ in fitted], axis=1).astype(np.float32), np.array([b for _, b in fitted], np.float32))
         if not last:
-            kept = [i for i, (w, label) in enumerate(rows) if model.best(w) == label]
-            rows, vectors = [rows[i] for i in kept], [vectors[i] for i in kept]
+            texts = [(w, label) for w, label in texts if model.best(w) == label]
     return model
 
 
 class Identifier:
     """Languages of texts, and of their stretches."""
 
-    def __init__(self, model: Model, latin: tuple[str, ...]) -> None:
-        """latin: the languages that text in Latin letters may be in here; if it is one, no machine is asked."""
-        self.model, self.latin = model, latin
-        self.places = [LATIN.index(x) for x in latin]
-        self._plain: dict[str, str] = {}
-
-    def _clauses(self, text: str) -> list[tuple[int, int, str | None, int, list[tuple[int, int, str]]]]:
-        """(start, end, language if the script tells it, number of words, Latin words) of each clause of one script."""
+    def __init__(self, model: Model, allowed: tuple[str, ...]) -> None:
+        """allowed: the languages that the labels of the text column know, its own one first; if none has Latin letters, or none others, all of these."""
+        self.model, self.allowed = model, allowed
+        self._of = {}
+        for latin, langs in ((True, LATIN), (False, NATIVE)):
+            names = [x for x in langs if x in allowed] or list(langs)
+            self._of[latin] = np.array([LANGS.index(x) for x in names]), names, np.array([LANGS.index(x) for x in langs])
+
+    def _clauses(self, text: str) -> tuple[list[list], list[int], list[tuple[int, int]]]:
+        """(start, end, whether in Latin letters, script, number of words, first and last of its scored words) of each clause of one script;
+        rows of the model's table of the scored words; their places.
+        """
         out: list[list] = []
+        rows: list[int] = []
+        spans: list[tuple[int, int]] = []
         open_ = False
+        place, known = self.model.place, self.model.latin
         for m in _PIECE.finditer(text):
             kind = m.lastgroup
             if kind == "end":
                 open_ = False
                 continue
+            start, end = m.span()
+            raw = m.group()
             if kind == "other":
-                raw = m.group()
-                word = self._plain.get(raw)
-                if word is None:
-                    if len(self._plain) > 300_000:
-                        self._plain.clear()
-                    word = self._plain[raw] = plain(raw)
-                if word or mojibake.LOST in raw:
-                    if open_ and out[-1][2] is None:
-                        out[-1][1] = m.end()
+                row = known.get(raw)
+                if row is None:
+                    word = plain(raw)
+                    row = known[raw] = place(word) if word else -1
+                if row >= 0 or mojibake.LOST in raw:
+                    if open_ and out[-1][2]:
+                        out[-1][1] = end
                     else:
-                        out.append([m.start(), m.end(), None, 0, []])
-                    if word:
-                        out[-1][3] += 1
-                        out[-1][4].append((m.start(), m.end(), word))
+                        out.append([start, end, True, kind, 0, len(rows), len(rows)])
+                    if row >= 0:
+                        out[-1][4] += 1
+                        rows.append(row)
+                        spans.append((start, end))
+                        out[-1][6] = len(rows)
                     open_ = True
                 if raw[-1] in ".!?,;:\u2026":
                     open_ = False
+                continue
+            pieces = _native_words(kind, raw)
+            words = len(pieces)
+            if kind != "zh" and start and out and out[-1][3] == kind and out[-1][1] >= start - 2 and not text[start - 1].isspace():
+                words -= 1  # one word, interrupted by a sign
+            if open_ and out[-1][3] == kind:
+                out[-1][1] = end
+                out[-1][4] += words
             else:
-                words = 1 if kind != "zh" else (m.end() - m.start() + 1) // 2
-                if m.start() and not text[m.start() - 1].isspace() and out and out[-1][2] == kind and out[-1][1] >= m.start() - 2:
-                    words = 0 if kind != "zh" else words  # one word, interrupted by a sign
-                if open_ and out[-1][2] == kind:
-                    out[-1][1] = m.end()
-                    out[-1][3] += words
-                else:
-                    out.append([m.start(), m.end(), kind, words, []])
-                open_ = True
-        return [tuple(x) for x in out]
-
-    def _units(self, clause: tuple) -> list[tuple[int, int, str | None, int, list[float]]]:
-        """The clause with its summed scores; in parts, if languages change within it (where punctuation was lost)."""
-        start, end, lang, n, words = clause
-        if lang is not None or len(self.latin) == 1:
-            return [(start, end, lang, n, [])]
-        scored = [self.model.scores(w) for _, _, w in words]
-        groups = [[sum(x) for x in zip(*scored[i : i + GROUP], strict=True)] for i in range(0, len(scored), GROUP)]
-        total = [sum(x) for x in zip(*groups, strict=True)] if groups else [0.0] * len(LATIN)
-        total = [total[p] for p in self.places]
-        if len(groups) > 1:
-            best = self.places[total.index(max(total))]
-            if any(max(g) - g[best] > SWITCH / 2 for g in groups):
-                path = self._viterbi([[t[p] for p in self.places] for t in scored])
-                cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
-                if len(cuts) > 2:
-                    out = []
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        sums = [sum(x) for x in zip(*scored[a:b], strict=True)]
-                        out.append((words[a][0], words[b - 1][1], None, b - a, [sums[p] for p in self.places]))
-                    return out
-        return [(start, end, lang, n, total)]
+                out.append([start, end, False, kind, words, len(rows), len(rows)])
+            rows += map(place, pieces)
+            spans += [(start, end)] * len(pieces)
+            out[-1][6] = len(rows)
+            open_ = True
+        return out, rows, spans
 
     def stretches(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, words) of each stretch in one language."""
-        clauses = [u for c in self._clauses(text) for u in self._units(c)]
+        self.model.forget()
+        clauses, rows, spans = self._clauses(text)
         if not clauses:
             return []
-        langs: list[str | None] = [c[2] for c in clauses]
-        gaps = [9.0] * len(clauses)
-        asked = [i for i, x in enumerate(langs) if x is None]
-        if len(self.latin) == 1:
-            for i in asked:
-                langs[i] = self.latin[0]
-        elif asked:
-            sums = [clauses[i][4] for i in asked]
-            firsts = {s.index(max(s)) for s in sums}
-            chosen = [s.index(max(s)) for s in sums] if len(firsts) == 1 else self._viterbi(sums)
-            for i, s, x in zip(asked, sums, chosen, strict=True):
-                langs[i] = self.latin[x]
-                others = [v for j, v in enumerate(s) if j != x]
-                gaps[i] = s[x] - max(others)
+        scores = self.model.table[rows]
+        sums = np.concatenate([np.zeros((1, len(LANGS)), np.float64), scores.cumsum(axis=0, dtype=np.float64)])
+        units: list[tuple[int, int, bool, int, np.ndarray]] = []
+        for start, end, latin, _, n, a, b in clauses:
+            total = sums[b] - sums[a]
+            if latin and b - a > GROUP and len(self._of[True][0]) > 1:
+                places = self._of[True][0]
+                cuts = [*range(a, b, GROUP), b]
+                groups = (sums[cuts[1:]] - sums[cuts[:-1]])[:, places]
+                best = int(total[places].argmax())
+                if (groups.max(axis=1) - groups[:, best]).max() > SWITCH / 2:  # languages change within it (where punctuation was lost)
+                    path = self._viterbi(scores[a:b, places].tolist())
+                    cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+                    if len(cuts) > 2:
+                        units += [(spans[a + i][0], spans[a + j - 1][1], True, j - i, sums[a + j] - sums[a + i]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                        continue
+            units.append((start, end, latin, n, total))
+        langs: list[str] = [""] * len(units)
+        for latin in (True, False):
+            places, names, _ = self._of[latin]
+            asked = [i for i, u in enumerate(units) if u[2] is latin]
+            if asked:
+                found = np.stack([units[i][4] for i in asked])[:, places]
+                firsts = found.argmax(axis=1)
+                if latin and len(asked) > 1 and (firsts != firsts[0]).any():
+                    firsts = self._viterbi(found.tolist())
+                for i, x in zip(asked, firsts, strict=True):
+                    langs[i] = names[x]
         out: list[list] = []
-        for c, lang, gap in zip(clauses, langs, gaps, strict=True):
+        for (start, end, latin, n, total), lang in zip(units, langs, strict=True):
+            at, rivals = LANGS.index(lang), self._of[latin][2]
+            gap = float(total[at] - total[rivals[rivals != at]].max())
             if out and out[-1][2] == lang:
-                out[-1][1] = c[1]
+                out[-1][1] = end
                 out[-1][3] += gap
-                out[-1][4] += c[3]
+                out[-1][4] += n
             else:
-                out.append([c[0], c[1], lang, gap, c[3]])
+                out.append([start, end, lang, gap, n])
         return [(a, b, lang, round(1 / (1 + math.exp(-max(-30.0, min(30.0, gap)))), 4), n) for a, b, lang, gap, n in out]
 
     def _viterbi(self, sums: list[list[float]]) -> list[int]:
@@ -284,7 +327,8 @@ class Identifier:
     def label(self, text: str, damaged: bool = False) -> tuple[str, float, list[tuple[int, int, str, float, int]]]:
         """The text's label (languages with at least a sixth of the words, joined by +), its confidence, its stretches.
 
-        What is left of a misreading in two-byte signs is no Chinese: in a damaged text of another language it doesn't count.
+        What is left of a misreading in two-byte signs is no Chinese: in a damaged text of another language it doesn't count. A text of
+        which nothing but lost bytes is left has the column's own language, with a confidence of a half.
         """
         found = self.stretches(text)
         if damaged and any(x != "zh" and n for _, _, x, _, n in found):
@@ -297,7 +341,7 @@ class Identifier:
         total = sum(words.values())
         if not total:
             lost = mojibake.LOST in text
-            return (self.latin[0] if lost and len(self.latin) > 1 else "ml" if lost else NO_WORDS), 0.5 if lost else 1.0, []
+            return (self.allowed[0] if lost else NO_WORDS), 0.5 if lost else 1.0, []
         held = sorted(x for x, n in words.items() if n and n >= total * PART - 1e-9)
         return "+".join(held), min(sure[x] for x in held), found
 
@@ -306,29 +350,38 @@ def _blank(texts: pa.Array) -> pa.Array:
     return pc.invert(pc.match_substring_regex(texts, r"[^\s\x{0085}\p{Z}]"))
 
 
-def identify(df: DataFrame, id_col: str, fields: dict[str, str], latin_of: dict[str, tuple[str, ...]], train_field: str, stretches: bool = False, sample: int = SAMPLE) -> DataFrame:
+_KEPT: dict[int, tuple] = {}
+
+
+def _loaded(shared: Broadcast, tables: Broadcast, allowed: tuple[tuple[str, ...], ...]) -> tuple[list[Identifier], frequencies.Frequencies]:
+    """Identifiers and frequencies; a worker keeps them, with the words they have scored, from task to task."""
+    if _KEPT.get(0, (None,))[0] is not shared.value:
+        own = Model(*shared.value)
+        _KEPT[0] = shared.value, [Identifier(own, x) for x in allowed], frequencies.Frequencies(tables.value)
+    return _KEPT[0][1:]
+
+
+def identify(df: DataFrame, id_col: str, fields: dict[str, str], allowed_of: dict[str, tuple[str, ...]], stretches: bool = False, sample: int = SAMPLE) -> DataFrame:
     """The language of each text.
 
-    fields: text column to label column. latin_of: for each text column the languages that its Latin letters may be in.
+    fields: text column to label column. allowed_of: for each text column the languages that its labels know, its own one first.
     Gives id, field_name, given (its label, may be null), lang, confidence; with ``stretches`` a row for each stretch of one
     language: id, field_name, start_pos, end_pos (code points of the text, of the repaired one if it was damaged), lang,
     confidence. Null, empty and blank texts give no row; a text without words has the language zxx. The machines are trained on
-    about ``sample`` rows of each label of ``train_field``. Damage is judged as by garbled.restore of the same columns.
+    about ``sample`` rows of each label. Damage is judged as by garbled.restore of the same columns.
     """
     names = list(fields)
     rows = df.select(F.col(id_col).alias("k"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(names)), *(F.col(fields[c]).alias(f"g{i}") for i, c in enumerate(names)))
-    at = names.index(train_field)
-    labelled, counts = sampling.by_label(rows, "k", f"g{at}", f"t{at}", list(LATIN), sample)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"t{i}").alias("text"), F.col(f"g{i}").alias("label")) for i in range(len(names)))))
+    labelled, counts = sampling.by_label(rows.select("k", each.alias("x")).select(F.struct("k", "x.field").alias("k"), "x.text", "x.label"), "k", "label", "text", list(LANGS), sample)
     screen = mojibake.suspicious()
     tables = frequencies.load(frequencies.count_corpus(df, names, screen))
     known = frequencies.Frequencies(tables.value)
     model = train([(t, g) for t, g in labelled if not mojibake.undo(t, known)[1]], counts)
-    shared = rows.sparkSession.sparkContext.broadcast(({x: (m.weights, m.bias) for x, m in model.families.items()}, {x: (m.weights, m.bias) for x, m in model.pairs.items()}))
+    shared = rows.sparkSession.sparkContext.broadcast((list(model.index), model.weights, model.biases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families, pairs = shared.value
-        own = Model({x: Machine(*m) for x, m in families.items()}, {x: Machine(*m) for x, m in pairs.items()})
-        by, known = [Identifier(own, latin_of[c]) for c in names], frequencies.Frequencies(tables.value)
+        by, known = _loaded(shared, tables, tuple(allowed_of[c] for c in names))
         for b in batches:
             ids = b.column(0)
             for i, name in enumerate(names):

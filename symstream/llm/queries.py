@@ -78,11 +78,12 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABEL_OF = {"malayalam_lines": "malayalam_lang", "transliterated_lines": "transliterated_lang"}
-LATIN_OF = {"malayalam_lines": ("en",), "transliterated_lines": langid.LATIN}
+#: Labels of the native field know no romanised languages.
+ALLOWED_OF = {"malayalam_lines": ("ml", "en", "hi", "ta", "zh"), "transliterated_lines": ("ml-latn", *(x for x in langid.LANGS if x != "ml-latn"))}
 
 
 def _languages(spark: SparkSession, sf_dir: str, stretches: bool = False) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "evaluation"), "line_id", LABEL_OF, LATIN_OF, "transliterated_lines", stretches)
+    return langid.identify(table(spark, sf_dir, "evaluation"), "line_id", LABEL_OF, ALLOWED_OF, stretches)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

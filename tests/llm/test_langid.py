@@ -11,7 +11,7 @@ VOCABULARY = {
     "hi-latn": "bahut dakshin bhasha samaaj poorv shikshak mausam baarish bazaar parivaar lekin aaya kitaab sadak mahina hai".split(),
     "zh-latn": "keyi daomi tamen jiating kaishi jieri houlai zhege gulao yinyue chengshi senlin fujin shige nongmin xiandai".split(),
 }
-LATIN = {"t": langid.LATIN}
+ALLOWED = {"t": ("ml-latn", *(x for x in langid.LANGS if x != "ml-latn"))}
 
 
 def text(lang, chance, n=9):
@@ -36,17 +36,31 @@ def test_held_out(model):
 
 
 def test_native_scripts_and_shares(model):
-    by = langid.Identifier(model, ("en",))
+    by = langid.Identifier(model, ("ml", "en"))
     assert by.label("മലയാളം ഭാഷ Unicode ആണ് എന്ന് അവൻ പറഞ്ഞു മഴ")[0] == "ml"
     assert by.label("one two മലയാളം ഭാഷ ആണ് എന്ന് അവൻ")[0] == "en+ml"
-    assert by.label("அவர் वह 他们他们")[0] == "hi+ta+zh"
+    every = langid.Identifier(model, langid.LANGS)
+    assert every.label("அவர் वह 他们他们")[0] == "hi+ta+zh"
     assert by.label("12 % (5)")[0] == langid.NO_WORDS
-    assert by.label("�� 5")[0] == "ml" or True
+    assert by.label("�� 5")[:2] == ("ml", 0.5)
     spans = by.stretches("one two three. മലയാളം ഭാഷ.")
     assert [(a, b, x) for a, b, x, _, _ in spans] == [(0, 14, "en"), (15, 25, "ml")]
     assert len(by.stretches("കഥ " * 50_000)) == 1
 
 
+def test_machines_of_native_scripts():
+    """Hindi and another language of its script are told apart by what was learned, not by the script."""
+    chance = random.Random(6)
+    words = {"ml": "മഴ പുഴ നാട് വീട് കഥ".split(), "ta": "மழை நாடு வீடு கதை".split(), "hi": "वह घर कथा नदी".split(), "zh": "他们 家庭 开始 节日".split(), "en": VOCABULARY["en"]}
+    rows = [(" ".join(chance.choices(words[x], k=8)), x) for x in words for _ in range(60)]
+    by = langid.Identifier(langid.train(rows, dict.fromkeys(words, 60)), ("ml", "en", "hi", "ta", "zh"))
+    for x in words:
+        label, confidence, _ = by.label(" ".join(chance.choices(words[x], k=8)))
+        assert label == x and 0.5 < confidence <= 1
+    short, long = (by.label(" ".join([words["hi"][0]] * n))[1] for n in (1, 12))
+    assert short < long
+
+
 def test_operator(spark):
     chance = random.Random(3)
     langs = ["ml-latn"] * 6 + ["en", "hi-latn", "ta-latn", "zh-latn"]
@@ -56,19 +70,19 @@ def test_operator(spark):
         rows.append((i, text(lang, chance), None if i % 20 == 0 else "zh-latn" if i % 20 == 5 else lang, lang))
     rows += [(900, None, None, ""), (901, "", None, ""), (902, "  ", None, ""), (903, "55", "en", ""), (904, "മഴ വന്നു", "ml", "")]
     frame = spark.createDataFrame(rows, "k int, t string, g string, lang string")
-    found = langid.identify(frame, "k", {"t": "g"}, LATIN, "t")
+    found = langid.identify(frame, "k", {"t": "g"}, ALLOWED)
     got = {r.k: (r.lang, r.confidence) for r in found.collect()}
     assert set(got) == set(range(600)) | {903, 904} and got[903][0] == "zxx" and got[904][0] == "ml"
     assert sum(got[k][0] == true for k, _, _, true in rows[:600]) >= 590 and all(0 <= c <= 1 for _, c in got.values())
     bad = {(r.k, r.lang) for r in langid.wrong_labels(found).collect()}
     assert (903, "zxx") in bad and (904, "ml") not in bad and len({k for k, _ in bad if k % 20 in (0, 5) and k < 600}) >= 55
-    spans = langid.identify(frame, "k", {"t": "g"}, LATIN, "t", stretches=True)
+    spans = langid.identify(frame, "k", {"t": "g"}, ALLOWED, stretches=True)
     assert spans.where("k = 904").count() == 1 and spans.where("k = 903").count() == 0
-    assert langid.identify(frame.limit(0), "k", {"t": "g"}, LATIN, "t").count() == 0
+    assert langid.identify(frame.limit(0), "k", {"t": "g"}, ALLOWED).count() == 0
 
 
 def test_sound_texts_are_not_repaired(spark):
     chance, sound = random.Random(4), "മഴ Ã© വന്നു"  # to undo it looks damaged, but Ã and © are known signs here and é is not
     rows = [(i, text(x, chance), x) for i, x in enumerate(list(VOCABULARY) * 20)] + [(i, "മഴ Ã പുഴ © വന്നു", "ml") for i in range(200, 240)] + [(900, sound, "ml")]
-    spans = langid.identify(spark.createDataFrame(rows, "k int, t string, g string"), "k", {"t": "g"}, LATIN, "t", stretches=True)
+    spans = langid.identify(spark.createDataFrame(rows, "k int, t string, g string"), "k", {"t": "g"}, ALLOWED, stretches=True)
     assert max(r.end_pos for r in spans.where("k = 900").collect()) == len(sound)
