@@ -2,17 +2,21 @@
 
 Lines are brought to one form by SQL that DuckDB runs inside the Arrow batches of each partition: compatibility forms,
 invisible characters and look-alikes are mapped by ``translate``, ``regexp_replace`` and ``nfc_normalize``. Only a hash of
-the form and one of the stored text are shuffled to find lines that read alike.
+the form and one of the stored text are shuffled to find lines that read alike. One pass of DuckDB makes both; they are kept before
+they are used twice.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symstream.session import cut
+
 # --- fixed values: characters that look like others -------------------------------------------------------------------
 #: Cyrillic and Greek letters drawn like Latin ones, and the Latin letters.
 LOOK_ALIKE = (
@@ -28,14 +32,18 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-
 #: A Malayalam consonant, the virama and a zero-width joiner are the older spelling of the chillu.
 CHILLU = (("ണ", "ൺ"), ("ന", "ൻ"), ("ര", "ർ"), ("ല", "ൽ"), ("ള", "ൾ"), ("ക", "ൿ"))
 #: Malayalam sequences drawn like one letter or sign; those of the Unicode standard are composed by NFC.
-DRAWN_ALIKE = (("ഇൗ", "ഈ"), ("ഉൗ", "ഊ"), ("എെ", "ഐ"), ("ഒാ", "ഓ"), ("ഒൗ", "ഔ"), ("െെ", "ൈ"))
+DRAWN_ALIKE = (("ഇൗ", "ഈ"), ("ഉൗ", "ഊ"), ("എെ", "ഐ"), ("ഒാ", "ഓ"), ("ഒൗ", "ഔ"), ("െെ", "ൈ"), ("ൻ്റ", "ന്റ"))
 #: The figure four and the chillu of ra are drawn alike.
 FOUR, CHILLU_RA, MALAYALAM_DIGITS = "൪", "ർ", "൦൧൨൩൪൫൬൭൮൯"
-#: Half-width punctuation of East Asian text and its wide forms.
-NARROW = ("｡｢｣､･", "。「」、・")
+#: Blocks of narrow and wide forms, of ligatures of Latin letters, and of Roman figures, which are drawn like the signs they stand for.
+FORMS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0x2160, 0x217F))
 # ----------------------------------------------------------------------------------------------------------------------
 
-WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+
+def _forms() -> dict[str, str]:
+    """The signs of FORMS and what they stand for."""
+    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in FORMS for c in range(a, b + 1)}
+    return {a: b for a, b in pairs.items() if a != b and a not in "\u3164\uffa0"}
 
 
 def _quoted(text: str) -> str:
@@ -44,13 +52,20 @@ def _quoted(text: str) -> str:
 
 def canonical_sql(column: str) -> str:
     """A DuckDB expression of the one form of a text column."""
-    of = [SPACES, *(a for a, _ in LOOK_ALIKE), NARROW[0], WIDE[0]]
-    to = [" " * len(SPACES), *(b for _, b in LOOK_ALIKE), NARROW[1], WIDE[1]]
+    single = {a: b for a, b in _forms().items() if len(b) == 1}
+    several = {a: b for a, b in _forms().items() if len(b) > 1}
+    of = [SPACES, *(a for a, _ in LOOK_ALIKE), *single]
+    to = [" " * len(SPACES), *(b for _, b in LOOK_ALIKE), *single.values()]
     out = column
     for consonant, chillu in CHILLU:  # an invisible character may stand before the joiner
         out = f"replace({out}, {_quoted(consonant + chr(0xD4D) + chr(0x200D))}, {_quoted(chillu)})"
     out = f"regexp_replace({out}, {_quoted(INVISIBLE)}, '', 'g')"
     out = f"translate({out}, {_quoted(''.join(of))}, {_quoted(''.join(to))})"
+    whole = "x"
+    for form, letters in several.items():
+        whole = f"replace({whole}, {_quoted(form)}, {_quoted(letters)})"
+    held = _quoted("[" + "".join(several) + "]")
+    out = f"list_transform([{out}], lambda x: CASE WHEN regexp_matches(x, {held}) THEN {whole} ELSE x END)[1]"
     out = f"nfc_normalize({out})"
     for drawn, one in DRAWN_ALIKE:
         out = f"replace({out}, {_quoted(drawn)}, {_quoted(one)})"
@@ -96,17 +111,24 @@ def _hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _run(sql, batches), f"k {kind}, raw binary, form binary")
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs a < b of ids whose texts read the same but are stored in different characters.
+def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, form, spelling: a row for each text that another one reads like in other characters; those that read alike share the form.
 
-    Null and blank texts are no case; texts that are the same characters are no pair; repeated rows of an id count once.
-    Only forms that occur with at least two spellings reach the join, 16-byte hashes standing for the texts; a form that
-    very many rows share is split by the adaptive skew join.
+    Null and blank texts are no case; repeated rows of an id count once. Forms and spellings are hashes of 16 bytes. Which forms have two
+    spellings is found on the map side first; a form that very many rows share is split by the adaptive skew join.
     """
-    rows = _hashes(df, id_col, text_col)
+    rows = cut(_hashes(df, id_col, text_col))
     mixed = rows.groupBy("form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("form")
-    kept = rows.join(mixed, "form", "left_semi").distinct()
-    a = kept.select("form", F.col("k").alias("a"), F.col("raw").alias("raw_a"))
-    b = kept.select("form", F.col("k").alias("b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, "form").where("raw_a <> raw_b AND a < b")
+    return rows.join(mixed, "form", "left_semi").distinct().select(F.col("k").alias(id_col), "form", F.col("raw").alias("spelling"))
+
+
+def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs a < b of ids whose texts read the same but are stored in different characters: look_alike_classes, expanded at last.
+
+    Texts that are the same characters are no pair.
+    """
+    kept = look_alike_classes(df, id_col, text_col).select(F.col(id_col).alias("k"), "form", "spelling")
+    a = kept.select("form", F.col("k").alias("a"), F.col("spelling").alias("as_a"))
+    b = kept.select("form", F.col("k").alias("b"), F.col("spelling").alias("as_b"))
+    pairs = a.join(b, "form").where("as_a <> as_b AND a < b")
     return pairs.select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))

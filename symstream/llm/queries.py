@@ -30,6 +30,13 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines")
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line that others read like: its class, with the numbers of lines and of spellings in it."""
+    found = canonical.look_alike_classes(table(spark, sf_dir, "evaluation"), "line_id", "malayalam_lines")
+    held = found.groupBy("form").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("spelling").alias("spellings"), F.min("line_id").alias("class_id"))
+    return found.join(held, "form").select("line_id", "class_id", "lines", "spellings")
+
+
 def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "test_sets")
     return rows.withColumn("script", F.regexp_extract("split_name", "^(.*)_(test|train)$", 1)).withColumn("is_test", F.col("split_name").endswith("_test"))
@@ -148,7 +155,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_languages, p5_stretches, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p2_classes, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_languages, p5_stretches, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ ALIKE = [
     ("１２（３）", "12(3)"),
     ("é", "é"),
 ]
-DIFFERENT = [("കഥ  ഒന്ന്", "കഥ ഒന്ന്"), ("കഥ\tഒന്ന്", "കഥ ഒന്ന്"), ("Abc", "abc"), ("“a”", '"a"'), ("a–b", "a-b"), ("൧൪൩", "൧ർ൩"), ("a.", "a")]
+DIFFERENT = [("കഥ  ഒന്ന്", "കഥ ഒന്ന്"), ("കഥ\tഒന്ന്", "കഥ ഒന്ന്"), ("Abc", "abc"), ("“a”", '"a"'), ("a–b", "a-b"), ("൧൪൩", "൧ർ൩"), ("a.", "a"), ("x²", "x2"), ("①", "1")]
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +39,8 @@ def test_pairs(spark):
     frame = spark.createDataFrame([(k, t, 0, "f") for k, t in rows], "k int, t string, raw int, form string")
     got = sorted(map(tuple, canonical.look_alike_pairs(frame, "k", "t").collect()))
     assert got == [(1, 2), (1, 3), (8, 9)]
+    classes = canonical.look_alike_classes(frame, "k", "t").collect()
+    assert sorted(r.k for r in classes) == [1, 2, 3, 8, 9] and len({r.form for r in classes}) == 2
     assert canonical.look_alike_pairs(frame.limit(0), "k", "t").count() == 0
     assert canonical.canonical_texts(frame.limit(0), "k", "t").count() == 0
 
