@@ -25,7 +25,7 @@ from . import canonical, frequencies, mojibake, sampling
 
 # --- fixed values: languages by script and family -----------------------------------------------------------------------
 #: Scripts besides the Latin one, by the code of the language that is written in it.
-SCRIPT_OF = {"ml": "\u0d00-\u0d7f", "hi": "\u0900-\u097f", "ta": "\u0b80-\u0bff", "zh": "\u3400-\u9fff"}
+SCRIPT_OF = {"ml": "\u0d00-\u0d7f", "hi": "\u0900-\u0963\u0966-\u097f", "ta": "\u0b80-\u0bff", "zh": "\u3400-\u9fff"}
 #: Languages by family.
 FAMILIES = {"dravidian": ("ml", "ta", "ml-latn", "ta-latn"), "indo-european": ("en", "hi", "hi-latn"), "sinitic": ("zh", "zh-latn")}
 #: A language belongs to a text that has at least this part of its words.
@@ -35,6 +35,7 @@ NO_WORDS = "zxx"
 LANGS = tuple(x for langs in FAMILIES.values() for x in langs)
 NATIVE = tuple(x for x in LANGS if x in SCRIPT_OF)
 LATIN = tuple(x for x in LANGS if x not in SCRIPT_OF)
+_IS_LATIN = np.array([x not in SCRIPT_OF for x in LANGS])
 PAIRS = tuple(pair for langs in FAMILIES.values() for pair in itertools.combinations(langs, 2))
 #: Rows of each label in the training sample.
 SAMPLE = 700
@@ -42,6 +43,8 @@ SAMPLE = 700
 SWITCH = 3.0
 #: What a word's script speaks for the language that it is named for, in units of the scores, before the machines are asked.
 PRIOR = 1.0
+#: Texts that are scored at once.
+CHUNK = 256
 #: Words of a group whose scores are compared with those of the whole clause.
 GROUP = 5
 _ALIKE = str.maketrans("".join(a for a, _ in canonical.LOOK_ALIKE), "".join(b for _, b in canonical.LOOK_ALIKE))
@@ -50,9 +53,10 @@ _NATIVE = re.compile("|".join(f"(?P<{name}>[{chars}])" for name, chars in SCRIPT
 _LETTER = re.compile(r"[^\W\d_]")
 #: Pieces of one script: words of the scripts, other letters with their marks and signs, and what stands between clauses.
 _MORE = "(?: [{0}][{0}\u200b-\u200d\u2060]*)*"
+_OTHER = "[^\\s" + "".join(SCRIPT_OF.values()) + "]"
 _PIECE = re.compile(
     "|".join(f"(?P<{name}>[{chars}][{chars}\u200b-\u200d\u2060]*{_MORE.format(chars)})" for name, chars in SCRIPT_OF.items())
-    + r"|(?P<end>[.!?,;:\u2026\u0964\u3002\uff01\uff1f\uff0c\u3001]+(?=\s|$)|\n+|[\u0964\u3002\uff01\uff1f])|(?P<other>[^\s" + "".join(SCRIPT_OF.values()) + "]+)"
+    + r"|(?P<end>[.!?,;:\u2026\u0964\u3002\uff01\uff1f\uff0c\u3001]+(?=\s|$)|\n+|[\u0964\u3002\uff01\uff1f])|(?P<other>" + _OTHER + "+(?: " + _OTHER + "+)*)"
 )
 
 
@@ -80,7 +84,7 @@ def words_of(text: str) -> list[str]:
     for m in _PIECE.finditer(text):
         kind, raw = m.lastgroup, m.group()
         if kind == "other":
-            out.append(plain(raw))
+            out += map(plain, raw.split(" "))
         elif kind != "end":
             out += _native_words(kind, raw)
     return [w for w in out if w]
@@ -134,7 +138,7 @@ class Model:
         self.index = {f: i for i, f in enumerate(features)}
         self.weights, self.biases = weights, biases
         self.places: dict[str, int] = {}
-        self.latin: dict[str, int] = {}  # words as written, in Latin letters; -1 of those without a letter
+        self.latin: dict[str, int] = {}  # of words as written, in Latin letters, see latin_word
         self.table = np.empty((1024, len(LANGS)), np.float32)
         families = list(FAMILIES.values())
         self._family = np.array([next(i for i, langs in enumerate(families) if x in langs) for x in LANGS])
@@ -163,6 +167,12 @@ class Model:
             self.table[at] = self.scores(word)
         return at
 
+    def latin_word(self, raw: str) -> int:
+        """Twice the row of a word as it is written (-1 of one without a letter), and one more if it closes its clause."""
+        word = plain(raw)
+        out = self.latin[raw] = (self.place(word) if word else -1) * 2 + (raw[-1] in ".!?,;:\u2026")
+        return out
+
     def forget(self) -> None:
         """Bounds what is kept; between texts only."""
         if max(len(self.places), len(self.latin)) > 300_000:
@@ -214,15 +224,13 @@ class Identifier:
             names = [x for x in langs if x in allowed] or list(langs)
             self._of[latin] = np.array([LANGS.index(x) for x in names]), names, np.array([LANGS.index(x) for x in langs])
 
-    def _clauses(self, text: str) -> tuple[list[list], list[int], list[tuple[int, int]]]:
-        """(start, end, whether in Latin letters, script, number of words, first and last of its scored words) of each clause of one script;
-        rows of the model's table of the scored words; their places.
+    def _clauses(self, text: str, out: list[list], rows: list[int]) -> None:
+        """Adds (start, end, whether in Latin letters, script, number of words, first and last of its scored words) of each clause of one
+        script, and rows of the model's table of the scored words.
         """
-        out: list[list] = []
-        rows: list[int] = []
-        spans: list[tuple[int, int]] = []
         open_ = False
-        place, known = self.model.place, self.model.latin
+        first = len(out)
+        place, known, learn = self.model.place, self.model.latin, self.model.latin_word
         for m in _PIECE.finditer(text):
             kind = m.lastgroup
             if kind == "end":
@@ -231,85 +239,132 @@ class Identifier:
             start, end = m.span()
             raw = m.group()
             if kind == "other":
-                row = known.get(raw)
-                if row is None:
-                    word = plain(raw)
-                    row = known[raw] = place(word) if word else -1
-                if row >= 0 or mojibake.LOST in raw:
-                    if open_ and out[-1][2]:
-                        out[-1][1] = end
-                    else:
-                        out.append([start, end, True, kind, 0, len(rows), len(rows)])
-                    if row >= 0:
-                        out[-1][4] += 1
-                        rows.append(row)
-                        spans.append((start, end))
-                        out[-1][6] = len(rows)
-                    open_ = True
-                if raw[-1] in ".!?,;:\u2026":
-                    open_ = False
+                for word in raw.split(" "):
+                    told = known.get(word)
+                    if told is None:
+                        told = learn(word)
+                    if told >= 0:
+                        if open_ and out[-1][2]:
+                            last = out[-1]
+                        else:
+                            out.append(last := [start, 0, True, kind, 0, len(rows), 0])
+                            open_ = True
+                        rows.append(told >> 1)
+                        last[1] = start + len(word)
+                        last[4] += 1
+                        last[6] = len(rows)
+                    elif mojibake.LOST in word:
+                        if open_ and out[-1][2]:
+                            out[-1][1] = start + len(word)
+                        else:
+                            out.append([start, start + len(word), True, kind, 0, len(rows), len(rows)])
+                            open_ = True
+                    if told & 1:
+                        open_ = False
+                    start += len(word) + 1
                 continue
             pieces = _native_words(kind, raw)
             words = len(pieces)
-            if kind != "zh" and start and out and out[-1][3] == kind and out[-1][1] >= start - 2 and not text[start - 1].isspace():
+            if kind != "zh" and start and len(out) > first and out[-1][3] == kind and out[-1][1] >= start - 2 and not text[start - 1].isspace():
                 words -= 1  # one word, interrupted by a sign
             if open_ and out[-1][3] == kind:
                 out[-1][1] = end
                 out[-1][4] += words
             else:
-                out.append([start, end, False, kind, words, len(rows), len(rows)])
+                out.append([start, end, False, kind, words, len(rows), 0])
             rows += map(place, pieces)
-            spans += [(start, end)] * len(pieces)
             out[-1][6] = len(rows)
             open_ = True
-        return out, rows, spans
 
     def stretches(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, words) of each stretch in one language."""
+        return self.all_stretches([text])[0]
+
+    def all_stretches(self, texts: list[str]) -> list[list[tuple[int, int, str, float, int]]]:
+        """The stretches of each text."""
         self.model.forget()
-        clauses, rows, spans = self._clauses(text)
+        clauses: list[list] = []
+        rows: list[int] = []
+        cuts = [0]
+        for text in texts:
+            self._clauses(text, clauses, rows)
+            cuts.append(len(clauses))
         if not clauses:
-            return []
-        scores = self.model.table[rows]
-        sums = np.concatenate([np.zeros((1, len(LANGS)), np.float64), scores.cumsum(axis=0, dtype=np.float64)])
-        units: list[tuple[int, int, bool, int, np.ndarray]] = []
-        for start, end, latin, _, n, a, b in clauses:
-            total = sums[b] - sums[a]
-            if latin and b - a > GROUP and len(self._of[True][0]) > 1:
-                places = self._of[True][0]
-                cuts = [*range(a, b, GROUP), b]
-                groups = (sums[cuts[1:]] - sums[cuts[:-1]])[:, places]
-                best = int(total[places].argmax())
-                if (groups.max(axis=1) - groups[:, best]).max() > SWITCH / 2:  # languages change within it (where punctuation was lost)
-                    path = self._viterbi(scores[a:b, places].tolist())
-                    cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
-                    if len(cuts) > 2:
-                        units += [(spans[a + i][0], spans[a + j - 1][1], True, j - i, sums[a + j] - sums[a + i]) for i, j in zip(cuts, cuts[1:], strict=False)]
-                        continue
-            units.append((start, end, latin, n, total))
-        langs: list[str] = [""] * len(units)
-        for latin in (True, False):
-            places, names, _ = self._of[latin]
-            asked = [i for i, u in enumerate(units) if u[2] is latin]
-            if asked:
-                found = np.stack([units[i][4] for i in asked])[:, places]
-                firsts = found.argmax(axis=1)
-                if latin and len(asked) > 1 and (firsts != firsts[0]).any():
-                    firsts = self._viterbi(found.tolist())
-                for i, x in zip(asked, firsts, strict=True):
-                    langs[i] = names[x]
+            return [[] for _ in texts]
+        sums = np.concatenate([np.zeros((1, len(LANGS))), self.model.table[rows].cumsum(axis=0, dtype=np.float64)])
+        latin, first, last = (np.array([c[k] for c in clauses]) for k in (2, 5, 6))
+        totals = sums[last] - sums[first]
+        mixed = self._mixed(sums, totals, latin, first, last)
+        chosen, gaps = self._chosen(totals, latin)
+        out = []
+        for text, a, b in zip(texts, cuts, cuts[1:], strict=False):
+            if b - a > 1 and latin[a:b].sum() > 1 and len(set(chosen[a:b][latin[a:b]])) > 1 or mixed[a:b].any():
+                out.append(self._slowly(text, clauses[a:b], sums, mixed[a:b]))
+            else:
+                out.append(self._merged(clauses[a:b], chosen[a:b], gaps[a:b]))
+        return out
+
+    def _mixed(self, sums: np.ndarray, totals: np.ndarray, latin: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Clauses in Latin letters within which languages may change (where punctuation was lost)."""
+        places = self._of[True][0]
+        out = np.zeros(len(latin), bool)
+        long = np.flatnonzero(latin & (last - first > GROUP))
+        if len(places) > 1 and len(long):
+            groups = -(-(last[long] - first[long]) // GROUP)
+            begins = np.cumsum(groups) - groups
+            of = np.repeat(np.arange(len(long)), groups)
+            start = first[long][of] + GROUP * (np.arange(len(of)) - begins[of])
+            scores = (sums[np.minimum(start + GROUP, last[long][of])] - sums[start])[:, places]
+            best = totals[long][:, places].argmax(axis=1)
+            out[long] = np.maximum.reduceat(scores.max(axis=1) - scores[np.arange(len(of)), best[of]], begins) > SWITCH / 2
+        return out
+
+    def _chosen(self, totals: np.ndarray, latin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each row, and by how much it is better than the next of those written alike."""
+        every = np.arange(len(totals))
+        chosen = np.where(latin, self._of[True][0][totals[:, self._of[True][0]].argmax(axis=1)], self._of[False][0][totals[:, self._of[False][0]].argmax(axis=1)])
+        return chosen, self._gaps(totals, latin, chosen, every)
+
+    @staticmethod
+    def _gaps(totals: np.ndarray, latin: np.ndarray, chosen: np.ndarray, every: np.ndarray) -> np.ndarray:
+        rivals = np.where(latin[:, None] == _IS_LATIN[None], totals, -np.inf)
+        rivals[every, chosen] = -np.inf
+        return totals[every, chosen] - rivals.max(axis=1)
+
+    @staticmethod
+    def _merged(units: list, chosen: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, str, float, int]]:
+        """Stretches of units (start, end, .., number of words at 4) in a row."""
         out: list[list] = []
-        for (start, end, latin, n, total), lang in zip(units, langs, strict=True):
-            at, rivals = LANGS.index(lang), self._of[latin][2]
-            gap = float(total[at] - total[rivals[rivals != at]].max())
+        for unit, at, gap in zip(units, chosen.tolist(), gaps.tolist(), strict=True):
+            lang = LANGS[at]
             if out and out[-1][2] == lang:
-                out[-1][1] = end
+                out[-1][1] = unit[1]
                 out[-1][3] += gap
-                out[-1][4] += n
+                out[-1][4] += unit[4]
             else:
-                out.append([start, end, lang, gap, n])
+                out.append([unit[0], unit[1], lang, gap, unit[4]])
         return [(a, b, lang, round(1 / (1 + math.exp(-max(-30.0, min(30.0, gap)))), 4), n) for a, b, lang, gap, n in out]
 
+    def _slowly(self, text: str, clauses: list[list], sums: np.ndarray, mixed: np.ndarray) -> list[tuple[int, int, str, float, int]]:
+        """Stretches of a text whose clauses in Latin letters differ: they are labelled together, and cut where languages change within."""
+        places = self._of[True][0]
+        units: list[list] = []
+        for clause, differ in zip(clauses, mixed.tolist(), strict=True):
+            start, end, _, kind, _, a, b = clause
+            path = self._viterbi((sums[a + 1 : b + 1] - sums[a:b])[:, places].tolist()) if differ else [0]
+            cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+            if len(cuts) > 2:
+                spans = [m.span() for m in re.finditer(r"\S+", text[start:end]) if self.model.latin[m.group()] >= 0]
+                units += [[start + spans[i][0], start + spans[j - 1][1], True, kind, j - i, a + i, a + j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            else:
+                units.append(clause)
+        latin, first, last = (np.array([c[k] for c in units]) for k in (2, 5, 6))
+        totals = sums[last] - sums[first]
+        chosen, _ = self._chosen(totals, latin)
+        if latin.any():
+            chosen[latin] = places[self._viterbi(totals[latin][:, places].tolist())]
+        return self._merged(units, chosen, self._gaps(totals, latin, chosen, np.arange(len(units))))
+
     def _viterbi(self, sums: list[list[float]]) -> list[int]:
         best, back = sums[0], []
         for s in sums[1:]:
@@ -325,12 +380,17 @@ class Identifier:
         return out[::-1]
 
     def label(self, text: str, damaged: bool = False) -> tuple[str, float, list[tuple[int, int, str, float, int]]]:
+        return self.labels([text], [damaged])[0]
+
+    def labels(self, texts: list[str], damaged: list[bool]) -> list[tuple[str, float, list[tuple[int, int, str, float, int]]]]:
+        return [self._label(*x) for x in zip(texts, damaged, self.all_stretches(texts), strict=True)]
+
+    def _label(self, text: str, damaged: bool, found: list) -> tuple[str, float, list[tuple[int, int, str, float, int]]]:
         """The text's label (languages with at least a sixth of the words, joined by +), its confidence, its stretches.
 
         What is left of a misreading in two-byte signs is no Chinese: in a damaged text of another language it doesn't count. A text of
         which nothing but lost bytes is left has the column's own language, with a confidence of a half.
         """
-        found = self.stretches(text)
         if damaged and any(x != "zh" and n for _, _, x, _, n in found):
             found = [x for x in found if x[2] != "zh"]
         words: dict[str, int] = {}
@@ -388,10 +448,10 @@ def identify(df: DataFrame, id_col: str, fields: dict[str, str], allowed_of: dic
                 texts, given = b.column(1 + i), b.column(1 + len(names) + i).to_pylist()
                 skip, suspect = (pc.fill_null(x, y).to_pylist() for x, y in ((_blank(texts), True), (pc.match_substring_regex(texts, screen), False)))
                 of, labels, sure, spans = [], [], [], []
-                for j, text in enumerate(texts.to_pylist()):
-                    if not skip[j]:
-                        whole, damaged, _ = mojibake.undo(text, known) if suspect[j] else (text, False, None)
-                        label, confidence, found = by[i].label(whole, damaged)
+                asked = [(j, *(mojibake.undo(text, known)[:2] if suspect[j] else (text, False))) for j, text in enumerate(texts.to_pylist()) if not skip[j]]
+                for at in range(0, len(asked), CHUNK):
+                    numbers, wholes, damaged = zip(*asked[at : at + CHUNK], strict=True)
+                    for j, (label, confidence, found) in zip(numbers, by[i].labels(wholes, damaged), strict=True):
                         if stretches:
                             spans += found
                             of += [j] * len(found)
