@@ -1,8 +1,8 @@
-"""Bloom filters of fixed size, built in partitions and merged block by block.
+"""Bloom filters, built in partitions and merged block by block.
 
 Every partition lists the filter bits of its keys as packed blocks; blocks are merged over the partitions on executors. The
-whole filter, ``2 ** size`` bits, is what reaches the driver and is broadcast: 8 MB by default, whatever the input. More
-keys than it was sized for only let more rows through to the exact step behind it.
+whole filter, ``2 ** size`` bits, is what reaches the driver and is broadcast: by ``size_for`` at least ``BITS_PER_KEY`` bits a key and
+at most ``2 ** MOST_BITS`` (64 MB). More keys than one such filter serves are cut into shards by a part of their hash.
 """
 
 from __future__ import annotations
@@ -14,13 +14,21 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-#: 2 to this power bits in the filter.
-FILTER_BITS = 26
+#: Bits of the filter for each key: of keys that occur once (1 - exp(-2 / 10)) ** 2 = 3.3 % then look as if they occurred again.
+BITS_PER_KEY = 10
+#: 2 to this power bits in a filter at most, and at least.
+MOST_BITS, LEAST_BITS = 29, 16
 #: 2 to this power bits in a block of it, the unit of merging.
 BLOCK_BITS = 16
 PROBES = 2
 
 
+def size_for(keys: int, most: int = MOST_BITS) -> tuple[int, int]:
+    """(size of a filter, number of shards) that serve so many keys."""
+    bits = max(1, keys) * BITS_PER_KEY
+    return min(most, max(LEAST_BITS, (bits - 1).bit_length())), -(-bits >> most) if bits > 1 << most else 1
+
+
 def halves(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit numbers of each key: of 16-byte digests the halves, of 64-bit keys the key and a mix of it."""
     if pa.types.is_binary(keys.type):
@@ -49,7 +57,7 @@ def _pack(bits: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
             yield int(part[0] >> block), packer.compress(np.packbits(row).tobytes())
 
 
-def merged(keys: DataFrame, size: int = FILTER_BITS, repeated: bool = False) -> DataFrame:
+def merged(keys: DataFrame, size: int, repeated: bool = False) -> DataFrame:
     """(block, packed): the filter of the keys in the one column of keys; repeated: of those that occur more than once.
 
     A bit set in two partitions, or by a key that one partition saw twice, is set in the filter of repeated keys. A key
@@ -98,7 +106,7 @@ def merged(keys: DataFrame, size: int = FILTER_BITS, repeated: bool = False) ->
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, packed binary")
 
 
-def load(blocks: DataFrame, size: int = FILTER_BITS) -> Broadcast:
+def load(blocks: DataFrame, size: int) -> Broadcast:
     """The merged filter, broadcast: (2 ** size) / 8 bytes."""
     import zstandard
 
@@ -109,7 +117,7 @@ def load(blocks: DataFrame, size: int = FILTER_BITS) -> Broadcast:
     return blocks.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
-def hits(shared: Broadcast, first: np.ndarray, second: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
+def hits(shared: Broadcast, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
     """Which keys may be in the filter."""
     filled = np.frombuffer(shared.value, np.uint8)
     at = positions(first, second, size)

@@ -6,14 +6,17 @@
    repeated hashes. A hash that occurs twice has all its bits there, so the filter never misses one.
 3. Only hashes that the filter lets through are shuffled and grouped exactly; all others are singletons.
 
-The filter has a fixed size (``2 ** bits`` bits, 8 MB by default), which bounds what is broadcast at any input size; more
-rows than it was sized for only let more singletons through to the exact grouping.
+The filter is sized by the number of records, so that some 3 % of the singletons pass it at any input size. Beyond 50 million
+records it would outgrow what may be broadcast (64 MB); the hashes are then written as a table of shards, by a part of the hash and
+without a shuffle, and each shard has its own filter.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symstream.session import cut
+from symstream.session import cut, ensure_checkpoint_dir
 
 from . import bloom
 
@@ -89,7 +92,22 @@ def hash_json(df: DataFrame, id_col: str, payload_col: str, names: Sequence[str]
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, h binary")
 
 
-def possible_repeats(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> Callable[[bool], DataFrame]:
+def shards_of(hashed: DataFrame, most: int = bloom.MOST_BITS) -> list[tuple[DataFrame, int]]:
+    """Parts of hashed, by a part of the hash, with the size of the filter of each."""
+    kept = cut(hashed)
+    size, shards = bloom.size_for(kept.count(), most)
+    if shards == 1:
+        return [(kept, size)]
+    spark = hashed.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    # bytes of the hash that the filter's first probe doesn't use
+    part = F.pmod(F.conv(F.hex(F.substring("h", 9, 4)), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
+    kept.withColumn("shard", part).write.partitionBy("shard").parquet(path)
+    written = spark.read.schema("k " + kept.schema["k"].dataType.simpleString() + ", h binary, shard int").parquet(path)
+    return [(written.where(F.col("shard") == i).select("k", "h"), size) for i in range(shards)]
+
+
+def possible_repeats(hashed: DataFrame, size: int) -> Callable[[bool], DataFrame]:
     """A function that gives the rows of hashed which the filter lets through (True) or holds as singletons (False)."""
     shared = bloom.load(bloom.merged(hashed.select("h"), size, repeated=True), size)
 
@@ -105,27 +123,32 @@ def possible_repeats(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> Callab
     return rows
 
 
-def collapse(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> DataFrame:
-    """(keep_id, copies): each record once under its least id, with the number of ids that are the same record.
-
-    hashed is (k, h) as hash_fields and hash_json give it; a row delivered again under its id counts once. An empty table
-    gives no rows. A hash of very many rows is pre-aggregated on the map side.
-    """
-    hashed = cut(hashed)
+def _collapse(hashed: DataFrame, size: int) -> DataFrame:
     rows = possible_repeats(hashed, size)
     groups = rows(True).distinct().groupBy("h").agg(F.min("k").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
     single = rows(False).select(F.col("k").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"))
     return groups.select("keep_id", "copies").unionByName(single)
 
 
-def copies_of(hashed: DataFrame, size: int = bloom.FILTER_BITS) -> DataFrame:
-    """(keep_id, copy_id): for each group of the same records its least id, with every other id.
+def collapse(hashed: DataFrame, most: int = bloom.MOST_BITS) -> DataFrame:
+    """(keep_id, copies): each record once under its least id, with the number of ids that are the same record.
 
-    The groups' least ids come from a map-side aggregation; rows meet them in a join on the hash, whose hot keys the
-    adaptive skew join splits.
+    hashed is (k, h) as hash_fields and hash_json give it; a row delivered again under its id counts once. An empty table
+    gives no rows. A hash of very many rows is pre-aggregated on the map side. most: of bloom.size_for.
     """
-    hashed = cut(hashed)
+    return reduce(DataFrame.unionByName, [_collapse(*x) for x in shards_of(hashed, most)])
+
+
+def _copies(hashed: DataFrame, size: int) -> DataFrame:
     rows = possible_repeats(hashed, size)(True).distinct()
     groups = rows.groupBy("h").agg(F.min("k").alias("keep_id"), F.max("k").alias("most")).where("keep_id < most").select("h", "keep_id")
     return rows.join(groups, "h").where("k <> keep_id").select("keep_id", F.col("k").alias("copy_id"))
 
+
+def copies_of(hashed: DataFrame, most: int = bloom.MOST_BITS) -> DataFrame:
+    """(keep_id, copy_id): for each group of the same records its least id, with every other id.
+
+    The groups' least ids come from a map-side aggregation; rows meet them in a join on the hash, whose hot keys the
+    adaptive skew join splits. most: of bloom.size_for.
+    """
+    return reduce(DataFrame.unionByName, [_copies(*x) for x in shards_of(hashed, most)])

@@ -9,8 +9,8 @@ def test_fields(spark):
     rows = [(1, "Abc, d", None), (2, "abc D!", None), (3, "abcd", ""), (4, None, None), (5, None, None), (6, "", ""), (7, " .", "-"), (1, "Abc, d", None), (8, "ABCD", "x"), (9, "y" * 200_000, "z")]
     frame = spark.createDataFrame([(k, a, b, "x", "y") for k, a, b in rows], "k int, a string, b string, h string, copies string")
     hashed = duplicates.hash_fields(frame, "k", ["a", "b"])
-    assert sorted(map(tuple, duplicates.copies_of(hashed, 12).collect())) == [(1, 2), (4, 5), (6, 7)]
-    assert sorted(map(tuple, duplicates.collapse(hashed, 12).collect())) == [(1, 2), (3, 1), (4, 2), (6, 2), (8, 1), (9, 1)]
+    assert sorted(map(tuple, duplicates.copies_of(hashed, 17).collect())) == [(1, 2), (4, 5), (6, 7)]
+    assert sorted(map(tuple, duplicates.collapse(hashed, 17).collect())) == [(1, 2), (3, 1), (4, 2), (6, 2), (8, 1), (9, 1)]
     empty = duplicates.hash_fields(frame.limit(0), "k", ["a", "b"])
     assert duplicates.copies_of(empty).count() == duplicates.collapse(empty).count() == 0
 
@@ -36,9 +36,22 @@ def test_against_brute_force(spark):
         groups["".join(c for c in a.lower() if c.isalnum())].append(k)
     want = sorted((min(g), len(g)) for g in groups.values())
     hashed = duplicates.hash_fields(frame, "k", ["a"])
-    for size in (10, 20):  # crowded and roomy filters give the same
-        assert sorted(map(tuple, duplicates.collapse(hashed, size).collect())) == want
-    assert duplicates.copies_of(hashed).count() == len(rows) - len(groups)
+    for most in (13, 29):  # shards and one filter give the same
+        assert sorted(map(tuple, duplicates.collapse(hashed, most).collect())) == want
+        assert duplicates.copies_of(hashed, most).count() == len(rows) - len(groups)
+    rows_of = duplicates.possible_repeats(hashed.cache(), 10)  # so does a crowded filter
+    assert rows_of(True).count() + rows_of(False).count() == len(rows) and rows_of(False).count() < len([g for g in groups.values() if len(g) == 1])
+
+
+def test_few_singletons_pass(spark):
+    """A filter of 2 ** 16 bits and sixty times the records that it serves: shards keep the share of singletons that pass."""
+    n = 60 * (1 << 16) // bloom.BITS_PER_KEY
+    rows = spark.range(0, n, 1, 6).selectExpr("id k", "unhex(md5(cast(id % " + str(n - 1000) + " as string))) h")
+    parts = duplicates.shards_of(rows, 16)
+    assert len(parts) == 60 and all(size == 16 for _, size in parts)
+    passed = sum(duplicates.possible_repeats(*x)(True).count() for x in parts[:4]) / sum(x.count() for x, _ in parts[:4])
+    assert passed < 0.05
+    assert bloom.size_for(10**9) == (29, 19) and bloom.size_for(450_000) == (23, 1) and bloom.size_for(0) == (16, 1)
 
 
 def test_filter_never_misses(spark):
