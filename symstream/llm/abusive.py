@@ -31,7 +31,7 @@ HARD = 0.25
 #: Score from which a document counts as abusive.
 LEAST = 0.5
 # --- fixed values: disguises, and letters by sound ------------------------------------------------------------------------
-DISGUISE = str.maketrans("013457@$!|€*", "oieastasiie ".replace(" ", "a"))
+DISGUISE = str.maketrans("013457@$!|€*", "oieastasiiea")
 SOUND = {
     "ക": "k", "ഖ": "k", "ഗ": "k", "ഘ": "k", "ങ": "n", "ച": "c", "ഛ": "c", "ജ": "c", "ഝ": "c", "ഞ": "n", "ട": "t", "ഠ": "t", "ഡ": "t", "ഢ": "t", "ണ": "n", "ത": "t", "ഥ": "t", "ദ": "t", "ധ": "t", "ന": "n",
     "പ": "p", "ഫ": "p", "ബ": "p", "ഭ": "p", "മ": "m", "യ": "y", "ര": "r", "ല": "l", "വ": "v", "ശ": "s", "ഷ": "s", "സ": "s", "ഹ": "h", "ള": "l", "ഴ": "l", "റ": "r",

@@ -154,7 +154,7 @@ def evaluation_segments(classes: DataFrame, share: float = SHARE) -> DataFrame:
     return classes.select("cls", "grp", "words").mapInArrow(run, _KEYS)
 
 
-def training_substrings(classes: DataFrame, shared, share: float = SHARE, size_bits: int = bloom.FILTER_BITS) -> DataFrame:  # noqa: ANN001
+def training_substrings(classes: DataFrame, shared, size_bits: int, share: float = SHARE) -> DataFrame:  # noqa: ANN001
     """Substrings of each class, of the lengths that near texts' segments have, that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +246,12 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
     classes = cut(rows.groupBy("grp", "cls").agg(F.first("words").alias("words"), F.max("evaluation").alias("in_e"), F.min("evaluation").alias("only_e")))
     e, t = classes.where("in_e"), classes.where("NOT only_e")
     segment = evaluation_segments(e, share)
-    shared = bloom.load(bloom.merged(segment.select("key")))
+    n_words = F.octet_length("words") / 4
+    held = e.agg(F.sum(F.floor(n_words * share / (1 - share) + 1e-9) + 1).alias("n")).collect()[0].n  # one number
+    size_bits, _ = bloom.size_for(int(held or 0))  # a crowded filter only lets more substrings through to the join
+    shared = bloom.load(bloom.merged(segment.select("key"), size_bits), size_bits)
     a = segment.select("key", "grp", F.col("cls").alias("cls_e"), F.col("pos").alias("p"), F.col("n").alias("l_e"), "seg", F.col("low").alias("low_e"), F.col("high").alias("high_e"))
-    b = training_substrings(t, shared, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"), F.col("low").alias("low_t"), F.col("high").alias("high_t"))
+    b = training_substrings(t, shared, size_bits, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"), F.col("low").alias("low_t"), F.col("high").alias("high_t"))
     edits = F.floor(F.greatest("l_e", "l_t") * F.lit(share) + F.lit(1e-9))
     shift = F.col("q") - F.col("p")
     most = F.floor(F.col("l_e") * F.lit(share / (1 - share)) + F.lit(1e-9))
