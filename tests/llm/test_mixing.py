@@ -43,3 +43,21 @@ def test_draws_are_fair(spark):
     few = mixing.mixture(rows.unionByName(spark.range(60_000, 90_000).selectExpr("id k", "'c' s", "1 n")), spark.createDataFrame([("a", 0.1, 1), ("c", 0.2, 1), ("b", 0.7, 2)], targets.schema), "k", "s", "n").where("s = 'a'")
     n = few.count()
     assert abs(n - 9000) <= 1 and abs(few.where("k < 10000").count() / n - 0.5) < 0.03
+
+
+def test_inclusion_rates(spark):
+    """Documents are drawn as often as their probabilities say, over many seeds; those of probability 1 always."""
+    sizes = [1, 4, 25, 100]
+    rows = spark.range(0, 8000).selectExpr("id k", "'a' s", f"cast(element_at(array({','.join(map(str, sizes))}), int(id % 4) + 1) as bigint) n").cache()
+    rows = rows.unionByName(spark.range(8000, 12000).selectExpr("id k", "'b' s", "10L n"))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 8)], "source_name string, target_share double, max_repeats int")
+    total = 2000 * sum(sizes) + 40_000
+    x = mixing.factor([(2000.0 * n, n**0.5) for n in sizes], total / 2)
+    got = {n: 0 for n in sizes}
+    for seed in (1, 2, 3):
+        for r in mixing.mixture(rows, targets, "k", "s", "n", seed).where("s = 'a'").groupBy("n_tokens").count().collect():
+            got[r.n_tokens] += r["count"] / 6000
+    for n in sizes:
+        assert abs(got[n] - min(1.0, x * n**0.5)) < 0.03, (n, got)
+    assert got[1] < got[4] < got[25] < got[100]
+    assert mixing.factor([(10.0, 1.0)], 0) == 0 and mixing.factor([], 5) == 0 and mixing.factor([(10.0, 2.0)], 10) == 0.5
