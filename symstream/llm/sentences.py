@@ -32,6 +32,9 @@ BREAKS = re.compile("[\\n\\r\\u2028\\u2029]+")
 _CANDIDATE = re.compile(f"[{re.escape(TERMINAL)}]+[{re.escape(CLOSING)}]*")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _ALIKE = str.maketrans("".join(a for a, _ in canonical.LOOK_ALIKE), "".join(b for _, b in canonical.LOOK_ALIKE))
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_GAP = re.compile(r"\s*")
+_AFTER = re.compile("[\u3040-\u30ff\u3400-\u9fff]{1,2}|[^\\s" + re.escape(TERMINAL) + "\u3040-\u30ff\u3400-\u9fff]*[" + re.escape(TERMINAL) + "]?[^\\s" + re.escape(TERMINAL) + "\u3040-\u30ff\u3400-\u9fff]*")
 _LIST = re.compile(r"^\s*[(\[]?(?:\d{1,3}|[A-Za-z])[.)\]]\s*$")
 _WORD = re.compile(r"[^\W\d_]")
 
@@ -87,17 +90,35 @@ def _left(token: str, mark: str, quote: str, first: bool) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _right(rest: str) -> tuple[str, ...]:
-    if not rest:
-        return ("end",)
-    after = rest.lstrip()
-    if not after:
+def _before(line: str, end: int) -> str:
+    """The token that ends at a place: back to white space, over one sentence sign at most; of unspaced scripts two signs.
+
+    So every token of a line is looked at a few times only, however long the line is.
+    """
+    start, signs = end, 0
+    while start:
+        char = line[start - 1]
+        if char.isspace():
+            break
+        if _UNSPACED.match(char):
+            if start == end:
+                start -= 1 + (start > 1 and bool(_UNSPACED.match(line[start - 2])))
+            break
+        if char in TERMINAL:
+            signs += 1
+            if signs == 2:
+                break
+        start -= 1
+    return line[start:end]
+
+
+def _right(line: str, end: int) -> tuple[str, ...]:
+    at = _GAP.match(line, end).end()
+    if at == len(line):
         return ("end",)
-    token = re.match(r"\S{1,24}", after).group()
-    token = _plain(token)
-    glued = "" if rest[0].isspace() else "glued "
-    kind = _script(after[0])
-    return (f"{glued}c={kind}", f"w={token}", f"w3={token[:3]}", *(("opens",) if after[0] in "“‘\"«「『" else ()))
+    token = _plain(_AFTER.match(line, at).group())
+    glued = "" if line[end].isspace() else "glued "
+    return (f"{glued}c={_script(line[at])}", f"w={token}", f"w3={token[:3]}", *(("opens",) if line[at] in "“‘\"«「『" else ()))
 
 
 def candidates(line: str) -> list[Candidate]:
@@ -105,34 +126,42 @@ def candidates(line: str) -> list[Candidate]:
     found = list(_CANDIDATE.finditer(line))
     if not found:
         return []
+    indent = _GAP.match(line).end()
+
+    def numbers(end: int) -> bool:
+        """Whether the line up to there is the number of a list."""
+        return end - indent < 12 and bool(_LIST.match(line[indent:end]))
+
     spans = []
     for m in QUOTED.finditer(line):
-        before = line[: m.start()].rstrip()
-        lead = "led" if before[-1:] in (":", "：", ",") else "opens" if not before or before[-1] in TERMINAL + CLOSING or _LIST.match(before) else "within"
+        at = m.start()
+        while at and line[at - 1].isspace():
+            at -= 1
+        last = line[at - 1] if at else ""
+        lead = "led" if last and last in ":：," else "opens" if not last or last in TERMINAL + CLOSING or numbers(at) else "within"
         spans.append((m.start(), m.end(), lead))
-    out = []
+    opened = {a for a, _, _ in spans}
+    out, quoted = [], 0
     for m in found:
         start, end, quote = m.start(), m.end(), "none"
         mark = m.group().rstrip(CLOSING)
-        for a, b, lead in spans:
-            if a <= start < b:
-                if start + len(mark) >= b - 1:  # the quotation closes here
-                    quote, end = lead, b
-                    while end < len(line) and line[end] in ")]}）":
-                        end += 1
-                else:
-                    quote = ""
-                break
+        while quoted < len(spans) and spans[quoted][1] <= start:
+            quoted += 1
+        if quoted < len(spans) and spans[quoted][0] <= start:
+            _, b, lead = spans[quoted]
+            if start + len(mark) >= b - 1:  # the quotation closes here
+                quote, end = lead, b
+                while end < len(line) and line[end] in ")]}）":
+                    end += 1
+            else:
+                quote = ""
         if not quote:
             continue
         if quote == "none" and end > start + len(mark):  # a quotation mark behind it may open the next one
-            while end > start + len(mark) and (line[end - 1] in "\"'" and any(a == end - 1 for a, _, _ in spans)):
+            while end > start + len(mark) and line[end - 1] in "\"'" and end - 1 in opened:
                 end -= 1
-        head = line[:start]
-        token = head[head.rfind(" ") + 1 :]
-        parts = token.split()
-        token = (parts[-1] if parts and not token[-1:].isspace() else "").lstrip("([{“‘\"'«")[-24:]
-        out.append(Candidate(end, _left(token, mark, quote, bool(_LIST.match(line[:end]))), _right(line[end:])))
+        token = _before(line, start).lstrip("([{“‘\"'«")
+        out.append(Candidate(end, _left(token, mark, quote, numbers(end)), _right(line, end)))
     return out
 
 
@@ -182,7 +211,7 @@ class Splitter:
             stop = gap.start() if gap else len(text)
             line, start = text[at:stop], 0
             for c in candidates(line):
-                if c.end > start and line[c.end :].strip() and self._ends(c):
+                if c.end > start and c.right != ("end",) and self._ends(c):
                     out.append(_trim(text, at + start, at + c.end))
                     start = c.end
             out.append(_trim(text, at + start, stop))
