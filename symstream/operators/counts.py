@@ -45,10 +45,16 @@ def ngrams(df: DataFrame, keep: list[str], text: str, size: int) -> DataFrame:
     return df.withColumn("__c", chars).where(F.size("__c") >= size).select(*keep, F.posexplode(runs).alias("pos", "gram"))
 
 
+def grams(df: DataFrame, keep: list[str], text: str, order: int, pos: bool = False) -> DataFrame:
+    """(keep, gram): each symbol of each text with the up to ``order`` symbols before it; the last sign is the symbol. pos: also its place."""
+    runs = F.transform("__c", lambda x, i: F.array_join(F.slice("__c", F.greatest(i - order, F.lit(0)) + 1, F.least(i, F.lit(order)) + 1), ""))
+    each = F.posexplode(runs).alias("pos", "gram") if pos else F.explode(runs).alias("gram")
+    return df.withColumn("__c", T.symbols(text)).select(*keep, each)
+
+
 def gram_counts(df: DataFrame, keep: list[str], text: str, order: int) -> DataFrame:
     """(keep, gram, n): each symbol with the up to ``order`` symbols before it in its text, counted; the last sign is the symbol."""
-    grams = F.transform("__c", lambda x, i: F.array_join(F.slice("__c", F.greatest(i - order, F.lit(0)) + 1, F.least(i, F.lit(order)) + 1), ""))
-    return frequencies(df.withColumn("__c", T.symbols(text)).select(*keep, F.explode(grams).alias("gram")), [*keep, "gram"])
+    return frequencies(grams(df, keep, text, order), [*keep, "gram"])
 
 
 def context_counts(grams: DataFrame, keep: list[str], order: int) -> DataFrame:

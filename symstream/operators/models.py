@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symstream.functions import text as T
+from symstream.session import cut
 
-from .counts import context_counts, gram_counts
+from .counts import context_counts, gram_counts, grams
 
 #: Symbols that can occur, for order -1.
 ALPHABET = 65536
+#: Costs of grams are broadcast if they are counted to take no more bytes than this; else grams and costs meet in a shuffled join.
+BROADCAST_BYTES = 64 << 20
+#: Models whose names are written into a plan; more are joined.
+LISTED = 256
 
 
 class Model:
@@ -26,10 +30,13 @@ class Model:
     def __init__(self, sym: DataFrame, ctx: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET) -> None:
         self.sym, self.ctx, self.order, self.method, self.alphabet = sym, ctx, order, method, alphabet
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, title: str = "", kind: str = "static") -> None:
+        """The tables and a registry row. kind: static, or dynamic for a model that is to learn further when it is read."""
+        if kind not in ("static", "dynamic"):
+            raise ValueError("a model is static or dynamic")
         self.sym.write.mode("overwrite").parquet(f"{path}/sym")
         self.ctx.write.mode("overwrite").parquet(f"{path}/ctx")
-        meta = self.sym.sparkSession.createDataFrame([(self.order, self.method, self.alphabet)], "max_order int, method string, alphabet int")
+        meta = self.sym.sparkSession.createDataFrame([(title, kind, self.order, self.method, self.alphabet)], "title string, kind string, max_order int, method string, alphabet int")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
 
     @classmethod
@@ -37,6 +44,10 @@ class Model:
         meta = spark.read.parquet(f"{path}/registry").first()
         return cls(spark.read.parquet(f"{path}/sym"), spark.read.parquet(f"{path}/ctx"), meta.max_order, meta.method, meta.alphabet)
 
+    def names(self) -> list[tuple[str, int]]:
+        """(model, symbols that it has seen), by name: a row for each model."""
+        return sorted((r.model, r.types) for r in self.ctx.where("k = 0").select("model", "types").collect())
+
     def statistics(self) -> DataFrame:
         """Contexts, usable ones, counters and symbols read, by model and order."""
         by = self.ctx.groupBy("model", "k").agg(
@@ -57,9 +68,18 @@ def train(df: DataFrame, model_col: str, text_col: str, order: int, method: str
     return tables(context_counts(gram_counts(rows, ["model"], "t", order), ["model"], order), order, method, alphabet)
 
 
+def retitled(spark, path: str, title: str | None = None, kind: str | None = None) -> None:  # noqa: ANN001
+    """Changes title or kind of a written model; its tables stay as they are."""
+    r = spark.read.parquet(f"{path}/registry").first()
+    row = (r.title if title is None else title, r.kind if kind is None else kind, r.max_order, r.method, r.alphabet)
+    if row[1] not in ("static", "dynamic"):
+        raise ValueError("a model is static or dynamic")
+    spark.createDataFrame([row], "title string, kind string, max_order int, method string, alphabet int").coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
+
+
 def tables(counted: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET) -> Model:
-    """A model from (model, k, ctx, sym, n)."""
-    sym = counted.withColumn("weight", weight(method, F.col("n")))
+    """A model from (model, k, ctx, sym, n). The counts are kept, since they are read several times; texts are read once."""
+    sym = cut(counted).withColumn("weight", weight(method, F.col("n")))
     ctx = sym.groupBy("model", "k", "ctx").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("types"), F.sum("weight").alias("mass"))
     shorter = sym.select("model", (F.col("k") + 1).alias("k"), F.col("ctx").alias("tail"), "sym", F.col("weight").alias("lower"))
     longer = sym.where("k > 0").select("model", "k", "ctx", F.expr("substring(ctx, 2)").alias("tail"), "sym")
@@ -67,14 +87,18 @@ def tables(counted: DataFrame, order: int, method: str = "D", alphabet: int = AL
     return Model(sym, ctx.join(below, ["model", "k", "ctx"], "left").fillna(0, ["below"]), order, method, alphabet)
 
 
-def gram_bits(grams: DataFrame, model: Model, exclusions: bool = True) -> DataFrame:
+def gram_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFrame:
     """(model, gram, bits) for each distinct gram under each model. The cost of a symbol depends on its gram alone, so it is found once.
 
-    grams has a column gram: the symbol, and before it the symbols of its context.
+    rows has a column gram: the symbol, and before it the symbols of its context.
     """
-    names = model.ctx.where("k = 0").select("model", F.col("types").alias("types0"))  # a row for each model
-    distinct = grams.select("gram").distinct()
-    each = distinct.crossJoin(F.broadcast(names))
+    distinct = rows.select("gram").distinct()
+    names = model.names()
+    if len(names) <= LISTED:
+        listed = F.array(*(F.struct(F.lit(name).alias("model"), F.lit(types).cast("bigint").alias("types0")) for name, types in names)) if names else F.array().cast("array<struct<model:string,types0:bigint>>")
+        each = distinct.select("gram", F.inline(listed))
+    else:  # every gram has a cost under every model
+        each = distinct.join(model.ctx.where("k = 0").select("model", F.col("types").alias("types0")))
     levels = each.select("model", "gram", "types0", F.explode(F.sequence(F.lit(0), F.least(F.length("gram") - 1, F.lit(model.order)))).alias("k"))
     levels = levels.select("model", "gram", "types0", "k", F.expr("substring(gram, length(gram) - k, k)").alias("ctx"), F.right("gram", F.lit(1)).alias("sym"))
     joined = levels.join(model.ctx, ["model", "k", "ctx"], "left").join(model.sym.select("model", "k", "ctx", "sym", "weight"), ["model", "k", "ctx", "sym"], "left")
@@ -99,20 +123,42 @@ def gram_bits(grams: DataFrame, model: Model, exclusions: bool = True) -> DataFr
     return out.select("model", "gram", F.when(F.col("end.found"), F.col("end.bits")).otherwise(F.col("end.bits") + log2(rest)).alias("bits"))
 
 
+def costs(rows: DataFrame, model: Model, exclusions: bool = True) -> tuple[DataFrame, bool]:
+    """((gram, costs), whether they may be broadcast): of each distinct gram its (model, bits) in the order of the models' names."""
+    kept = cut(gram_bits(rows, model, exclusions).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("model", "bits"))).alias("costs")))  # an entry for each model
+    n, most = kept.agg(F.count(F.lit(1)), F.max(F.size("costs"))).first()
+    return kept, n * (64 + 48 * (most or 0)) <= BROADCAST_BYTES
+
+
+def gram_codelengths(rows: DataFrame, keys: list[str], model: Model, exclusions: bool = True) -> DataFrame:
+    """(keys, model, bits, symbols) from a row (keys, gram) for each symbol: the cost of each text under each model.
+
+    If the costs of the distinct grams may be broadcast, each task adds up its texts' symbols, and only sums are shuffled. Else the
+    symbols are counted by text and gram first; a gram that very many texts hold is split by the adaptive skew join.
+    """
+    kept, small = costs(rows, model, exclusions)
+    if small:
+        names = [name for name, _ in model.names()]
+        summed = rows.join(F.broadcast(kept), "gram").groupBy(*keys).agg(F.count(F.lit(1)).alias("symbols"), *(F.sum(F.col("costs")[i]["bits"]).alias(f"__b{i}") for i in range(len(names))))
+        each = F.array(*(F.struct(F.lit(name).alias("model"), F.col(f"__b{i}").alias("bits")) for i, name in enumerate(names))) if names else F.array().cast("array<struct<model:string,bits:double>>")
+        return summed.select(*keys, "symbols", F.inline(each)).select(*keys, "model", "bits", "symbols")
+    counted = rows.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.join(kept, "gram").select(*keys, "n", F.inline("costs"))
+    return joined.groupBy(*keys, "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("symbols"))
+
+
 def codelengths(df: DataFrame, id_col: str, text_col: str, model: Model, exclusions: bool = True) -> DataFrame:
-    """(id, model, bits, symbols): the codelength of each text under each model."""
-    rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    grams = gram_counts(rows, ["doc"], "t", model.order)
-    costs = gram_bits(grams, model, exclusions)
-    return grams.join(costs, "gram").groupBy(F.col("doc").alias(id_col), "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("symbols"))
+    """(id, model, bits, symbols): the codelength of each text under each model. Null and empty texts give no row."""
+    rows = grams(df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).where("t IS NOT NULL"), ["doc"], "t", model.order)
+    return gram_codelengths(rows, ["doc"], model, exclusions).withColumnRenamed("doc", id_col)
 
 
 def track(df: DataFrame, id_col: str, text_col: str, model: Model, exclusions: bool = True) -> DataFrame:
     """(id, model, pos, sym, bits): the cost of each symbol of each text under each model."""
-    grams = F.transform("__c", lambda x, i: F.array_join(F.slice("__c", F.greatest(i - model.order, F.lit(0)) + 1, F.least(i, F.lit(model.order)) + 1), ""))
-    rows = df.where(F.col(text_col).isNotNull()).withColumn("__c", T.symbols(text_col)).select(F.col(id_col).alias("doc"), F.posexplode(grams).alias("pos", "gram"))
-    costs = gram_bits(rows, model, exclusions)
-    return rows.join(costs, "gram").select(F.col("doc").alias(id_col), "model", "pos", F.right("gram", F.lit(1)).alias("sym"), "bits")
+    rows = grams(df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).where("t IS NOT NULL"), ["doc"], "t", model.order, pos=True)
+    kept, small = costs(rows, model, exclusions)
+    joined = rows.join(F.broadcast(kept) if small else kept, "gram")
+    return joined.select(F.col("doc").alias(id_col), "pos", F.right("gram", F.lit(1)).alias("sym"), F.inline("costs")).select(id_col, "model", "pos", "sym", "bits")
 
 
 def best_models(scored: DataFrame, id_col: str) -> DataFrame:
