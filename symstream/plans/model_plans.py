@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from symstream.functions import text as T
 from symstream.operators import adaptive, align, counts, evaluate, models, search
+from symstream.session import cut
 from symstream.sources.tables import spread, table
 
+from . import model_sql
+from .text_plans import SQL as TEXT_SQL
 from .text_plans import docs, lines
 
 #: Order of the relational models of the queries.
@@ -101,20 +104,68 @@ def probabilities(spark, sf_dir):
     return _tracked(spark, sf_dir).groupBy("doc_id", "model").agg(_r(F.avg(F.pow(F.lit(2.0), -F.col("bits"))), 5).alias("mean_probability"))
 
 
-def map_by_column(spark, sf_dir):
-    """Average precision of each language's column of the score matrix of documents and models."""
+def _matrix(spark, sf_dir):  # noqa: ANN001, ANN202
+    """Bits a symbol of documents (rows) under models (columns), with the documents' languages."""
     scored = _scored(spark, sf_dir, 1)
     gold = docs(spark, sf_dir).where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label"))
-    matrix = scored.join(gold, "doc_id").select(F.col("doc_id").alias("row"), F.col("model").alias("column"), _r(F.col("bits") / F.col("symbols"), 6).alias("value"), "label")
-    return evaluate.mean_average_precision(matrix).withColumn("average_precision", _r("average_precision", 6))
+    return scored.join(gold, "doc_id").select(F.col("doc_id").alias("row"), F.col("model").alias("column"), _r(F.col("bits") / F.col("symbols"), 6).alias("value"), "label")
+
+
+def map_by_column(spark, sf_dir):
+    """Average precision of each language's column of the score matrix of documents and models."""
+    return evaluate.mean_average_precision(_matrix(spark, sf_dir)).withColumn("average_precision", _r("average_precision", 6))
+
+
+def map_by_column_but_worst(spark, sf_dir):
+    """The same without each language's ten worst placed documents."""
+    return evaluate.mean_average_precision(_matrix(spark, sf_dir), ignore=10).withColumn("average_precision", _r("average_precision", 6))
+
+
+def map_by_row(spark, sf_dir):
+    """Average precision of each document's row."""
+    return evaluate.mean_average_precision_by_rows(_matrix(spark, sf_dir)).withColumn("average_precision", _r("average_precision", 6))
+
+
+def matrix_extremes(spark, sf_dir):
+    """Least and greatest value of each row of the matrix, and of all."""
+    return evaluate.extremes(_matrix(spark, sf_dir))
+
+
+#: Thresholds of bits a symbol, and the grids of the sweep: first, step, number.
+THRESHOLDS = [round(-0.3 + 0.01 * i, 2) for i in range(61)]
+SYMBOL_GRID, TEXT_GRID = (-9.0, 0.05, 301), (-0.3, 0.01, 61)
+
+
+def _verdicts(spark, sf_dir):  # noqa: ANN001, ANN202
+    """Documents with a text and a verdict: whether any reviewer found them abusive."""
+    found = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("abusive").alias("abusive"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").join(found.where("abusive IS NOT NULL"), "doc_id").select("doc_id", "text", (F.col("abusive") == 1).alias("relevant"))
+
+
+def _gains(spark, sf_dir):  # noqa: ANN001, ANN202
+    """(doc_id, gain) of each symbol of the judged documents: bits of the model of harmless ones less bits of that of abusive ones."""
+    rows = _verdicts(spark, sf_dir)
+    model = models.train(rows.select(F.when(F.col("relevant"), "positive").otherwise("negative").alias("m"), "text"), "m", "text", 1)
+    of = lambda name: F.sum(F.when(F.col("model") == name, F.col("bits")))
+    cost = models.gram_bits(counts.grams(rows, [], "text", 1), model).groupBy("gram").agg(of("negative").alias("n"), of("positive").alias("p"))
+    return counts.grams(rows, ["doc_id"], "text", 1).join(cost.select("gram", _r(F.col("n") - F.col("p")).alias("gain")), "gram").where("gain IS NOT NULL").select("doc_id", "gain")
 
 
-THRESHOLDS = [float(x) for x in range(0, 5001, 100)]
+def relevance_sweep(spark, sf_dir):
+    """Recall and precision of finding abusive documents by both models, for all pairs of a symbol and a text threshold."""
+    swept = evaluate.relevance_sweep(_gains(spark, sf_dir), "doc_id", "gain", _verdicts(spark, sf_dir).select("doc_id", "relevant"), SYMBOL_GRID, TEXT_GRID)
+    return swept.withColumns({c: _r(c, 6) for c in ("recall", "precision")})
+
+
+def relevance_best(spark, sf_dir):
+    """The best thresholds by norm."""
+    return evaluate.best_thresholds(relevance_sweep(spark, sf_dir))
 
 
 def _judged(spark, sf_dir):  # noqa: ANN001, ANN202
-    verdict = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("abusive").alias("abusive"))
-    return docs(spark, sf_dir).where("text IS NOT NULL").join(verdict, "doc_id").select(F.length("text").cast("double").alias("score"), (F.col("abusive") == 1).alias("relevant"))
+    """Bits a symbol by which the model of abusive documents is dearer."""
+    mean = _gains(spark, sf_dir).groupBy("doc_id").agg(_r(-F.avg("gain"), 6).alias("score"))
+    return mean.join(_verdicts(spark, sf_dir).select("doc_id", "relevant"), "doc_id").select("score", "relevant")
 
 
 def recall_precision(spark, sf_dir):
@@ -167,14 +218,24 @@ def event_bigram_model(spark, sf_dir):
 
 
 def parallel_line_ratio(spark, sf_dir):
-    """Lines of both scripts: the larger length over the smaller one."""
-    rows = lines(spark, sf_dir).select("line_id", F.length("malayalam_lines").alias("a"), F.length("transliterated_lines").alias("b"))
-    return rows.select("line_id", "a", "b", _r(align.parallel_ratio("a", "b"), 6).alias("ratio"))
+    """Lines of both scripts: codelengths, each under the model of its own corpus, and the larger over the smaller one; the same by symbol."""
+    rows = _corpora(spark, sf_dir)
+    model = models.train(rows, "corpus", "text", 1)
+    own = models.gram_codelengths(counts.grams(rows, ["line_id", "corpus"], "text", 1), ["line_id", "corpus"], model).where("corpus = model")
+    of = lambda corpus, c: F.max(F.when(F.col("corpus") == corpus, F.col(c)))
+    both = own.groupBy("line_id").agg(of("native", "bits").alias("a"), of("romanised", "bits").alias("b"), of("native", "symbols").alias("n_a"), of("romanised", "symbols").alias("n_b"))
+    each = both.withColumn("x", F.col("a") / F.col("n_a")).withColumn("y", F.col("b") / F.col("n_b"))
+    return each.select("line_id", _r("a", 3).alias("a"), _r("b", 3).alias("b"), "n_a", "n_b", _r(align.parallel_ratio("a", "b"), 6).alias("ratio"), _r(align.parallel_ratio("x", "y"), 6).alias("ratio_by_symbol"))
 
 
 def alignment_measures(spark, sf_dir):
-    out = align.alignment_measures(parallel_line_ratio(spark, sf_dir), "ratio", 1.5)
-    return out.select("pairs", *[_r(c, 5).alias(c) for c in ("mean_ratio", "mean_log2", "share_above", "greatest")])
+    """Measures of the ratios of codelengths, and of those by symbol."""
+    rows = cut(parallel_line_ratio(spark, sf_dir))
+    out = None
+    for name, c in (("bits", "ratio"), ("bits_by_symbol", "ratio_by_symbol")):
+        one = align.alignment_measures(rows, c, 1.5).select(F.lit(name).alias("of"), "pairs", *[_r(x, 5).alias(x) for x in ("mean_ratio", "mean_log2", "share_above", "greatest", "area")])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def lines_above_ratio(spark, sf_dir):
@@ -240,13 +301,15 @@ def spacing_study(spark, sf_dir):
 
 
 def event_streams(spark, sf_dir):
-    """Each user's events as a stream of numbers, scored by a model of order 2 of all users."""
-    kinds = ["click", "view", "purchase", "signup", "logout", "login", "search", "error"]
-    number = F.coalesce(F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")), F.lit(0))
-    ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", number.alias("n")))), lambda x: x["n"]).alias("stream"))
-    rows = ordered.select("user_id", T.numbers_as_text("stream").alias("text"), F.lit("events").alias("m"))
-    model = models.train(rows, "m", "text", 2, alphabet=256)
-    return models.codelengths(rows, "user_id", "text", model).select("user_id", "symbols", _r("bits", 3).alias("bits"))
+    """Each user's events as a stream of symbols, a number for each type that there is, scored by a model of order 2 of all users."""
+    rows = table(spark, sf_dir, "events").where("event_type IS NOT NULL")
+    kinds = counts.dense_ids(rows.select("event_type").distinct(), [F.asc("event_type")], "n")
+    numbered = rows.join(kinds, "event_type").select("user_id", "ts", "event_id", T.numbers_as_text(F.array("n")).alias("sym"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    grams = numbered.select("user_id", F.concat_ws("", F.lag("sym", 2).over(w), F.lag("sym", 1).over(w), "sym").alias("gram"))
+    counted = counts.frequencies(grams.select(F.lit("events").alias("model"), "gram"), ["model", "gram"])
+    model = models.tables(counts.context_counts(counted, ["model"], 2), 2, alphabet=256)
+    return models.gram_codelengths(grams, ["user_id"], model).select("user_id", "symbols", _r("bits", 3).alias("bits"))
 
 
 # --- order-dependent queries, held against brute force in the tests ----------------------------------------------------------------
@@ -335,11 +398,7 @@ track AS (SELECT e.doc_id, e.i - 1 AS pos, right(e.gram, 1) AS sym, gb.model, gb
 
 _TRACK = "WITH " + _bits_sql(True)
 _LINES = "(SELECT line_id, any_value(malayalam_lines) AS malayalam_lines, any_value(transliterated_lines) AS transliterated_lines FROM evaluation GROUP BY line_id)"
-_PAIR = f"SELECT line_id, length(malayalam_lines) AS a, length(transliterated_lines) AS b, CASE WHEN length(malayalam_lines) > 0 AND length(transliterated_lines) > 0 THEN round(greatest(length(malayalam_lines) / length(transliterated_lines), length(transliterated_lines) / length(malayalam_lines)), 6) END AS ratio FROM {_LINES}"
 _SPACING = "(SELECT run_id, experiment, spacing, max(struct_pack(a := run_at, b := bits_per_char)).b AS bpc FROM spacing_results WHERE success AND bits_per_char > 0 GROUP BY 1, 2, 3)"
-_JUDGED = "(SELECT length(text)::DOUBLE AS score, a = 1 AS relevant FROM documents JOIN (SELECT doc_id, max(abusive) AS a FROM labels GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL)"
-_RP = f"SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score <= t) AS retrieved, count(*) FILTER (WHERE score <= t AND relevant) AS hits, coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE relevant), 0), 0.0) AS recall, coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE score <= t), 0), 0.0) AS precision FROM {_JUDGED}, (SELECT unnest(generate_series(0, 5000, 100)) AS t) GROUP BY t"
-
 _CORPORA = "(SELECT line_id, 'native' AS corpus, malayalam_lines AS text FROM " + _LINES + " UNION ALL SELECT line_id, 'romanised', transliterated_lines FROM " + _LINES + ")"
 _CROSS = (
     _TRACK.replace("SELECT lang AS model, doc_id, substr", "SELECT corpus AS model, line_id, substr")
@@ -351,7 +410,74 @@ _CROSS = (
     ", x2 AS (SELECT corpus, model, z.n_symbols::BIGINT AS n_symbols, round(sum(bits) / z.n_symbols, 4) AS bits_per_symbol, round(8 * z.n_bytes / sum(bits), 4) AS ratio FROM track JOIN z USING (corpus) GROUP BY corpus, model, z.n_symbols, z.n_bytes)"
 )
 
+_PAIR = (
+    model_sql.track(f"(SELECT corpus AS model, text FROM {_CORPORA})", _CORPORA, "line_id, corpus", 1)
+    + """, p AS (SELECT line_id, sum(bits) FILTER (WHERE corpus = 'native') AS a, sum(bits) FILTER (WHERE corpus = 'romanised') AS b, nullif(count(*) FILTER (WHERE corpus = 'native'), 0) AS n_a, nullif(count(*) FILTER (WHERE corpus = 'romanised'), 0) AS n_b FROM track WHERE corpus = model GROUP BY 1),
+q AS (SELECT line_id, round(a, 3) AS a, round(b, 3) AS b, n_a, n_b, CASE WHEN a > 0 AND b > 0 THEN round(greatest(a / b, b / a), 6) END AS ratio, CASE WHEN a > 0 AND b > 0 THEN round(greatest((a / n_a) / (b / n_b), (b / n_b) / (a / n_a)), 6) END AS ratio_by_symbol FROM p)"""
+)
+_MEASURES = "SELECT '{name}' AS of, count(*) AS pairs, round(avg({c}), 5) AS mean_ratio, round(avg(log2({c})), 5) AS mean_log2, round(avg(({c} > 1.5)::INT), 5) AS share_above, round(max({c}), 5) AS greatest, round(avg(least(101, greatest(0, floor(round({c} * 100, 6)) - 99))) + 50 * (avg(({c} >= 2)::INT) - avg(({c} >= 300)::INT)), 5) AS area FROM q WHERE {c} IS NOT NULL"
+_VERDICTS = "(SELECT doc_id, text, a = 1 AS relevant FROM documents JOIN (SELECT doc_id, max(abusive) AS a FROM labels GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL AND a IS NOT NULL)"
+_GAINS = (
+    model_sql.track(f"(SELECT CASE WHEN relevant THEN 'positive' ELSE 'negative' END AS model, text FROM {_VERDICTS})", _VERDICTS, "doc_id", 1)
+    + ", gg AS (SELECT gram, round(sum(bits) FILTER (WHERE model = 'negative') - sum(bits) FILTER (WHERE model = 'positive'), 4) AS gain FROM gb GROUP BY 1), gains AS (SELECT doc_id, gain FROM e JOIN gg USING (gram) WHERE gain IS NOT NULL)"
+)
+_RP = (
+    "rp AS (SELECT t AS threshold, count(*) FILTER (WHERE score <= t) AS retrieved, count(*) FILTER (WHERE score <= t AND relevant) AS hits, coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE relevant), 0), 0.0) AS recall, "
+    "coalesce((count(*) FILTER (WHERE score <= t AND relevant))::DOUBLE / nullif(count(*) FILTER (WHERE score <= t), 0), 0.0) AS precision FROM "
+    f"(SELECT round(-avg(gain), 6) AS score, any_value(relevant) AS relevant FROM gains JOIN {_VERDICTS} USING (doc_id) GROUP BY doc_id), (SELECT round(-0.3 + 0.01 * i, 2)::DOUBLE AS t FROM (SELECT unnest(generate_series(0, 60)) AS i)) GROUP BY t)"
+)
+_SWEEP = (
+    f"{_GAINS}, bn AS (SELECT doc_id, least({SYMBOL_GRID[2]}, greatest(0, floor(round((gain - ({SYMBOL_GRID[0]})) / {SYMBOL_GRID[1]}, 6)) + 1))::INT AS symbol_step, sum(gain) AS g, count(*) AS c FROM gains GROUP BY ALL), "
+    f"dn AS (SELECT doc_id, unnest(generate_series(0, {SYMBOL_GRID[2]}))::INT AS symbol_step FROM (SELECT DISTINCT doc_id FROM bn)), "
+    "fl AS (SELECT doc_id, symbol_step, sum(coalesce(c, 0)) OVER w AS kept, sum(coalesce(g, 0)) OVER w AS total FROM dn LEFT JOIN bn USING (doc_id, symbol_step) WINDOW w AS (PARTITION BY doc_id ORDER BY symbol_step DESC ROWS UNBOUNDED PRECEDING)), "
+    "jd AS (SELECT *, max(kept) OVER (PARTITION BY doc_id) AS length FROM fl), "
+    f"sc AS (SELECT relevant, symbol_step, norm, round(score, 6) AS score FROM (SELECT doc_id, symbol_step, unnest(['sum', 'mean', 'mean_kept']) AS norm, unnest([total / 100, total / nullif(length, 0), total / nullif(kept, 0)]) AS score FROM jd) JOIN {_VERDICTS} USING (doc_id) WHERE score IS NOT NULL), "
+    f"ct AS (SELECT norm, symbol_step, least({TEXT_GRID[2]}, greatest(0, floor(round((score - ({TEXT_GRID[0]})) / {TEXT_GRID[1]}, 6)) + 1))::INT AS text_step, count(*) AS n, count(*) FILTER (WHERE relevant) AS h FROM sc GROUP BY ALL), "
+    f"gd AS (SELECT norm, symbol_step, unnest(generate_series(0, {TEXT_GRID[2]}))::INT AS text_step FROM (SELECT DISTINCT norm, symbol_step FROM ct)), "
+    "up AS (SELECT norm, symbol_step, text_step, (sum(coalesce(n, 0)) OVER w)::BIGINT AS retrieved, (sum(coalesce(h, 0)) OVER w)::BIGINT AS hits FROM gd LEFT JOIN ct USING (norm, symbol_step, text_step) WINDOW w AS (PARTITION BY norm, symbol_step ORDER BY text_step DESC ROWS UNBOUNDED PRECEDING)), "
+    f"sw2 AS (SELECT *, round(coalesce(hits / nullif((SELECT count(*) FILTER (WHERE relevant) FROM {_VERDICTS}), 0), 0.0), 6) AS recall, round(coalesce(hits / nullif(retrieved, 0), 0.0), 6) AS precision FROM up WHERE text_step > 0)"
+)
+_MATRIX = f"{_TRACK}, v AS (SELECT doc_id AS r, model AS c, round(sum(bits) / count(*), 6) AS value FROM track GROUP BY 1, 2), l AS (SELECT v.*, lang AS label FROM v JOIN documents ON doc_id = r WHERE lang IS NOT NULL)"
+
+
+def _map_sql(by: str, other: str, name: str, ignore: int = 0) -> str:
+    return f"""{_MATRIX}, k AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY value, {other}) AS rank, sum((label = c)::INT) OVER (PARTITION BY {by} ORDER BY value, {other}) AS hits, sum((label = c)::INT) OVER (PARTITION BY {by}) AS whole FROM l),
+z AS (SELECT *, max(CASE WHEN label = c AND hits <= greatest(whole - {ignore}, 1) THEN rank END) OVER (PARTITION BY {by}) AS last FROM k) SELECT {by} AS "{name}", round(coalesce(avg(CASE WHEN rank <= last THEN hits / rank END), 0.0), 6) AS average_precision FROM z GROUP BY 1"""
+
+
+_LANGS = "(SELECT lang AS model, text FROM documents)"
+_DOCS = "(SELECT doc_id, text FROM documents)"
+_IDENTIFY = (
+    model_sql.track(_LANGS, _DOCS, "doc_id", ORDER)
+    + ", d2 AS (SELECT doc_id, model, sum(bits) AS bits FROM track GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits, model) AS p FROM d2)"
+    ", li AS (SELECT doc_id, any_value(lang) AS lang, max(model) FILTER (WHERE p = 1) AS best, round(max(bits) FILTER (WHERE p = 1), 3) AS best_bits, max(model) FILTER (WHERE p = 2) AS second, round(max(bits) FILTER (WHERE p = 2), 3) AS second_bits FROM r JOIN documents USING (doc_id) GROUP BY 1)"
+)
+_STREAMS = (
+    "WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS n FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)), "
+    "u AS (SELECT user_id, string_agg(chr((200 + n)::INT), '' ORDER BY ts, event_id) AS text FROM events JOIN k USING (event_type) GROUP BY 1), "
+    + model_sql.track("(SELECT 'events' AS model, text FROM u)", "u", "user_id", 2, 256)[5:]
+)
+_SPACED = TEXT_SQL["spacing_variants_whole"].replace("doc_id", "corpus").replace("FROM documents WHERE text IS NOT NULL", f"FROM {_CORPORA} WHERE text IS NOT NULL")
+_SPACED = _SPACED[: _SPACED.index(", w AS (SELECT *, list_filter")]
+_SPACING_STUDY = (
+    _SPACED + ", " + model_sql.track(f"(SELECT corpus AS model, text FROM {_CORPORA})", "(SELECT corpus, spacing, variant AS text FROM v)", "corpus, spacing", 1)[5:].replace("b AS (SELECT h.model", "bb AS (SELECT h.model").replace("LEFT JOIN b ON sw.model = b.model AND sw.k = b.k AND sw.ctx = b.ctx", "LEFT JOIN bb ON sw.model = bb.model AND sw.k = bb.k AND sw.ctx = bb.ctx")
+    + " SELECT corpus, spacing, model, count(*) AS n_symbols, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track GROUP BY ALL"
+)
+_ENDS = "list_slice(list_transform(generate_series(1, len({w})), lambda i: list_sum(list_transform(list_slice({w}, 1, i), lambda x: length(x)))), 1, len({w}) - 1)"
+_FOUND = "rtrim(regexp_replace(replace(gold, ' ', ''), '(?s)(.{5})', '\\1 ', 'g'))"
+
 SQL = {
+    "model_counters": f"WITH {model_sql.model_ctes(_LANGS, ORDER)} SELECT model, k, count(*) AS contexts, count(*) FILTER (WHERE occurrences >= 2 OR k = 0) AS usable, sum(types)::BIGINT AS counters, sum(occurrences)::BIGINT AS symbols FROM c GROUP BY 1, 2",
+    "lang_identify": f"{_IDENTIFY} SELECT * FROM li",
+    "precision_at_1": f"{_IDENTIFY} SELECT lang, count(*) AS documents, avg((best = lang)::INT::DOUBLE) AS precision FROM li WHERE lang IS NOT NULL GROUP BY 1",
+    "confusion_lang": f"{_IDENTIFY} SELECT lang AS gold, best AS predicted, count(*) AS n FROM li GROUP BY 1, 2",
+    "spacing_study": _SPACING_STUDY,
+    "event_streams": f"{_STREAMS} SELECT user_id, count(*) AS symbols, round(sum(bits), 3) AS bits FROM track GROUP BY 1",
+    "relevance_sweep": f"{_SWEEP} SELECT * FROM sw2",
+    "relevance_best": f"{_SWEEP}, bs AS (SELECT norm, min(struct_pack(m := -round((recall + precision) / 2, 6), s := symbol_step, t := text_step)) AS b FROM sw2 GROUP BY 1) SELECT norm, -b.m AS break_even, b.s AS symbol_step, b.t AS text_step FROM bs",
+    "map_by_column_but_worst": _map_sql("c", "r", "column", 10),
+    "map_by_row": _map_sql("r", "c", "row"),
+    "matrix_extremes": f"{_MATRIX} SELECT r AS \"row\", min(value) AS least, max(value) AS greatest FROM l GROUP BY ROLLUP (r)",
     "cross_compression": f"{_CROSS} SELECT * FROM x2",
     "distinguishability": f"{_CROSS} SELECT corpus, max(bits_per_symbol) FILTER (WHERE corpus = model) AS own, max(bits_per_symbol) FILTER (WHERE corpus <> model) AS other, round(max(bits_per_symbol) FILTER (WHERE corpus <> model) - max(bits_per_symbol) FILTER (WHERE corpus = model), 4) AS gain, max(bits_per_symbol) FILTER (WHERE corpus = model) < max(bits_per_symbol) FILTER (WHERE corpus <> model) AS prefers_own FROM x2 GROUP BY 1",
     "context_model": f"WITH {_CTX1} SELECT sw.model, sw.k, sw.ctx, sym, n, weight, occurrences, types, mass, below FROM sw JOIN c ON sw.model = c.model AND sw.k = c.k AND sw.ctx = c.ctx",
@@ -365,21 +491,21 @@ SQL = {
     "information_radius": f"{_TRACK}, t AS (SELECT doc_id, pos, sum(bits) FILTER (WHERE model = 'ml') AS a, sum(bits) FILTER (WHERE model = 'ml-latn') AS b FROM track WHERE model IN ('ml', 'ml-latn') GROUP BY 1, 2) SELECT doc_id, round(avg(a), 4) AS entropy_a, round(avg(b), 4) AS entropy_b, round(avg((a + b) / 2), 4) AS radius, round(avg(abs(a - b)), 4) AS absolute, round(avg(a - b), 4) AS signed FROM t GROUP BY 1",
     "line_max_bits": f"{_TRACK} SELECT doc_id, model, round(max(bits), 4) AS max_bits, round(sum(bits), 3) AS bits FROM track GROUP BY 1, 2",
     "probabilities": f"{_TRACK} SELECT doc_id, model, round(avg(pow(2.0, -bits)), 5) AS mean_probability FROM track GROUP BY 1, 2",
-    "map_by_column": f'{_TRACK}, v AS (SELECT doc_id AS r, model AS c, round(sum(bits) / count(*), 6) AS value FROM track GROUP BY 1, 2), l AS (SELECT v.*, lang AS label FROM v JOIN documents ON doc_id = r WHERE lang IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY value, r) AS rank, sum((label = c)::INT) OVER (PARTITION BY c ORDER BY value, r) AS hits FROM l), z AS (SELECT *, max(CASE WHEN label = c THEN rank END) OVER (PARTITION BY c) AS last FROM k) SELECT c AS "column", round(coalesce(avg(CASE WHEN rank <= last THEN hits / rank END), 0.0), 6) AS average_precision FROM z GROUP BY 1',
-    "recall_precision": f"SELECT threshold, retrieved, hits, round(recall, 6) AS recall, round(precision, 6) AS precision FROM ({_RP})",
-    "break_even": f"SELECT round(greatest(max((recall + precision) / 2), 0.0), 6) AS break_even FROM ({_RP})",
+    "map_by_column": _map_sql("c", "r", "column"),
+    "recall_precision": f"{_GAINS}, {_RP} SELECT threshold, retrieved, hits, round(recall, 6) AS recall, round(precision, 6) AS precision FROM rp",
+    "break_even": f"{_GAINS}, {_RP} SELECT round(greatest(max((recall + precision) / 2), 0.0), 6) AS break_even FROM rp",
     "topic_prior": "SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM documents WHERE lang IS NOT NULL GROUP BY 1",
     "spacing_preference": f"SELECT run_id, experiment, min(struct_pack(a := bpc, b := spacing)).b AS best, max(struct_pack(a := bpc, b := spacing)).b AS worst, round(max(bpc) - min(bpc), 6) AS range FROM {_SPACING} GROUP BY 1, 2",
     "boundary_understanding": f"WITH r AS (SELECT run_id, experiment, max(bpc) FILTER (WHERE spacing = 'original') AS o, max(bpc) FILTER (WHERE spacing = 'no_spaces') AS n FROM {_SPACING} GROUP BY 1, 2) SELECT experiment, count(*) AS runs, count(*) FILTER (WHERE n - o > 0) AS prefer_original, count(*) FILTER (WHERE n - o > 0.1) AS good, round(avg(n - o), 6) AS mean_gain FROM r WHERE o IS NOT NULL AND n IS NOT NULL GROUP BY 1",
     "best_configuration": f"WITH m AS (SELECT experiment, spacing, round(avg(bpc), 6) AS mean_bpc, count(*) AS runs FROM {_SPACING} GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY mean_bpc, spacing) AS place FROM m",
     "event_bigram_model": "WITH s AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), c AS (SELECT before, event_type, count(*) AS n FROM s WHERE before IS NOT NULL GROUP BY 1, 2) SELECT before, event_type, n, round(-log2((2 * n - 1) / (2 * sum(n) OVER (PARTITION BY before))), 6) AS bits FROM c",
-    "parallel_line_ratio": _PAIR,
-    "alignment_measures": f"SELECT count(*) AS pairs, round(avg(ratio), 5) AS mean_ratio, round(avg(log2(ratio)), 5) AS mean_log2, round(avg((ratio > 1.5)::INT), 5) AS share_above, round(max(ratio), 5) AS greatest FROM ({_PAIR}) WHERE ratio IS NOT NULL",
-    "lines_above_ratio": f"SELECT k::DOUBLE AS k, round(avg((ratio > k)::INT), 6) AS share FROM ({_PAIR}), (SELECT unnest([1.0, 1.1, 1.25, 1.5, 2.0, 4.0]) AS k) WHERE ratio IS NOT NULL GROUP BY 1",
-    "realigned_lines": f"SELECT * FROM ({_PAIR}) WHERE floor(ratio) < 2",
+    "parallel_line_ratio": f"{_PAIR} SELECT * FROM q",
+    "alignment_measures": f"{_PAIR} {_MEASURES.format(name='bits', c='ratio')} UNION ALL {_MEASURES.format(name='bits_by_symbol', c='ratio_by_symbol')}",
+    "lines_above_ratio": f"{_PAIR} SELECT k::DOUBLE AS k, round(avg((ratio > k)::INT), 6) AS share FROM q, (SELECT unnest([1.0, 1.1, 1.25, 1.5, 2.0, 4.0]) AS k) WHERE ratio IS NOT NULL GROUP BY 1",
+    "realigned_lines": f"{_PAIR} SELECT * FROM q WHERE floor(ratio) < 2",
 }
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
-    probabilities, map_by_column, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, spacing_study, event_streams,
+    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, spacing_study, event_streams,
     edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
 ]
