@@ -193,15 +193,15 @@ LONGER = {
     "ഋ": "r̥", "ൠ": "r̥̄", "ഌ": "l̥", "ൡ": "l̥̄", "ഐ": "ai", "ഔ": "au", "ൃ": "r̥", "ൄ": "r̥̄", "ൢ": "l̥", "ൣ": "l̥̄", "ൈ": "ai", "ൌ": "au", "ൗ": "au",
 }
 TWO_PART = {
-    "\u0d46\u0d3e": "\u0d4a", "\u0d3e\u0d46": "\u0d4a", "\u0d47\u0d3e": "\u0d4b", "\u0d3e\u0d47": "\u0d4b", "\u0d46\u0d57": "\u0d4c", "\u0d57\u0d46": "\u0d4c", "\u0d46\u0d46": "\u0d48",
+    "െ" + "ാ": "ൊ", "ാ" + "െ": "ൊ", "േ" + "ാ": "ോ", "ാ" + "േ": "ോ", "െ" + "ൗ": "ൌ", "ൗ" + "െ": "ൌ", "െ" + "െ": "ൈ",
 }
 LIGATURES = {"ന്റ": ("\ue000", "nṯ"), "റ്റ": ("\ue001", "ṯṯ")}
 NO_INHERENT = "അആഇഈഉഊഋഎഏഐഒഓഔം"
 VIRAMA = "്"
 # ----------------------------------------------------------------------------------------------------------------------------
-_HOLDS_A = "".join(c for c in [*PLAIN, *LONGER] if c not in NO_INHERENT and c not in "ാിീുൂൃൄൢൣെേൈൊോൌൗൺൻർൽൾൿ")
+HOLDS_A = "".join(c for c in [*PLAIN, *LONGER] if c not in NO_INHERENT and c not in "ാിീുൂൃൄൢൣെേൈൊോൌൗൺൻർൽൾൿ")
 _MARK = r"[\p{M}&&[^ം]]"
-_WORD_END = rf"(?=[{CLASSES['punct']}\x{{0009}}-\x{{000D}}\x{{0020}}\x{{200C}}\p{{Z}}]|$)"
+WORD_ENDS = rf"{CLASSES['punct']}\x{{0009}}-\x{{000D}}\x{{0020}}\x{{200C}}\p{{Z}}"
 
 
 def transliterate(text: Column | str) -> Column:
@@ -213,9 +213,9 @@ def transliterate(text: Column | str) -> Column:
         t = F.replace(t, F.lit(pair), F.lit(mark))
     for pair, one in TWO_PART.items():
         t = F.replace(t, F.lit(pair), F.lit(one))
-    t = F.regexp_replace(t, f"([{_HOLDS_A}])(?!{_MARK})", "$1a")
+    t = F.regexp_replace(t, f"([{HOLDS_A}])(?!{_MARK})", "$1a")
     t = F.regexp_replace(t, rf"([\ue000\ue001])(?!{_MARK})(?=[\s\S])", "$1a")
-    t = F.regexp_replace(t, f"{VIRAMA}{_WORD_END}", "ŭ")
+    t = F.regexp_replace(t, f"{VIRAMA}(?=[{WORD_ENDS}]|$)", "ŭ")
     t = F.replace(t, F.lit(VIRAMA), F.lit(""))
     for _, (mark, latin) in LIGATURES.items():
         t = F.replace(t, F.lit(mark), F.lit(latin))

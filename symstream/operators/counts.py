@@ -78,3 +78,39 @@ def cumulative(counted: DataFrame, by: list[str], symbol: str) -> DataFrame:
 def symbol_at(ranges: DataFrame, target: Column, symbol: str) -> Column:
     """The symbol in whose range a target falls."""
     return F.min(F.when((F.col("lower") <= target) & (target < F.col("upper")), F.col(symbol)))
+
+
+def seeded_order(id_col: str, seed: int) -> Column:
+    """A shuffle that is the same whenever it is made: by a digest of the seed and the id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+
+
+def seeded_split(df: DataFrame, by: str, id_col: str, ratio: float = 0.2, seed: int = 7) -> DataFrame:
+    """df with ``split``: 'test' for the whole part of ratio of each value of by, in a seeded shuffle of the ids, else 'train'.
+
+    Ids are unique within a value. Rows are numbered by ranges, so no task sees all rows of a value.
+    """
+    from .evaluate import running
+
+    ranked = running(df.withColumn("__order", seeded_order(id_col, seed)), by, ["__order", id_col], F.lit(True))
+    sizes = df.groupBy(F.col(by).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    joined = ranked.join(sizes, F.col(by).eqNullSafe(F.col("__k")))
+    return joined.withColumn("split", F.when(F.col("rank") <= F.floor(F.col("__n") * F.lit(ratio)), "test").otherwise("train")).drop("__order", "__k", "__n", "rank", "hits")
+
+
+def shared_runs(df: DataFrame, by: str, side: str, text: str, longest: int) -> DataFrame:
+    """(by, size, types, shared_types, tokens, shared_tokens, r, r1): runs of up to ``longest`` symbols of the texts of one side (side true)
+    that the other side's texts have too. r adds up shared_tokens over this size and all longer ones, r1 over this and all shorter ones.
+
+    Runs of the full length (shorter at the ends) are counted first; all others are their beginnings, so texts are read once, and only
+    distinct runs are cut into beginnings.
+    """
+    runs = F.transform("__c", lambda x, i: F.array_join(F.slice("__c", i + 1, F.lit(longest)), ""))
+    rows = df.where(F.col(text).isNotNull()).withColumn("__c", T.symbols(text)).select(F.col(by).alias("by"), F.col(side).alias("side"), F.explode(runs).alias("run"))
+    whole = rows.groupBy("by", "run").agg(F.count_if("side").alias("n"), F.count_if(~F.col("side")).alias("m"))
+    parts = whole.select("by", "n", "m", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("size")).select("by", "size", F.left("run", F.col("size")).alias("run"), "n", "m")
+    counted = parts.groupBy("by", "size", "run").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 0")
+    out = counted.groupBy("by", "size").agg(F.count(F.lit(1)).alias("types"), F.count_if(F.col("m") > 0).alias("shared_types"), F.sum("n").alias("tokens"), F.sum(F.when(F.col("m") > 0, F.col("n")).otherwise(0)).alias("shared_tokens"))
+    w = Window.partitionBy("by").orderBy("size")  # a row for each size
+    every = Window.partitionBy("by").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("r", F.sum("shared_tokens").over(every)).withColumn("r1", F.sum("shared_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumnRenamed("by", by)

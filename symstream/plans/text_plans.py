@@ -113,9 +113,27 @@ def spacing_variants_whole(spark, sf_dir):
     return _variants(spark, sf_dir, None)
 
 
+def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the native and the romanised corpus: line_id, corpus, text."""
+    rows = lines(spark, sf_dir).select("line_id", F.inline(F.array(F.struct(F.lit("native").alias("corpus"), F.col("malayalam_lines").alias("text")), F.struct(F.lit("romanised").alias("corpus"), F.col("transliterated_lines").alias("text")))))
+    return rows.where("text IS NOT NULL")
+
+
 def train_test_split(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("lang", (F.col("doc_id") % 5 == 0).alias("test"))
-    return rows.groupBy("lang").agg(F.count_if("test").alias("test"), F.count_if(~F.col("test")).alias("train"))
+    """Lines of both corpora, a fifth of each as test set by a seeded shuffle."""
+    return counts.seeded_split(corpora(spark, sf_dir), "corpus", "line_id").select("line_id", "corpus", "split")
+
+
+def segmentation_sample(spark, sf_dir):
+    """The first thousand signs of each corpus without their spaces: a sample of fixed size, the feature of the reference."""
+    out = None
+    for name in ("native", "romanised"):
+        # a line and its break have at least one sign, so a thousand lines are enough
+        first = corpora(spark, sf_dir).where(F.col("corpus") == name).orderBy("line_id").limit(1000)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "")
+        one = first.agg(text.alias("text")).select(F.lit(name).alias("corpus"), F.replace(F.left("text", F.lit(1000)), F.lit(" "), F.lit("")).alias("sample"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def phone_keys(spark, sf_dir):
@@ -127,11 +145,13 @@ def word_types(spark, sf_dir):
 
 
 def combined_corpus(spark, sf_dir):
-    """Lines of the native, the romanised and the mixed corpora, by source."""
+    """Lines of the native, the romanised and the mixed corpora, by source; mixed are those with more than a tenth of either script."""
     rows = lines(spark, sf_dir)
     one = lambda c, name: rows.where(f"{c} IS NOT NULL").select("source_name", F.lit(name).alias("corpus"), F.col(c).alias("line"))
     both = one("malayalam_lines", "native").unionByName(one("transliterated_lines", "romanised"))
-    return both.groupBy("source_name", "corpus").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_symbols"))
+    mixed = (T.ratio("line", T.MALAYALAM) > 0.1) & (T.ratio("line", T.LATIN) > 0.1)
+    all_ = both.select("source_name", "line", F.explode(F.when(mixed, F.array("corpus", F.lit("mixed"))).otherwise(F.array("corpus"))).alias("corpus"))
+    return all_.groupBy("source_name", "corpus").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_symbols"))
 
 
 def set_measures(spark, sf_dir):
@@ -155,16 +175,14 @@ def sss_codelength(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"), F.max(T.sss_bits("p_size", 1, 2, 9)).alias("bits"))
 
 
+#: Longest runs of the measures of shared substrings.
+LONGEST = 9
+
+
 def shared_ngrams(spark, sf_dir):
-    """For each script and n-gram length: types of the test split, how many of them the train split has, and the running measures."""
+    """For each script and length: types of the test split, how many of them the train split has, and the running measures."""
     rows = table(spark, sf_dir, "test_sets").where("text IS NOT NULL").select(F.split_part("split_name", F.lit("_"), F.lit(1)).alias("script"), F.col("split_name").endswith("_test").alias("test"), "text")
-    out = None
-    for n in (3, 6, 9):
-        grams = counts.ngrams(rows, ["script", "test"], "text", n).groupBy("script", "gram").agg(F.count_if("test").alias("n"), F.count_if(~F.col("test")).alias("m")).where("n > 0")
-        one = grams.groupBy("script").agg(F.count(F.lit(1)).alias("types"), F.count_if(F.col("m") > 0).alias("shared_types"), F.sum("n").alias("tokens"), F.sum(F.when(F.col("m") > 0, F.col("n")).otherwise(0)).alias("shared_tokens"))
-        one = one.select("script", F.lit(n).alias("size"), "types", "shared_types", "tokens", "shared_tokens")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return counts.shared_runs(spread(rows), "script", "test", "text", LONGEST)
 
 
 _WORDS = f"list_filter(regexp_split_to_array(text, '[{_WS}]+'), lambda w: w <> '')"
@@ -187,6 +205,28 @@ def _clean(column: str, wide: bool) -> str:
 
 
 _LINES = "(SELECT line_id, any_value(malayalam_lines) AS malayalam_lines, any_value(transliterated_lines) AS transliterated_lines, any_value(source_name) AS source_name FROM evaluation GROUP BY line_id)"
+_CORPORA = "(SELECT line_id, 'native' AS corpus, malayalam_lines AS text FROM " + _LINES + " WHERE malayalam_lines IS NOT NULL UNION ALL SELECT line_id, 'romanised', transliterated_lines FROM " + _LINES + " WHERE transliterated_lines IS NOT NULL)"
+
+
+def _transliterated(column: str) -> str:
+    """T.transliterate without looking ahead: signs of their own stand for the vowel that may follow, and go before a mark."""
+    vowel, after, kept = "\ue010", "\ue012", "\ue011"
+    sure = lambda t: "'" + t.replace("'", "''") + "'"
+    out = column
+    for pair, one in {**{p: m for p, (m, _) in T.LIGATURES.items()}, **T.TWO_PART, "ം": kept}.items():
+        out = f"replace({out}, {sure(pair)}, {sure(one)})"
+    out = f"regexp_replace({out}, '([{T.HOLDS_A}])', '\\1{vowel}', 'g')"
+    out = f"regexp_replace({out}, '([\ue000\ue001])', '\\1{after}', 'g')"
+    out = f"regexp_replace({out}, '[{vowel}{after}](\\p{{M}})', '\\1', 'g')"
+    out = f"regexp_replace({out}, '{after}$', '')"
+    out = f"regexp_replace({out}, '[{vowel}{after}]', 'a', 'g')"
+    out = f"replace({out}, '{kept}', 'ം')"
+    out = f"regexp_replace({out}, {sure(T.VIRAMA + '([' + T.WORD_ENDS + ']|$)')}, 'ŭ\\1', 'g')"
+    for old, new in {T.VIRAMA: "", **dict(T.LIGATURES.values()), **T.LONGER}.items():
+        out = f"replace({out}, {sure(old)}, {sure(new)})"
+    return f"translate({out}, {sure(''.join(T.PLAIN))}, {sure(''.join(T.PLAIN.values()))})"
+
+
 _SSS = "CASE WHEN p_size < 2 THEN 2.0 WHEN p_size < 10 THEN 5.0 WHEN p_size < 42 THEN 8.0 WHEN p_size < 170 THEN 11.0 ELSE 13.0 END"
 
 SQL = {
@@ -203,22 +243,27 @@ SQL = {
     "doc_filter_stats": f"WITH f AS (SELECT source, length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) < 100 AS short, {_ratio(_ML)} AS ml, {_ratio('A-Za-z')} AS lat, length({_clean('text', True)}) > 50 AS long FROM documents WHERE text IS NOT NULL) "
     "SELECT source, count(*) AS total, count(*) FILTER (WHERE short) AS skipped, count(*) FILTER (WHERE NOT short AND ml >= 0.3 AND long) AS processed, count(*) FILTER (WHERE NOT short AND ml > 0.1 AND lat > 0.1) AS mixed FROM f GROUP BY 1",
     "clean_text": f"SELECT line_id, {_clean('malayalam_lines', False)} AS narrow, {_clean('malayalam_lines', True)} AS wide FROM {_LINES} WHERE malayalam_lines IS NOT NULL",
-    "train_test_split": "SELECT lang, count(*) FILTER (WHERE doc_id % 5 = 0) AS test, count(*) FILTER (WHERE doc_id % 5 <> 0) AS train FROM documents GROUP BY 1",
+    "train_test_split": f"SELECT line_id, corpus, CASE WHEN row_number() OVER (PARTITION BY corpus ORDER BY md5('7:' || line_id), line_id) <= floor(count(*) OVER (PARTITION BY corpus) * 0.2) THEN 'test' ELSE 'train' END AS split FROM {_CORPORA}",
+    "segmentation_sample": f"SELECT corpus, replace(left(string_agg(text || chr(10), '' ORDER BY line_id), 1000), ' ', '') AS sample FROM {_CORPORA} GROUP BY 1",
     "phone_keys": r"WITH k AS (SELECT doc_id, '   ' || translate(regexp_replace(text, '[^A-Za-z .,\n]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(10), '2223334445556667777888999922233344455566677778889999 ') AS t FROM documents WHERE lang = 'en') SELECT doc_id, md5(t) AS digest, length(t) AS length FROM k",
     "word_types": f"WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(text, '[{T.CLASSES['punct']}]', '', 'g'), '[{_WS}]+'), lambda w: w <> ''))) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t) AS types, md5(coalesce(array_to_string(t, ' '), '')) AS digest FROM w",
-    "combined_corpus": f"SELECT source_name, corpus, count(*) AS n_lines, sum(length(line))::BIGINT AS n_symbols FROM (SELECT source_name, 'native' AS corpus, malayalam_lines AS line FROM {_LINES} UNION ALL SELECT source_name, 'romanised', transliterated_lines FROM {_LINES}) WHERE line IS NOT NULL GROUP BY 1, 2",
+    "combined_corpus": f"WITH b AS (SELECT source_name, corpus, line AS text FROM (SELECT source_name, 'native' AS corpus, malayalam_lines AS line FROM {_LINES} UNION ALL SELECT source_name, 'romanised', transliterated_lines FROM {_LINES}) WHERE line IS NOT NULL) "
+    f"SELECT source_name, corpus, count(*) AS n_lines, sum(length(text))::BIGINT AS n_symbols FROM (FROM b UNION ALL SELECT source_name, 'mixed', text FROM b WHERE {_ratio(_ML)} > 0.1 AND {_ratio('A-Za-z')} > 0.1) GROUP BY 1, 2",
     "set_measures": "WITH a AS (SELECT DISTINCT c_nationkey AS m FROM customer), b AS (SELECT DISTINCT s_nationkey AS m FROM supplier) SELECT (SELECT count(*) FROM (SELECT m FROM a UNION SELECT m FROM b)) AS n_union, (SELECT count(*) FROM (SELECT m FROM a INTERSECT SELECT m FROM b)) AS n_both, (SELECT list_sort(list(m)) FROM a) = (SELECT list_sort(list(m)) FROM b) AS equal",
     "tuple_query": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7",
     "cumulative_freq": "SELECT sym, n, (sum(n) OVER (ORDER BY sym))::BIGINT AS upper, (sum(n) OVER (ORDER BY sym) - n)::BIGINT AS lower FROM (SELECT p_size AS sym, count(*) AS n FROM part GROUP BY 1)",
     "sss_codelength": f"SELECT p_size, count(*) AS n, max({_SSS})::DOUBLE AS bits FROM part GROUP BY 1",
-    "shared_ngrams": " UNION ALL ".join(
+    "shared_ngrams": "WITH t AS (SELECT split_part(split_name, '_', 1) AS script, split_name LIKE '%\\_test' ESCAPE '\\' AS test, text FROM test_sets WHERE text IS NOT NULL), z AS ("
+    + " UNION ALL ".join(
         f"SELECT script, {n} AS size, count(*) AS types, count(*) FILTER (WHERE m > 0) AS shared_types, sum(n)::BIGINT AS tokens, coalesce(sum(n) FILTER (WHERE m > 0), 0)::BIGINT AS shared_tokens FROM (SELECT script, gram, count(*) FILTER (WHERE test) AS n, count(*) FILTER (WHERE NOT test) AS m FROM "
-        f"(SELECT script, test, substr(text, i::INT, {n}) AS gram FROM (SELECT split_part(split_name, '_', 1) AS script, split_name LIKE '%\\_test' ESCAPE '\\' AS test, text, unnest(generate_series(1, length(text) - {n - 1})) AS i FROM test_sets WHERE text IS NOT NULL)) GROUP BY 1, 2) WHERE n > 0 GROUP BY 1"
-        for n in (3, 6, 9)
-    ),
+        f"(SELECT script, test, substr(text, i::INT, {n}) AS gram FROM (SELECT *, unnest(generate_series(1, length(text) - {n - 1})) AS i FROM t)) GROUP BY 1, 2) WHERE n > 0 GROUP BY 1"
+        for n in range(1, LONGEST + 1)
+    )
+    + ") SELECT *, (sum(shared_tokens) OVER (PARTITION BY script ORDER BY size DESC))::BIGINT AS r, (sum(shared_tokens) OVER (PARTITION BY script ORDER BY size))::BIGINT AS r1 FROM z",
+    "transliterate": f"SELECT line_id, {_transliterated('malayalam_lines')} AS latin FROM {_LINES}",
 }
 QUERIES = [
-    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, phone_keys,
+    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, segmentation_sample, phone_keys,
     word_types, combined_corpus, set_measures, tuple_query, cumulative_freq, sss_codelength, shared_ngrams,
 ]
 _BARE = "regexp_replace(cut, '[" + _WS + "]+', '', 'g')"
