@@ -27,6 +27,7 @@ class Adaptive:
             raise ValueError("method is C or D, order -1 or more")
         self.order, self.step, self.alphabet, self.narrow = order, 2 if method == "D" else 1, alphabet, update_exclusions
         self.counts: dict[tuple[int, ...], dict[int, int]] = {}
+        self.mass: dict[tuple[int, ...], int] = {}
         self.past: tuple[int, ...] = ()
 
     def _contexts(self) -> Iterator[tuple[int, ...]]:
@@ -54,9 +55,10 @@ class Adaptive:
                 return out
             out.append((mass, total, total))
             excluded |= seen.keys()
-        rest = [s for s in range(self.alphabet) if s not in excluded] + [SENTINEL]
-        at = rest.index(symbol)
-        out.append((at, at + 1, len(rest)))
+        gone = [s for s in excluded if s != SENTINEL]
+        total = self.alphabet - len(gone) + 1
+        at = total - 1 if symbol == SENTINEL else symbol - sum(s < symbol for s in gone)
+        out.append((at, at + 1, total))
         return out
 
     def choose(self, pick: Callable[[int], int], take: Callable[[int, int, int], None] | None = None) -> int:
@@ -81,13 +83,34 @@ class Adaptive:
                     low += n
             take(mass, total, total)
             excluded |= seen.keys()
-        rest = [s for s in range(self.alphabet) if s not in excluded] + [SENTINEL]
-        at = pick(len(rest))
-        take(at, at + 1, len(rest))
-        return rest[at]
+        gone = sorted(s for s in excluded if s != SENTINEL)
+        total = self.alphabet - len(gone) + 1
+        at = pick(total)
+        take(at, at + 1, total)
+        if at == total - 1:
+            return SENTINEL
+        for s in gone:  # the at-th of those that are left
+            if s > at:
+                break
+            at += 1
+        return at
 
     def bits(self, symbol: int) -> float:
-        return -sum(math.log2((high - low) / total) for low, high, total in self.ranges(symbol) if (low, high) != (0, total))
+        """What ``ranges`` costs. What was excluded by a longer context is known to the shorter one, so its mass is taken from the whole."""
+        out, excluded = 0.0, ()
+        for ctx in self._contexts():
+            seen = self.counts.get(ctx)
+            if not seen:
+                continue
+            mass = self.mass[ctx] - sum([seen[s] for s in excluded])
+            if mass == 0:
+                continue
+            total = mass + len(seen)
+            if symbol in seen and symbol not in excluded:
+                return out - math.log2(seen[symbol] / total)
+            out -= math.log2(len(seen) / total)
+            excluded = seen
+        return out + math.log2(self.alphabet - sum([s != SENTINEL for s in excluded]) + 1)
 
     def update(self, symbol: int) -> None:
         """Learns a symbol: with update exclusions only the longest context that knows it is counted up, shorter ones stay."""
@@ -97,9 +120,11 @@ class Adaptive:
             if symbol in seen:
                 if not (self.narrow and known):
                     seen[symbol] += self.step
+                    self.mass[ctx] += self.step
                 known = True
             else:
                 seen[symbol] = 1
+                self.mass[ctx] = self.mass.get(ctx, 0) + 1
         self.past = () if symbol == SENTINEL or self.order < 1 else (*self.past, symbol)[-self.order :]
 
     def learn(self, symbols: Iterable[int]) -> Adaptive:
@@ -208,16 +233,16 @@ def adaptive_bits(df: DataFrame, id_col: str, text_col: str, order: int = 3, met
     prime: texts that the model has learned before. A null text has no symbols but the sentinel.
     """
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    alphabet = 256 if unit == "byte" else 0x110000
+    alphabet = 256 if unit == "byte" else 0x110000  # all code points
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, bits = [], []
             for t in b.column(1).to_pylist():
-                model = Adaptive(order, method, alphabet if unit == "byte" else 65536, update_exclusions)
+                model = Adaptive(order, method, alphabet, update_exclusions)
                 for p in prime or ():
                     model.learn([*units(p, unit), SENTINEL])
-                found = [min(s, 65535) for s in units(t, unit)]
+                found = units(t, unit)
                 n.append(len(found))
                 bits.append(model.cost([*found, SENTINEL]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.float64())], ["k", "symbols", "bits"])

@@ -19,12 +19,12 @@ def _fresh(order: int, method: str, alphabet: int) -> tuple[Adaptive, int]:
     return Adaptive(order, method, alphabet), 0
 
 
-def _score(key: str, rows: pd.DataFrame, model: Adaptive, at: int) -> tuple[pd.DataFrame, int]:
-    ordered = rows.sort_values(["order", "symbol"], kind="stable")
+def _score(key: str, ordered: pd.DataFrame, model: Adaptive, at: int) -> tuple[pd.DataFrame, int]:
+    """The next rows of a key, in order: their scores, and the position after them."""
     bits = []
-    for s in ordered["symbol"]:
-        bits.append(model.bits(int(s)))
-        model.update(int(s))
+    for s in ordered["symbol"].tolist():
+        bits.append(model.bits(s))
+        model.update(s)
     out = pd.DataFrame({"key": key, "position": range(at, at + len(bits)), "symbol": ordered["symbol"].astype("int32").to_numpy(), "bits": bits})
     return out, at + len(bits)
 
@@ -37,15 +37,16 @@ def _prepared(df: DataFrame, key_col: str, order_col: str, symbol_col: str) -> D
 def score_stream(stream: DataFrame, key_col: str, order_col: str, symbol_col: str, order: int = 2, method: str = "D", alphabet: int = 256) -> DataFrame:
     """(key, position, symbol, bits) for each event of a stream; the model of a key is kept in its state from batch to batch.
 
-    Events of a key within a batch are ordered by order_col; rows without key or symbol are left out. In a batch of a key that holds a
-    large part of all events its rows come in Arrow batches, so that only the model is held.
+    Events of a key within a micro-batch are ordered by order_col, then by symbol, also where they come in several Arrow batches: of a
+    key's events in a micro-batch order and symbol are held until all are there, so the source's limits (maxFilesPerTrigger and the
+    like) bound what a task holds. Rows without key or symbol are left out.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         model, at = pickle.loads(state.get[0]) if state.exists else _fresh(order, method, alphabet)  # noqa: S301
-        for rows in batches:
-            out, at = _score(key[0], rows, model, at)
-            yield out
+        held = [rows[["order", "symbol"]] for rows in batches]
+        out, at = _score(key[0], pd.concat(held).sort_values(["order", "symbol"], kind="stable"), model, at)
+        yield out
         state.update((pickle.dumps((model, at)),))
 
     rows = _prepared(stream, key_col, order_col, symbol_col)
@@ -53,12 +54,19 @@ def score_stream(stream: DataFrame, key_col: str, order_col: str, symbol_col: st
 
 
 def score_batch(df: DataFrame, key_col: str, order_col: str, symbol_col: str, order: int = 2, method: str = "D", alphabet: int = 256) -> DataFrame:
-    """The same over a table: all rows of a key are one batch."""
-
-    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _score(key[0], rows, *_fresh(order, method, alphabet))[0]
+    """The same over a table. Keys come one after another, sorted by Spark (which spills), so that of a key only its model is held."""
 
-    return _prepared(df, key_col, order_col, symbol_col).groupBy("key").applyInPandas(step, OUTPUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, model, at = None, None, 0
+        for rows in batches:
+            for key, part in rows.groupby("key", sort=False):
+                if key != now:
+                    now, (model, at) = key, _fresh(order, method, alphabet)
+                out, at = _score(key, part, model, at)
+                yield out
+
+    rows = _prepared(df, key_col, order_col, symbol_col)
+    return rows.repartition("key").sortWithinPartitions("key", "order", "symbol").select("key", "symbol").mapInPandas(run, OUTPUT)
 
 
 def static_scores(stream: DataFrame, keep: list[str], text_col: str, static) -> DataFrame:  # noqa: ANN001

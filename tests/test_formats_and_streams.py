@@ -43,6 +43,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("scored").collect())) == want
 
 
+def test_order_across_arrow_batches(spark, tmp_path):
+    """Events out of order, many for each key, four to an Arrow batch, in two micro-batches."""
+    import random
+
+    chance = random.Random(8)
+    parts = [[(f"k{i % 3}", base + i, chance.randrange(5)) for i in range(90)] for base in (0, 1000)]
+    for i, part in enumerate(parts):
+        chance.shuffle(part)
+        spark.createDataFrame(part, "key string, at int, sym int").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        frame = spark.createDataFrame(parts[0] + parts[1], "key string, at int, sym int")
+        want = sorted(map(tuple, S.score_batch(frame, "key", "at", "sym").collect()))
+        for name in ("k0", "k1", "k2"):
+            symbols = [s for k, _, s in sorted(parts[0] + parts[1], key=lambda x: x[1]) if k == name]
+            assert [w[2] for w in want if w[0] == name] == symbols
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = S.score_stream(stream, "key", "at", "sym").writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(90)
+        got = sorted(map(tuple, spark.table("ordered").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 180 and sorted(g[:3] for g in got if g[1] < 30) == sorted(w[:3] for w in want if w[1] < 30)
+    assert [round(g[3], 9) for g in got] == [round(w[3], 9) for w in want]
+
+
 def test_windows_and_static_scores(spark):
     from symstream.operators.search import Static
 
