@@ -158,5 +158,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_canonical, p2_classes, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_languages, p5_stretches, p6_found, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
+_FORM = "regexp_replace(lower({c}), '[\\p{{P}}\\p{{Z}}\\p{{C}}\\p{{S}}]+', '', 'g')"
+_KEY = " || chr(31) || ".join(["coalesce('1' || {}, '0')"] * 2)
+_SAME = {
+    "evaluation": "SELECT line_id AS k, " + _KEY.format(*(_FORM.format(c=c) for c in FIELDS)) + " AS h FROM evaluation",
+    "raw_records": "SELECT raw_id AS k, " + " || chr(31) || ".join(f"coalesce('1' || {_FORM.format(c=f'(j ->> {chr(39)}$.{c}{chr(39)})')}, '0')" for c in PAYLOAD) + " AS h FROM (SELECT raw_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_records WHERE payload IS NOT NULL) WHERE json_type(j) = 'OBJECT'",
+}
+_RECORDS = " UNION ALL ".join(f"SELECT '{name}' AS table_name, k, h FROM (SELECT DISTINCT k, h FROM ({sql}))" for name, sql in _SAME.items())
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    form = canonical.canonical_sql("malayalam_lines")
+    forms = f"WITH f AS (SELECT DISTINCT line_id, malayalam_lines AS t, {form} AS c FROM evaluation WHERE malayalam_lines IS NOT NULL), g AS (SELECT * FROM f WHERE regexp_matches(c, '[^\\s\\x01-\\x20\\x{{0085}}\\x{{2028}}\\x{{2029}}]'))".replace("{{", "{").replace("}}", "}")
+    return {
+        "p2_found": f"{forms} SELECT a.line_id AS line_id_a, b.line_id AS line_id_b FROM g a JOIN g b ON a.c = b.c AND a.t <> b.t AND a.line_id < b.line_id",
+        "p2_canonical": f"SELECT line_id, malayalam_lines, {form} AS canonical FROM evaluation",
+        "p2_classes": f"{forms}, h AS (SELECT c, min(line_id) AS class_id, count(*) AS lines, count(DISTINCT t) AS spellings FROM g GROUP BY 1) SELECT line_id, class_id, lines, spellings FROM g JOIN h USING (c) WHERE spellings > 1",
+        "p4_found": f"WITH r AS ({_RECORDS}) SELECT * FROM (SELECT table_name, min(k) OVER (PARTITION BY table_name, h) AS keep_id, k AS copy_id FROM r) WHERE keep_id <> copy_id",
+        "p4_collapsed": f"WITH r AS ({_RECORDS}) SELECT table_name, min(k) AS keep_id, count(*) AS copies FROM r GROUP BY table_name, h",
+    }
