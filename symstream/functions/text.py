@@ -30,6 +30,10 @@ CLASSES = {
 }
 
 
+#: Stands for the sentinel in texts.
+SENTINEL = "\uffff"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -85,12 +89,45 @@ def alphanumeric_words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit("([A-Za-z0-9]+)"), 1)
 
 
-def alternation(text: Column | str) -> Column:
-    """(non_word, word) pairs: what stands before each word, and the word; what follows the last word is left out."""
-    t, pair = _col(text), F.lit(r"\G([^A-Za-z0-9]*+)([A-Za-z0-9]++)")  # each match goes on where the last one ended: linear
+def alternation(text: Column | str, letters: str = "A-Za-z0-9") -> Column:
+    """(non_word, word) pairs: what stands before each word, and the word; what follows the last word is left out. letters: what words are of."""
+    t, pair = _col(text), F.lit(rf"\G([^{letters}]*+)([{letters}]++)")  # each match goes on where the last one ended: linear
     return F.arrays_zip(F.regexp_extract_all(t, pair, 1).alias("non_word"), F.regexp_extract_all(t, pair, 2).alias("word"))
 
 
+def words_and_tags(text: Column | str) -> Column:
+    """(word, tag) pairs of a text whose words have a sign above ASCII behind them as their tag."""
+    t, pair = _col(text), F.lit(r"([\x{0000}-\x{007F}]+)([^\x{0000}-\x{007F}])")
+    return F.arrays_zip(F.regexp_extract_all(t, pair, 1).alias("word"), F.regexp_extract_all(t, pair, 2).alias("tag"))
+
+
+def last_place(text: Column | str, sign: str) -> Column:
+    """Number from 0 of the last place of a sign; null if it isn't there."""
+    t = _col(text)
+    found = F.instr(F.reverse(t), sign)
+    return F.when(found > 0, F.length(t) - found)
+
+
+def compared(a: Column, b: Column, sentinel: str = SENTINEL) -> Column:
+    """-1, 0 or 1 by the code points of two texts, the sentinel being lower than every other sign."""
+    low = lambda c: F.replace(c, F.lit(sentinel), F.lit("\x00"))
+    x, y = low(a), low(b)
+    return F.when(x < y, -1).when(x > y, 1).when(x.isNotNull() & y.isNotNull(), 0)
+
+
+def overwrite(text: Column, start: int, part: Column, pad: str = "\x00") -> Column:
+    """The text with part in place of what stands from start (from 0) on, filled up to there if it is shorter."""
+    filled = F.when(F.length(text) < start, F.rpad(text, F.lit(start), F.lit(pad))).otherwise(text)
+    return F.concat(F.left(filled, F.lit(start)), part, F.substr(filled, F.length(part) + start + 1))
+
+
+def replace_alike(text: Column, old: str, new: str | None = None) -> Column:
+    """Each old in a text as new, which has as many signs, or as so many nulls: places of all other signs stay."""
+    if new is not None and len(new) != len(old):
+        raise ValueError("both must have the same number of signs")
+    return F.replace(text, F.lit(old), F.lit("\x00" * len(old) if new is None else new))
+
+
 def word_types(text: Column | str) -> Column:
     """Distinct words without punctuation, sorted."""
     return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(_col(text), f"[{CLASSES['punct']}]", ""), f"[{WS}]+"), lambda w: w != "")))

@@ -264,14 +264,15 @@ def decode_texts(df: DataFrame, id_col: str, coded_col: str, order: int = 3, met
 def held_out(df: DataFrame, id_col: str, label_col: str, text_col: str, order: int = 2, folds: int = 5) -> DataFrame:
     """(id, label, best, bits): each text scored under models of all labels that were trained without its fold.
 
-    Texts are put into folds by a hash of their ids. With as many folds as texts this leaves out one at a time; a few folds keep the
+    Texts are put into folds by a digest of their ids. With as many folds as texts this leaves out one at a time; a few folds keep the
     number of models bounded on large tables.
     """
     from .counts import context_counts, gram_counts
     from .models import gram_bits, tables
 
     rows = df.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("model"), F.col(text_col).alias("t")).where("t IS NOT NULL AND model IS NOT NULL")
-    grams = cut(gram_counts(rows, ["doc", "model"], "t", order).withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(folds))))
+    fold = F.pmod(F.conv(F.left(F.md5(F.col("doc").cast("string").cast("binary")), F.lit(8)), 16, 10).cast("bigint"), F.lit(folds))
+    grams = cut(gram_counts(rows, ["doc", "model"], "t", order).withColumn("fold", fold))
     out = None
     for f in range(folds):
         model = tables(context_counts(grams.where(F.col("fold") != f), ["model"], order), order)

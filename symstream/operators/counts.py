@@ -57,11 +57,28 @@ def gram_counts(df: DataFrame, keep: list[str], text: str, order: int) -> DataFr
     return frequencies(grams(df, keep, text, order), [*keep, "gram"])
 
 
-def context_counts(grams: DataFrame, keep: list[str], order: int) -> DataFrame:
+def gram_length(gram: str, sep: str = "") -> Column:
+    """Symbols of a gram. sep: what stands between them where they are words, else each sign is a symbol."""
+    return F.size(F.split(F.col(gram), sep)) if sep else F.length(gram)
+
+
+def gram_context(gram: str, k: str, sep: str = "") -> Column:
+    """The k symbols before the last one."""
+    if not sep:
+        return F.expr(f"substring({gram}, length({gram}) - {k}, {k})")
+    parts = F.split(F.col(gram), sep)
+    return F.array_join(F.slice(parts, F.size(parts) - F.col(k), F.col(k)), sep)
+
+
+def gram_symbol(gram: str, sep: str = "") -> Column:
+    """The last symbol."""
+    return F.element_at(F.split(F.col(gram), sep), -1) if sep else F.right(gram, F.lit(1))
+
+
+def context_counts(grams: DataFrame, keep: list[str], order: int, sep: str = "") -> DataFrame:
     """(keep, k, ctx, sym, n) for contexts of every length up to ``order``, from gram_counts: one more pass over the counted grams."""
-    length = F.length("gram")
-    each = grams.select(*keep, "gram", "n", F.explode(F.sequence(F.lit(0), F.least(length - 1, F.lit(order)))).alias("k"))
-    parts = each.select(*keep, "k", F.expr("substring(gram, length(gram) - k, k)").alias("ctx"), F.right("gram", F.lit(1)).alias("sym"), "n")
+    each = grams.select(*keep, "gram", "n", F.explode(F.sequence(F.lit(0), F.least(gram_length("gram", sep) - 1, F.lit(order)))).alias("k"))
+    parts = each.select(*keep, "k", gram_context("gram", "k", sep).alias("ctx"), gram_symbol("gram", sep).alias("sym"), "n")
     return parts.groupBy(*keep, "k", "ctx", "sym").agg(F.sum("n").alias("n"))
 
 

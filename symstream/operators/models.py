@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from symstream.session import cut
 
-from .counts import context_counts, gram_counts, grams
+from .counts import context_counts, gram_context, gram_counts, gram_length, gram_symbol, grams
 
 #: Symbols that can occur, for order -1.
 ALPHABET = 65536
@@ -27,8 +27,9 @@ LISTED = 256
 class Model:
     """The tables of one or more models that share order, method and alphabet."""
 
-    def __init__(self, sym: DataFrame, ctx: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET) -> None:
-        self.sym, self.ctx, self.order, self.method, self.alphabet = sym, ctx, order, method, alphabet
+    def __init__(self, sym: DataFrame, ctx: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET, sep: str = "") -> None:
+        """sep: what stands between the symbols of a context where they are words; else each sign is a symbol."""
+        self.sym, self.ctx, self.order, self.method, self.alphabet, self.sep = sym, ctx, order, method, alphabet, sep
 
     def write(self, path: str, title: str = "", kind: str = "static") -> None:
         """The tables and a registry row. kind: static, or dynamic for a model that is to learn further when it is read."""
@@ -77,18 +78,26 @@ def retitled(spark, path: str, title: str | None = None, kind: str | None = None
     spark.createDataFrame([row], "title string, kind string, max_order int, method string, alphabet int").coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
 
 
-def tables(counted: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET) -> Model:
+def tables(counted: DataFrame, order: int, method: str = "D", alphabet: int = ALPHABET, sep: str = "") -> Model:
     """A model from (model, k, ctx, sym, n). The counts are kept, since they are read several times; texts are read once."""
     sym = cut(counted).withColumn("weight", weight(method, F.col("n")))
     ctx = sym.groupBy("model", "k", "ctx").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("types"), F.sum("weight").alias("mass"))
     shorter = sym.select("model", (F.col("k") + 1).alias("k"), F.col("ctx").alias("tail"), "sym", F.col("weight").alias("lower"))
-    longer = sym.where("k > 0").select("model", "k", "ctx", F.expr("substring(ctx, 2)").alias("tail"), "sym")
+    parts = F.split("ctx", sep) if sep else None
+    tail = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), sep) if sep else F.expr("substring(ctx, 2)")
+    longer = sym.where("k > 0").select("model", "k", "ctx", tail.alias("tail"), "sym")
     below = longer.join(shorter, ["model", "k", "tail", "sym"]).groupBy("model", "k", "ctx").agg(F.sum("lower").alias("below"))
-    return Model(sym, ctx.join(below, ["model", "k", "ctx"], "left").fillna(0, ["below"]), order, method, alphabet)
+    return Model(sym, ctx.join(below, ["model", "k", "ctx"], "left").fillna(0, ["below"]), order, method, alphabet, sep)
 
 
 def gram_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFrame:
-    """(model, gram, bits) for each distinct gram under each model. The cost of a symbol depends on its gram alone, so it is found once.
+    """(model, gram, bits) for each distinct gram under each model; a symbol that no context knows is one of the rest of the alphabet."""
+    rest = F.greatest(F.lit(model.alphabet) - (F.col("types0") if exclusions else F.lit(0)) + 1, F.lit(1)).cast("double")
+    return escaped_bits(rows, model, exclusions).select("model", "gram", F.when(F.col("found"), F.col("bits")).otherwise(F.col("bits") + F.log(2.0, rest)).alias("bits"))
+
+
+def escaped_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFrame:
+    """(model, gram, bits, found, types0) for each distinct gram under each model. The cost of a symbol depends on its gram alone, so it is found once.
 
     rows has a column gram: the symbol, and before it the symbols of its context.
     """
@@ -99,8 +108,8 @@ def gram_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFra
         each = distinct.select("gram", F.inline(listed))
     else:  # every gram has a cost under every model
         each = distinct.join(model.ctx.where("k = 0").select("model", F.col("types").alias("types0")))
-    levels = each.select("model", "gram", "types0", F.explode(F.sequence(F.lit(0), F.least(F.length("gram") - 1, F.lit(model.order)))).alias("k"))
-    levels = levels.select("model", "gram", "types0", "k", F.expr("substring(gram, length(gram) - k, k)").alias("ctx"), F.right("gram", F.lit(1)).alias("sym"))
+    levels = each.select("model", "gram", "types0", F.explode(F.sequence(F.lit(0), F.least(gram_length("gram", model.sep) - 1, F.lit(model.order)))).alias("k"))
+    levels = levels.select("model", "gram", "types0", "k", gram_context("gram", "k", model.sep).alias("ctx"), gram_symbol("gram", model.sep).alias("sym"))
     joined = levels.join(model.ctx, ["model", "k", "ctx"], "left").join(model.sym.select("model", "k", "ctx", "sym", "weight"), ["model", "k", "ctx", "sym"], "left")
     level = F.struct(-F.col("k"), "occurrences", "types", "mass", "below", "weight")
     grouped = joined.groupBy("model", "gram", "types0").agg(F.array_sort(F.collect_list(level)).alias("levels"))  # order + 1 entries
@@ -118,9 +127,7 @@ def gram_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFra
         return F.when(state["found"], state).when(usable, after).otherwise(passed)
 
     end = F.aggregate("levels", start, step)
-    rest = F.greatest(F.lit(model.alphabet) - (F.col("types0") if exclusions else F.lit(0)) + 1, F.lit(1)).cast("double")
-    out = grouped.withColumn("end", end)
-    return out.select("model", "gram", F.when(F.col("end.found"), F.col("end.bits")).otherwise(F.col("end.bits") + log2(rest)).alias("bits"))
+    return grouped.withColumn("end", end).select("model", "gram", F.col("end.bits").alias("bits"), F.col("end.found").alias("found"), "types0")
 
 
 def costs(rows: DataFrame, model: Model, exclusions: bool = True) -> tuple[DataFrame, bool]:
@@ -195,3 +202,16 @@ def information(tracked: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return two.groupBy(id_col).agg(
         F.avg("a").alias("entropy_a"), F.avg("b").alias("entropy_b"), F.avg((F.col("a") + F.col("b")) / 2).alias("radius"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("absolute"), F.avg(F.col("a") - F.col("b")).alias("signed")
     )
+
+
+def divergences(df: DataFrame, id_col: str, own_col: str, text_col: str, model: Model) -> DataFrame:
+    """(id, model, absolute, signed, radius): for each text and each model but its own (by name) the mean absolute and signed difference of
+    the symbols' bits to those under its own, and the mean of both models' bits. Texts whose own model isn't there give no row.
+    """
+    rows = grams(df.where(F.col(text_col).isNotNull() & F.col(own_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(own_col).cast("string").alias("own"), F.col(text_col).alias("t")), ["doc", "own"], "t", model.order)
+    kept, small = costs(rows, model)
+    own = F.filter("costs", lambda c: c["model"] == F.col("own"))[0]["bits"]
+    joined = rows.join(F.broadcast(kept) if small else kept, "gram").withColumn("b", own).where("b IS NOT NULL")
+    each = joined.select("doc", "own", "b", F.inline("costs")).where("model <> own")
+    out = each.groupBy(F.col("doc").alias(id_col), "model")
+    return out.agg(F.avg(F.abs(F.col("bits") - F.col("b"))).alias("absolute"), F.avg(F.col("bits") - F.col("b")).alias("signed"), F.avg((F.col("bits") + F.col("b")) / 2).alias("radius"))

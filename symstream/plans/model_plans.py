@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symstream.functions import text as T
-from symstream.operators import adaptive, align, counts, evaluate, models, search
+from symstream.operators import adaptive, align, counts, evaluate, models, search, words
 from symstream.session import cut
 from symstream.sources.tables import spread, table
 
 from . import model_sql
+from .text_plans import JAVA_WS, WS_SQL, docs, lines
 from .text_plans import SQL as TEXT_SQL
-from .text_plans import docs, lines
 
 #: Order of the relational models of the queries.
 ORDER = 2
@@ -73,6 +73,21 @@ def confusion_lang(spark, sf_dir):
     return evaluate.confusion(lang_identify(spark, sf_dir), "lang", "best")
 
 
+def _word_scores(spark, sf_dir):  # noqa: ANN001, ANN202
+    rows = docs(spark, sf_dir)
+    return words.word_codelengths(rows, "doc_id", "text", words.train_words(rows, "lang", "text"))
+
+
+def word_codelength(spark, sf_dir):
+    """Documents as words and what stands between them, under the word models of every language."""
+    return _word_scores(spark, sf_dir).withColumn("bits", _r("bits", 3))
+
+
+def word_identify(spark, sf_dir):
+    """The cheapest and the next cheapest word models of each document."""
+    return models.best_models(_word_scores(spark, sf_dir).withColumn("bits", _r("bits", 3)), "doc_id")
+
+
 def _tracked(spark, sf_dir):  # noqa: ANN001, ANN202
     return models.track(docs(spark, sf_dir), "doc_id", "text", _trained(spark, sf_dir, 1))
 
@@ -259,6 +274,64 @@ def aligned_sentences(spark, sf_dir):
     return align.align_columns(rows, "line_id", "a", "b").groupBy("n_a", "n_b").agg(F.count(F.lit(1)).alias("moves"), F.sum("cost").alias("cost"))
 
 
+def split_compression(spark, sf_dir):
+    """Models of the training splits of both corpora, on both splits: bits a symbol."""
+    split = cut(counts.seeded_split(_corpora(spark, sf_dir), "corpus", "line_id"))
+    model = models.train(split.where("split = 'train'"), "corpus", "text", 1)
+    scored = models.gram_codelengths(counts.grams(split, ["corpus", "split"], "text", 1), ["corpus", "split"], model).where("corpus = model")
+    return scored.select("corpus", "split", F.col("symbols").alias("n_symbols"), _r(F.col("bits") / F.col("symbols")).alias("bits_per_symbol"))
+
+
+def orders_curve(spark, sf_dir):
+    """Bits a symbol of both corpora under their own models, by the models' order."""
+    rows, out = _corpora(spark, sf_dir), None
+    for order in range(4):
+        model = models.train(rows, "corpus", "text", order)
+        one = models.gram_codelengths(counts.grams(rows, ["corpus"], "text", order), ["corpus"], model).where("corpus = model")
+        one = one.select("corpus", F.lit(order).alias("max_order"), _r(F.col("bits") / F.col("symbols")).alias("bits_per_symbol"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sizes_curve(spark, sf_dir):
+    """Bits a symbol of whole corpora under models of seeded parts of them."""
+    rows, out = _corpora(spark, sf_dir), None
+    for percent in (10, 25, 50, 100):
+        part = counts.seeded_split(rows, "corpus", "line_id", percent / 100).where("split = 'test'")
+        model = models.train(part, "corpus", "text", 1)
+        one = models.gram_codelengths(counts.grams(rows, ["corpus"], "text", 1), ["corpus"], model).where("corpus = model")
+        one = one.select("corpus", F.lit(percent).alias("percent"), _r(F.col("bits") / F.col("symbols")).alias("bits_per_symbol"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def radius_by_model(spark, sf_dir):
+    """For each document and each other language's model: how its bits differ from those of the document's own, absolutely and signed, a symbol,
+    and the mean of both.
+    """
+    rows = docs(spark, sf_dir).where("lang IS NOT NULL AND text IS NOT NULL")
+    return models.divergences(rows, "doc_id", "lang", "text", _trained(spark, sf_dir, 1)).select("doc_id", "model", *[_r(c).alias(c) for c in ("absolute", "signed", "radius")])
+
+
+def nearest_model(spark, sf_dir):
+    """Which other language's model is nearest to a document's own, by each measure."""
+    least = lambda c: F.min(F.struct(c, "model"))["model"].alias(f"by_{c}")
+    return radius_by_model(spark, sf_dir).groupBy("doc_id").agg(least("absolute"), least("signed"), least("radius"))
+
+
+def word_costs(spark, sf_dir):
+    """Bits of each word of English documents, alone between two blanks, under every language's model."""
+    found = docs(spark, sf_dir).where("lang = 'en'").select(F.explode(T.words("text")).alias("word")).distinct()
+    rows = found.select("word", F.concat(F.lit(" "), "word", F.lit(" ")).alias("t"))
+    return models.codelengths(rows, "word", "t", _trained(spark, sf_dir, 1)).select("word", "model", _r("bits", 3).alias("bits"))
+
+
+def found_orders(spark, sf_dir):
+    """How long the context is in which the models find a document's symbols: the stream of orders, by language and model."""
+    grams = counts.gram_counts(docs(spark, sf_dir).where("lang IS NOT NULL"), ["lang"], "text", ORDER)
+    return words.order_stream(words.found_orders(grams, _trained(spark, sf_dir), ["lang"]), ["lang", "model"])
+
+
 def segmentation_scores(spark, sf_dir):
     """Boundaries of lines with their spaces moved to every fifth sign, against the lines as they are."""
     rows = lines(spark, sf_dir).where("transliterated_lines IS NOT NULL").select(F.regexp_replace("transliterated_lines", r"\s+", " ").alias("gold"))
@@ -458,15 +531,59 @@ _STREAMS = (
     + model_sql.track("(SELECT 'events' AS model, text FROM u)", "u", "user_id", 2, 256)[5:]
 )
 _SPACED = TEXT_SQL["spacing_variants_whole"].replace("doc_id", "corpus").replace("FROM documents WHERE text IS NOT NULL", f"FROM {_CORPORA} WHERE text IS NOT NULL")
-_SPACED = _SPACED[: _SPACED.index(", w AS (SELECT *, list_filter")]
+_SPACED = _SPACED[: _SPACED.index(", w AS (SELECT *, list_filter")].replace("WITH b AS", "WITH bare AS").replace("FROM b ", "FROM bare ")
 _SPACING_STUDY = (
-    _SPACED + ", " + model_sql.track(f"(SELECT corpus AS model, text FROM {_CORPORA})", "(SELECT corpus, spacing, variant AS text FROM v)", "corpus, spacing", 1)[5:].replace("b AS (SELECT h.model", "bb AS (SELECT h.model").replace("LEFT JOIN b ON sw.model = b.model AND sw.k = b.k AND sw.ctx = b.ctx", "LEFT JOIN bb ON sw.model = bb.model AND sw.k = bb.k AND sw.ctx = bb.ctx")
+    _SPACED + ", " + model_sql.track(f"(SELECT corpus AS model, text FROM {_CORPORA})", "(SELECT corpus, spacing, variant AS text FROM v)", "corpus, spacing", 1)[5:]
     + " SELECT corpus, spacing, model, count(*) AS n_symbols, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track GROUP BY ALL"
 )
-_ENDS = "list_slice(list_transform(generate_series(1, len({w})), lambda i: list_sum(list_transform(list_slice({w}, 1, i), lambda x: length(x)))), 1, len({w}) - 1)"
-_FOUND = "rtrim(regexp_replace(replace(gold, ' ', ''), '(?s)(.{5})', '\\1 ', 'g'))"
+
+_W = r"\p{L}\p{M}\p{N}"
+_PAIRS = [f"regexp_extract_all(replace(text, chr(31), ' '), '([^{_W}]*)([{_W}]+)', {n})" for n in (1, 2)]
+_TOKENS = f"SELECT doc_id, lang, kind, list_transform(generate_series(1, len(t)), lambda i: CASE WHEN i > 1 THEN t[i - 1] || chr(31) || t[i] ELSE t[i] END) AS g FROM (SELECT doc_id, lang, unnest(['w', 'n']) AS kind, unnest([{_PAIRS[1]}, {_PAIRS[0]}]) AS t FROM documents WHERE text IS NOT NULL)"
+_WORD_SCORES = (
+    f"WITH tk AS (SELECT doc_id, lang, kind, unnest(g) AS gram FROM ({_TOKENS})), gct AS (SELECT lang || chr(31) || kind AS model, gram, count(*) AS n FROM tk WHERE lang IS NOT NULL GROUP BY ALL), "
+    + model_sql.from_grams(1, "\x1f", "t")
+    + ", lt AS (SELECT DISTINCT model, string_split(gram, chr(31))[-1] || chr(3) AS text FROM gct), "
+    + model_sql.model_ctes("lt", 1, "l")
+    + ", dt AS (SELECT DISTINCT gram FROM tk), dl AS (SELECT DISTINCT gram FROM (SELECT substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT text, unnest(generate_series(1, length(text))) AS i FROM (SELECT DISTINCT string_split(gram, chr(31))[-1] || chr(3) AS text FROM dt)))), "
+    + model_sql.bits_cte(1, sep="\x1f", name="t", rest=False)
+    + ", "
+    + model_sql.bits_cte(1, name="l")
+    + ", sp AS (SELECT token, model, sum(bits) AS bits FROM (SELECT token, substr(text, greatest(i - 1, 1)::INT, least(i, 2)::INT) AS gram FROM (SELECT token, text, unnest(generate_series(1, length(text))) AS i FROM (SELECT DISTINCT string_split(gram, chr(31))[-1] AS token, string_split(gram, chr(31))[-1] || chr(3) AS text FROM dt))) JOIN gbl USING (gram) GROUP BY ALL), "
+    "ws AS (SELECT doc_id, split_part(gbt.model, chr(31), 1) AS model, count(*) AS tokens, round(sum(gbt.bits + CASE WHEN found THEN 0 ELSE sp.bits END), 3) AS bits FROM tk JOIN gbt ON gbt.gram = tk.gram AND split_part(gbt.model, chr(31), 2) = tk.kind LEFT JOIN sp ON sp.token = string_split(tk.gram, chr(31))[-1] AND sp.model = gbt.model GROUP BY ALL)"
+)
+
+_HELD = (
+    "(SELECT doc_id, text, lang, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 AS fold FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)"
+)
+_SPLIT = f"(SELECT *, CASE WHEN row_number() OVER (PARTITION BY corpus ORDER BY md5('7:' || line_id), line_id) <= floor(count(*) OVER (PARTITION BY corpus) * {{ratio}}) THEN 'test' ELSE 'train' END AS split FROM {_CORPORA} WHERE text IS NOT NULL)"
+
+
+def _own(source: str, order: int, columns: str, percent: str = "") -> str:
+    return "(" + model_sql.track(source, _CORPORA, "corpus", order) + f" SELECT corpus, {columns}, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track WHERE corpus = model GROUP BY 1)"
+
+
+_RADIUS = f"{_TRACK}, o AS (SELECT t.doc_id, t.pos, t.bits FROM track t JOIN documents d ON d.doc_id = t.doc_id AND d.lang = t.model), rm AS (SELECT t.doc_id, t.model, round(avg(abs(t.bits - o.bits)), 4) AS absolute, round(avg(t.bits - o.bits), 4) AS signed, round(avg((t.bits + o.bits) / 2), 4) AS radius FROM track t JOIN o USING (doc_id, pos) JOIN documents d ON d.doc_id = t.doc_id WHERE t.model <> d.lang GROUP BY 1, 2)"
 
 SQL = {
+    "split_compression": model_sql.track(f"(SELECT corpus AS model, text FROM {_SPLIT.format(ratio=0.2)} WHERE split = 'train')", _SPLIT.format(ratio=0.2), "corpus, split", 1) + " SELECT corpus, split, count(*) AS n_symbols, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track WHERE corpus = model GROUP BY 1, 2",
+    "orders_curve": " UNION ALL ".join("SELECT * FROM " + _own(f"(SELECT corpus AS model, text FROM {_CORPORA})", k, f"{k} AS max_order") for k in range(4)),
+    "sizes_curve": " UNION ALL ".join("SELECT * FROM " + _own(f"(SELECT corpus AS model, text FROM {_SPLIT.format(ratio=p / 100)} WHERE split = 'test')", 1, f"{p} AS percent") for p in (10, 25, 50, 100)),
+    "radius_by_model": f"{_RADIUS} SELECT * FROM rm",
+    "nearest_model": f"{_RADIUS} SELECT doc_id, min(struct_pack(a := absolute, b := model)).b AS by_absolute, min(struct_pack(a := signed, b := model)).b AS by_signed, min(struct_pack(a := radius, b := model)).b AS by_radius FROM rm GROUP BY 1",
+    "word_costs": model_sql.track(_LANGS, f"(SELECT DISTINCT word, ' ' || word || ' ' AS text FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[{WS_SQL}]+'), lambda w: w <> '')) AS word FROM documents WHERE lang = 'en'))", "word", 1) + " SELECT word, model, round(sum(bits), 3) AS bits FROM track GROUP BY 1, 2",
+    "found_orders": f"WITH {model_sql.model_ctes(_LANGS, ORDER)}, e AS (SELECT lang, substr(text, greatest(i - {ORDER}, 1)::INT, least(i, {ORDER + 1})::INT) AS gram FROM (SELECT lang, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)), f AS (SELECT lang, gram, count(*) AS n FROM e GROUP BY ALL), "
+    f"lv AS (SELECT DISTINCT gram, k FROM f, (SELECT unnest(generate_series(0, {ORDER})) AS k) WHERE length(gram) > k), kn AS (SELECT gram, sw.model, max(lv.k) AS found FROM lv JOIN sw ON sw.k = lv.k AND sw.ctx = substr(gram, (length(gram) - lv.k)::INT, lv.k::INT) AND sw.sym = right(gram, 1) JOIN c ON c.model = sw.model AND c.k = sw.k AND c.ctx = sw.ctx AND (c.k = 0 OR c.occurrences >= 2) GROUP BY ALL) "
+    "SELECT lang, m.model, coalesce(found, -1)::INT AS found, sum(n)::BIGINT AS n FROM f CROSS JOIN (SELECT DISTINCT model FROM c) m LEFT JOIN kn ON kn.gram = f.gram AND kn.model = m.model GROUP BY ALL",
+    "held_out_identify": model_sql.track(f"(SELECT f || '|' || lang AS model, text FROM {_HELD}, (SELECT unnest(generate_series(0, 4)) AS f) WHERE f <> fold)", _HELD, "doc_id, lang, fold", 1)
+    + ", b2 AS (SELECT doc_id, lang, split_part(model, '|', 2) AS model, sum(bits) AS bits FROM track WHERE split_part(model, '|', 1) = fold::VARCHAR GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits, model) AS p FROM b2) SELECT doc_id, lang AS label, model AS best, round(bits, 3) AS bits FROM r WHERE p = 1",
+    "segmentation_scores": f"WITH g AS (SELECT line_id, regexp_replace(transliterated_lines, '[{JAVA_WS}]+', ' ', 'g') AS gold FROM {_LINES} WHERE transliterated_lines IS NOT NULL), "
+    "f AS (SELECT line_id, gold, regexp_replace(replace(gold, ' ', ''), '(?s)(.{5})', '\\1 ', 'g') AS found FROM g), "
+    "p AS (SELECT DISTINCT line_id, side, length(replace(left(t, i::INT), ' ', '')) AS place, length(replace(t, ' ', '')) AS whole FROM (SELECT line_id, side, t, unnest(generate_series(1, length(t))) AS i FROM (SELECT line_id, unnest(['f', 'g']) AS side, unnest([found, gold]) AS t FROM f)) WHERE substr(t, i::INT, 1) = ' '), "
+    "q AS (SELECT  line_id, place, count(*) FILTER (WHERE side = 'f') AS f, count(*) FILTER (WHERE side = 'g') AS g FROM p WHERE place > 0 AND place < whole GROUP BY 1, 2) "
+    'SELECT count(*) FILTER (WHERE f > 0 AND g > 0) AS "both", sum(f)::BIGINT AS found, sum(g)::BIGINT AS gold, coalesce((count(*) FILTER (WHERE f > 0 AND g > 0))::DOUBLE / nullif(sum(g), 0), 0.0) AS recall, coalesce((count(*) FILTER (WHERE f > 0 AND g > 0))::DOUBLE / nullif(sum(f), 0), 0.0) AS precision FROM q',
+    "word_codelength": f"{_WORD_SCORES} SELECT * FROM ws",
+    "word_identify": f"{_WORD_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits, model) AS p FROM ws) SELECT doc_id, max(model) FILTER (WHERE p = 1) AS best, max(bits) FILTER (WHERE p = 1) AS best_bits, max(model) FILTER (WHERE p = 2) AS second, max(bits) FILTER (WHERE p = 2) AS second_bits FROM r GROUP BY 1",
     "model_counters": f"WITH {model_sql.model_ctes(_LANGS, ORDER)} SELECT model, k, count(*) AS contexts, count(*) FILTER (WHERE occurrences >= 2 OR k = 0) AS usable, sum(types)::BIGINT AS counters, sum(occurrences)::BIGINT AS symbols FROM c GROUP BY 1, 2",
     "lang_identify": f"{_IDENTIFY} SELECT * FROM li",
     "precision_at_1": f"{_IDENTIFY} SELECT lang, count(*) AS documents, avg((best = lang)::INT::DOUBLE) AS precision FROM li WHERE lang IS NOT NULL GROUP BY 1",
@@ -505,7 +622,7 @@ SQL = {
     "realigned_lines": f"{_PAIR} SELECT * FROM q WHERE floor(ratio) < 2",
 }
 QUERIES = [
-    model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
-    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, spacing_study, event_streams,
+    model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, word_codelength, word_identify, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
+    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, split_compression, orders_curve, sizes_curve, radius_by_model, nearest_model, word_costs, found_orders, spacing_study, event_streams,
     edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
 ]

@@ -10,6 +10,9 @@ from symstream.operators import counts, sets
 from symstream.sources.tables import spread, table
 
 _WS = r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_SQL = _WS
+#: What \\s is in Java's regular expressions.
+JAVA_WS = r"\x{0009}-\x{000D}\x{0020}"
 _ML = r"\x{0D00}-\x{0D7F}"
 
 
@@ -140,6 +143,41 @@ def phone_keys(spark, sf_dir):
     return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.md5(T.phone_keys("text").cast("binary")).alias("digest"), F.length(T.phone_keys("text")).alias("length"))
 
 
+def text_edits(spark, sf_dir):
+    """Places, order and edits of the documents' texts: those that keep all other signs where they are, and those that don't."""
+    t = F.col("text")
+    digest = lambda c: F.md5(c.cast("binary"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select(
+        "doc_id", (F.instr("text", "a") - 1).alias("first_a"), T.last_place("text", "a").alias("last_a"), (F.instr("text", "the ") - 1).alias("first_the"), T.compared(F.left(t, F.lit(1)), F.lit("m")).alias("to_m"), T.compared(F.lit(T.SENTINEL), t).alias("sentinel_to_text"),
+        digest(T.replace_alike(t, "the")).alias("nulls"), digest(T.replace_alike(t, "the", "THE")).alias("alike"), digest(T.overwrite(t, 20, F.lit("xyz"), "_")).alias("overwritten"), digest(F.substr(t, F.lit(3), F.lit(7))).alias("part"), F.format_string("%05d|%s", F.length(t), F.left(t, F.lit(3))).alias("formatted"),
+        F.regexp_extract("text", "([0-9]+)", 1).try_cast("bigint").alias("first_number"), digest(T.to_upper_ascii(t)).alias("upper"), digest(T.to_lower_ascii(t)).alias("lower"),
+    )
+
+
+def word_id_stream(spark, sf_dir):
+    """Each document as the stream of its words' ids, which are those of vocab_ids; from every id its word is found again."""
+    known = vocab_ids(spark, sf_dir).select("word", "id")
+    placed = docs(spark, sf_dir).select("doc_id", F.posexplode(T.words("text")).alias("pos", "word")).join(known, "word")
+    back = placed.select("doc_id", "pos", "id").join(known, "id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "word"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["word"])), " ")  # a document's words
+    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.md5(listed.cast("binary")).alias("digest"))
+
+
+def zipped_words(spark, sf_dir):
+    """Words of both fields of a line side by side, up to the end of the shorter one: how many are the transliteration of their partner."""
+    rows = lines(spark, sf_dir).select(T.words(T.transliterate("malayalam_lines")).alias("a"), T.words("transliterated_lines").alias("b"), "malayalam_lang")
+    n = F.least(F.size("a"), F.size("b"))
+    pairs = F.arrays_zip(F.slice("a", F.lit(1), n).alias("a"), F.slice("b", F.lit(1), n).alias("b"))
+    each = rows.where("a IS NOT NULL AND b IS NOT NULL").select("malayalam_lang", F.inline(pairs))
+    return each.groupBy("malayalam_lang").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("accuracy"))
+
+
+def words_and_tags(spark, sf_dir):
+    """Romanised lines as ASCII words with the sign behind them as a tag: how often each tag stands behind how long a word."""
+    pairs = lines(spark, sf_dir).select(F.explode(T.words_and_tags("transliterated_lines")).alias("p"))
+    return pairs.groupBy("p.tag", F.least(F.length("p.word"), F.lit(20)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def word_types(spark, sf_dir):
     return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.size(T.word_types("text")).alias("types"), F.md5(F.array_join(T.word_types("text"), " ").cast("binary")).alias("digest"))
 
@@ -246,6 +284,13 @@ SQL = {
     "train_test_split": f"SELECT line_id, corpus, CASE WHEN row_number() OVER (PARTITION BY corpus ORDER BY md5('7:' || line_id), line_id) <= floor(count(*) OVER (PARTITION BY corpus) * 0.2) THEN 'test' ELSE 'train' END AS split FROM {_CORPORA}",
     "segmentation_sample": f"SELECT corpus, replace(left(string_agg(text || chr(10), '' ORDER BY line_id), 1000), ' ', '') AS sample FROM {_CORPORA} GROUP BY 1",
     "phone_keys": r"WITH k AS (SELECT doc_id, '   ' || translate(regexp_replace(text, '[^A-Za-z .,\n]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(10), '2223334445556667777888999922233344455566677778889999 ') AS t FROM documents WHERE lang = 'en') SELECT doc_id, md5(t) AS digest, length(t) AS length FROM k",
+    "text_edits": "SELECT doc_id, instr(text, 'a') - 1 AS first_a, CASE WHEN instr(text, 'a') > 0 THEN length(text) - instr(reverse(text), 'a') END AS last_a, instr(text, 'the ') - 1 AS first_the, CASE WHEN left(text, 1) < 'm' THEN -1 WHEN left(text, 1) > 'm' THEN 1 ELSE 0 END AS to_m, CASE WHEN length(text) > 0 AND ord(text) = 65535 AND length(text) = 1 THEN 0 WHEN length(text) = 0 THEN 1 ELSE -1 END AS sentinel_to_text, "
+    "md5(replace(text, 'the', chr(0) || chr(0) || chr(0))) AS nulls, md5(replace(text, 'the', 'THE')) AS alike, md5(left(CASE WHEN length(text) < 20 THEN rpad(text, 20, '_') ELSE text END, 20) || 'xyz' || substr(text, 24)) AS overwritten, md5(substr(text, 3, 7)) AS part, "
+    "lpad(length(text)::VARCHAR, greatest(5, length(length(text)::VARCHAR))::INT, '0') || '|' || left(text, 3) AS formatted, try_cast(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS first_number, md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS upper, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lower FROM documents WHERE text IS NOT NULL",
+    "word_id_stream": f"WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t), v AS (SELECT word, row_number() OVER (ORDER BY min((doc_id, pos))) - 1 AS id FROM p GROUP BY 1) SELECT doc_id, count(*) AS n_words, md5(string_agg(id || ':' || word, ' ' ORDER BY pos)) AS digest FROM p JOIN v USING (word) GROUP BY 1",
+    "zipped_words": f"WITH w AS (SELECT malayalam_lang, {_WORDS.replace('text', 'x')} AS a, {_WORDS.replace('text', 'y')} AS b FROM (SELECT malayalam_lang, {_transliterated('malayalam_lines')} AS x, transliterated_lines AS y FROM (SELECT line_id, any_value(malayalam_lines) AS malayalam_lines, any_value(transliterated_lines) AS transliterated_lines, any_value(malayalam_lang) AS malayalam_lang FROM evaluation GROUP BY line_id)) WHERE x IS NOT NULL AND y IS NOT NULL), "
+    "z AS (SELECT malayalam_lang, unnest(a[1:least(len(a), len(b))]) AS a, unnest(b[1:least(len(a), len(b))]) AS b FROM w) SELECT malayalam_lang, count(*) AS pairs, count(*) FILTER (WHERE a = b) AS same, round(avg((a = b)::INT), 6) AS accuracy FROM z GROUP BY 1",
+    "words_and_tags": f"SELECT tag, least(length(word), 20)::INT AS length, count(*) AS n FROM (SELECT unnest(regexp_extract_all(transliterated_lines, '([\\x{{0}}-\\x{{7F}}]+)([^\\x{{0}}-\\x{{7F}}])', 1)) AS word, unnest(regexp_extract_all(transliterated_lines, '([\\x{{0}}-\\x{{7F}}]+)([^\\x{{0}}-\\x{{7F}}])', 2)) AS tag FROM {_LINES}) GROUP BY 1, 2",
     "word_types": f"WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(text, '[{T.CLASSES['punct']}]', '', 'g'), '[{_WS}]+'), lambda w: w <> ''))) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t) AS types, md5(coalesce(array_to_string(t, ' '), '')) AS digest FROM w",
     "combined_corpus": f"WITH b AS (SELECT source_name, corpus, line AS text FROM (SELECT source_name, 'native' AS corpus, malayalam_lines AS line FROM {_LINES} UNION ALL SELECT source_name, 'romanised', transliterated_lines FROM {_LINES}) WHERE line IS NOT NULL) "
     f"SELECT source_name, corpus, count(*) AS n_lines, sum(length(text))::BIGINT AS n_symbols FROM (FROM b UNION ALL SELECT source_name, 'mixed', text FROM b WHERE {_ratio(_ML)} > 0.1 AND {_ratio('A-Za-z')} > 0.1) GROUP BY 1, 2",
@@ -263,7 +308,7 @@ SQL = {
     "transliterate": f"SELECT line_id, {_transliterated('malayalam_lines')} AS latin FROM {_LINES}",
 }
 QUERIES = [
-    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, segmentation_sample, phone_keys,
+    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, segmentation_sample, text_edits, word_id_stream, zipped_words, words_and_tags, phone_keys,
     word_types, combined_corpus, set_measures, tuple_query, cumulative_freq, sss_codelength, shared_ngrams,
 ]
 _BARE = "regexp_replace(cut, '[" + _WS + "]+', '', 'g')"
