@@ -1,9 +1,9 @@
 """Encoding of the whole corpus with a public tokenizer (problem 7).
 
-The tiktoken library encodes with a local rank file. Texts are first split at safe boundaries: a single blank between two
-other signs always starts a new pre-token, so the ids of the parts, one after another, are the ids of the text. That bounds
-what the library sees at once however long a text is, and lets a task encode each distinct part once. Decoding joins the raw
-bytes of the ids, since one character can spread over several ids.
+The tiktoken library encodes with a local rank file. Texts are first split at safe boundaries: white space always starts a new
+pre-token behind another sign, and so does a Chinese sign beside Chinese punctuation; the ids of the parts, one after another, are the ids
+of the text. That bounds what the library sees at once by the longest run of letters, which the tokenizer itself takes whole, and lets
+a task encode each distinct part once. Decoding joins the raw bytes of the ids, since one character can spread over several ids.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Distinct parts that a task keeps encoded, and the longest that it keeps.
 KEPT, KEPT_LENGTH = 300_000, 64
 _UNEVEN = re.compile(r"\s\s|[^\S ]|^\s|\s$")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: White space as the library's pattern understands it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: Signs and punctuation of Chinese, which stand side by side without white space.
+_HAN, _STOPS = "\u3400-\u4dbf\u4e00-\u9fff", "\u3001\u3002\u300c-\u300f\uff01\uff0c\uff1a\uff1b\uff1f\u2026"
+_UNSPACED = re.compile(f"(?<=[{_HAN}])(?=[{_STOPS}])|(?<=[{_STOPS}])(?=[{_HAN}])")
 
 
 @lru_cache(maxsize=2)
@@ -43,8 +48,12 @@ def parts(text: str) -> list[str]:
     """The text, cut at safe boundaries."""
     if _UNEVEN.search(text) is None:  # only single blanks: all of them are safe
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-    return _SAFE.split(text)
+        found = [first, *[" " + x for x in rest]]
+    else:
+        found = _SAFE.split(text)
+    if len(max(found, key=len)) > KEPT_LENGTH and _UNSPACED.search(text):
+        found = [y for x in found for y in _UNSPACED.split(x)]
+    return found
 
 
 class _Encoded(dict):

@@ -31,6 +31,17 @@ def test_parts_are_safe(text):
     assert "".join(encoding.parts(text)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from([*"ab's1 \n\t\r\x1c\x85\u3000。，「」…中文字é🙂!-"]), min_size=60, max_size=200))
+def test_long_parts_are_safe(text):
+    assert encoding.packed_encoder()(text) == b"".join(i.to_bytes(4, "little") for i in encoding.encoder().encode_ordinary(text))
+
+
+def test_parts_are_short():
+    for text in ("line one\n" * 100_000, "他们说好。今天，我们来" * 50_000, "a b\tc\r\nd " * 50_000):
+        assert max(map(len, encoding.parts(text))) < 20
+
+
 def test_cut_character(spark):
     ids = encoding.encoder().encode_ordinary("കഥ")
     rows = spark.createDataFrame([(1, ids[:1]), (2, None), (3, [])], "k int, ids array<int>")
