@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="symstream-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(made)
     return made
 
