@@ -89,9 +89,14 @@ def alphanumeric_words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit("([A-Za-z0-9]+)"), 1)
 
 
+def pairs_of(letters: str) -> str:
+    """A regular expression of (non-word, word); each match goes on where the last one ended, so its work is linear."""
+    return rf"\G([^{letters}]*+)([{letters}]++)"
+
+
 def alternation(text: Column | str, letters: str = "A-Za-z0-9") -> Column:
     """(non_word, word) pairs: what stands before each word, and the word; what follows the last word is left out. letters: what words are of."""
-    t, pair = _col(text), F.lit(rf"\G([^{letters}]*+)([{letters}]++)")  # each match goes on where the last one ended: linear
+    t, pair = _col(text), F.lit(pairs_of(letters))
     return F.arrays_zip(F.regexp_extract_all(t, pair, 1).alias("non_word"), F.regexp_extract_all(t, pair, 2).alias("word"))
 
 
@@ -133,10 +138,10 @@ def word_types(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(_col(text), f"[{CLASSES['punct']}]", ""), f"[{WS}]+"), lambda w: w != "")))
 
 
-def spacing_variants(text: Column | str, longest: int | None = 2000) -> Column:
+def spacing_variants(text: Column | str, longest: int | None = None) -> Column:
     """The four spacings of the study as an array of (spacing, text).
 
-    A longer text is cut, at its last full stop if that stands in the last fifth; with None no text is. Groups of the last variant: five signs, then four
+    longest: a longer text is cut there, at its last full stop if that stands in the last fifth (2,000 in the reference); else none is. Groups of the last variant: five signs, then four
     each. A text of ten signs or fewer has no such variant.
     """
     cut = t = _col(text)

@@ -45,6 +45,10 @@ class Model:
         meta = spark.read.parquet(f"{path}/registry").first()
         return cls(spark.read.parquet(f"{path}/sym"), spark.read.parquet(f"{path}/ctx"), meta.max_order, meta.method, meta.alphabet)
 
+    def where(self, condition: Column) -> Model:
+        """Those of the models that a condition on the column model holds for."""
+        return Model(self.sym.where(condition), self.ctx.where(condition), self.order, self.method, self.alphabet, self.sep)
+
     def names(self) -> list[tuple[str, int]]:
         """(model, symbols that it has seen), by name: a row for each model."""
         return sorted((r.model, r.types) for r in self.ctx.where("k = 0").select("model", "types").collect())

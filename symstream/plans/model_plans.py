@@ -350,9 +350,8 @@ def cross_compression(spark, sf_dir):
     rows = _corpora(spark, sf_dir)
     model = models.train(rows, "corpus", "text", 1)
     sizes = rows.groupBy("corpus").agg(F.sum(F.length("text")).alias("n_symbols"), F.sum(F.octet_length("text")).alias("n_bytes"))
-    grams = counts.gram_counts(rows, ["corpus"], "text", 1)
-    bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
-    return bits.join(sizes, "corpus").select("corpus", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), _r(8 * F.col("n_bytes") / F.col("bits")).alias("ratio"))
+    scored = models.gram_codelengths(counts.grams(spread(rows), ["corpus"], "text", 1), ["corpus"], model)
+    return scored.join(sizes, "corpus").select("corpus", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), _r(8 * F.col("n_bytes") / F.col("bits")).alias("ratio"))
 
 
 def distinguishability(spark, sf_dir):
@@ -367,10 +366,9 @@ def spacing_study(spark, sf_dir):
     """The study: the four spacings of the whole lines under both models, in bits a symbol."""
     rows = _corpora(spark, sf_dir)
     model = models.train(rows, "corpus", "text", 1)
-    spaced = rows.select("corpus", F.inline(T.spacing_variants("text", longest=None)))
-    grams = counts.gram_counts(spaced, ["corpus", "spacing"], "variant", 1)
-    bits = grams.join(models.gram_bits(grams, model), "gram").groupBy("corpus", "spacing", "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("n_symbols"))
-    return bits.select("corpus", "spacing", "model", "n_symbols", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"))
+    spaced = rows.select("corpus", F.inline(T.spacing_variants("text")))
+    scored = models.gram_codelengths(counts.grams(spread(spaced), ["corpus", "spacing"], "variant", 1), ["corpus", "spacing"], model)
+    return scored.select("corpus", "spacing", "model", F.col("symbols").alias("n_symbols"), _r(F.col("bits") / F.col("symbols")).alias("bits_per_symbol"))
 
 
 def event_streams(spark, sf_dir):
@@ -403,23 +401,24 @@ def codec_round_trip(spark, sf_dir):
 
 
 def _static(spark, sf_dir, order=3):  # noqa: ANN001, ANN202
-    rows = docs(spark, sf_dir).where("lang = 'en'").select(F.lit("en").alias("m"), F.lower("text").alias("text"))
-    return search.static_models(models.train(rows, "m", "text", order))["en"]
+    rows = lines(spark, sf_dir).select(F.lit("m").alias("m"), F.lower("transliterated_lines").alias("text"))
+    return search.static_models(models.train(rows, "m", "text", order))["m"]
 
 
 def _sentences(spark, sf_dir):  # noqa: ANN001, ANN202
-    rows = lines(spark, sf_dir).where("malayalam_lang = 'en'").select("line_id", F.lower("malayalam_lines").alias("gold"))
+    """All lines of the romanised corpus."""
+    rows = lines(spark, sf_dir).select("line_id", F.lower("transliterated_lines").alias("gold"))
     return spread(rows.where("gold IS NOT NULL"))
 
 
 def segment_lines(spark, sf_dir):
-    """English lines without their spaces, and the spaces that the search puts in."""
+    """Lines without their spaces, and the spaces that the search puts in."""
     rows = _sentences(spark, sf_dir).select("line_id", F.regexp_replace("gold", r"\s+", "").alias("t"))
     return search.apply(rows, "line_id", "t", _static(spark, sf_dir), search.segment).withColumn("bits", _r("bits"))
 
 
 def decode_keys(spark, sf_dir):
-    """English lines as they are typed on a telephone's keys, and the letters that the search finds."""
+    """Lines as they are typed on a telephone's keys, and the letters that the search finds."""
     rows = _sentences(spark, sf_dir).select("line_id", T.phone_keys("gold").alias("t"))
     return search.apply(rows, "line_id", "t", _static(spark, sf_dir), search.keypad).withColumn("bits", _r("bits"))
 
@@ -530,7 +529,7 @@ _STREAMS = (
     "u AS (SELECT user_id, string_agg(chr((200 + n)::INT), '' ORDER BY ts, event_id) AS text FROM events JOIN k USING (event_type) GROUP BY 1), "
     + model_sql.track("(SELECT 'events' AS model, text FROM u)", "u", "user_id", 2, 256)[5:]
 )
-_SPACED = TEXT_SQL["spacing_variants_whole"].replace("doc_id", "corpus").replace("FROM documents WHERE text IS NOT NULL", f"FROM {_CORPORA} WHERE text IS NOT NULL")
+_SPACED = TEXT_SQL["spacing_variants"].replace("doc_id", "corpus").replace("FROM documents WHERE text IS NOT NULL", f"FROM {_CORPORA} WHERE text IS NOT NULL")
 _SPACED = _SPACED[: _SPACED.index(", w AS (SELECT *, list_filter")].replace("WITH b AS", "WITH bare AS").replace("FROM b ", "FROM bare ")
 _SPACING_STUDY = (
     _SPACED + ", " + model_sql.track(f"(SELECT corpus AS model, text FROM {_CORPORA})", "(SELECT corpus, spacing, variant AS text FROM v)", "corpus, spacing", 1)[5:]

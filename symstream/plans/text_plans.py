@@ -97,8 +97,9 @@ def transliterate(spark, sf_dir):
     return lines(spark, sf_dir).select("line_id", T.transliterate("malayalam_lines").alias("latin"))
 
 
-def _variants(spark, sf_dir, longest):  # noqa: ANN001, ANN202
-    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.inline(T.spacing_variants("text", longest)))
+def spacing_variants(spark, sf_dir):
+    """The four spacings of the whole texts."""
+    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.inline(T.spacing_variants("text")))
     w = T.words("variant")
     return rows.select(
         "doc_id", "spacing", F.length("variant").alias("length"), F.size(w).alias("word_count"), F.round(F.coalesce(F.try_divide(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), F.size(w)), F.lit(0.0)), 6).alias("avg_word_length"),
@@ -106,16 +107,6 @@ def _variants(spark, sf_dir, longest):  # noqa: ANN001, ANN202
     )
 
 
-def spacing_variants(spark, sf_dir):
-    """Variants of the first 2,000 signs, the rule of the reference."""
-    return _variants(spark, sf_dir, 2000)
-
-
-def spacing_variants_whole(spark, sf_dir):
-    """Variants of the whole texts."""
-    return _variants(spark, sf_dir, None)
-
-
 def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the native and the romanised corpus: line_id, corpus, text."""
     rows = lines(spark, sf_dir).select("line_id", F.inline(F.array(F.struct(F.lit("native").alias("corpus"), F.col("malayalam_lines").alias("text")), F.struct(F.lit("romanised").alias("corpus"), F.col("transliterated_lines").alias("text")))))
@@ -308,13 +299,12 @@ SQL = {
     "transliterate": f"SELECT line_id, {_transliterated('malayalam_lines')} AS latin FROM {_LINES}",
 }
 QUERIES = [
-    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, spacing_variants_whole, train_test_split, segmentation_sample, text_edits, word_id_stream, zipped_words, words_and_tags, phone_keys,
+    symbol_freq, bigram_counts, trigram_counts, ctx_totals_o2, types_tokens, rank_frequency, vocab_ids, word_nonword, char_class_profile, script_ratio, doc_filter_stats, clean_text, transliterate, spacing_variants, train_test_split, segmentation_sample, text_edits, word_id_stream, zipped_words, words_and_tags, phone_keys,
     word_types, combined_corpus, set_measures, tuple_query, cumulative_freq, sss_codelength, shared_ngrams,
 ]
-_BARE = "regexp_replace(cut, '[" + _WS + "]+', '', 'g')"
+_BARE = "regexp_replace(text, '[" + _WS + "]+', '', 'g')"
 SQL["spacing_variants"] = (
-    f"WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text WHEN contains(left(text, 2000), '.') AND 2000 - instr(reverse(left(text, 2000)), '.') > 1600 THEN left(text, 2000 - instr(reverse(left(text, 2000)), '.') + 1) ELSE left(text, 2000) END AS cut FROM documents WHERE text IS NOT NULL), "
-    f"b AS (SELECT doc_id, cut, {_BARE} AS bare FROM c), "
+    f"WITH b AS (SELECT doc_id, text AS cut, {_BARE} AS bare FROM documents WHERE text IS NOT NULL), "
     "v AS (SELECT doc_id, 'original' AS spacing, cut AS variant FROM b UNION ALL SELECT doc_id, 'no_spaces', bare FROM b "
     "UNION ALL SELECT doc_id, 'char_spacing', rtrim(regexp_replace(bare, '(?s)(.)', '\\1 ', 'g'), ' ') FROM b "
     "UNION ALL SELECT doc_id, 'random_spacing', left(bare, 5) || ' ' || rtrim(regexp_replace(substr(bare, 6), '(?s)(.{4})', '\\1 ', 'g'), ' ') FROM b WHERE length(bare) > 10), "
@@ -322,6 +312,3 @@ SQL["spacing_variants"] = (
     "SELECT doc_id, spacing, length(variant) AS length, len(words) AS word_count, round(coalesce(list_sum(list_transform(words, lambda w: length(w)))::DOUBLE / nullif(len(words), 0), 0.0), 6) AS avg_word_length, "
     f"{_count('variant', ' ')} AS spaces, md5(variant) AS digest FROM w"
 )
-SQL["spacing_variants_whole"] = (
-    f"WITH b AS (SELECT doc_id, text AS cut, {_BARE.replace('cut', 'text')} AS bare FROM documents WHERE text IS NOT NULL), " + SQL["spacing_variants"][SQL["spacing_variants"].index("v AS (SELECT") :]
-)
