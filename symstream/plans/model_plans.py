@@ -393,9 +393,9 @@ def adaptive_bits(spark, sf_dir):
 
 
 def codec_round_trip(spark, sf_dir):
-    """Names in compressed form: bytes before and after, and whether the decoder gives them back."""
-    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t")))
-    coded = adaptive.code_texts(rows, "k", "t")
+    """Documents in compressed form: bytes before and after, and whether the decoder gives them back."""
+    rows = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    coded = cut(adaptive.code_texts(rows, "k", "t"))
     back = adaptive.decode_texts(coded, "k", "coded").withColumnRenamed("text", "back")
     return rows.join(coded, "k").join(back, "k").select("k", F.octet_length("t").alias("n_bytes"), F.octet_length("coded").alias("coded_bytes"), (F.col("t") == F.col("back")).alias("same"))
 
