@@ -156,6 +156,20 @@ def test_mark_up():
     assert search.mark_up("", {"a": a}) == [] and search.mark_up("abc", {}) == []
 
 
+def test_mark_up_is_cheapest():
+    """Of all labellings of short texts, with 8 bits for a change of the model, none is cheaper."""
+    import itertools
+
+    a, b = (search.Static([("", c, n) for c, n in counts], 0, 64) for counts in ((("x", 9), ("y", 1)), (("x", 1), ("y", 7))))
+    by = {"a": a, "b": b}
+    for text in ("xxxx", "xxyy", "xyxy", "xxxxxyyyyy", "yyyyxxxxyyyy"):
+        def cost(labels, text=text):
+            return sum(by[m].bits("", c) for m, c in zip(labels, text, strict=True)) + 8.0 * sum(p != q for p, q in itertools.pairwise(labels))
+
+        found = "".join(m * (end - start) for m, start, end in search.mark_up(text, by, 8.0))
+        assert cost(found) == pytest.approx(min(map(cost, itertools.product("ab", repeat=len(text)))))
+
+
 def test_tagger_and_chunks():
     tagger = search.Tagger([[("the", "D"), ("dog", "N"), ("runs", "V")], [("a", "D"), ("cat", "N"), ("sees", "V")]])
     assert tagger.tag(["the", "cat", "runs"]) == ["D", "N", "V"] and tagger.tag([]) == []

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from symstream.operators import align
+from symstream.operators import align, search
 from symstream.operators.adaptive import SENTINEL, Adaptive
 from symstream.plans import catalog
 
@@ -90,7 +90,7 @@ def test_aligned_sentences(spark, small):
 
 
 def test_mark_languages(spark, small):
-    """Stretches cover every line, and cost as much as a search over all labellings of a line with two models says."""
+    """Stretches cover every line, one after another."""
     rows = catalog.queries()["mark_languages"](spark, small).collect()
     by = {}
     for r in rows:
@@ -111,5 +111,9 @@ def test_searches(spark, small, name):
     if name == "segment_lines":
         assert all(strip(rows[k]) == strip(t) for k, t in texts.items())
         assert sum(rows[k] == " ".join(t.split()) for k, t in texts.items()) > 0.05 * len(texts)
+    if name == "decode_keys":
+        key = {c: d for d, letters in search.KEYS.items() for c in letters}
+        sent = {k: "   " + "".join({"\n": " "}.get(c, key.get(c, c)) for c in t if c in key or c in " .,\n") for k, t in texts.items()}
+        assert all("".join(key.get(c, c) for c in rows[k]) == sent[k] for k in texts)
     if name == "correct_lines":
         assert all(set(rows[k]) <= set(t.replace("l", "i")) | set("lemi") for k, t in texts.items())
