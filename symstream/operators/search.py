@@ -94,8 +94,11 @@ def copies(text: str) -> list[Rule]:
     return [Rule(c, c) for c in dict.fromkeys(text)]
 
 
-def viterbi(text: str, model: Static, rules: Sequence[Rule], copy: bool = True) -> tuple[str, float]:
-    """The cheapest output for the whole input and its bits; ties go to the output that sorts first."""
+def viterbi(text: str, model: Static, rules: Sequence[Rule], copy: bool = True, stack: int = 0) -> tuple[str, float]:
+    """The cheapest output for the whole input and its bits; ties go to the output that sorts first.
+
+    stack: the feature of a stack search, which follows the so many cheapest paths only and may miss the cheapest of all; 0 follows all.
+    """
     by: dict[str, list[Rule]] = {}
     for r in rules:
         if not r.source:
@@ -117,6 +120,10 @@ def viterbi(text: str, model: Static, rules: Sequence[Rule], copy: bool = True)
                 if context not in states[at] or entry < states[at][context]:
                     states[at][context] = entry
         states[i] = {}
+        if stack:
+            leaves = sorted((entry, at, context) for at in range(i + 1, len(states)) for context, entry in states[at].items())
+            for _, at, context in leaves[stack:]:
+                del states[at][context]
     if not states[-1]:
         return text, math.inf
     bits, out = min(states[-1].values())
@@ -172,6 +179,53 @@ def mark_up(text: str, models: dict[str, Static], switch: float = 8.0) -> list[t
     return out
 
 
+#: A symbol that no text holds: its cost is what a model's end costs.
+SENTINEL = "\uffff"
+
+
+def mark_up_by_sentinel(text: str, models: dict[str, Static]) -> list[tuple[str, int, int]]:
+    """(model, start, end) as mark_up, where a change costs the sentinel in the model that is left, and the next one begins without a context."""
+    names = sorted(models)
+    if not text or not names:
+        return []
+    best = {(m, 0): 0.0 for m in names}  # by model and symbols of context since its beginning
+    back: list[dict[tuple[str, int], tuple[str, int]]] = []
+    for i, c in enumerate(text):
+        came: dict[tuple[str, int], tuple[str, int]] = {}
+        here = dict(best)
+        if i:
+            ended = [(cost + models[m].bits(text[i - r : i], SENTINEL), m, r) for (m, r), cost in best.items()]
+            for m in names:
+                others = [x for x in ended if x[1] != m]
+                if others:
+                    cost, n, r = min(others)
+                    here[m, 0], came[m, 0] = cost, (n, r)
+        best, step = {}, {}
+        for (m, r), cost in here.items():
+            total, to = cost + models[m].bits(text[i - r : i], c), (m, min(r + 1, models[m].order))
+            if to not in best or total < best[to]:
+                best[to], step[to] = total, came.get((m, r), (m, r)) if r == 0 and i else (m, r)
+        back.append(step)
+    at = min(best, key=lambda k: (best[k], k))
+    labels = []
+    for step in reversed(back):
+        labels.append(at[0])
+        at = step[at]
+    out: list[tuple[str, int, int]] = []
+    for i, m in enumerate(reversed(labels)):
+        if out and out[-1][0] == m:
+            out[-1] = (m, out[-1][1], i + 1)
+        else:
+            out.append((m, i, i + 1))
+    return out
+
+
+def markup_statistics(stretches: DataFrame) -> DataFrame:
+    """(model, symbols, stretches, switches) of stretches (model, start_pos, end_pos): switches are stretches that don't begin a text."""
+    length = F.col("end_pos") - F.col("start_pos")
+    return stretches.groupBy("model").agg(F.sum(length).alias("symbols"), F.count(F.lit(1)).alias("stretches"), F.count_if(F.col("start_pos") > 0).alias("switches"))
+
+
 def parse_confusions(line: str) -> Rule | None:
     """A rule from a line ``freq total source -> target``; its cost is that of the share. None for other lines."""
     head, arrow, target = line.partition("->")

@@ -332,6 +332,48 @@ def found_orders(spark, sf_dir):
     return words.order_stream(words.found_orders(grams, _trained(spark, sf_dir), ["lang"]), ["lang", "model"])
 
 
+def predicted_symbols(spark, sf_dir):
+    """The share of the documents' symbols that each model finds in its longest context, and of those that it finds at all."""
+    n = lambda least: F.sum(F.when(F.col("found") >= least, F.col("n")).otherwise(0)) / F.sum("n")
+    return found_orders(spark, sf_dir).groupBy("lang", "model").agg(_r(n(ORDER), 6).alias("longest"), _r(n(0), 6).alias("found_at_all"))
+
+
+def word_order_costs(spark, sf_dir):
+    """Romanised lines with their words as they are, backwards and sorted: bits a symbol under the model of the lines as they are."""
+    rows = lines(spark, sf_dir).where("transliterated_lines IS NOT NULL").select(F.lit("m").alias("m"), F.array_join(T.words("transliterated_lines"), " ").alias("text"))
+    model = models.train(rows, "m", "text", 2)
+    w = T.words("text")
+    named = lambda name, c: F.struct(F.lit(name).alias("word_order"), F.array_join(c, " ").alias("t"))
+    each = rows.select(F.inline(F.array(named("original", w), named("backwards", F.reverse(w)), named("sorted", F.array_sort(w)))))
+    scored = models.gram_codelengths(counts.grams(spread(each), ["word_order"], "t", 2), ["word_order"], model)
+    return scored.select("word_order", F.col("symbols").alias("n_symbols"), _r(F.col("bits") / F.col("symbols")).alias("bits_per_symbol"))
+
+
+def description_length(spark, sf_dir):
+    """Bits of each language's documents under their own model and bits of the model, at 32 for each counter: what both take together."""
+    model = _trained(spark, sf_dir, 1)
+    size = model.statistics().groupBy("model").agg((F.sum("counters") * 32).alias("model_bits"))
+    own = models.gram_codelengths(counts.grams(docs(spark, sf_dir).where("lang IS NOT NULL AND text IS NOT NULL"), ["lang"], "text", 1), ["lang"], model).where("lang = model")
+    return own.join(size, "model").select("model", "model_bits", _r("bits", 2).alias("text_bits"), _r(F.col("bits") + F.col("model_bits"), 2).alias("total_bits"))
+
+
+#: Letters that new words may have in one another's place.
+CLASSES = ("aeiou", "bdpt", "ck", "mn")
+
+
+def new_words(spark, sf_dir):
+    """For each English word the cheapest of the words that differ in one letter of its class and aren't there, by the English model."""
+    known = docs(spark, sf_dir).where("lang = 'en'").select(F.explode(T.words("text")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}$")).distinct()
+    letter = F.substr("word", F.col("i"), F.lit(1))
+    kind = F.coalesce(*[F.when(F.contains(F.lit(c), letter), F.lit(c)) for c in CLASSES])
+    placed = known.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("kind", kind).where("kind IS NOT NULL")
+    made = placed.select("word", "i", F.explode(T.symbols("kind")).alias("x")).select("word", F.concat(F.left("word", F.col("i") - 1), "x", F.substr("word", F.col("i") + 1)).alias("candidate"))
+    fresh = made.distinct().join(known.select(F.col("word").alias("candidate")), "candidate", "left_anti")
+    scored = models.codelengths(fresh.select("candidate").distinct(), "candidate", "candidate", _trained(spark, sf_dir, 1)).where("model = 'en'").select("candidate", _r("bits", 3).alias("bits"))
+    best = fresh.join(scored, "candidate").groupBy("word").agg(F.min(F.struct("bits", "candidate")).alias("b"))
+    return best.select("word", F.col("b.candidate").alias("new_word"), F.col("b.bits").alias("bits"))
+
+
 def segmentation_scores(spark, sf_dir):
     """Boundaries of lines with their spaces moved to every fifth sign, against the lines as they are."""
     rows = lines(spark, sf_dir).where("transliterated_lines IS NOT NULL").select(F.regexp_replace("transliterated_lines", r"\s+", " ").alias("gold"))
@@ -439,6 +481,11 @@ def mark_languages(spark, sf_dir):
     return search.mark_texts(rows, "line_id", "malayalam_lines", search.static_models(trained))
 
 
+def markup_statistics(spark, sf_dir):
+    """Symbols, stretches and switches of mark_languages by model."""
+    return search.markup_statistics(mark_languages(spark, sf_dir))
+
+
 def held_out_identify(spark, sf_dir):
     return adaptive.held_out(docs(spark, sf_dir).where("lang IS NOT NULL"), "doc_id", "lang", "text", 1).withColumn("bits", _r("bits", 3))
 
@@ -552,6 +599,12 @@ _WORD_SCORES = (
     "ws AS (SELECT doc_id, split_part(gbt.model, chr(31), 1) AS model, count(*) AS tokens, round(sum(gbt.bits + CASE WHEN found THEN 0 ELSE sp.bits END), 3) AS bits FROM tk JOIN gbt ON gbt.gram = tk.gram AND split_part(gbt.model, chr(31), 2) = tk.kind LEFT JOIN sp ON sp.token = string_split(tk.gram, chr(31))[-1] AND sp.model = gbt.model GROUP BY ALL)"
 )
 
+_FOUND = (
+    f"WITH {model_sql.model_ctes(_LANGS, ORDER)}, e AS (SELECT lang, substr(text, greatest(i - {ORDER}, 1)::INT, least(i, {ORDER + 1})::INT) AS gram FROM (SELECT lang, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)), f AS (SELECT lang, gram, count(*) AS n FROM e GROUP BY ALL), "
+    f"lv AS (SELECT DISTINCT gram, k FROM f, (SELECT unnest(generate_series(0, {ORDER})) AS k) WHERE length(gram) > k), kn AS (SELECT gram, sw.model, max(lv.k) AS found FROM lv JOIN sw ON sw.k = lv.k AND sw.ctx = substr(gram, (length(gram) - lv.k)::INT, lv.k::INT) AND sw.sym = right(gram, 1) JOIN c ON c.model = sw.model AND c.k = sw.k AND c.ctx = sw.ctx AND (c.k = 0 OR c.occurrences >= 2) GROUP BY ALL) "
+    ", fo AS (SELECT lang, m.model, coalesce(found, -1)::INT AS found, sum(n)::BIGINT AS n FROM f CROSS JOIN (SELECT DISTINCT model FROM c) m LEFT JOIN kn ON kn.gram = f.gram AND kn.model = m.model GROUP BY ALL)"
+)
+_ROMANISED = f"(SELECT list_filter(regexp_split_to_array(transliterated_lines, '[{WS_SQL}]+'), lambda w: w <> '') AS w FROM {_LINES} WHERE transliterated_lines IS NOT NULL)"
 _HELD = (
     "(SELECT doc_id, text, lang, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 AS fold FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)"
 )
@@ -571,9 +624,13 @@ SQL = {
     "radius_by_model": f"{_RADIUS} SELECT * FROM rm",
     "nearest_model": f"{_RADIUS} SELECT doc_id, min(struct_pack(a := absolute, b := model)).b AS by_absolute, min(struct_pack(a := signed, b := model)).b AS by_signed, min(struct_pack(a := radius, b := model)).b AS by_radius FROM rm GROUP BY 1",
     "word_costs": model_sql.track(_LANGS, f"(SELECT DISTINCT word, ' ' || word || ' ' AS text FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[{WS_SQL}]+'), lambda w: w <> '')) AS word FROM documents WHERE lang = 'en'))", "word", 1) + " SELECT word, model, round(sum(bits), 3) AS bits FROM track GROUP BY 1, 2",
-    "found_orders": f"WITH {model_sql.model_ctes(_LANGS, ORDER)}, e AS (SELECT lang, substr(text, greatest(i - {ORDER}, 1)::INT, least(i, {ORDER + 1})::INT) AS gram FROM (SELECT lang, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)), f AS (SELECT lang, gram, count(*) AS n FROM e GROUP BY ALL), "
-    f"lv AS (SELECT DISTINCT gram, k FROM f, (SELECT unnest(generate_series(0, {ORDER})) AS k) WHERE length(gram) > k), kn AS (SELECT gram, sw.model, max(lv.k) AS found FROM lv JOIN sw ON sw.k = lv.k AND sw.ctx = substr(gram, (length(gram) - lv.k)::INT, lv.k::INT) AND sw.sym = right(gram, 1) JOIN c ON c.model = sw.model AND c.k = sw.k AND c.ctx = sw.ctx AND (c.k = 0 OR c.occurrences >= 2) GROUP BY ALL) "
-    "SELECT lang, m.model, coalesce(found, -1)::INT AS found, sum(n)::BIGINT AS n FROM f CROSS JOIN (SELECT DISTINCT model FROM c) m LEFT JOIN kn ON kn.gram = f.gram AND kn.model = m.model GROUP BY ALL",
+    "found_orders": f"{_FOUND} SELECT * FROM fo",
+    "predicted_symbols": f"{_FOUND} SELECT lang, model, round(sum(CASE WHEN found >= {ORDER} THEN n ELSE 0 END) / sum(n), 6) AS longest, round(sum(CASE WHEN found >= 0 THEN n ELSE 0 END) / sum(n), 6) AS found_at_all FROM fo GROUP BY 1, 2",
+    "word_order_costs": model_sql.track(f"(SELECT 'm' AS model, array_to_string(w, ' ') AS text FROM {_ROMANISED})", f"(SELECT unnest(['original', 'backwards', 'sorted']) AS word_order, unnest([array_to_string(w, ' '), array_to_string(list_reverse(w), ' '), array_to_string(list_sort(w), ' ')]) AS text FROM {_ROMANISED})", "word_order", 2) + " SELECT word_order, count(*) AS n_symbols, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track GROUP BY 1",
+    "description_length": f"{_TRACK}, m AS (SELECT model, (sum(types) * 32)::BIGINT AS model_bits FROM c GROUP BY 1), o AS (SELECT model, sum(bits) AS bits FROM track JOIN documents USING (doc_id) WHERE lang = model GROUP BY 1) SELECT model, model_bits, round(bits, 2) AS text_bits, round(bits + model_bits, 2) AS total_bits FROM m JOIN o USING (model)",
+    "new_words": f"WITH kw AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(text, '[{WS_SQL}]+')) AS word FROM documents WHERE lang = 'en') WHERE regexp_full_match(word, '[a-z]{{2,}}')), pl AS (SELECT word, i, substr(word, i::INT, 1) AS a FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM kw)), "
+    "kd AS (SELECT word, i, unnest(string_split(k, '')) AS x FROM pl JOIN (SELECT unnest(['aeiou', 'bdpt', 'ck', 'mn']) AS k) ON contains(k, a)), fr AS (SELECT DISTINCT word, candidate FROM (SELECT word, left(word, (i - 1)::INT) || x || substr(word, (i + 1)::INT) AS candidate FROM kd) WHERE candidate NOT IN (SELECT word FROM kw)), "
+    + model_sql.track(_LANGS, "(SELECT DISTINCT candidate, candidate AS text FROM fr)", "candidate", 1)[5:] + ", z AS (SELECT candidate, round(sum(bits), 3) AS bits FROM track WHERE model = 'en' GROUP BY 1) SELECT word, min(struct_pack(a := bits, b := candidate)).b AS new_word, min(bits) AS bits FROM fr JOIN z USING (candidate) GROUP BY 1",
     "held_out_identify": model_sql.track(f"(SELECT f || '|' || lang AS model, text FROM {_HELD}, (SELECT unnest(generate_series(0, 4)) AS f) WHERE f <> fold)", _HELD, "doc_id, lang, fold", 1)
     + ", b2 AS (SELECT doc_id, lang, split_part(model, '|', 2) AS model, sum(bits) AS bits FROM track WHERE split_part(model, '|', 1) = fold::VARCHAR GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits, model) AS p FROM b2) SELECT doc_id, lang AS label, model AS best, round(bits, 3) AS bits FROM r WHERE p = 1",
     "segmentation_scores": f"WITH g AS (SELECT line_id, regexp_replace(transliterated_lines, '[{JAVA_WS}]+', ' ', 'g') AS gold FROM {_LINES} WHERE transliterated_lines IS NOT NULL), "
@@ -622,6 +679,6 @@ SQL = {
 }
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, word_codelength, word_identify, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
-    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, split_compression, orders_curve, sizes_curve, radius_by_model, nearest_model, word_costs, found_orders, spacing_study, event_streams,
-    edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, held_out_identify,
+    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, split_compression, orders_curve, sizes_curve, radius_by_model, nearest_model, word_costs, found_orders, predicted_symbols, word_order_costs, description_length, new_words, spacing_study, event_streams,
+    edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, markup_statistics, held_out_identify,
 ]

@@ -15,16 +15,20 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", lenient:
     return files.select("path", decode("content").alias("text"))
 
 
-def read_lines(spark: SparkSession, path: str, keep_return: bool = False) -> DataFrame:
-    """(path, line_no, text): the lines of files, in order within a file; carriage returns at their ends dropped unless kept."""
-    rows = read_texts(spark, path, "*", True).select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    return rows if keep_return else rows.withColumn("text", F.regexp_replace("text", "\r$", ""))
+def read_lines(spark: SparkSession, path: str, keep: str = "") -> DataFrame:
+    """(path, line_no, text): the lines of files, in order within a file. keep: what stays of a line's end, '' nothing, '\r' a carriage
+    return, '\r\n' all of it.
+    """
+    if keep not in ("", "\r", "\r\n"):
+        raise ValueError("nothing, the carriage return or all of the end is kept")
+    rows = read_texts(spark, path, "*", True).select("path", F.posexplode(F.split("text", "(?<=\n)" if keep == "\r\n" else "\n")).alias("line_no", "text"))
+    return rows if keep else rows.withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
 def numbers(text: Column | str) -> Column:
-    """Unsigned numbers between white space as an array; what is no number is left out."""
+    """Unsigned numbers of up to 63 bits between white space as an array; what is no such number is left out."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(c, r"\s+"), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("bigint")), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(c, r"\s+"), lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint"))), lambda x: x.isNotNull())
 
 
 def unescape(text: str) -> list[int]:
@@ -77,3 +81,60 @@ def alternating(lines: DataFrame, order_col: str, column: str = "value", word_fi
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """One line for each row; line breaks within a text become blanks."""
     df.where(F.col(column).isNotNull()).select(F.regexp_replace(column, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_escaped(df: DataFrame, column: str, path: str) -> None:
+    """One line for each row, with all but ASCII signs and line breaks escaped, so that ``escaped`` gives every text back."""
+    line = F.pandas_udf(lambda s: s.map(lambda t: "".join(escape([ord(c)]) if c not in "\n\r" else f"\\{ord(c)}\\" for c in t)), "string")
+    df.where(F.col(column).isNotNull()).select(line(F.col(column)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_matrix(df: DataFrame, path: str) -> None:
+    """Lines ``value row column`` of a long matrix, which ``matrix`` reads."""
+    df.select(F.concat_ws(" ", F.col("value").cast("string"), F.col("row").cast("string"), F.col("column").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_tuples(pairs: DataFrame, id_col: str, path: str) -> None:
+    """A line for each id: the id and its key=attribute pairs, of which there are few."""
+    lines = pairs.groupBy(id_col).agg(F.array_sort(F.collect_set("pair")).alias("p"))
+    lines.select(F.concat_ws(" ", F.col(id_col).cast("string"), F.array_join("p", " ")).alias("value")).write.mode("overwrite").text(path)
+
+
+def tuples(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(id, pair) of such lines; pairs without = are left out."""
+    parts = F.split(F.trim(column), r"\s+")
+    rows = lines.select(F.get(parts, 0).alias("id"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pair"))
+    return rows.where(F.contains("pair", F.lit("=")))
+
+
+def write_sets(sets: DataFrame, path: str) -> None:
+    """(name, members) as lines ``name first step step ...`` of sorted numbers, each as its distance from the one before."""
+    steps = F.transform(F.array_sort("members"), lambda x, i: x - F.when(i > 0, F.array_sort("members")[i - 1]).otherwise(0))
+    sets.select(F.concat_ws(" ", "name", F.array_join(F.transform(steps, lambda x: x.cast("string")), " ")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_sets(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, members) of such lines."""
+    parts = F.split(F.trim(column), r"\s+")
+    steps = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.cast("bigint"))
+    members = F.aggregate(steps, F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
+    return lines.select(F.get(parts, 0).alias("name"), members.alias("members")).where("name <> ''")
+
+
+def key_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(key) of lines of one key each, each once; blank lines are left out."""
+    return lines.select(F.trim(column).alias("key")).where("key <> ''").distinct()
+
+
+def tagged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): the columns of each row between tags of their names; null ones are left out, and &, < and > are written as entities."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return df.select(F.concat_ws("", *[F.concat(F.lit(f"<{c}>"), safe(c), F.lit(f"</{c}>")) for c in columns]).alias("value"))
+
+
+def without_tags(text: Column | str) -> Column:
+    """A text without its tags, entities written out."""
+    c = F.regexp_replace(F.col(text) if isinstance(text, str) else text, "<[^<>]*>", "")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c

@@ -16,6 +16,37 @@ def test_text_files(spark, tmp_path):
     assert [r.text for r in lines.collect()] == ["കഥ", "line", ""]
 
 
+def test_line_ends(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x\r\ny\nz")
+    of = lambda keep: [r.text for r in formats.read_lines(spark, str(tmp_path / "a.txt"), keep).orderBy("line_no").collect()]
+    assert of("") == ["x", "y", "z"] and of("\r") == ["x\r", "y", "z"] and of("\r\n") == ["x\r\n", "y\n", "z"]
+    with pytest.raises(ValueError):
+        of("x")
+
+
+def test_writers_and_their_readers(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    texts = ["കഥ\nx\\y", "", "a\r\n"]
+    formats.write_escaped(spark.createDataFrame([(t,) for t in [*texts, None]], "t string"), "t", path("escaped"))
+    back = spark.read.text(path("escaped")).select(formats.escaped("value").alias("s")).collect()
+    assert sorted("".join(map(chr, r.s)) for r in back) == sorted(texts)
+    cells = [("r", "c", 0.5), ("r", "d", -1.25)]
+    formats.write_matrix(spark.createDataFrame(cells, "row string, column string, value double"), path("matrix"))
+    assert sorted(map(tuple, formats.matrix(spark.read.text(path("matrix"))).collect())) == cells
+    pairs = [("a", "x=1"), ("a", "y=2"), ("b", "x=3")]
+    formats.write_tuples(spark.createDataFrame(pairs + pairs[:1], "id string, pair string"), "id", path("tuples"))
+    assert sorted(map(tuple, formats.tuples(spark.read.text(path("tuples"))).collect())) == pairs
+    sets = [("e", []), ("s", [3, 9, 100, 10**12])]
+    formats.write_sets(spark.createDataFrame([(n, m[::-1]) for n, m in sets], "name string, members array<bigint>"), path("sets"))
+    assert sorted((r.name, r.members) for r in formats.read_sets(spark.read.text(path("sets"))).collect()) == sets
+    keys = spark.createDataFrame([("k ",), ("",), ("k",), ("l",)], "value string")
+    assert sorted(r.key for r in formats.key_list(keys).collect()) == ["k", "l"]
+    rows = formats.tagged(spark.createDataFrame([(1, "a<b & c"), (2, None)], "n int, t string"), ["n", "t"])
+    assert [r.value for r in rows.collect()] == ["<n>1</n><t>a&lt;b &amp; c</t>", "<n>2</n>"]
+    assert [r.v for r in rows.select(formats.without_tags("value").alias("v")).collect()] == ["1a<b & c", "2"]
+    assert spark.createDataFrame([("12345678901234 7 x 99999999999999999999",)], "t string").select(formats.numbers("t").alias("n")).first().n == [12345678901234, 7]
+
+
 def test_line_formats(spark):
     of = lambda *rows: spark.createDataFrame([(r,) for r in rows], "value string")
     assert sorted(map(tuple, formats.judgments(of("d1 a b a", "d2", "")).collect())) == [("d1", "a"), ("d1", "b")]

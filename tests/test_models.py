@@ -170,6 +170,48 @@ def test_mark_up_is_cheapest():
         assert cost(found) == pytest.approx(min(map(cost, itertools.product("ab", repeat=len(text)))))
 
 
+def test_mark_up_by_sentinel():
+    """As cheap as the cheapest of all labellings, a change costing the sentinel in the model that is left and the lost context."""
+    import itertools
+
+    a = search.Static([("", "x", 9), ("", "y", 3), ("x", "x", 5), ("x", "y", 1), ("y", "x", 3)], 1, 64)
+    b = search.Static([("", "x", 1), ("", "y", 9), ("y", "y", 7), ("x", "y", 3)], 1, 64)
+    by = {"a": a, "b": b}
+
+    def cost(text, labels):
+        out, begun = 0.0, 0
+        for i, c in enumerate(text):
+            if i and labels[i] != labels[i - 1]:
+                out += by[labels[i - 1]].bits(text[max(begun, i - 1) : i], search.SENTINEL)
+                begun = i
+            out += by[labels[i]].bits(text[max(begun, i - 1) : i], c)
+        return out
+
+    for text in ("x", "xxxxyyyy", "yyyyyyyyxxxxxxxx", "xyxyxyxy", "yyyyxyyyyxxx"[:11]):
+        found = "".join(m * (end - start) for m, start, end in search.mark_up_by_sentinel(text, by))
+        assert cost(text, found) == pytest.approx(min(cost(text, x) for x in itertools.product("ab", repeat=len(text))))
+    assert search.mark_up_by_sentinel("", by) == [] == search.mark_up_by_sentinel("x", {})
+
+
+def test_stack_search():
+    model = search.Static([("", c, 3) for c in "abc "] + [("a", "b", 5), ("b", "c", 5), ("c", " ", 5)], 1)
+    whole = search.segment("abcabc", model)
+    assert search.viterbi("abcabc", model, [search.Rule(c, c + " ") for c in "abc"], stack=50) == whole
+    narrow = search.viterbi("abcabc", model, [search.Rule(c, c + " ") for c in "abc"], stack=1)
+    assert narrow[1] >= whole[1] and narrow[0].replace(" ", "") == "abcabc"
+
+
+def test_markup_statistics(spark):
+    rows = spark.createDataFrame([(1, "a", 0, 4), (1, "b", 4, 6), (2, "a", 0, 1)], "k int, model string, start_pos int, end_pos int")
+    assert sorted(map(tuple, search.markup_statistics(rows).collect())) == [("a", 5, 2, 0), ("b", 2, 1, 1)]
+
+
+def test_alignment_by_chance():
+    assert [m[:4] for m in align.align_by_chance([20, 30, 25], [29, 45, 36])] == [(0, 1, 0, 1), (1, 1, 1, 1), (2, 1, 2, 1)]
+    assert [m[1::2][:2] for m in align.align_by_chance([20, 60], [30, 45, 43])] == [(1, 1), (1, 2)]
+    assert align.align_by_chance([5], []) == [] and align.counted_length("ab, c。") == 4
+
+
 def test_tagger_and_chunks():
     tagger = search.Tagger([[("the", "D"), ("dog", "N"), ("runs", "V")], [("a", "D"), ("cat", "N"), ("sees", "V")]])
     assert tagger.tag(["the", "cat", "runs"]) == ["D", "N", "V"] and tagger.tag([]) == []
