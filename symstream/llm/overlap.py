@@ -7,6 +7,10 @@ unchanged in the training text, at a position that the edits before and behind i
 substrings of the segments' lengths are kept if a Bloom filter of all segments may hold them, joined by hash, held in the join
 against the bounds of position and length and against signatures of the words (so that a segment which very many texts share gives no
 candidates of texts that differ elsewhere), and verified by banded dynamic programming over Arrow batches of pairs.
+
+A hot segment, one that would make more than ``HOT`` pairs, is joined together with a rare word: texts within distance d of one another
+have all but d words in common, so of any one order of the words, here by how frequent they are, the first d + 1 of both texts share one
+(prefix filtering). The common phrase then brings together those texts only that share a rare word too, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from . import bloom
 
 #: The greatest distance, as a share of the longer text's number of words.
 SHARE = 0.2
+#: Pairs that a segment may make before its texts must share a rare word as well; counters of words by which these are told.
+HOT, SLOTS = 1 << 22, 1 << 16
 #: Cells of the dynamic programming table that are held at once.
 CELLS = 2_000_000
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, 65)], np.uint64)
@@ -179,6 +185,49 @@ def training_substrings(classes: DataFrame, shared, size_bits: int, share: float
     return classes.select("cls", "grp", "words").mapInArrow(run, _KEYS)
 
 
+def word_counts(classes: DataFrame) -> np.ndarray:
+    """How often words occur in the classes, by ``SLOTS`` hashed counters; words that share one count as one."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount((_flat(b)[0] >> np.uint64(16)).astype(np.int64), minlength=SLOTS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in classes.select("words").mapInArrow(local, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        out[r.slot] = r.n
+    return out
+
+
+def rare_words(classes: DataFrame, share: float = SHARE) -> DataFrame:
+    """(grp, cls, word): of each class the first words in the order of their frequency, so many that near texts have one of them in common."""
+    shared = classes.sparkSession.sparkContext.broadcast(word_counts(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, starts, sizes = _flat(b)
+            row_of = np.repeat(np.arange(len(sizes)), sizes)
+            # a word that stands in a text again is a word of its own
+            order = np.lexsort((flat, row_of))
+            same = np.append(False, (flat[order][1:] == flat[order][:-1]) & (row_of[order][1:] == row_of[order][:-1]))
+            place = np.arange(len(flat))
+            times = np.empty(len(flat), np.uint64)
+            times[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+            order = np.lexsort((times, flat, shared.value[(flat >> np.uint64(16)).astype(np.int64)], row_of))
+            first = np.array([min(int(n), most_edits(int(n), share) + 1) for n in sizes])
+            kept = order[(place - starts[row_of]) < first[row_of]]
+            word = (flat[kept] * np.uint64(0x9E3779B97F4A7C15)) ^ (times[kept] * np.uint64(0xBF58476D1CE4E5B9))
+            of = pa.array(row_of[kept])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(word.view(np.int64))], ["grp", "cls", "word"])
+
+    return classes.select("grp", "cls", "words").mapInArrow(run, "grp string, cls binary, word bigint")
+
+
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], bound: int) -> np.ndarray:
     """Edit distances of pairs of word arrays; bound + 1 stands for any distance above the bound."""
     n, width = len(a), 2 * bound + 1
@@ -234,12 +283,27 @@ def _verify(share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(keep) for i in range(3)), pa.array(distance).filter(keep)], ["grp", "cls_e", "cls_t", "distance"])
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col: str, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def _candidates(joined: DataFrame, share: float) -> DataFrame:
+    """(grp, cls_e, cls_t) of joined segments and substrings that the bounds of position and length and the signatures let through."""
+    edits = F.floor(F.greatest("l_e", "l_t") * F.lit(share) + F.lit(1e-9))
+    shift = F.col("q") - F.col("p")
+    most = F.floor(F.col("l_e") * F.lit(share / (1 - share)) + F.lit(1e-9))
+    return (
+        joined.where((F.abs(F.col("l_e") - F.col("l_t")) <= edits) & (F.abs(shift) <= F.least(F.col("seg"), edits)))
+        .where(F.abs(shift - (F.col("l_t") - F.col("l_e"))) <= F.least(most - F.col("seg"), edits))
+        .where(F.bit_count(F.col("low_e").bitwiseXOR(F.col("low_t"))) <= 2 * edits)
+        .where(F.bit_count(F.col("high_e").bitwiseXOR(F.col("high_t"))) <= 2 * edits)
+        .where("cls_e <> cls_t")
+        .select("grp", "cls_e", "cls_t")
+    )
+
+
+def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col: str, share: float = SHARE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near pairs of classes within a group, and the records of each class.
 
     pairs: grp, cls_e (an evaluation text), cls_t (a training text), distance. members: grp, cls, evaluation, k. side_col is
     true for evaluation records. Null texts, texts without words and rows whose group or side is null are no case. A class
-    of very many copies is one text in all joins; hot segments are split by the adaptive skew join.
+    of very many copies is one text in all joins. hot: pairs that a segment may make by itself.
     """
     rows = cut(word_table(df, id_col, text_col, group_col, side_col).distinct())
     members = rows.select("grp", "cls", "evaluation", "k")
@@ -250,21 +314,18 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
     held = e.agg(F.sum(F.floor(n_words * share / (1 - share) + 1e-9) + 1).alias("n")).collect()[0].n  # one number
     size_bits, _ = bloom.size_for(int(held or 0))  # a crowded filter only lets more substrings through to the join
     shared = bloom.load(bloom.merged(segment.select("key"), size_bits), size_bits)
-    a = segment.select("key", "grp", F.col("cls").alias("cls_e"), F.col("pos").alias("p"), F.col("n").alias("l_e"), "seg", F.col("low").alias("low_e"), F.col("high").alias("high_e"))
-    b = training_substrings(t, shared, size_bits, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"), F.col("low").alias("low_t"), F.col("high").alias("high_t"))
-    edits = F.floor(F.greatest("l_e", "l_t") * F.lit(share) + F.lit(1e-9))
-    shift = F.col("q") - F.col("p")
-    most = F.floor(F.col("l_e") * F.lit(share / (1 - share)) + F.lit(1e-9))
-    candidates = (
-        a.join(b, ["key", "grp"])
-        .where((F.abs(F.col("l_e") - F.col("l_t")) <= edits) & (F.abs(shift) <= F.least(F.col("seg"), edits)))
-        .where(F.abs(shift - (F.col("l_t") - F.col("l_e"))) <= F.least(most - F.col("seg"), edits))
-        .where(F.bit_count(F.col("low_e").bitwiseXOR(F.col("low_t"))) <= 2 * edits)
-        .where(F.bit_count(F.col("high_e").bitwiseXOR(F.col("high_t"))) <= 2 * edits)
-        .where("cls_e <> cls_t")
-        .select("grp", "cls_e", "cls_t")
-        .distinct()
-    )
+    a = cut(segment.select("key", "grp", F.col("cls").alias("cls_e"), F.col("pos").alias("p"), F.col("n").alias("l_e"), "seg", F.col("low").alias("low_e"), F.col("high").alias("high_e")))
+    b = cut(training_substrings(t, shared, size_bits, share).select("key", "grp", F.col("cls").alias("cls_t"), F.col("pos").alias("q"), F.col("n").alias("l_t"), F.col("low").alias("low_t"), F.col("high").alias("high_t")))
+    count = lambda rows, name: rows.groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    frequent = cut(count(a, "n_e").join(count(b, "n_t"), "key").where(F.col("n_e") * F.col("n_t") > hot).select("key"))
+    if frequent.isEmpty():
+        found = _candidates(a.join(b, ["key", "grp"]), share)
+    else:
+        found = _candidates(a.join(frequent, "key", "left_anti").join(b.join(frequent, "key", "left_anti"), ["key", "grp"]), share)
+        rare = cut(rare_words(classes, share))
+        with_words = lambda rows, cls: rows.join(frequent, "key", "left_semi").join(rare.withColumnRenamed("cls", cls), ["grp", cls])
+        found = found.unionByName(_candidates(with_words(a, "cls_e").join(with_words(b, "cls_t"), ["key", "grp", "word"]), share))
+    candidates = found.distinct()
     words = classes.select("grp", "cls", "words")
     both = candidates.join(words.select("grp", F.col("cls").alias("cls_e"), F.col("words").alias("words_e")), ["grp", "cls_e"]).join(
         words.select("grp", F.col("cls").alias("cls_t"), F.col("words").alias("words_t")), ["grp", "cls_t"]
@@ -275,9 +336,9 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
 
 
 
-def overlapping_records(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col: str, share: float = SHARE) -> DataFrame:
+def overlapping_records(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col: str, share: float = SHARE, hot: int = HOT) -> DataFrame:
     """(k_e, k_t, distance): every evaluation record with every training record of its group that is near or the same."""
-    pairs, members = overlaps(df, id_col, text_col, group_col, side_col, share)
+    pairs, members = overlaps(df, id_col, text_col, group_col, side_col, share, hot)
     of = members.where("evaluation").select("grp", F.col("cls").alias("cls_e"), F.col("k").alias("k_e"))
     to = members.where("NOT evaluation").select("grp", F.col("cls").alias("cls_t"), F.col("k").alias("k_t"))
     return pairs.join(of, ["grp", "cls_e"]).join(to, ["grp", "cls_t"]).select("k_e", "k_t", "distance")

@@ -44,7 +44,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(k, t, g, e, "x") for k, t, g, e in rows], "k int, t string, g string, e boolean, cls string")
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [overlap.HOT, 0, 40])
+def test_against_brute_force(spark, hot):
+    """Whether no, every or some segment is hot."""
     chance = random.Random(9)
     words = [f"v{i}" for i in range(30)]
     base = [chance.choices(words, k=chance.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 14, 20, 25, 31, 60])) for _ in range(70)]
@@ -56,7 +58,7 @@ def test_against_brute_force(spark):
             w[at : at + chance.randint(0, 1)] = chance.choices(words, k=chance.randint(0, 1))
         rows.append((i, " ".join(w).title() if chance.random() < 0.3 else ", ".join(w), chance.choice("gh"), chance.random() < 0.3))
     rows += [(900, None, "g", True), (901, "", "g", False), (902, " .. ", "g", True), (903, "a b", None, True), (904, "a b", "g", None), (905, "one", "g", True), (906, "One!", "g", False), (907, "one", "h", False)]
-    got = {(r.k_e, r.k_t) for r in overlap.overlapping_records(frame(spark, rows), "k", "t", "g", "e").collect()}
+    got = {(r.k_e, r.k_t) for r in overlap.overlapping_records(frame(spark, rows), "k", "t", "g", "e", hot=hot).collect()}
     want = {(a[0], b[0]) for a in rows if a[3] for b in rows if b[3] is False and a[2] == b[2] and a[2] and a[1] and b[1] and near(a[1], b[1])}
     assert got == want and len(want) > 100
 
@@ -70,3 +72,37 @@ def test_long_texts_copies_and_empty_tables(spark):
     pairs, members = overlap.overlaps(frame(spark, rows), "k", "t", "g", "e")
     assert pairs.count() == 2 and members.count() == 52
     assert overlap.overlapping_records(frame(spark, rows).limit(0), "k", "t", "g", "e").count() == 0
+
+
+def test_common_phrase(spark):
+    """A phrase that all texts share, among words that few do: the same pairs, of far fewer candidates."""
+    chance = random.Random(4)
+    phrase = "it is known that".split()
+    rows = []
+    for i in range(400):
+        w = [f"r{chance.randrange(4000)}" for _ in range(12)]
+        rows.append((i, " ".join([*w[:6], *phrase, *w[6:]]), "g", i % 2 == 0))
+        if i % 20 == 0:
+            rows.append((1000 + i, " ".join([*w[:6], *phrase, *w[7:]]), "g", i % 40 != 0))
+    got = {(r.k_e, r.k_t) for r in overlap.overlapping_records(frame(spark, rows), "k", "t", "g", "e", hot=100).collect()}
+    want = {(a[0], b[0]) for a in rows if a[3] for b in rows if not b[3] and near(a[1], b[1])}
+    assert got == want and len(want) >= 10
+
+
+def test_rare_words_hold_for_all_near_texts(spark):
+    chance = random.Random(12)
+    words = [f"v{i}" for i in range(12)]
+    texts = [chance.choices(words, k=chance.randint(1, 24)) for _ in range(150)]
+    texts += [[w for w in t if chance.random() > 0.12] or t for t in texts]
+    rows = frame(spark, [(i, " ".join(t), "g", True) for i, t in enumerate(texts)])
+    table = overlap.word_table(rows, "k", "t", "g", "e")
+    held = {}
+    for r in overlap.rare_words(table).join(table.select("k", "cls"), "cls").collect():
+        held.setdefault(r.k, set()).add(r.word)
+    found = 0
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if levenshtein(x, texts[j]) <= 0.2 * max(len(x), len(texts[j])):
+                assert held[i] & held[j]
+                found += 1
+    assert found > 50
