@@ -101,7 +101,8 @@ def gram_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFra
 
 
 def escaped_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> DataFrame:
-    """(model, gram, bits, found, types0) for each distinct gram under each model. The cost of a symbol depends on its gram alone, so it is found once.
+    """(model, gram, bits, found, types0, level, alone) for each distinct gram under each model. level is the length of the context that knows the
+    symbol, or -1, and alone what the symbol costs if that is known. The cost of a symbol depends on its gram alone, so it is found once.
 
     rows has a column gram: the symbol, and before it the symbols of its context.
     """
@@ -118,7 +119,7 @@ def escaped_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> Data
     level = F.struct(-F.col("k"), "occurrences", "types", "mass", "below", "weight")
     grouped = joined.groupBy("model", "gram", "types0").agg(F.array_sort(F.collect_list(level)).alias("levels"))  # order + 1 entries
     log2 = lambda c: F.log(2.0, c)
-    start = F.struct(F.lit(0.0).alias("bits"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("excluded"), F.lit(0).cast("bigint").alias("gone"))
+    start = F.struct(F.lit(0.0).alias("bits"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("excluded"), F.lit(-1).alias("level"), F.lit(0.0).alias("alone"))
 
     def step(state: Column, x: Column) -> Column:
         usable = x["occurrences"].isNotNull() & ((x["occurrences"] >= 2) | (x["col1"] == 0))
@@ -126,12 +127,12 @@ def escaped_bits(rows: DataFrame, model: Model, exclusions: bool = True) -> Data
         total = (left + x["types"]).cast("double")
         hit = usable & x["weight"].isNotNull()
         bits = F.when(hit, state["bits"] - log2(x["weight"] / total)).when(left > 0, state["bits"] - log2(x["types"] / total)).otherwise(state["bits"])
-        after = F.struct(bits.alias("bits"), hit.alias("found"), x["below"].cast("bigint").alias("excluded"), x["types"].cast("bigint").alias("gone"))
-        passed = F.struct(state["bits"].alias("bits"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("excluded"), F.lit(0).cast("bigint").alias("gone"))
+        after = F.struct(bits.alias("bits"), hit.alias("found"), x["below"].cast("bigint").alias("excluded"), F.when(hit, -x["col1"]).otherwise(-1).alias("level"), F.when(hit, -log2(x["weight"] / left.cast("double"))).otherwise(0.0).alias("alone"))
+        passed = F.struct(state["bits"].alias("bits"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("excluded"), F.lit(-1).alias("level"), F.lit(0.0).alias("alone"))
         return F.when(state["found"], state).when(usable, after).otherwise(passed)
 
     end = F.aggregate("levels", start, step)
-    return grouped.withColumn("end", end).select("model", "gram", F.col("end.bits").alias("bits"), F.col("end.found").alias("found"), "types0")
+    return grouped.withColumn("end", end).select("model", "gram", F.col("end.bits").alias("bits"), F.col("end.found").alias("found"), "types0", F.col("end.level").alias("level"), F.col("end.alone").alias("alone"))
 
 
 def costs(rows: DataFrame, model: Model, exclusions: bool = True) -> tuple[DataFrame, bool]:

@@ -14,10 +14,14 @@ def collect_sets(df: DataFrame, name: str, member: str) -> DataFrame:
 
 
 def pairwise(sets: DataFrame, name: str, a: str, b: str) -> DataFrame:
-    """Cardinalities of the union and the intersection of two sets, and whether they are equal."""
-    at = lambda x, as_: sets.where(F.col(name) == x).select(F.col("members").alias(as_))
-    both = at(a, "x").join(at(b, "y"))  # one row each
-    return both.select(F.size(F.array_union("x", "y")).alias("n_union"), F.size(F.array_intersect("x", "y")).alias("n_both"), (F.array_sort("x") == F.array_sort("y")).alias("equal"))
+    """Cardinalities of the union and the intersection of two sets, and whether they are equal; a set that isn't there is empty.
+
+    Members are counted by which sets hold them, so the sets may be of any size, as arrays (members) or in pieces of them.
+    """
+    rows = sets.where(F.col(name).isin(a, b)).select(F.col(name).alias("s"), F.explode("members").alias("m"))
+    held = rows.groupBy("m").agg(F.bool_or(F.col("s") == a).alias("x"), F.bool_or(F.col("s") == b).alias("y"))
+    both = F.count_if(F.col("x") & F.col("y"))
+    return held.agg(F.count(F.lit(1)).alias("n_union"), both.alias("n_both"), (F.count(F.lit(1)) == both).alias("equal"))
 
 
 def as_pairs(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:

@@ -332,6 +332,12 @@ def found_orders(spark, sf_dir):
     return words.order_stream(words.found_orders(grams, _trained(spark, sf_dir), ["lang"]), ["lang", "model"])
 
 
+def order_codelength(spark, sf_dir):
+    """Documents as a stream of orders and one of symbols, under the models of their own language."""
+    rows = words.order_codelengths(docs(spark, sf_dir), "doc_id", "lang", "text", _trained(spark, sf_dir, 1))
+    return rows.select("doc_id", "model", _r("order_bits", 3).alias("order_bits"), _r("symbol_bits", 3).alias("symbol_bits"))
+
+
 def predicted_symbols(spark, sf_dir):
     """The share of the documents' symbols that each model finds in its longest context, and of those that it finds at all."""
     n = lambda least: F.sum(F.when(F.col("found") >= least, F.col("n")).otherwise(0)) / F.sum("n")
@@ -625,6 +631,12 @@ SQL = {
     "nearest_model": f"{_RADIUS} SELECT doc_id, min(struct_pack(a := absolute, b := model)).b AS by_absolute, min(struct_pack(a := signed, b := model)).b AS by_signed, min(struct_pack(a := radius, b := model)).b AS by_radius FROM rm GROUP BY 1",
     "word_costs": model_sql.track(_LANGS, f"(SELECT DISTINCT word, ' ' || word || ' ' AS text FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[{WS_SQL}]+'), lambda w: w <> '')) AS word FROM documents WHERE lang = 'en'))", "word", 1) + " SELECT word, model, round(sum(bits), 3) AS bits FROM track GROUP BY 1, 2",
     "found_orders": f"{_FOUND} SELECT * FROM fo",
+    "order_codelength": model_sql.track(_LANGS, _DOCS, "doc_id", 1)
+    + ", ot AS (SELECT e.doc_id, gb.model, sum(alone) AS symbol_bits, string_agg(CASE WHEN level < 0 THEN '-' ELSE level::VARCHAR END, '' ORDER BY e.i) AS text FROM e JOIN gb USING (gram) JOIN documents d ON d.doc_id = e.doc_id AND d.lang = gb.model GROUP BY 1, 2), "
+    + model_sql.model_ctes("ot", 2, "o")
+    + ", eo AS (SELECT doc_id, model AS own, substr(text, greatest(i - 2, 1)::INT, least(i, 3)::INT) AS gram FROM (SELECT doc_id, model, text, unnest(generate_series(1, length(text))) AS i FROM ot)), do_ AS (SELECT DISTINCT gram FROM eo), "
+    + model_sql.bits_cte(2, 3, name="o").replace("FROM do d", "FROM do_ d")
+    + " SELECT ot.doc_id, ot.model, round(b.bits, 3) AS order_bits, round(symbol_bits, 3) AS symbol_bits FROM ot JOIN (SELECT doc_id, sum(bits) AS bits FROM eo JOIN gbo ON gbo.gram = eo.gram AND gbo.model = eo.own GROUP BY 1) b USING (doc_id)",
     "predicted_symbols": f"{_FOUND} SELECT lang, model, round(sum(CASE WHEN found >= {ORDER} THEN n ELSE 0 END) / sum(n), 6) AS longest, round(sum(CASE WHEN found >= 0 THEN n ELSE 0 END) / sum(n), 6) AS found_at_all FROM fo GROUP BY 1, 2",
     "word_order_costs": model_sql.track(f"(SELECT 'm' AS model, array_to_string(w, ' ') AS text FROM {_ROMANISED})", f"(SELECT unnest(['original', 'backwards', 'sorted']) AS word_order, unnest([array_to_string(w, ' '), array_to_string(list_reverse(w), ' '), array_to_string(list_sort(w), ' ')]) AS text FROM {_ROMANISED})", "word_order", 2) + " SELECT word_order, count(*) AS n_symbols, round(sum(bits) / count(*), 4) AS bits_per_symbol FROM track GROUP BY 1",
     "description_length": f"{_TRACK}, m AS (SELECT model, (sum(types) * 32)::BIGINT AS model_bits FROM c GROUP BY 1), o AS (SELECT model, sum(bits) AS bits FROM track JOIN documents USING (doc_id) WHERE lang = model GROUP BY 1) SELECT model, model_bits, round(bits, 2) AS text_bits, round(bits + model_bits, 2) AS total_bits FROM m JOIN o USING (model)",
@@ -679,6 +691,6 @@ SQL = {
 }
 QUERIES = [
     model_counters, context_model, order0_entropy, codelength_o1, codelength_o1_no_exclusions, lang_identify, lang_identify_o1, word_codelength, word_identify, precision_at_1, confusion_lang, symbol_winner_share, running_entropy, divergence_words, information_radius, line_max_bits,
-    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, split_compression, orders_curve, sizes_curve, radius_by_model, nearest_model, word_costs, found_orders, predicted_symbols, word_order_costs, description_length, new_words, spacing_study, event_streams,
+    probabilities, map_by_column, map_by_column_but_worst, map_by_row, matrix_extremes, relevance_sweep, relevance_best, recall_precision, break_even, topic_prior, spacing_preference, boundary_understanding, best_configuration, event_bigram_model, parallel_line_ratio, alignment_measures, lines_above_ratio, realigned_lines, cross_compression, distinguishability, split_compression, orders_curve, sizes_curve, radius_by_model, nearest_model, word_costs, found_orders, order_codelength, predicted_symbols, word_order_costs, description_length, new_words, spacing_study, event_streams,
     edit_distance_lines, aligned_sentences, segmentation_scores, adaptive_bits, codec_round_trip, segment_lines, decode_keys, correct_lines, mark_languages, markup_statistics, held_out_identify,
 ]

@@ -52,7 +52,12 @@ def bits_cte(order: int, alphabet: int = 65536, sep: str = "", name: str = "", r
     for k in range(order + 1):
         left = f"(m{k} - {f'CASE WHEN u{k + 1} THEN e{k + 1} ELSE 0 END' if k < order else 0})"
         cost = f"(CASE WHEN u{k} AND w{k} IS NOT NULL THEN -log2(w{k}::DOUBLE / ({left} + t{k})) WHEN u{k} AND {left} > 0 THEN -log2(t{k}::DOUBLE / ({left} + t{k})) + {cost} ELSE {cost} END)"
-    return f"x{name} AS (SELECT d.gram, c0.model, {columns} FROM d{name} d {joins}),\ngb{name} AS (SELECT gram, model, {cost} AS bits, w0 IS NOT NULL AS found FROM x{name})"
+    level, alone = "-1", f"log2(greatest({alphabet} - t0 + 1, 1)::DOUBLE)"
+    for k in range(order + 1):
+        left = f"(m{k} - {f'CASE WHEN u{k + 1} THEN e{k + 1} ELSE 0 END' if k < order else 0})"
+        level = f"(CASE WHEN u{k} AND w{k} IS NOT NULL THEN {k} ELSE {level} END)"
+        alone = f"(CASE WHEN u{k} AND w{k} IS NOT NULL THEN -log2(w{k}::DOUBLE / {left}) ELSE {alone} END)"
+    return f"x{name} AS (SELECT d.gram, c0.model, {columns} FROM d{name} d {joins}),\ngb{name} AS (SELECT gram, model, {cost} AS bits, w0 IS NOT NULL AS found, {level} AS level, {alone} AS alone FROM x{name})"
 
 
 def track(source: str, texts: str, ids: str, order: int, alphabet: int = 65536) -> str:

@@ -18,6 +18,20 @@ def test_word_model(spark):
     assert set(got) == {1, 2} and got[1].tokens == 4 and got[1].bits < got[2].bits
 
 
+def test_order_streams(spark):
+    """With the order known a symbol costs no more than with escapes, and one that is always found in the same order costs nothing there."""
+    rows = spark.createDataFrame([(1, "m", "abababab"), (2, "m", "abab"), (3, "m", None), (4, None, "x"), (5, "n", "zzz")], "k int, m string, t string")
+    model = models.train(rows, "m", "t", 1)
+    got = {r.k: r for r in words.order_codelengths(rows, "k", "m", "t", model).collect()}
+    whole = {(r.k, r.model): r.bits for r in models.codelengths(rows, "k", "t", model).collect()}
+    assert set(got) == {1, 2, 5} and all(r.symbol_bits < whole[k, r.model] and r.order_bits > 0 for k, r in got.items())
+    # a is known at order 0 at the start, then every symbol follows for sure
+    weights = {r.sym: r.weight for r in model.sym.where("model = 'm' AND k = 0").collect()}
+    import math
+
+    assert got[1].symbol_bits == pytest.approx(-math.log2(weights["a"] / sum(weights.values())))
+
+
 def test_orders_and_windows(spark):
     rows = spark.createDataFrame([("m", "ababab")], "model string, text string")
     model = models.train(rows, "model", "text", 2)
