@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 from collections.abc import Sequence
@@ -45,19 +46,28 @@ def parse(tokens: Sequence[str], rules: Sequence[Production], start: str) -> tup
     """Bits and tree of the cheapest derivation of the tokens, or None. Rules with an empty right side are refused."""
     if any(not r.right for r in rules):
         raise ValueError("a rule derives at least one symbol")
-    small, n = _binary(rules), len(tokens)
+    alone: dict[str, list[Production]] = {}  # rules by their only symbol, and by the first of two
+    pairs: dict[str, dict[str, list[Production]]] = {}
+    for r in _binary(rules):
+        if len(r.right) == 1:
+            alone.setdefault(r.right[0], []).append(r)
+        else:
+            pairs.setdefault(r.right[0], {}).setdefault(r.right[1], []).append(r)
+    n = len(tokens)
     chart: list[list[dict[str, tuple[float, tuple]]]] = [[{} for _ in range(n + 1)] for _ in range(n + 1)]
 
     def close(cell: dict[str, tuple[float, tuple]]) -> None:
-        changed = True
-        while changed:
-            changed = False
-            for r in small:
-                if len(r.right) == 1 and r.right[0] in cell:
-                    cost, tree = cell[r.right[0]]
-                    if r.left not in cell or cost + r.cost < cell[r.left][0]:
-                        cell[r.left] = (cost + r.cost, (r.left, tree))
-                        changed = True
+        """Rules of one symbol, the cheapest symbol first, so that each is done once."""
+        waiting = [(cost, s) for s, (cost, _) in cell.items() if s in alone]
+        heapq.heapify(waiting)
+        while waiting:
+            cost, s = heapq.heappop(waiting)
+            if cost > cell[s][0]:
+                continue
+            for r in alone.get(s, ()):
+                if r.left not in cell or cost + r.cost < cell[r.left][0]:
+                    cell[r.left] = (cost + r.cost, (r.left, cell[s][1]))
+                    heapq.heappush(waiting, (cost + r.cost, r.left))
 
     for i, t in enumerate(tokens):
         chart[i][i + 1][t] = (0.0, (t,))
@@ -66,12 +76,17 @@ def parse(tokens: Sequence[str], rules: Sequence[Production], start: str) -> tup
         for i in range(n - width + 1):
             cell = chart[i][i + width]
             for k in range(i + 1, i + width):
-                left, right = chart[i][k], chart[k][i + width]
-                for r in small:
-                    if len(r.right) == 2 and r.right[0] in left and r.right[1] in right:
-                        cost = r.cost + left[r.right[0]][0] + right[r.right[1]][0]
-                        if r.left not in cell or cost < cell[r.left][0]:
-                            cell[r.left] = (cost, (r.left, left[r.right[0]][1], right[r.right[1]][1]))
+                right = chart[k][i + width]
+                if not right:
+                    continue
+                for first, (cost_a, tree_a) in chart[i][k].items():
+                    for second, made in pairs.get(first, {}).items():
+                        if second in right:
+                            cost_b, tree_b = right[second]
+                            for r in made:
+                                cost = r.cost + cost_a + cost_b
+                                if r.left not in cell or cost < cell[r.left][0]:
+                                    cell[r.left] = (cost, (r.left, tree_a, tree_b))
             close(cell)
     found = chart[0][n].get(start) if n else None
     return None if found is None else (found[0], _merged(found[1]))

@@ -44,6 +44,37 @@ def test_orders_and_windows(spark):
     assert got == {("a",): 2, ("b",): 2, ("a", "b"): 2, ("b", "a"): 1}
 
 
+def test_parse_is_cheapest():
+    """Against all derivations of short texts, with chains and cycles of rules of one symbol."""
+    import functools
+
+    P = grammar.Production
+    rules = [P("S", ("A", "B"), 1.0), P("S", ("B",), 2.0), P("B", ("S",), 0.5), P("A", ("a",), 1.0), P("A", ("B",), 0.25), P("B", ("b",), 1.0), P("B", ("A", "A"), 0.75), P("S", ("a", "B", "b"), 0.1)]
+
+    def best(tokens):
+        @functools.cache
+        def cost(symbol, i, j, depth):
+            if depth == 0:
+                return float("inf")
+            out = 0.0 if j == i + 1 and tokens[i] == symbol else float("inf")
+            for r in rules:
+                if r.left == symbol:
+                    out = min(out, r.cost + parts(r.right, i, j, depth - 1))
+            return out
+
+        @functools.cache
+        def parts(right, i, j, depth):
+            if len(right) == 1:
+                return cost(right[0], i, j, depth)
+            return min((cost(right[0], i, k, depth) + parts(right[1:], k, j, depth) for k in range(i + 1, j)), default=float("inf"))
+
+        return cost("S", 0, len(tokens), 9)
+
+    for text in ("b", "a", "ab", "aab", "abb", "aabb", "bab"):
+        found = grammar.parse(list(text), rules, "S")
+        assert (float("inf") if found is None else found[0]) == pytest.approx(best(tuple(text)))
+
+
 def test_grammar(spark):
     rules = grammar.from_counts([("S", ("NP", "VP"), 1), ("NP", ("D", "A", "N"), 1), ("NP", ("D", "N"), 3), ("VP", ("V", "NP"), 1), ("VP", ("V",), 1), ("D", ("the",), 1), ("A", ("old",), 1), ("N", ("dog",), 1), ("N", ("cat",), 1), ("V", ("sees",), 1)])
     bits, tree = grammar.parse("the old dog sees the cat".split(), rules, "S")
