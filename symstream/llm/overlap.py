@@ -33,6 +33,8 @@ from . import bloom
 SHARE = 0.2
 #: Pairs that a segment may make before its texts must share a rare word as well; counters of words by which these are told.
 HOT, SLOTS = 1 << 22, 1 << 16
+#: Bytes of a word's code: two words that differ have the same one once in 2 ** 48.
+CODE = 6
 #: Cells of the dynamic programming table that are held at once.
 CELLS = 2_000_000
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, 65)], np.uint64)
@@ -74,7 +76,7 @@ def normal_words(texts: pa.Array) -> list[list[str]]:
 
 
 def word_table(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col: str) -> DataFrame:
-    """(k, grp, evaluation, cls, words): 16-byte class of the word sequence and 4 bytes for each word.
+    """(k, grp, evaluation, cls, words): 16-byte class of the word sequence and CODE bytes for each word.
 
     Null texts and texts without words are left out.
     """
@@ -91,10 +93,10 @@ def word_table(df: DataFrame, id_col: str, text_col: str, group_col: str, side_c
                         if w not in codes:
                             if len(codes) > 500_000:
                                 codes.clear()
-                            codes[w] = xxhash.xxh3_64_digest(w)[:4]
+                            codes[w] = xxhash.xxh3_64_digest(w)[:CODE]
                     kept.append(i)
                     classes.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    packed.append(b"".join([codes[w] if w in codes else xxhash.xxh3_64_digest(w)[:4] for w in words]))
+                    packed.append(b"".join([codes[w] if w in codes else xxhash.xxh3_64_digest(w)[:CODE] for w in words]))
             if kept:
                 chosen = b.take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays([*chosen.columns[:3], pa.array(classes, pa.binary()), pa.array(packed, pa.binary())], ["k", "grp", "evaluation", "cls", "words"])
@@ -102,12 +104,19 @@ def word_table(df: DataFrame, id_col: str, text_col: str, group_col: str, side_c
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, grp string, evaluation boolean, cls binary, words binary")
 
 
+def _codes(packed: bytes) -> np.ndarray:
+    """The words' codes as numbers."""
+    wide = np.zeros((len(packed) // CODE, 8), np.uint8)
+    wide[:, :CODE] = np.frombuffer(packed, np.uint8).reshape(-1, CODE)
+    return wide.view("<u8").ravel()
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows one after another, the rows' starts and lengths."""
     column = b.column(b.schema.get_field_index("words"))
     data = column.to_pylist()
-    sizes = np.array([len(x) // 4 for x in data], np.int64)
-    return np.frombuffer(b"".join(data), "<u4").astype(np.uint64), np.cumsum(sizes) - sizes, sizes
+    sizes = np.array([len(x) // CODE for x in data], np.int64)
+    return _codes(b"".join(data)), np.cumsum(sizes) - sizes, sizes
 
 
 def _group_salt(groups: Sequence[str]) -> np.ndarray:
@@ -192,7 +201,7 @@ def word_counts(classes: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             if b.num_rows:
-                total += np.bincount((_flat(b)[0] >> np.uint64(16)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((_flat(b)[0] >> np.uint64(8 * CODE - 16)).astype(np.int64), minlength=SLOTS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["slot", "n"])
 
@@ -218,7 +227,7 @@ def rare_words(classes: DataFrame, share: float = SHARE) -> DataFrame:
             place = np.arange(len(flat))
             times = np.empty(len(flat), np.uint64)
             times[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-            order = np.lexsort((times, flat, shared.value[(flat >> np.uint64(16)).astype(np.int64)], row_of))
+            order = np.lexsort((times, flat, shared.value[(flat >> np.uint64(8 * CODE - 16)).astype(np.int64)], row_of))
             first = np.array([min(int(n), most_edits(int(n), share) + 1) for n in sizes])
             kept = order[(place - starts[row_of]) < first[row_of]]
             word = (flat[kept] * np.uint64(0x9E3779B97F4A7C15)) ^ (times[kept] * np.uint64(0xBF58476D1CE4E5B9))
@@ -266,7 +275,7 @@ def _verify(share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = ([np.frombuffer(x, "<u4") for x in batch.column(i).to_pylist()] for i in (3, 4))
+        a, b = ([_codes(x).view(np.int64) for x in batch.column(i).to_pylist()] for i in (3, 4))
         longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
         bounds = np.array([allowed(int(n), share) for n in longer])
         near = np.zeros(len(a), bool)
@@ -310,7 +319,7 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
     classes = cut(rows.groupBy("grp", "cls").agg(F.first("words").alias("words"), F.max("evaluation").alias("in_e"), F.min("evaluation").alias("only_e")))
     e, t = classes.where("in_e"), classes.where("NOT only_e")
     segment = evaluation_segments(e, share)
-    n_words = F.octet_length("words") / 4
+    n_words = F.octet_length("words") / CODE
     held = e.agg(F.sum(F.floor(n_words * share / (1 - share) + 1e-9) + 1).alias("n")).collect()[0].n  # one number
     size_bits, _ = bloom.size_for(int(held or 0))  # a crowded filter only lets more substrings through to the join
     shared = bloom.load(bloom.merged(segment.select("key"), size_bits), size_bits)
