@@ -314,8 +314,8 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, group_col: str, side_col
     true for evaluation records. Null texts, texts without words and rows whose group or side is null are no case. A class
     of very many copies is one text in all joins. hot: pairs that a segment may make by itself.
     """
-    rows = cut(word_table(df, id_col, text_col, group_col, side_col).distinct())
-    members = rows.select("grp", "cls", "evaluation", "k")
+    rows = cut(word_table(df, id_col, text_col, group_col, side_col))
+    members = rows.select("grp", "cls", "evaluation", "k").distinct()  # without the words, which classes have once
     classes = cut(rows.groupBy("grp", "cls").agg(F.first("words").alias("words"), F.max("evaluation").alias("in_e"), F.min("evaluation").alias("only_e")))
     e, t = classes.where("in_e"), classes.where("NOT only_e")
     segment = evaluation_segments(e, share)
