@@ -102,6 +102,14 @@ def test_mark_languages(spark, small):
         assert spans[0][0] == 0 and spans[-1][1] == len(texts[k]) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_markup_statistics(spark, small):
+    want = {}
+    for r in catalog.queries()["mark_languages"](spark, small).collect():
+        n, stretches, switches = want.get(r.model, (0, 0, 0))
+        want[r.model] = n + r.end_pos - r.start_pos, stretches + 1, switches + (r.start_pos > 0)
+    assert {r.model: (r.symbols, r.stretches, r.switches) for r in catalog.queries()["markup_statistics"](spark, small).collect()} == want
+
+
 @pytest.mark.parametrize("name", ["segment_lines", "correct_lines", "decode_keys"])
 def test_searches(spark, small, name):
     rows = {r.line_id: r.out for r in catalog.queries()[name](spark, small).collect()}
