@@ -152,7 +152,7 @@ def _joined(text: str, runs: list[tuple[int, int, list[int], str, float, int]])
     score = sum(r[4] for r in runs if r[4] > 0)
     broken, out, pieces, at = 0, [], [], 0
     for start, end, data, fixed, evidence, bad in runs:
-        if evidence > 0 or (score >= 2 and data[0] >= 0xC2 and not any(c > "\x7f" and c != LOST for c in fixed)):
+        if evidence > 0 or (score >= 2 and (data[0] >= 0xC2 or -1 in data) and not any(c > "\x7f" and c != LOST for c in fixed)):
             broken += bad
             sound = text[at:start]
             out += [sound, fixed]
@@ -197,7 +197,7 @@ def _single(text: str, shown: str) -> tuple[float, int, str, Pieces]:
     runs = []
     for m in _HIGH.finditer(shown):
         run = m.group()
-        if max(run.replace(LOST, ""), default="") >= "\u00c2" and not _LOOK_ALIKE.issuperset(text[m.start() : m.end()]):
+        if (max(run.replace(LOST, ""), default="") >= "\u00c2" or (LOST in run and len(set(run)) > 1)) and not _LOOK_ALIKE.issuperset(text[m.start() : m.end()]):
             runs.append((m.start(), m.end(), *_decoded(run)))
     return _joined(text, runs)
 
