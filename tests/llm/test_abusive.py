@@ -78,3 +78,35 @@ def test_hard_examples_are_drawn_by_a_hash(spark):
     rows = spark.range(0, 4000, 1, 8).withColumnRenamed("id", "k")
     drawn = [sorted(r.k for r in sampling.least(x, "k", 400).collect()) for x in (rows, rows.repartition(3), rows.orderBy("k", ascending=False))]
     assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 400 and all(60 < sum(a <= k < a + 1000 for k in drawn[0]) < 140 for a in range(0, 4000, 1000))
+
+
+def test_disguises_within_letters_and_drawn_out_consonants():
+    assert abusive.skeleton("മണ.്ടൻ") == abusive.skeleton("മണ-്ടൻ") == abusive.skeleton("മ*ണ്ടൻ") == abusive.skeleton("മണ്ടൻ")
+    assert abusive.skeleton("thhhendi") == abusive.skeleton("thendi") and abusive.skeleton("1953-ൽ") != abusive.skeleton("1953")
+
+
+def test_weights_stand_for_copies():
+    chance = random.Random(8)
+    texts = [doc(chance, i % 3 == 0) for i in range(60)]
+    index = {w: i + 1 for i, w in enumerate(sorted({abusive.skeleton(w) for t in texts for w in t.split()}))}
+    once, thrice = (abusive.Tokens(t, abusive.Lexicon(index, frozenset())) for t in (texts, texts * 3))
+    truth = (once.sk % 5 == 0).astype(float)
+    a = abusive._gradient_fit(once, truth, np.full(len(truth), 3.0), len(index) + 1, 20)
+    b = abusive._gradient_fit(thrice, np.tile(truth, 3), np.ones(3 * len(truth)), len(index) + 1, 20)
+    assert all(np.allclose(getattr(a, x), getattr(b, x)) for x in ("words", "begins", "flags", "change", "bias"))
+
+
+def test_many_mistaken_documents_hide_no_true_ones(spark):
+    """A small sample of a large table: its hard examples are drawn up to their bound, but don't outweigh the abusive ones."""
+    chance = random.Random(6)
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 10 == 0
+        rows.append((i, doc(chance, bad)))
+        if i < 5000:
+            labels.append((i, int(bad) if chance.random() > 0.03 else 1 - int(bad)))
+    docs, verdicts = spark.createDataFrame(rows, "k int, t string"), spark.createDataFrame(labels, "k int, abusive int")
+    terms = spark.createDataFrame([("idiot",)], "term string")
+    found = {r.k for r in abusive.score_documents(docs, "k", "t", verdicts, "k", "abusive", terms, "term", (60, 60, 400)).where("score >= 0.5").collect()}
+    right = sum(k % 10 == 0 for k in found)
+    assert right >= 570 and len(found) <= 630
