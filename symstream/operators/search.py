@@ -11,6 +11,8 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,235 @@ class Static:
         return sum(self.bits(text[max(0, i - self.order) : i], c) for i, c in enumerate(text))
 
 
+class Dense:
+    """The costs of a Static model of order 3 or less as arrays, for batches of texts.
+
+    rows are the counters of a model of texts: a usable context's shorter ones are usable and know what it knows, so that what is excluded
+    is known by contexts alone.
+    """
+
+    def __init__(self, rows: Sequence[tuple[str, str, int]], order: int, alphabet: int = 65536) -> None:
+        if not 0 <= order <= 3:
+            raise ValueError("orders from 0 to 3")
+        counts: dict[str, dict[str, int]] = {}
+        for ctx, sym, weight in rows:
+            counts.setdefault(ctx, {})[sym] = weight
+        self.order, self.alphabet = order, alphabet
+        usable = {ctx: seen for ctx, seen in counts.items() if not ctx or len(seen) > 1 or next(iter(seen.values())) > 1}
+        self.signs = np.unique(np.array([ord(c) for ctx, seen in usable.items() for c in (*ctx, *seen)], np.int64))
+        if len(self.signs) >= 0xFFFF:
+            raise ValueError("more signs than 16 bits tell apart")
+        number = {chr(c): i + 1 for i, c in enumerate(self.signs.tolist())}  # 0: any other sign, and what stands before a text
+        mass = {ctx: sum(seen.values()) for ctx, seen in usable.items()}
+        below = {}
+        for ctx, seen in usable.items():
+            if ctx:
+                lower = usable.get(ctx[1:], {})
+                if not seen.keys() <= lower.keys():
+                    raise ValueError("a context knows what a shorter one doesn't")
+                below[ctx] = sum(map(lower.__getitem__, seen))
+        self.rest = math.log2(max(1, alphabet - len(usable.get("", {})) + 1))
+        self.steps, self.found = [], []  # by length: contexts, bits of escapes paid before each length, totals; grams, weights
+        for k in range(order + 1):
+            at = sorted((_key(number, ctx), ctx) for ctx in usable if len(ctx) == k)
+            paid, totals = np.zeros((len(at), k + 2)), np.ones((len(at), k + 1))
+            for i, (_, ctx) in enumerate(at):
+                out = 0.0
+                for j in range(k, -1, -1):
+                    paid[i, j + 1] = out
+                    suffix = ctx[k - j :]
+                    left = mass[suffix] - (below[ctx[k - j - 1 :]] if j < k else 0)
+                    if left:
+                        totals[i, j] = left + len(usable[suffix])
+                        out -= math.log2(len(usable[suffix]) / totals[i, j])
+                paid[i, 0] = out
+            grams = sorted((_key(number, ctx) << 16 | number[c], n) for _, ctx in at for c, n in usable[ctx].items())
+            self.steps.append((np.array([x for x, _ in at], np.uint64), paid, totals))
+            self.found.append((np.array([x for x, _ in grams], np.uint64), np.array([n for _, n in grams], np.float64)))
+        self._known: dict[tuple[str, str], float] = {}
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of signs."""
+        place = np.zeros(0x110000, np.uint64)
+        place[self.signs] = np.arange(1, len(self.signs) + 1, dtype=np.uint64)
+        return place[codes]
+
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of grams: four numbers of 16 bits each, the last of the symbol, those before it of its context."""
+        codes, distinct = pd.factorize(keys)
+        return self._costs(distinct)[codes]
+
+    def _costs(self, keys: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        for k in range(self.order, -1, -1):
+            contexts, paid, totals = self.steps[k]
+            at, there = _places(contexts, (keys[open_] >> np.uint64(16)) & np.uint64((1 << 16 * k) - 1))
+            mine, node = open_[there], at[there]
+            open_ = open_[~there]
+            out[mine] = paid[node, 0] + self.rest
+            for j in range(k, -1, -1):
+                grams, weights = self.found[j]
+                at, there = _places(grams, keys[mine] & np.uint64((1 << 16 * (j + 1)) - 1))
+                share = weights[at[there]] / totals[node[there], j]
+                out[mine[there]] = paid[node[there], j + 1] - np.fromiter(map(math.log2, share.tolist()), np.float64, len(share))
+                mine, node = mine[~there], node[~there]
+        out[open_] = self.rest  # of an empty model
+        return out
+
+    def usable(self, ctx: str) -> bool:
+        ids = self.ids(np.array([ord(c) for c in ctx], np.int64)).tolist()
+        return not ctx or all(ids) and bool(_places(self.steps[len(ctx)][0], np.array([sum(x << 16 * i for i, x in enumerate(reversed(ids)))], np.uint64))[1][0])
+
+    def context(self, past: str) -> str:
+        past = past[-self.order :] if self.order else ""
+        while past and not self.usable(past):
+            past = past[1:]
+        return past
+
+    def bits(self, past: str, symbol: str) -> float:
+        key = (past[-self.order :] if self.order else "", symbol)
+        if key not in self._known:
+            ids = self.ids(np.array([ord(c) for c in "".join(key)], np.int64)).tolist()
+            self._known[key] = float(self._costs(np.array([sum(x << 16 * i for i, x in enumerate(reversed(ids)))], np.uint64))[0])
+        return self._known[key]
+
+
+def _key(number: dict[str, int], text: str) -> int:
+    out = 0
+    for c in text:
+        out = out << 16 | number[c]
+    return out
+
+
+def _places(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where asked keys stand among sorted ones, and whether they do."""
+    if not len(known):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
+
+
+def dense_model(model: Model, largest: int = LARGEST) -> Dense:
+    """The only model of some tables as arrays, if it has few enough counters to be held by every task."""
+    size = model.sym.count()
+    if size > largest:
+        raise ValueError(f"{size} counters; only models of up to {largest} are held in tasks")
+    rows = model.sym.select("ctx", "sym", F.col("weight").cast("bigint").alias("weight")).toArrow()
+    return Dense(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), model.order, model.alphabet)
+
+
+class _Columns:
+    """Texts that are no longer than they come, side by side: all first symbols, then all second ones, and so on."""
+
+    def __init__(self, texts: list[str]) -> None:
+        """texts: by falling length, none empty."""
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.size = int(self.lengths.sum())
+        begins = np.cumsum(self.lengths) - self.lengths
+        line = np.repeat(np.arange(len(texts)), self.lengths)
+        place = np.arange(self.size) - np.repeat(begins, self.lengths)
+        self.live = np.searchsorted(-self.lengths, -np.arange(1, self.lengths[0] + 1), side="right")  # texts that reach each place
+        self.begin = np.cumsum(self.live) - self.live
+        self.at = self.begin[place] + line  # of each symbol in the order of the texts
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.place = place
+
+    def before(self, values: np.ndarray, k: int) -> np.ndarray:
+        """The value k places before each symbol, 0 before the text; in the order of the texts."""
+        out = np.zeros_like(values)
+        out[k:] = np.where(self.place[k:] >= k, values[:-k], 0) if k else values
+        return out
+
+    def columns(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.at] = values
+        return out
+
+
+def _chunks(texts: Sequence[str], most: int) -> Iterator[list[int]]:
+    """Places of the texts that aren't empty, by falling length, in chunks of some ``most`` symbols."""
+    order, size = [], 0
+    for i in sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i])):
+        order.append(i)
+        size += len(texts[i])
+        if size >= most:
+            yield order
+            order, size = [], 0
+    if order:
+        yield order
+
+
+#: Before a symbol: which of the last places hold a space. 0 none, 1 the third but last, 2 the second but last, 3 the last, 4 the last and the third but last.
+#: The state before, by state and by three choices: of 0 from 1, of 3 and 4 from 4, of 3 by way of 1.
+_CAME = np.array([[c & 1, 2, 3 + (c >> 1 & 1), 2 if c & 4 else c & 1, 3 + (c >> 1 & 1)][s] for s in range(5) for c in range(8)], np.uint8)
+
+
+def segment_texts(texts: Sequence[str], model: Dense) -> list[tuple[str, float]]:
+    """``segment`` for each of the texts."""
+    out: list[tuple[str, float]] = [("", 0.0)] * len(texts)
+    alnum = np.zeros(0x110000, bool)
+    signs = list(set("".join(texts)))
+    alnum[[ord(c) for c in signs]] = [c.isalnum() for c in signs]
+    for chunk in _chunks(texts, 400_000):
+        part = [texts[i] for i in chunk]
+        for i, found in zip(chunk, _segment(part, model, alnum), strict=True):
+            out[i] = found
+    return out
+
+
+def _segment(texts: list[str], model: Dense, alnum: np.ndarray) -> list[tuple[str, float]]:
+    c = _Columns(texts)
+    d = model.ids(c.codes)
+    c1, c2, c3 = (c.before(d, k) for k in (1, 2, 3))
+    space = model.ids(np.array([32]))[0]
+    gram = lambda *x: c.columns(model.costs(x[0] << np.uint64(48) | x[1] << np.uint64(32) | x[2] << np.uint64(16) | x[3]))
+    k0, k1, k2, k3, k4 = gram(c3, c2, c1, d), gram(space, c2, c1, d), gram(c2, space, c1, d), gram(c2, c1, space, d), gram(space, c1, space, d)
+    never = c.columns(~alnum[c.codes])
+    s0, s1, s2 = gram(c2, c1, d, space), gram(space, c1, d, space), gram(c1, space, d, space)
+    for x in (s0, s1, s2):
+        x[never] = math.inf
+    n = len(texts)
+    states = np.full((5, n), math.inf)
+    states[0] = 0.0
+    choice, tied = np.empty((3, c.size), bool), np.empty((3, c.size), bool)
+    ends = np.empty((5, n))
+    for t, live in enumerate(c.live.tolist()):
+        here = slice(int(c.begin[t]), int(c.begin[t]) + live)
+        ends[:, live : states.shape[1]] = states[:, live:]
+        old = states[:, :live]
+        states = np.empty((5, live))
+        a, b, e, f = old[0] + k0[here], old[1] + k1[here], old[3] + k3[here], old[4] + k4[here]
+        np.minimum(a, b, out=states[0])
+        np.add(old[2], k2[here], out=states[1])
+        np.minimum(e, f, out=states[2])
+        g, h = states[0] + s0[here], states[1] + s1[here]
+        np.minimum(g, h, out=states[3])
+        np.add(states[2], s2[here], out=states[4])
+        for i, (x, y) in enumerate(((a, b), (e, f), (g, h))):
+            np.less(y, x, out=choice[i, here])
+            np.equal(x, y, out=tied[i, here])
+    ends[:, : states.shape[1]] = states
+    bits, last = ends.min(axis=0), ends.argmin(axis=0).astype(np.uint8)
+    chosen = (choice[0] + choice[1].view(np.uint8) * 2 + choice[2].view(np.uint8) * 4).astype(np.uint8)
+    path, state = np.empty(c.size, np.uint8), last.copy()
+    for t in range(len(c.live) - 1, -1, -1):
+        here = slice(int(c.begin[t]), int(c.begin[t]) + int(c.live[t]))
+        path[here] = state[: c.live[t]]
+        state[: c.live[t]] = _CAME[path[here] * 8 + chosen[here]]
+    doubt = np.where((path == 0) | (path == 3) & ~choice[2], tied[0], False) | (((path == 2) | (path == 4)) & tied[1]) | ((path == 3) & tied[2])
+    begins = np.cumsum(c.lengths) - c.lengths
+    doubtful = np.logical_or.reduceat(doubt[c.at], begins) | ((ends == bits).sum(axis=0) > 1)
+    spaced = path[c.at] >= 3
+    codes = np.repeat(c.codes, 1 + spaced)
+    codes[np.cumsum(1 + spaced)[spaced] - 1] = 32
+    whole = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    stops = np.cumsum(np.add.reduceat(1 + spaced.astype(np.int64), begins)).tolist()
+    found = [(whole[x:y], z) for x, y, z in zip([0, *stops[:-1]], stops, bits.tolist(), strict=True)]
+    for i in np.flatnonzero(doubtful).tolist():  # equally cheap ones are told apart by their texts
+        found[i] = segment(texts[i], model)
+    return found
+
+
 def static_models(model: Model, largest: int = LARGEST) -> dict[str, Static]:
     """The models as look-up tables, if they have few enough counters to be held by every task."""
     size = model.sym.count()
@@ -235,6 +466,21 @@ def parse_confusions(line: str) -> Rule | None:
     return Rule(" ".join(parts[2:]), target.strip(), -math.log2(int(parts[0]) / int(parts[1])))
 
 
+def apply_batches(df: DataFrame, id_col: str, text_col: str, shared, function) -> DataFrame:  # noqa: ANN001
+    """(id, out, bits): as ``apply``, with a function of many texts and of what is shared."""
+    rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    held = rows.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = iter(function([t for t in texts if t is not None], held.value))
+            each = [(None, None) if t is None else next(found) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in each], pa.string()), pa.array([x for _, x in each], pa.float64())], ["k", "out", "bits"])
+
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, out string, bits double").withColumnRenamed("k", id_col)
+
+
 def apply(df: DataFrame, id_col: str, text_col: str, static, function) -> DataFrame:  # noqa: ANN001
     """(id, out, bits): a search function over every text; null texts give null."""
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from symstream.operators import counts, models
+from symstream.operators import counts, models, search
 from symstream.plans import catalog
 
 
@@ -48,3 +48,43 @@ def test_own_codelengths(spark):
         one = models.gram_codelengths(counts.grams(rows.where("t IS NOT NULL"), ["model"], "t", order).withColumnRenamed("model", "own"), ["own"], models.train(rows, "model", "t", order)).where(F.col("own") == F.col("model"))
         for r in one.collect():
             assert got[r.own, order] == (pytest.approx(r.bits, abs=1e-9), r.symbols)
+
+
+def counters(texts, order=3):
+    seen = {}
+    for t in texts:
+        for i, c in enumerate(t):
+            for k in range(min(i, order) + 1):
+                of = seen.setdefault(t[i - k : i], {})
+                of[c] = of.get(c, 0) + 1
+    return [(ctx, c, 2 * n - 1) for ctx, of in seen.items() for c, n in of.items()]
+
+
+def two_models(order=3):
+    chance = random.Random(11)
+    words = ["".join(chance.choices("abdegikmnotu", k=chance.randint(1, 6))) for _ in range(30)] + ["x", "1", "ക", "é-"]
+    rows = counters([" ".join(chance.choices(words, k=chance.randint(1, 9))) for _ in range(60)], order)
+    return search.Static(rows, order), search.Dense(rows, order), words
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_dense_costs(order):
+    static, dense, words = two_models(order)
+    chance = random.Random(order)
+    signs = sorted(set("".join(words))) + [" ", "q", "😀"]
+    for _ in range(400):
+        past, c = "".join(chance.choices(signs, k=chance.randrange(5))), chance.choice(signs)
+        assert dense.bits(past, c) == static.bits(past, c) and dense.context(past) == static.context(past)
+    empty = search.Dense([], order)
+    assert empty.bits("a", "b") == search.Static([], order).bits("a", "b")
+    with pytest.raises(ValueError):
+        search.Dense([("", "a", 3), ("a", "b", 3)], 1)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_segmentation_of_batches(order):
+    static, dense, words = two_models(order)
+    chance = random.Random(3)
+    texts = ["", "a", "-", "q?q", "aaaa", "é-é-"] + ["".join(chance.choices(words, k=chance.randrange(12))) for _ in range(60)]
+    assert search.segment_texts(texts, dense) == [search.segment(t, static) for t in texts]
+    assert search.segment_texts([], dense) == []
