@@ -466,6 +466,108 @@ def parse_confusions(line: str) -> Rule | None:
     return Rule(" ".join(parts[2:]), target.strip(), -math.log2(int(parts[0]) / int(parts[1])))
 
 
+class Keypad:
+    """``keypad`` for many texts: costs of all letters of four keys lie side by side, for the searches of a batch to go on by whole columns."""
+
+    def __init__(self, model: Dense, others: str = " .,") -> None:
+        """others: signs besides the keys that are looked for by columns; texts with more of them are searched one by one."""
+        self.model, self.letters = model, ["", *KEYS.values(), *others]  # the first: before a text
+        self.number = np.full(0x110000, -1, np.int64)
+        self.number[[ord(c) for c in (*KEYS, *others)]] = np.arange(1, len(self.letters))
+        n = len(self.letters)
+        self.codes = np.zeros((n, 4), np.int64)
+        there = np.zeros((n, 4), bool)
+        for i, x in enumerate(self.letters):
+            self.codes[i, : len(x)] = [ord(c) for c in x]
+            there[i, : max(1, len(x))] = True
+        ids = model.ids(self.codes)
+        ids[0] = 0
+        #: By keys of three symbols before and of this one: bits by this one's letter and the letters of those before, from the last to the first.
+        self.costs = np.full((n**4, 256), math.inf)
+        grid = np.indices((n, n, n, n)).reshape(4, -1)
+        spot = np.indices((4, 4, 4, 4)).reshape(4, -1)
+        for at in range(0, n**4, 4096):
+            keys = grid[:, at : at + 4096, None]
+            real = there[keys[3], spot[0]] & there[keys[2], spot[1]] & there[keys[1], spot[2]] & there[keys[0], spot[3]]
+            gram = ids[keys[0], spot[3]] << np.uint64(48) | ids[keys[1], spot[2]] << np.uint64(32) | ids[keys[2], spot[1]] << np.uint64(16) | ids[keys[3], spot[0]]
+            self.costs[at : at + 4096][real] = model.costs(gram[real])
+
+    def __call__(self, texts: Sequence[str]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [("", 0.0)] * len(texts)
+        for chunk in _chunks(texts, 60_000):
+            whole = [i for i in chunk if (self.number[[ord(c) for c in set(texts[i])]] > 0).all()]
+            for i in set(chunk) - set(whole):
+                out[i] = keypad(texts[i], self.model)
+            if whole:
+                for i, found in zip(whole, self._search([texts[i] for i in whole]), strict=True):
+                    out[i] = found
+        return out
+
+    def _search(self, texts: list[str]) -> list[tuple[str, float]]:
+        c, n = _Columns(texts), len(self.letters)
+        key = self.number[c.codes]
+        k1, k2, k3 = (c.before(key, k) for k in (1, 2, 3))
+        four = c.columns(((k3 * n + k2) * n + k1) * n + key)
+        best = np.empty((c.size + len(texts), 64))  # by column: states are the letters of the last three keys, from the last to the first
+        best[c.size :] = math.inf
+        best[c.size :, 0] = 0.0  # before the texts
+        room = np.empty((len(texts), 256))
+        begin, live = c.begin.tolist(), c.live.tolist()
+        for t, m in enumerate(live):
+            here, old = slice(begin[t], begin[t] + m), begin[t - 1] if t else c.size
+            block = room[:m]
+            np.take(self.costs, four[here], axis=0, out=block, mode="clip")
+            by_new = block.reshape(m, 4, 64)
+            by_new += best[old : old + m, None, :]
+            by_old = block.reshape(m, 64, 4)
+            np.minimum(np.minimum(by_old[..., 0], by_old[..., 1]), np.minimum(by_old[..., 2], by_old[..., 3]), out=best[here])
+        last = c.begin[c.lengths - 1] + np.arange(len(texts))
+        ends = best[last]
+        bits, state = ends.min(axis=1), ends.argmin(axis=1)
+        doubtful = (ends == bits[:, None]).sum(axis=1) > 1
+        path = np.empty(c.size, np.int64)
+        before, rows = best.reshape(-1, 4), self.costs.reshape(-1, 4)
+        for t in range(len(live) - 1, -1, -1):
+            m, old = live[t], begin[t - 1] if t else c.size
+            here, now = slice(begin[t], begin[t] + m), state[:m]
+            path[here] = now
+            totals = before[(old + np.arange(m)) * 16 + (now & 15)] + rows[four[here] * 64 + now]
+            came = totals.argmin(axis=1)
+            doubtful[:m] |= (totals == totals[np.arange(m), came][:, None]).sum(axis=1) > 1
+            state[:m] = (now & 15) * 4 + came
+        codes = self.codes[key, path[c.at] >> 4]
+        whole = codes.astype("<u4").tobytes().decode("utf-32-le")
+        stops = np.cumsum(c.lengths).tolist()
+        found = [(whole[x:y], z) for x, y, z in zip([0, *stops[:-1]], stops, bits.tolist(), strict=True)]
+        for i in np.flatnonzero(doubtful).tolist():
+            at = c.begin[: c.lengths[i]] + i
+            found[i] = (self._first(best[at], four[at], ends[i], bits[i]), found[i][1])
+        return found
+
+    def _first(self, best: np.ndarray, four: np.ndarray, ends: np.ndarray, bits: float) -> str:
+        """Of equally cheap letters for a text those that sort first."""
+        start = np.full(64, math.inf)
+        start[0] = 0.0
+        tight: list[dict[int, list[int]]] = []  # by place: states after it that follow each state before it
+        states = np.flatnonzero(ends == bits).tolist()
+        for t in range(len(four) - 1, -1, -1):
+            old = best[t - 1] if t else start
+            follow: dict[int, list[int]] = {}
+            for s in states:
+                total = old[(s & 15) * 4 : (s & 15) * 4 + 4] + self.costs[four[t], s * 4 : s * 4 + 4]
+                for a in np.flatnonzero(total == best[t][s]).tolist():
+                    follow.setdefault((s & 15) * 4 + a, []).append(s)
+            tight.append(follow)
+            states = list(follow)
+        out, state = [], {0}
+        for t, follow in enumerate(reversed(tight)):
+            nexts = {s for x in state for s in follow.get(x, ())}
+            least = min(s >> 4 for s in nexts)
+            out.append(self.letters[four[t] % len(self.letters)][least])
+            state = {s for s in nexts if s >> 4 == least}
+        return "".join(out)
+
+
 def apply_batches(df: DataFrame, id_col: str, text_col: str, shared, function) -> DataFrame:  # noqa: ANN001
     """(id, out, bits): as ``apply``, with a function of many texts and of what is shared."""
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))

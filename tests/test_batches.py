@@ -88,3 +88,20 @@ def test_segmentation_of_batches(order):
     texts = ["", "a", "-", "q?q", "aaaa", "é-é-"] + ["".join(chance.choices(words, k=chance.randrange(12))) for _ in range(60)]
     assert search.segment_texts(texts, dense) == [search.segment(t, static) for t in texts]
     assert search.segment_texts([], dense) == []
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_keypad_of_batches(order):
+    """As found for one text after the other, of equally cheap letters those that sort first."""
+    static, dense, _ = two_models(order)
+    chance = random.Random(4)
+    texts = ["", "2", "   ", "   99.9,", "2a3"] + ["   " + "".join(chance.choices("23456789 .", k=chance.randrange(20))) for _ in range(40)]
+    pad = search.Keypad(dense)
+    for t, (out, bits) in zip(texts, pad(texts), strict=True):
+        want, least = search.keypad(t, static)
+        assert len(out) == len(t) and bits == pytest.approx(least, abs=1e-9)
+        if order:  # without contexts all texts of the same letters are equally cheap but for rounding
+            assert out == want
+    equal = [("", c, 3) for c in "abcdefghijklmnopqrstuvwxyz ., "]
+    texts = ["   2345", "79", "8" * 30]
+    assert search.Keypad(search.Dense(equal, 0))(texts) == [search.keypad(t, search.Static(equal, 0)) for t in texts]
