@@ -190,7 +190,7 @@ def dense_model(model: Model, largest: int = LARGEST) -> Dense:
 
 
 class _Columns:
-    """Texts that are no longer than they come, side by side: all first symbols, then all second ones, and so on."""
+    """Texts side by side: all first symbols, then all second ones, and so on."""
 
     def __init__(self, texts: list[str]) -> None:
         """texts: by falling length, none empty."""
